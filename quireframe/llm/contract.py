@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quireframe.llm import pii, toxicity
+from quireframe.llm.audio import audio_round_trip
 from quireframe.llm.common import table
+from quireframe.llm.mixing import mix
 from quireframe.llm.packing import pack
+from quireframe.llm.simhash import near_duplicates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +30,30 @@ def tokenizer_path() -> str:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.train(docs))
+
+
+@query
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -15,40 +18,67 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 END = (0).to_bytes(4, "little")
 #: A space beside other white space: there the tokenizer's splits depend on more than the next chunk.
 MIXED_SPACE = re.compile(r" \s|\s ")
+# Fixed value: the pattern by which byte-level tokenizers split text.
+SPLITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks by bytes of a byte-level BPE file whose merges stand in the order of their ids; None for any other file."""
+    with open(path, encoding="utf-8") as f:
+        parsed = json.load(f)
+    model, before = parsed["model"], parsed.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not parsed.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain:
+        return None
+    vocabulary = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [vocabulary.get("".join(m)) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merges)}
 
 
 class TokenIds:
     """The ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file.
 
     A byte-level tokenizer never merges across a space that stands alone between two words, so a text is encoded
-    chunk by chunk at such spaces and the ids of chunks are kept (at most ``keep`` of them). Texts in which a space
-    touches other white space are encoded whole.
+    chunk by chunk at such spaces and the ids of chunks are kept (at most ``keep`` of them). Where the file is a plain
+    byte-level BPE, chunks are encoded by rank, which gives the same ids at a tenth of the time. Texts in which a
+    space touches other white space, and all texts for any other kind of file, go to the tokenizers library whole.
     """
 
     def __init__(self, path: str, keep: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.keep = keep
+        self.ranked = None
+        if ranks := _byte_ranks(path):
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+            self.ranked = tiktoken.Encoding("chunks", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if MIXED_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        chunks = [None if not self.ranked or "\0" in t or MIXED_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         known, new = self.known, set()
         for found in chunks:
             if found:
-                new.update(c for c in found if c not in known)
-        fresh = list(new)
-        here = dict(zip(fresh, self._encode(fresh), strict=True)) if fresh else {}
-        whole = iter(self._encode([t for t, c in zip(texts, chunks, strict=True) if c is None]))
-        out = [next(whole) if c is None else b"".join([known[x] if x in known else here[x] for x in c]) for c in chunks]
-        if len(known) + len(here) <= self.keep:
-            known.update(here)
+                new |= set(found).difference(known)
+        for c in new:
+            ids = self.ranked(c)
+            known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        whole = iter(self._whole([t for t, c in zip(texts, chunks, strict=True) if c is None]))
+        out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
+        if len(known) > self.keep:
+            for c in new:
+                del known[c]
         return out
 
 
