@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quireframe.llm import pii, toxicity
+from quireframe.llm import embeddings, html, licenses, pii, toxicity, warc
 from quireframe.llm.audio import audio_round_trip
 from quireframe.llm.common import table
 from quireframe.llm.mixing import mix
@@ -57,3 +58,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_matches, licenses): the matches of each document as name:start:end:coverage, joined by commas."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], F.format_number(m["coverage"], 4)))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(shown, ",").alias("licenses"))

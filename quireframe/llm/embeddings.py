@@ -224,6 +224,7 @@ def _unit(vector: list | None) -> np.ndarray | None:
 
 
 ROWS = "vec_id long, key string, dim int, unit binary"
+NODES = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary())])
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -296,10 +297,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        batch = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
-        if not batch.num_rows:
+        own = pa.Table.from_batches(batches, NODES).to_pandas()  # a block of about 4096 nodes
+        if not len(own):
             return
-        own = batch.to_pandas()
         parent: dict[int, int] = {}
 
         def root(i: int) -> int:
