@@ -112,7 +112,7 @@ def _starts(parts: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with one more column, _found: all candidate spans of the text.
+    """The rows with one more column, _pii_found: all candidate spans of the text.
 
     A span has kind (its place in KINDS), start, end (code points, end exclusive), base (whether it is one of the
     fixed patterns' spans), votes and features. Null texts have none. Column names that start with _pii are taken.
@@ -158,7 +158,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     df = df.withColumn("_pii_voted", F.transform(F.concat("_pii_base", more), judged))
     found = F.transform("_pii_voted", lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"], s["votes"], _features(s["m"], s["votes"], s["before"], s["after"]).alias("features")))
-    return df.withColumn("_found", found).select(*docs.columns, "_found")
+    return df.withColumn("_pii_found", found).select(*docs.columns, "_pii_found")
 
 
 @dataclass
@@ -207,7 +207,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """Estimate the labelers' reliabilities and train the span classifier on all candidates of all rows."""
     cut = Cut(docs.sparkSession)
     one = docs.select(F.col(text).alias("text"))
-    spans = cut(candidates(one).select(F.explode("_found").alias("s")).select("s.kind", "s.votes", "s.features"), "candidates")
+    spans = cut(candidates(one).select(F.explode("_pii_found").alias("s")).select("s.kind", "s.votes", "s.features"), "candidates")
     counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n"))
     learnt = cut(expectation_maximisation(counts), "learnt")
     soft = learnt.select("kind", F.explode("patterns").alias("p")).select("kind", F.col("p.v").alias("votes"), F.col("p.y").alias("y"))
@@ -236,10 +236,10 @@ def find(docs: DataFrame, model: Model, text: str = "text", column: str = "spans
     every row comes out once, in any number of repeats; a column of the new name is replaced.
     """
     df = candidates(docs.drop(column), text)
-    kept = F.filter("_found", lambda s: s["base"] | (model.log_odds(s) >= 0))
+    kept = F.filter("_pii_found", lambda s: s["base"] | (model.log_odds(s) >= 0))
     ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
     names = F.array(*map(F.lit, KINDS))
-    return df.withColumn(column, F.transform(ordered, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))).drop("_found")
+    return df.withColumn(column, F.transform(ordered, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))).drop("_pii_found")
 
 
 def _joined(spans: Column) -> Column:

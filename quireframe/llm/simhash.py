@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quireframe.llm.common import Cut, components
 
@@ -146,8 +147,13 @@ def close_pairs(points: np.ndarray, limit: int, leaf: int = 192, block: int = 51
                 yield left[i[keep]], right[j[keep]]
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, per_shard: int = 32768, least_depth: int = 6, sample: int = 8192) -> DataFrame:
-    """(doc_id long, fingerprint string, component_id long), one row per document.
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id long, fingerprint string, component_id long), one row per document; settings as of groups()."""
+    return groups(docs, **settings).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def groups(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, per_shard: int = 32768, least_depth: int = 6, sample: int = 8192) -> DataFrame:
+    """(doc_id long, fp long, g long, component_id long), one row per document; g names the group.
 
     Fingerprints link where at most ``limit`` bits differ, equal ones included; component_id is the smallest doc_id
     reachable. Equal fingerprints are one point, so a large group of copies is one row. A vantage-point tree, fitted
@@ -163,13 +169,43 @@ def near_duplicates(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3,
     cut = Cut(spark)
     by_doc = cut(fingerprints(docs, words_per_shingle), "fingerprints")
     points = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    groups = linked_points(spark, points.select("fp"), cut, limit, per_shard, least_depth, sample)
+    linked = linked_points(spark, points.select("fp"), cut, limit, per_shard, least_depth, sample)
     group = F.coalesce("component", "fp")
-    named = points.join(groups, points["fp"] == groups["node"], "left").select("fp", "least", group.alias("g"))
+    named = points.join(linked, points["fp"] == linked["node"], "left").select("fp", "least", group.alias("g"))
     named = cut(named, "named")
     least = cut(named.groupBy("g").agg(F.min("least").alias("component_id")), "ids")
-    classes = cut(named.join(least, "g").select(F.col("fp").alias("p"), "component_id"), "classes", (points, named, least))
-    return by_doc.join(classes, by_doc["fp"] == classes["p"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(named.join(least, "g").select(F.col("fp").alias("p"), "g", "component_id"), "classes", (points, named, least))
+    return by_doc.join(classes, by_doc["fp"] == classes["p"]).select("doc_id", "fp", "g", "component_id")
+
+
+def representatives(docs: DataFrame, words_per_shingle: int = 3, **settings) -> DataFrame:
+    """One row of docs, with all its columns, for each group of near-duplicates: the one with the smallest doc_id.
+
+    Null ids come last; of rows with the same id the one with the least fingerprint stays, of rows that share both any
+    one. Only ids are shuffled with the texts' join, and only those of rows that go; where ids are null or repeated,
+    those rows alone are told apart by their fingerprints.
+    """
+    cut = Cut(docs.sparkSession)
+    found = cut(groups(docs, words_per_shingle=words_per_shingle, **settings), "groups")
+    mark = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
+    fp, other, best_fp = f"{mark}fp", f"{mark}other", f"{mark}best_fp"
+    own = docs["doc_id"].cast("long")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias(other)).distinct(), "gone")
+    odd = cut(found.groupBy(F.col("doc_id").alias(other)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(other).isNull()).select(other), "odd")
+    if not odd.take(1):
+        return docs.join(gone, own == F.col(other), "left_anti")
+    best = found.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("b")).select(F.col("b.doc_id").alias(other), F.col("b.fp").alias(best_fp))
+    schema = T.StructType([*docs.schema, T.StructField(fp, T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+            fps = np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, fp])
+
+    told = docs.join(odd, own.eqNullSafe(F.col(other)), "left_semi").mapInArrow(add, schema).dropDuplicates(["doc_id", fp])
+    told = told.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(fp) == F.col(best_fp)), "left_semi").drop(fp)
+    return docs.where(own.isNotNull()).join(gone.unionByName(odd), own == F.col(other), "left_anti").unionByName(told)
 
 
 def linked_points(spark: SparkSession, points: DataFrame, cut: Cut, limit: int, per_shard: int, least_depth: int, sample: int) -> DataFrame:

@@ -3,7 +3,7 @@ import xxhash
 
 from quireframe.llm.common import Cut, components
 from quireframe.llm.contract import op10_simhash
-from quireframe.llm.simhash import close_pairs, fingerprint, leaves_of, near_duplicates, vantage_tree
+from quireframe.llm.simhash import close_pairs, fingerprint, leaves_of, near_duplicates, representatives, vantage_tree
 
 
 def plain_fingerprint(text):
@@ -78,3 +78,14 @@ def test_hard_rows(spark):
     df = spark.createDataFrame([(*d, "fp", 1) for d in docs], "doc_id long, text string, fp string, component_id int")
     check(near_duplicates(df).collect(), docs)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_representatives(spark):
+    docs = [(5, "", 1), (4, None, 2), (9, "a b c d", 3), (9, "a b c d", 4), (3, "A B c D", 5), (None, "x y z", 6), (None, "x y z", 7), (9, "quite another text", 8), (8, "and one more", 9)]
+    df = spark.createDataFrame(docs, "doc_id int, text string, gone int")
+    got = sorted((r.doc_id or -1, r.text or "") for r in representatives(df).collect())
+    assert got == [(-1, "x y z"), (3, "A B c D"), (4, ""), (8, "and one more"), (9, "quite another text")]
+    plain = df.where("gone IN (1, 2, 3, 5, 9)")
+    assert sorted(r.gone for r in representatives(plain).collect()) == [2, 5, 9]
+    assert representatives(df).columns == df.columns
+    assert representatives(df.limit(0)).count() == 0
