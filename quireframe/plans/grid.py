@@ -94,7 +94,7 @@ def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as rows of sheets of 1000: sizes are heights, every seventh size is hidden, some rows have no override."""
     parts = table(spark, sf_dir, "part")
-    key = F.col("p_partkey") - 1
+    key = F.col("p_partkey")
     rows = parts.select(
         F.floor(key / 1000).cast("string").alias("sheet_id"), F.lit("row").alias("axis"), (key % 1000 + 1).cast("int").alias("idx"),
         F.col("p_size").cast("double").alias("size"), (F.col("p_size") % 7 == 0).alias("hidden"), F.lit(20.0).alias("default_size"),
@@ -102,7 +102,7 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("size % 3 != 0")
 
 
-PARTS_SQL = """o AS (SELECT CAST((p_partkey - 1) // 1000 AS VARCHAR) AS sheet_id, 'row' AS axis, CAST((p_partkey - 1) % 1000 + 1 AS INT) AS idx,
+PARTS_SQL = """o AS (SELECT CAST(p_partkey // 1000 AS VARCHAR) AS sheet_id, 'row' AS axis, CAST(p_partkey % 1000 + 1 AS INT) AS idx,
   CASE WHEN p_size % 7 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS size FROM part WHERE p_size % 3 <> 0),
 s AS (SELECT *, (idx - 1) * 20.0::DOUBLE + coalesce(sum(size - 20) OVER (PARTITION BY sheet_id, axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o)"""
 
