@@ -12,22 +12,20 @@ ROWS_OF_PARTITION = 33  # bits of monotonically_increasing_id() below the partit
 NO_SOURCE = "\0"  # stands for null
 
 
-def ranks(df: DataFrame, source: str, order: list[Column], cut: Cut) -> DataFrame:
-    """The rows with _source and _rank, the row's place (from 0) in its source by the given order.
+def ranks(rows: DataFrame, cut: Cut) -> DataFrame:
+    """rows (row, source, key) with rank: the row's place (from 0) in its source by its key.
 
-    A source may hold most rows, so no task gets a whole one: rows are range-partitioned by source and order, numbered
+    A source may hold most rows, so no task gets a whole one: rows are range-partitioned by source and key, numbered
     inside their partition, and each partition's part of a source starts where the parts before it end.
     """
-    placed = df.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))).withColumn("_key", F.struct(*order))
-    placed = placed.repartitionByRange("_source", "_key").sortWithinPartitions("_source", "_key")
-    placed = cut(placed.drop("_key").withColumn("_at", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("_at", ROWS_OF_PARTITION)
-    parts = placed.groupBy("_source", part.alias("_part")).agg(F.min("_at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("_source", "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"))
+    placed = rows.repartitionByRange("source", "key").sortWithinPartitions("source", "key")
+    placed = cut(placed.drop("key").withColumn("at", F.monotonically_increasing_id()), "placed").withColumn("part", F.shiftright("at", ROWS_OF_PARTITION))
+    parts = placed.groupBy("source", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("source", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     # One row for each partition and each source at most.
-    found = placed.withColumn("_part", part).join(F.broadcast(cut(starts, "starts")), ["_source", "_part"])
-    return found.withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    found = placed.join(F.broadcast(cut(starts, "starts")), ["source", "part"])
+    return found.select("row", "source", (F.col("at") + F.col("shift")).alias("rank"))
 
 
 def cycles(blocks: DataFrame) -> DataFrame:
@@ -92,25 +90,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     """
     cut = Cut(docs.sparkSession)
     docs = docs.drop("mix_slot", "mix_offset")
-    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source")).agg(F.count("*").alias("rows"))
+    ties = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    name = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name, F.struct(*order, ties.alias("ties")).alias("key"))  # so no column of docs clashes
+    counts = docs.groupBy(name).agg(F.count("*").alias("rows"))
     blocks = cut(shares(cut(counts, "counts"), weights, cycle, most_sources).select("source", F.ceil(F.col("rows") / block_rows).alias("n"), "share"), "blocks")
     runs = cut(cycles(blocks), "runs")
     firsts = [r.first for r in runs.select(F.col("first")).orderBy("first").collect()]  # two for each source at most
     slots = runs.select("run", "first", "base", "length", "parts", F.posexplode(earliest_deadline_first("parts", "length")).alias("slot", "i"))
     nth = F.row_number().over(Window.partitionBy("run", "i").orderBy("slot")) - 1
-    plan = slots.select("run", "first", "base", "length", "slot", F.expr("parts[i].source").alias("_source"), nth.alias("nth"))
-    ties = [F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])]
-    ranked = ranks(docs, source, [F.col(c) for c in order] + ties, cut)
+    plan = slots.select("run", "first", "base", "length", "slot", F.expr("parts[i].source").alias("source"), nth.alias("nth"))
     # One row for each source.
-    found = ranked.join(F.broadcast(blocks.select(F.col("source").alias("_source"), "share")), "_source")
-    block = F.floor(F.col("_rank") / block_rows)
-    found = found.withColumn("_cycle", F.floor(block / F.col("share"))).withColumn("_nth", (block % F.col("share")).cast("int"))
-    run = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda f: f <= F.col("_cycle"))) - 1 if firsts else F.lit(0)
+    found = ranks(rows, cut).join(F.broadcast(blocks.select("source", "share")), "source")
+    block = F.floor(F.col("rank") / block_rows)
+    found = found.withColumn("cycle", F.floor(block / F.col("share"))).withColumn("nth", (block % F.col("share")).cast("int"))
+    run = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda f: f <= F.col("cycle"))) - 1 if firsts else F.lit(0)
     # At most 2 * sources * (cycle + sources) rows, whatever the table.
-    plan = F.broadcast(cut(plan, "plan"))
-    found = found.withColumn("_run", run).join(plan.withColumnRenamed("_source", "_of"), (F.col("_source") == F.col("_of")) & (F.col("_run") == F.col("run")) & (F.col("_nth") == F.col("nth")))
-    slot = F.col("base") + (F.col("_cycle") - F.col("first")) * F.col("length") + F.col("slot")
-    return found.select(*[ranked[c] for c in docs.columns], slot.cast("long").alias("mix_slot"), (F.col("_rank") % block_rows).cast("int").alias("mix_offset"))
+    found = found.withColumn("run", run).join(F.broadcast(cut(plan, "plan")), ["source", "run", "nth"])
+    slot = F.col("base") + (F.col("cycle") - F.col("first")) * F.col("length") + F.col("slot")
+    return found.select("row.*", slot.cast("long").alias("mix_slot"), (F.col("rank") % block_rows).cast("int").alias("mix_offset"))
 
 
 def in_mixed_order(docs: DataFrame, **settings) -> DataFrame:
