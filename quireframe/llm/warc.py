@@ -7,6 +7,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -214,7 +215,7 @@ def write(referred: DataFrame, folder: str, samples: int = 200, sample_bytes: in
                         yield record(page_id, url, html.encode(), digest, refers_to)
 
         rows = records()
-        first = [x for x, _ in zip(rows, range(samples), strict=False)]
+        first = list(islice(rows, samples))
         if first:
             system.create_dir(at, recursive=True)
             with system.open_output_stream(path) as out:

@@ -41,6 +41,13 @@ def test_round_trip_of_hard_rows(spark):
     assert small[1] == small[3] == "response"
 
 
+def test_more_pages_than_the_dictionary_has_samples(spark):
+    pages = spark.range(0, 700, 1, 2).selectExpr("id AS page_id", "'u' AS url", "concat('<p>some words and page ', id DIV 2) AS html")
+    rows = [(r.page_id, r.html) for r in pages.collect()]
+    got = warc.round_trip(pages).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == plain(rows) and len(got) == 700
+
+
 def archive(records, dictionary=b""):
     out = io.BytesIO()
     warc.write_archive(records, out, dictionary)
