@@ -19,6 +19,9 @@ SEPARATOR = "\0"
 BETWEEN_WORDS = re.compile(r"\W+")
 #: Lengths of the word beginnings that are terms beside whole words (a term with an asterisk is a beginning).
 BEGINNINGS = (4, 5, 6, 7)
+#: A beginning's so manieth occurrence in a text is a term of its own (its number stands after the asterisk): a chance
+#: word may begin like a bad one, several in one text seldom do.
+OCCURRENCES = (2, 3, 4)
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>"
 
 
@@ -28,10 +31,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def terms_of(text: str | None) -> set[str]:
-    """All words of a text in lower case, and their beginnings."""
-    words = set(BETWEEN_WORDS.split((text or "").lower()))
-    words.discard("")
-    return words | {f"{w[:k]}*" for w in words for k in BEGINNINGS if len(w) > k}
+    """All words of a text in lower case, their beginnings, and the further occurrences of beginnings."""
+    words = Counter(BETWEEN_WORDS.split((text or "").lower()))
+    words.pop("", None)
+    begun: Counter = Counter()
+    for w, n in words.items():
+        for k in BEGINNINGS:
+            if len(w) > k:
+                begun[f"{w[:k]}*"] += n
+    return {*words, *begun} | {f"{b}{o}" for b, n in begun.items() for o in OCCURRENCES if n >= o}
 
 
 class Matcher:
@@ -40,9 +48,13 @@ class Matcher:
     def __init__(self, vocabulary: list[str]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.terms: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
         for i, term in enumerate(vocabulary):
-            self.automaton.add_word(SEPARATOR + (term[:-1] if term.endswith("*") else term + SEPARATOR), (i, not term.endswith("*"), len(term)))
+            stem, star, occurrence = term.partition("*")
+            self.terms.setdefault(stem + star, []).append((i, int(occurrence or 1)))
+        self.automaton = ahocorasick.Automaton()
+        for stem in self.terms:
+            self.automaton.add_word(SEPARATOR + (stem[:-1] if stem.endswith("*") else stem + SEPARATOR), (stem, not stem.endswith("*")))
         if vocabulary:
             self.automaton.make_automaton()
 
@@ -51,8 +63,8 @@ class Matcher:
         if not text or not len(self.automaton):
             return ()
         words = SEPARATOR + BETWEEN_WORDS.sub(SEPARATOR, text.lower()) + SEPARATOR
-        found = Counter(i for end, (i, whole, _) in self.automaton.iter(words) if whole or words[end + 1] != SEPARATOR)
-        return tuple(sorted(found.items()))
+        found = Counter(stem for end, (stem, whole) in self.automaton.iter(words) if whole or words[end + 1] != SEPARATOR)
+        return tuple(sorted((i, n if o == 1 else 1) for stem, n in found.items() for i, o in self.terms[stem] if n >= o))
 
 
 @dataclass
@@ -216,7 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_te
     excess = n * (p * F.log(p / rate) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0))
     good = tallied.where((F.col("term") != "") & (p > max(0.5, rate)) & (excess >= math.log(100 * tallied.count()))).orderBy(excess.desc(), "term").limit(most_terms).collect()
     precision = {r.term: r.toxic / (r.toxic + r.other) for r in good}
-    covered = lambda t: any(precision.get(f"{t[:k]}*", -1) >= precision[t] for k in BEGINNINGS if k < len(t.rstrip("*")))
+
+    def covered(term: str) -> bool:
+        stem, _, occurrence = term.partition("*")
+        return any(precision.get(f"{stem[:k]}*{occurrence}", -1) >= precision[term] for k in BEGINNINGS if k < len(stem))
+
     kept = sorted((r for r in good if not covered(r.term)), key=lambda r: r.term)
     index = Index([r.term for r in kept], np.array([math.log((toxic + other + 1) / (r.toxic + r.other + 1)) + 1 for r in kept]), k=k)
     vocabulary = index.vocabulary
