@@ -1,17 +1,30 @@
-"""Cutting a plan's lineage with a checkpoint in the shared folder."""
+"""The shared folder, and cutting a plan's lineage with a checkpoint in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; it is not made yet."""
+    return f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in spark.checkpoint.dir; where that is unset (tests), in a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The same rows, checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
