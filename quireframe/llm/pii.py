@@ -207,7 +207,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """Estimate the labelers' reliabilities and train the span classifier on all candidates of all rows."""
     cut = Cut(docs.sparkSession)
     one = docs.select(F.col(text).alias("text"))
-    spans = cut(candidates(one).select(F.explode("_pii_found").alias("s")).select("s.kind", "s.votes", "s.features"), "candidates")
+    # Written before they are exploded: else Spark tests for empty arrays first, and so finds all candidates twice or more.
+    found = cut(candidates(one).select("_pii_found"), "found")
+    spans = found.select(F.explode("_pii_found").alias("s")).select("s.kind", "s.votes", "s.features")
     counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n"))
     learnt = cut(expectation_maximisation(counts), "learnt")
     soft = learnt.select("kind", F.explode("patterns").alias("p")).select("kind", F.col("p.v").alias("votes"), F.col("p.y").alias("y"))
@@ -225,7 +227,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         else:
             weights[f"{r.kind} {r.feature}"] = log((r.good + 0.5) / (t.good + 1)) - log((r.bad + 0.5) / (t.bad + 1))
     accuracy = {KINDS[r.kind]: dict(zip(VOTERS, r.accuracy, strict=True)) for r in learnt.select("kind", "accuracy").collect()}
-    cut.drop(spans, learnt)
+    cut.drop(found, learnt)
     return Model(accuracy, weights)
 
 
