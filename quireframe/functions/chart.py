@@ -41,3 +41,21 @@ def rose_radius(inner: Column, outer: Column) -> Column:
 def drawn_as(kind: Column) -> Column:
     known = F.map_from_arrays(F.array(*map(F.lit, DRAWN_AS)), F.array(*map(F.lit, DRAWN_AS.values())))
     return F.coalesce(F.try_element_at(known, kind), F.lit("line"))
+
+
+def region_name(name: Column) -> Column:
+    """A region's name without the suffix of its kind."""
+    return F.trim(F.regexp_replace(name, "(?:特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|省|市)$", ""))
+
+
+def shows_labels(deleted: Column, flags: Column, otherwise: Column) -> Column:
+    """Are data labels shown: not if deleted; by the flags (array<boolean>) that are set; else as the chart says."""
+    explicit = F.filter(flags, lambda f: f.isNotNull())
+    return F.when(F.coalesce(deleted, F.lit(False)), False).when(F.size(explicit) > 0, F.exists(explicit, lambda f: f)).otherwise(F.coalesce(otherwise, F.lit(False)))
+
+
+def label_text(parts: Column, separator: Column) -> Column:
+    """The parts (array<string>) that are there, joined by a separator and trimmed."""
+    there = F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != "")
+    joined = F.aggregate(there, F.lit(None).cast("string"), lambda t, p: F.when(t.isNull(), p).otherwise(F.concat(t, separator, p)))
+    return F.trim(F.coalesce(joined, F.lit("")))

@@ -128,3 +128,14 @@ def date_text(serial: Column, fmt: str, date1904: bool = False) -> Column:
         half = plain != fmt
         parts.append(F.date_format(ts, ("hh" if half else "HH") + ":mm" + (":ss" if re.search("s", plain, re.IGNORECASE) else "") + (" a" if half else "")))
     return F.concat_ws(" ", *parts) if parts else general(serial)
+
+
+def rk(raw: Column) -> Column:
+    """The number in a compressed 32-bit form: bit 1 says whole number (else the upper 30 bits of a double), bit 0 hundredths."""
+    raw = raw.cast("int")
+    exponent = F.shiftright(raw, 20).bitwiseAND(0x7FF)
+    mantissa = raw.bitwiseAND(0xFFFFC) / 1048576.0
+    size = F.when(exponent == 0, 0.0).otherwise((1 + mantissa) * F.pow(F.lit(2.0), exponent - 1023))
+    double = F.when(raw < 0, -size).otherwise(size)
+    value = F.when(raw.bitwiseAND(2) != 0, F.shiftright(raw, 2).cast("double")).otherwise(double)
+    return F.when(raw.bitwiseAND(1) != 0, value / 100).otherwise(value)

@@ -149,3 +149,26 @@ def paragraph_height(text: Column, kind: Column, width: float = 554.0) -> Column
     one = lambda line: F.when(weighted_length(line) <= first, F.lit(1).cast("long")).otherwise(1 + F.ceil((weighted_length(line) - first) / capacity))
     lines = F.aggregate(F.split(F.when(text == "", " ").otherwise(text), "\n"), F.lit(0).cast("long"), lambda n, line: n + one(line))
     return F.greatest(F.lit(18.0), lines * font * high + after)
+
+
+def with_number(text: Column, number: Column, suffix: Column) -> Column:
+    """A paragraph after its list number, with a tab, a space or nothing between; as it was if it begins with the number already."""
+    gap = F.when(suffix == "space", " ").when(suffix == "tab", "\t").otherwise("")
+    there = (text == number) | text.startswith(F.concat(number, F.lit(" "))) | text.startswith(F.concat(number, F.lit("\t")))
+    return F.when(number.isNull() | (number == "") | there, text).otherwise(F.concat(number, gap, text))
+
+
+def json_table(text: Column) -> Column:
+    """array<struct<category, values array<double>>> of a JSON table of rows under a row of headings: {"data": [[...], ...]}.
+
+    The category is a row's first cell, trimmed; rows without one are left out. What is no number is 0. Quotes may be
+    written as ?quot;.
+    """
+    schema = "struct<data: array<array<string>>>"
+    read = F.coalesce(F.from_json(text, schema)["data"], F.from_json(F.replace(text, F.lit("?quot;"), F.lit('"')), schema)["data"])
+    rows = F.slice(read, F.lit(2), F.greatest(F.size(read) - 1, F.lit(0)))
+    number = lambda v: F.coalesce(v.try_cast("double"), F.lit(0.0))
+    return F.filter(
+        F.transform(rows, lambda r: F.struct(F.trim(F.get(r, F.lit(0))).alias("category"), F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), number).alias("values"))),
+        lambda r: F.coalesce(r["category"], F.lit("")) != "",
+    )

@@ -40,3 +40,35 @@ def tint(base: Column, amount: Column) -> Column:
     dark = F.transform(channels(base), lambda c: c * (1 + amount))
     light = F.transform(channels(base), lambda c: c + (255 - c) * amount)
     return F.when(amount < 0, colour(dark)).when(amount > 0, colour(light)).otherwise(base)
+
+
+# Shares of the font size that the widest digit takes, by pattern of the font's name; the first that fits counts.
+DIGIT_SHARES = (
+    ("宋体|新宋体|仿宋|黑体|微软雅黑|simsun|nsimsun|fangsong|simhei|microsoft yahei|ms mincho|mingliu|meiryo|malgun gothic", 0.55),
+    ("arial narrow", 0.45), ("calibri", 0.48), ("arial|helvetica|liberation sans", 0.525), ("courier|consolas|monaco|monospace", 0.6),
+)
+
+
+def digit_width(family: Column, size: Column) -> Column:
+    """px of the widest digit of a font, at least 1; a font without a size has 11 points."""
+    share = F.lit(0.5)
+    for pattern, value in reversed(DIGIT_SHARES):
+        share = F.when(F.lower(F.coalesce(family, F.lit(""))).rlike(pattern), value).otherwise(share)
+    return F.greatest(F.lit(1), F.floor(F.coalesce(size, F.lit(11 * 96 / 72)) * share)).cast("int")
+
+
+def transform_colour(base: Column, steps: Column) -> Column:
+    """#rrggbb after steps (array<struct<type, val>>, in order): tint, shade, lumMod and lumOff in thousandths of a percent."""
+    start = F.transform(channels(base), lambda c: c.cast("double"))
+
+    def step(rgb: Column, s: Column) -> Column:
+        r = s["val"] / 100000.0
+        one = lambda c: F.when(s["type"] == "tint", c + (255 - c) * r).when(s["type"].isin("shade", "lumMod"), c * r).when(s["type"] == "lumOff", c + 255 * r).otherwise(c)
+        return F.transform(rgb, one)
+
+    return colour(F.aggregate(steps, start, step))
+
+
+def scheme_colour(scheme: Column, mapping: Column, name: Column) -> Column:
+    """The colour of a name in a theme's scheme (map), by way of the slide's colour map where that renames it."""
+    return F.try_element_at(scheme, F.coalesce(F.try_element_at(mapping, name), name))

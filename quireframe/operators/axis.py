@@ -36,3 +36,19 @@ def find(sized: DataFrame, points: DataFrame) -> DataFrame:
     plain = lambda x: F.floor(x / F.col("default_size")).cast("long")
     idx = F.when(F.col("near").isNull(), plain(F.col("x")) + 1).when(F.col("x") < F.col("near.end"), F.col("near.idx").cast("long")).otherwise(F.col("near.idx") + 1 + plain(F.col("x") - F.col("near.end")))
     return near.select(*KEYS, "x", F.least("count", F.greatest(F.lit(1).cast("long"), idx)).alias("idx"))
+
+
+def offset_at(sized: DataFrame, points: DataFrame) -> DataFrame:
+    """points (sheet_id, axis, idx, default_size and more) with start: the offset of that row or column.
+
+    An as-of step by index over the union of both, as in find().
+    """
+    rest = [c for c in points.columns if c not in (*KEYS, "idx")]
+    asked = points.select(*KEYS, F.col("idx").cast("int").alias("idx"), F.struct(*rest).alias("row"))
+    known = sized.select(*KEYS, F.col("idx").cast("int").alias("idx"), F.struct("idx", "end").alias("at"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy(*KEYS).orderBy("idx", F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("near", F.last("at", ignorenulls=True).over(before)).where("row IS NOT NULL")
+    default = F.col("row.default_size")
+    start = F.when(F.col("near").isNull(), (F.col("idx") - 1) * default).otherwise(F.col("near.end") + (F.col("idx") - F.col("near.idx") - 1) * default)
+    return found.select(*KEYS, "idx", start.alias("start"), *[F.col(f"row.{c}") for c in rest])

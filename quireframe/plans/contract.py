@@ -1,6 +1,6 @@
 """All queries of the library but those of the llm subpackage."""
 
-from quireframe.plans import charts, documents, grid, lookups, streams, values  # noqa: F401  each registers its queries
+from quireframe.plans import charts, documents, grid, lookups, more, streams, values  # noqa: F401  each registers its queries
 from quireframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
