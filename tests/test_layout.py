@@ -31,7 +31,7 @@ def test_batches(spark, sf):
 
 
 def test_wrapping(spark, sf):
-    assert layout.count_lines("aaaa bbbb", 10, 45) == 2 and layout.count_lines("a" * 20, 10, 45) == 3 and layout.count_lines("", 10, 45) == 1 and layout.count_lines("a\n\nb", 10, 45) == 3
+    assert layout.count_lines("aaaa bbbb", 10, 40) == 2 and layout.count_lines("a" * 20, 10, 45) == 3 and layout.count_lines("", 10, 45) == 1 and layout.count_lines("a\n\nb", 10, 45) == 3
     df = spark.createDataFrame([("x\r\n\r\n",), (None,), ("",), ("中中中",)], "t string")
     assert [r[0] for r in df.select(layout.reading_height(F.col("t"), F.lit(10.0), F.lit(30.0))).collect()] == [13, None, 13, 25]
     assert all(r.height >= 16 for r in reading_heights(spark, sf).collect())
