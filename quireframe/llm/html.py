@@ -39,6 +39,7 @@ BESIDE = frozenset(
     " reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal"
     " overlay cookie cookies consent gdpr notice notices alert disclaimer copyright contentinfo complementary search form dialog alertdialog".split()
 )
+BEGINNINGS = ("adsby", "advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
 # Each part ends at the next tag's beginning or after a bounded number of steps, so broken pages take linear time too.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^<>]*+>.*?(?:</\1\b[^<>]*+>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'<>]*+>)){{0,500}}+)>|<[!?/][^<>]*+>",
@@ -52,7 +53,7 @@ DEEPEST = 80
 def _beside(names: list[str]) -> bool:
     for name in names:
         words = [w.lower() for w in WORD.findall(name)]
-        if words and words[0] not in ("has", "with", "no", "is", "js") and (words[0] in BESIDE or words[-1] in BESIDE):
+        if words and words[0] not in ("has", "with", "no", "is", "js") and (words[0] in BESIDE or words[-1] in BESIDE or any(w.startswith(BEGINNINGS) for w in words)):
             return True
     return False
 
@@ -219,7 +220,7 @@ def fold(items: list) -> list:
                 continue
             group = items[i : i + width]
             for k in range(1, many):
-                group = [merge(a, b) for a, b in zip(group, items[i + k * width : i + (k + 1) * width], strict=True)]
+                group = [merge(a, b, False) for a, b in zip(group, items[i + k * width : i + (k + 1) * width], strict=True)]
             if width == 1:
                 group[0][1] |= REPEATED
                 out += group
@@ -258,24 +259,28 @@ def pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     return out + [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
 
 
-def merge(a: list, b: list) -> list:
-    """One item for two with the same label: texts that differ become a slot, elements without a partner optional."""
+def merge(a: list, b: list, across: bool = True) -> list:
+    """One item for two with the same label: texts that differ become a slot, elements without a partner optional.
+
+    across: the two are of different pages, so only texts that both have are texts of every page; else of one page.
+    """
     if a[0] == TEXT:
-        return [TEXT, a[1] | b[1], a[2] + b[2], a[3] + b[3], sorted(set(a[4]) & set(b[4]))]
-    return [a[0], a[1] | b[1], merge_rows(a[2], b[2])]
+        same = set(a[4]) & set(b[4]) if across else {*a[4], *b[4]}
+        return [TEXT, a[1] | b[1], a[2] + b[2], a[3] + b[3], sorted(same)]
+    return [a[0], a[1] | b[1], merge_rows(a[2], b[2], across)]
 
 
-def _optional(item: list) -> list:
+def _optional(item: list, across: bool) -> list:
     """An item that some pages lack has no text that every page has."""
     if item[0] == TEXT:
-        return [*item[:1], item[1] | OPTIONAL, *item[2:4], []]
-    return [item[0], item[1] | OPTIONAL, [_optional(x) for x in item[2]]]
+        return [TEXT, item[1] | OPTIONAL, *item[2:4], [] if across else item[4]]
+    return [item[0], item[1] | OPTIONAL, [_optional(x, across) for x in item[2]]]
 
 
-def merge_rows(a: list, b: list) -> list:
+def merge_rows(a: list, b: list, across: bool = True) -> list:
     out = []
     for i, j in pairs([x[0] for x in a], [x[0] for x in b]):
-        out.append(_optional(b[j]) if i is None else _optional(a[i]) if j is None else merge(a[i], b[j]))
+        out.append(_optional(b[j], across) if i is None else _optional(a[i], across) if j is None else merge(a[i], b[j], across))
     return out
 
 
@@ -333,7 +338,7 @@ class Wrapper:
     Marked elements are passed over, but for one that holds four fifths of the text and a heading or main element, or
     all of the text. If the elements marked as main hold a quarter of the rest, only they count; else the descent goes
     into the child that holds three fifths of the text for as long as there is one without text of its own. Texts
-    mostly made of links are passed over. A text that each of three or more different pages has belongs to the template.
+    mostly made of links are passed over, in a main element only where the place has mostly such. A text that each of three or more different pages has belongs to the template.
     """
 
     def __init__(self, data: dict):
@@ -355,6 +360,7 @@ class Wrapper:
         rest = _chars(self.items, self.passed)
         main = self._main(self.items)
         self.region: list | None = main if main and 4 * sum(_chars([x], self.passed) for x in main) >= rest else None
+        self.marked = self.region is not None
         if self.region is None:
             row, at = self.items, None
             holds = lambda x: x[0] != TEXT and not self.passed(x) and not x[1] & REPEATED and all(y[0] != TEXT for y in x[2])
@@ -421,7 +427,9 @@ class Wrapper:
         blocks, fixed, total = [], 0, 0
         for (main, template), texts in zip(self.places(shape), found, strict=True):
             if main:
-                for place, text, _ in texts:
+                for place, text, linked in texts:
+                    if not self.marked and 2 * linked > len(text):
+                        continue
                     same = self.template and bool(template) and xxhash.xxh32_intdigest(text) in template
                     blocks.append((place, text, same))
                     fixed += len(text) if same else 0

@@ -83,3 +83,14 @@ def test_hard_rows(spark):
         assert len(got) == 11 and text[9] == "no host" and text[10] == "y <z>" and text[11] == text[12] == ""
         assert text[None] == text[1] and text[3].startswith("Title 3\n\nPara 3 & one") and all(r.n_chars == len(r.text) for r in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_tables_as_layout():
+    def page(i):
+        return (
+            f"<table><tr><td><a href=/>Home</a> | <a href=/a>About</a></td></tr><tr><td><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></td><td><h1>Story {i}</h1><p>{'word ' * 30}{i}</p>"
+            f"<div class=adsbygoogle>Buy {i}</div><p>more {i}</p></td></tr><tr><td>Copyright 2020</td></tr></table>"
+        )
+
+    w = Wrapper(learnt(*map(page, range(6))))
+    assert w.text(page(2)) == f"Story 2\n\n{'word ' * 30}2\n\nmore 2"
