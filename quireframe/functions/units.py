@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +74,41 @@ def transform_colour(base: Column, steps: Column) -> Column:
 def scheme_colour(scheme: Column, mapping: Column, name: Column) -> Column:
     """The colour of a name in a theme's scheme (map), by way of the slide's colour map where that renames it."""
     return F.try_element_at(scheme, F.coalesce(F.try_element_at(mapping, name), name))
+
+
+# The indexed colours of spreadsheets; 0 to 7 are 8 to 15 as well.
+INDEXED = (
+    "000000 ffffff ff0000 00ff00 0000ff ffff00 ff00ff 00ffff 000000 ffffff ff0000 00ff00 0000ff ffff00 ff00ff 00ffff"
+    " 800000 008000 000080 808000 800080 008080 c0c0c0 808080 9999ff 993366 ffffcc ccffff 660066 ff8080 0066cc ccccff"
+    " 000080 ff00ff ffff00 00ffff 800080 800000 008080 0000ff 00ccff ccffff ccffcc ffff99 99ccff ff99cc cc99ff ffcc99"
+    " 3366ff 33cccc 99cc00 ffcc00 ff9900 ff6600 666699 969696 003366 339966 003300 333300 993300 993366 333399 333333"
+).split()
+
+
+def indexed_colour(index: Column, palette: list[str] | None = None) -> Column:
+    """#rrggbb of an index (a workbook may have a palette of its own); null for an index that is not there."""
+    colours = F.array(*[F.lit(f"#{c}") for c in palette or INDEXED])
+    return F.when(index >= 0, F.get(colours, index))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def shift_hsl(base: Column, lum_mod: Column, lum_off: Column, sat_mod: Column) -> Column:
+    """#rrggbb with lightness times lum_mod plus lum_off and saturation times sat_mod, each kept in 0 to 1."""
+    keep = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+    def hsl(rgb: Column) -> Column:
+        high, low = F.array_max(rgb), F.array_min(rgb)
+        spread, total = high - low, high + low
+        hue = F.when(high == rgb[0], F.pmod((rgb[1] - rgb[2]) / spread, F.lit(6.0))).when(high == rgb[1], (rgb[2] - rgb[0]) / spread + 2).otherwise((rgb[0] - rgb[1]) / spread + 4)
+        plain = spread == 0
+        return F.struct(F.when(plain, 0.0).otherwise(2 * hue).alias("h"), keep(F.when(plain, 0.0).otherwise(spread / (1 - F.abs(total - 1))) * sat_mod).alias("s"), keep(total / 2 * lum_mod + lum_off).alias("l"))
+
+    def rgb_of(x: Column) -> Column:
+        places = F.transform(F.array(F.lit(0.0), F.lit(8.0), F.lit(4.0)), lambda n: F.pmod(n + x["h"], F.lit(12.0)))
+        return F.transform(places, lambda k: 255 * (x["l"] - x["s"] * F.least(x["l"], 1 - x["l"]) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))))
+
+    return _let(_let(_let(F.transform(channels(base), lambda c: c / 255.0), hsl), rgb_of), colour)

@@ -172,3 +172,31 @@ def dominant(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFr
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("rows"), F.min(order).alias("_first"))
     best = F.max_by(F.struct(value, "rows"), F.struct("rows", -F.col("_first")))
     return counts.groupBy(*keys).agg(best.alias("b")).select(*keys, f"b.{value}", "b.rows")
+
+
+def texts_before_images(blocks: DataFrame, key: str, order: str, kind: Column) -> DataFrame:
+    """blocks with place (from 0): directly after a table, texts of a run of 'text' and 'image' blocks come before its images.
+
+    kind is 'table', 'image', 'text' or anything else; a run ends at the first block of another kind.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = blocks.withColumn("_kind", kind).withColumn("_stop", F.count(F.when(~F.col("_kind").isin("image", "text"), 1)).over(upto))
+    # what a run follows is the block that stopped the one before
+    after = F.first("_kind").over(Window.partitionBy(key, "_stop").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.when((after == "table") & (F.col("_kind") == "image"), 2).when((after == "table") & (F.col("_kind") == "text"), 1).otherwise(0)
+    ranked = marked.withColumn("_rank", rank)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_stop", F.when(F.col("_kind").isin("image", "text"), F.col("_rank")).otherwise(-1), order)) - 1
+    return ranked.withColumn("place", place).drop("_kind", "_stop", "_rank")
+
+
+def overflow_pages(blocks: DataFrame, key: str, order: str, spacer: Column, full: Column, least: int = 2) -> DataFrame:
+    """blocks with page (from 0): a block that fills a page begins a new one if one was there before and ``least`` spacers or more stand directly before it."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    marked = blocks.withColumns({"_spacer": spacer, "_full": full}).withColumn("_n", F.row_number().over(w))
+    # place of the last block before that is no spacer: all after it are
+    solid = F.coalesce(F.max(F.when(~F.col("_spacer"), F.col("_n"))).over(before), F.lit(0))
+    earlier = F.coalesce(F.max(F.col("_full").cast("int")).over(before), F.lit(0)) == 1
+    cut = (F.col("_full") & earlier & (F.col("_n") - 1 - solid >= least)).cast("int")
+    return marked.withColumn("_cut", cut).withColumn("page", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_spacer", "_full", "_n", "_cut")

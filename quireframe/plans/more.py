@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quireframe.functions import chart, numbers, units
 from quireframe.functions import text as T
-from quireframe.operators import axis, layout, slides
+from quireframe.operators import axis, documents, layout, slides
 from quireframe.plans.grid import PARTS_SQL, part_rows
 from quireframe.plans.registry import query, table
 
@@ -238,3 +238,52 @@ def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.when(F.col("event_id") % 2 == 0, F.replace(text, F.lit('"'), quote)).otherwise(text)
     rows = table(spark, sf_dir, "events").select("event_id", F.explode(T.json_table(written)).alias("r"))
     return rows.select("event_id", "r.category", F.round(F.col("r.values")[0], 6).alias("first"), F.col("r.values")[1].alias("second"))
+
+
+@query(
+    "indexed_colours",
+    """WITH p AS (SELECT p_partkey, CAST(p_partkey % 70 - 3 AS INT) AS i FROM part) SELECT p_partkey, CASE WHEN i BETWEEN 0 AND 63 THEN '#' || string_split('"""
+    + " ".join(units.INDEXED)
+    + """', ' ')[i + 1] END AS colour FROM p""",
+)
+def indexed_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-COLOR-INDEXED."""
+    return table(spark, sf_dir, "part").select("p_partkey", units.indexed_colour((F.col("p_partkey") % 70 - 3).cast("int")).alias("colour"))
+
+
+@query(
+    "grey_shifts",
+    """WITH p AS (SELECT p_partkey, p_size * 5 AS g FROM part), s AS (SELECT p_partkey, g, CAST(floor(least(1.0::DOUBLE, g / 255.0::DOUBLE * 0.5 + 0.25) * 255 + 0.5) AS INT) AS o FROM p)
+SELECT p_partkey, format('#{:02x}{:02x}{:02x}', CAST(g AS INT), CAST(g AS INT), CAST(g AS INT)) AS base, format('#{:02x}{:02x}{:02x}', o, o, o) AS shifted FROM s""",
+)
+def grey_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-COLOR-HSL on greys; a test has other colours."""
+    grey = F.col("p_size") * 5
+    base = units.colour(F.array(grey, grey, grey))
+    return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), units.shift_hsl(base, F.lit(0.5), F.lit(0.25), F.lit(2.0)).alias("shifted"))
+
+
+@query(
+    "texts_before_images",
+    """WITH k AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'table' WHEN 'click' THEN 'image' WHEN 'view' THEN 'text' ELSE 'other' END AS kind FROM events),
+s AS (SELECT *, count(*) FILTER (kind NOT IN ('image', 'text')) OVER (PARTITION BY user_id ORDER BY event_id) AS stop FROM k),
+a AS (SELECT *, first_value(kind) OVER (PARTITION BY user_id, stop ORDER BY event_id) AS head FROM s)
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY stop, CASE WHEN kind NOT IN ('image', 'text') THEN -1 WHEN head <> 'table' THEN 0 WHEN kind = 'text' THEN 1 ELSE 2 END, event_id) - 1 AS INT) AS place FROM a""",
+)
+def texts_before_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-TABLEGROUP: after a table, texts come before images."""
+    kind = F.when(F.col("event_type") == "error", "table").when(F.col("event_type") == "click", "image").when(F.col("event_type") == "view", "text").otherwise("other")
+    return documents.texts_before_images(table(spark, sf_dir, "events"), "user_id", "event_id", kind).select("user_id", "event_id", "place")
+
+
+@query(
+    "overflow_pages",
+    """WITH k AS (SELECT user_id, event_id, event_type IN ('view', 'click') AS spacer, event_type = 'purchase' AS full_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT *, n - 1 - coalesce(max(CASE WHEN NOT spacer THEN n END) OVER b, 0) AS gap, coalesce(bool_or(full_) OVER b, FALSE) AS earlier FROM k WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, event_id, CAST(sum(CASE WHEN full_ AND earlier AND gap >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS INT) AS page FROM c""",
+)
+def overflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-SECTIONSPLIT: a second shape of a page's size after spacers begins a page."""
+    events = table(spark, sf_dir, "events")
+    found = documents.overflow_pages(events, "user_id", "event_id", F.col("event_type").isin("view", "click"), F.col("event_type") == "purchase")
+    return found.select("user_id", "event_id", "page")

@@ -148,3 +148,14 @@ def test_upsert_knows_stale_rows(spark):
     assert rows() == [("", "n"), ("a", "new"), ("b", "b5"), ("c", "c")] and rows(strict=False)[2] == ("b", "again")
     with pytest.raises(Exception, match="not newer"):
         rows(on_stale="error")
+
+
+def test_hsl(spark):
+    import colorsys
+
+    colours = ["#ff0000", "#12ab34", "#3366ff", "#fffffe", "#000000", "#7f6040"]
+    got = values(spark, "string", colours, lambda c: units.shift_hsl(c, F.lit(0.8), F.lit(0.1), F.lit(0.5)))
+    for base, shown in zip(colours, got, strict=True):
+        h, light, s = colorsys.rgb_to_hls(*[int(base[i : i + 2], 16) / 255 for i in (1, 3, 5)])
+        want = colorsys.hls_to_rgb(h, min(1, light * 0.8 + 0.1), s * 0.5)
+        assert all(abs(int(shown[i : i + 2], 16) - 255 * w) <= 0.51 for i, w in zip((1, 3, 5), want, strict=True))
