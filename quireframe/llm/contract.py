@@ -81,3 +81,20 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], F.format_number(m["coverage"], 4)))
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(shown, ",").alias("licenses"))
+
+
+# Each character of base 32 is five bits of the hexadecimal digest, which lie in two of its digits.
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last, [position(c IN '0123456789abcdef') - 1 FOR c IN string_split(sha1(html), '')] AS h FROM p)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((h[5 * i // 4 + 1] * 16 + h[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) % 32 + 1, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d"""
+
+# The test pages all have one article element of paragraphs and a heading.
+ORACLES["op1_html"] = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, [regexp_replace(part, '<[^>]*>', ' ', 'g') FOR part IN parts] AS parts FROM a),
+c AS (SELECT page_id, url, [replace(replace(replace(replace(part, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') FOR part IN parts] AS parts FROM b),
+d AS (SELECT page_id, url, list_filter([trim(regexp_replace(part, '\s+', ' ', 'g')) FOR part IN parts], lambda x: x <> '') AS parts FROM c)
+SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10))) AS n_chars FROM d"""
