@@ -14,7 +14,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if "://" in found:
+        return found
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)  # a path in the cluster's default store
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
