@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireframe.operators.lineage import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data; Spark opens the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), an own one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else f"file://{found}"
-
+def store_of(uri: str):
+    """(file system, path) by which a task opens a file of the shared folder itself."""
+    from pyarrow import fs
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; it is not made yet."""
-    return f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 class Cut:
@@ -96,7 +90,3 @@ def components(edges: DataFrame, cut: Cut, rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def code_points(c: Column) -> Column:
-    return F.char_length(c)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.llm.common import Cut, components, new_folder
+from quireframe.llm.common import Cut, components, new_folder, store_of
 
 
 def beam_search(links: np.ndarray, x: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int, count: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -269,14 +269,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
     shards = {dim: max(least_shards, -(-n // per_shard)) for dim, n in sizes.items()}
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         dim = int(shard["dim"].iloc[0])
         shard = shard.sort_values("node")
         x = np.frombuffer(b"".join(shard["unit"]), np.float64).reshape(-1, dim)
         graph = Graph(shard["node"].to_numpy(np.int64), x)
         beam, found = graph.audited_beam(audits[dim], threshold, recall)
-        system, at = fs.FileSystem.from_uri(folder)
+        system, at = store_of(folder)
         system.create_dir(at, recursive=True)
         name = f"graph-{uuid.uuid4().hex}.npz"
         exact = pd.Series(shard["unit"].to_numpy(), index=shard["node"].to_numpy()).loc[graph.ids]
@@ -295,8 +293,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
     found = graphs.collect()  # a row a shard, at least per_shard nodes each beyond the least_shards
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         own = pa.Table.from_batches(batches, NODES).to_pandas()  # a block of about 4096 nodes
         if not len(own):
             return
@@ -316,7 +312,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
             for r in found:
                 if r.dim != dim:
                     continue
-                system, at = fs.FileSystem.from_uri(r.path)
+                system, at = store_of(r.path)
                 with system.open_input_file(at) as source, np.load(io.BytesIO(source.read())) as f:
                     graph, known, copies = Graph.load(f["graph"].tobytes()), f["exact"], f["copies"]
                 q, p = graph.within(queries, threshold, r.beam)

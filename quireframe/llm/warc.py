@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.llm.common import Cut, new_folder
+from quireframe.llm.common import Cut, new_folder, store_of
 
 # Magic numbers of the skippable frame that holds a dictionary, of a frame and of a plain dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -162,12 +162,6 @@ def read_archive(source, piece: int = 1 << 20, most_record: int = 1 << 31) -> It
         yield data
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def with_digests(pages: DataFrame) -> DataFrame:
     """(page_id long, url string, html string, payload_digest string, payload_bytes long); null html counts as empty."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -202,9 +196,9 @@ def write(referred: DataFrame, folder: str, samples: int = 200, sample_bytes: in
     A file's dictionary is trained on its own first ``samples`` records (their first ``sample_bytes``), so that each
     file reads by itself. A task that runs again writes another file; only files that are returned count.
     """
-    # pages without a payload of their own still need a row each
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, at = _filesystem(folder)
+        system, at = store_of(folder)
         path, n = f"{at}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst", 0
 
         def records() -> Iterator[bytes]:
@@ -236,7 +230,7 @@ def read(files: DataFrame, batch: int = 256) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             for path, expected in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                system, at = _filesystem(path)
+                system, at = store_of(path)
                 rows, n, held = [], 0, 0
                 with system.open_input_stream(at) as source:
                     for data in read_archive(source):

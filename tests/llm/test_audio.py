@@ -37,7 +37,7 @@ def test_resampling():
     pcm = np.array([0, 10, -7, 32767, -32768], np.int16)
     assert audio.resample(pcm, 8000, 16000).tolist() == [0, 5, 10, 1, -7, 16380, 32767, -1, -32768, -32768]
     general = audio.resample(pcm, 8000, 12000)
-    assert len(general) == 7 and general[3] == 10 + 0 * 0 + (0) - 17 + 0 or general[3] == -7
+    assert len(general) == 7 and general[3] == -7
     assert audio.resample(pcm, 8000, 8000) is pcm and len(audio.resample(pcm[:0], 8000, 16000)) == 0
 
 
