@@ -37,6 +37,11 @@ def occupied(value: Column, formula: Column | None = None, raw: Column | None =
     return out if raw is None else out | (F.coalesce(raw, F.lit("")) != "")
 
 
+def shows_when_empty(*styles: Column) -> Column:
+    """Has an empty cell a fill, a border or a diagonal, so that it matters?"""
+    return F.coalesce(*styles).isNotNull()
+
+
 def clamp_range(start: Column, end: Column, count: Column) -> tuple[Column, Column]:
     """The start in 1 to count, the end from the start to count."""
     first = F.least(F.greatest(F.floor(start), F.lit(1)), count)

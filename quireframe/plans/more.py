@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quireframe.functions import chart, numbers, units
 from quireframe.functions import text as T
-from quireframe.operators import axis, documents, layout, slides
+from quireframe.operators import axis, documents, grid, layout, slides
 from quireframe.plans.grid import PARTS_SQL, part_rows
 from quireframe.plans.registry import query, table
 
@@ -287,3 +287,51 @@ def overflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     found = documents.overflow_pages(events, "user_id", "event_id", F.col("event_type").isin("view", "click"), F.col("event_type") == "purchase")
     return found.select("user_id", "event_id", "page")
+
+
+@query(
+    "repaired_texts",
+    r"""SELECT item_id, text AS repaired, 'x' || chr(10) || regexp_replace(text, '[{}\\]', '', 'g') AS plain FROM benchmark""",
+)
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-MOJIBAKE, FN-STRIP-RTF: texts whose UTF-8 was read as Latin-1, and texts inside RTF."""
+    text = F.col("text")
+    spoilt = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    rtf = F.concat(F.lit(r"{\rtf1\b x\par "), F.regexp_replace(text, r"[{}\\]", ""), F.lit("}"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.mojibake(spoilt).alias("repaired"), T.strip_rtf(rtf).alias("plain"))
+
+
+@query(
+    "letter_counters",
+    """WITH n AS (SELECT c_custkey, c_custkey % 702 + 1 AS n FROM customer) SELECT c_custkey, lower(CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE chr(CAST(64 + (n - 1) // 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT)) END) AS letter FROM n""",
+)
+def letter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-LETTER, WN-NUMBERING's texts: counters as letters."""
+    counters = F.array((F.col("c_custkey") % 702 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", documents.number_text(counters, F.lit(0), ("lower_letter",)).alias("letter"))
+
+
+@query(
+    "capped_grid",
+    """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS sheet_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderstatus FROM orders)
+SELECT sheet_id, CAST(r AS INT) AS row_index, o_orderstatus AS value FROM n WHERE r <= 8""",
+)
+def capped_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LM-CAP: the first rows of each sheet, as a report of its own; nothing else cuts sheets."""
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sheet_id"), row.alias("row_index"), F.col("o_orderstatus").alias("value"))
+    return orders.where("row_index <= 8")
+
+
+@query(
+    "visible_blanks",
+    """WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 5 = 0 THEN 'fill' END AS fill, CASE WHEN p_size % 7 = 0 THEN 'thin' END AS border, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS value FROM part)
+SELECT p_brand AS sheet_id, count(*) FILTER (value <> '' OR fill IS NOT NULL OR border IS NOT NULL) AS kept, count(*) FILTER (value = '' AND (fill IS NOT NULL OR border IS NOT NULL)) AS blanks FROM s GROUP BY p_brand""",
+)
+def visible_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-VISIBLE-EMPTY, FLT-USED-RANGE-XLS: blank cells count where their style shows."""
+    size = F.col("p_size")
+    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet_id"), F.when(size % 5 == 0, "fill").alias("fill"), F.when(size % 7 == 0, "thin").alias("border"), F.when(size % 3 == 0, F.col("p_type")).otherwise("").alias("value"))
+    shows = grid.shows_when_empty(F.col("fill"), F.col("border"))
+    full = grid.occupied(F.col("value"))
+    return cells.groupBy("sheet_id").agg(F.count_if(full | shows).alias("kept"), F.count_if(~full & shows).alias("blanks"))

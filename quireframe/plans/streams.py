@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireframe.functions import text as T
 from quireframe.operators import documents
 from quireframe.operators.lineage import new_folder
-from quireframe.plans.documents import HEIGHT_SQL, LINES_SQL, ROLE_SQL
+from quireframe.plans.documents import HEIGHT_SQL, ITEMS_SQL, LINES_SQL, ROLE_SQL, outline_items
 from quireframe.plans.registry import query, table
 from quireframe.streaming import revisions as streams
 
@@ -49,3 +49,18 @@ def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = streams.paginate(sized).writeStream.format("parquet").option("path", f"{folder}/pages").option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("doc_id long, ord long, page int").parquet(f"{folder}/pages")
+
+
+@query(
+    "outline_stream",
+    f"""WITH {ITEMS_SQL} SELECT a.book, CAST(a.ord - 1 AS BIGINT) AS ord, a.id, (SELECT arg_max(b.id, b.ord) FROM i b WHERE b.book = a.book AND b.ord < a.ord AND b.level < a.level) AS parent_id FROM i a""",
+)
+def outline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-OUTLINE, SM-PARTIAL, SM-PROGRESS: headings get their parents as they come, the open ones kept as state."""
+    folder = new_folder(spark, "outline")
+    items = outline_items(spark, sf_dir).select("book", (F.col("ord") - 1).cast("long").alias("ord"), "level", "id")
+    items.write.parquet(f"{folder}/items")
+    rows = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/items")
+    writer = streams.outline(rows, "book").writeStream.format("parquet").option("path", f"{folder}/tree").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("book long, ord long, id long, parent_id long").parquet(f"{folder}/tree")

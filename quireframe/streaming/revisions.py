@@ -71,7 +71,7 @@ def fold_in_order(stream: DataFrame, key: str, sequence: str, columns: list[str]
             rows.append((group[0], upto, *out))
             upto += 1
         state.update((upto, json.dumps(now), json.dumps(waiting)))
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return stream.groupBy(key).applyInPandasWithState(
         run, f"{key} {kinds[key]}, {sequence} long, {out_schema}", "upto long, now string, waiting string", "append", GroupStateTimeout.NoTimeout
@@ -89,6 +89,17 @@ def paginate(stream: DataFrame, key: str = "doc_id", sequence: str = "ord", heig
     return fold_in_order(stream, key, sequence, [height], [0, 0.0], step, "page int")
 
 
+def outline(stream: DataFrame, key: str, sequence: str = "ord") -> DataFrame:
+    """(key, sequence, id, parent_id) of headings (key, sequence, level, id) as they come, as documents.outline() does for whole documents."""
+
+    def step(state: list, values: list) -> tuple[list, tuple]:
+        level, own = values
+        open_ = [x for x in state if x[0] < level]  # each is deeper than the one before
+        return [*open_, [level, own]], (own, open_[-1][1] if open_ else None)
+
+    return fold_in_order(stream, key, sequence, ["level", "id"], [], step, "id long, parent_id long")
+
+
 def progress(stream: DataFrame, name: str = "progress") -> DataFrame:
     """The stream with metrics that a StreamingQueryListener sees: rows, and the largest revision if there is one."""
     more = [F.max("revision").alias("revision")] if "revision" in stream.columns else []
