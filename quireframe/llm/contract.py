@@ -98,3 +98,10 @@ b AS (SELECT page_id, url, [regexp_replace(part, '<[^>]*>', ' ', 'g') FOR part I
 c AS (SELECT page_id, url, [replace(replace(replace(replace(part, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') FOR part IN parts] AS parts FROM b),
 d AS (SELECT page_id, url, list_filter([trim(regexp_replace(part, '\s+', ' ', 'g')) FOR part IN parts], lambda x: x <> '') AS parts FROM c)
 SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10))) AS n_chars FROM d"""
+
+ORACLES["op8_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS e FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.9),
+r(id, component) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.component FROM r JOIN l ON l.a = r.id)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(component) AS component_id, v.vec_id = min(component) AS kept FROM v JOIN r ON r.id = v.vec_id GROUP BY v.vec_id"""

@@ -3,14 +3,15 @@ import pytest
 
 from quireframe.llm.contract import ORACLES, QUERIES
 
-KINDS = {"BIGINT": "bigint", "VARCHAR": "string"}
+KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_its_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     got = QUERIES[name](spark, sf).select(*names)
