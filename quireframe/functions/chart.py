@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How series types are drawn, and the suffixes of kinds of regions.
 #: How series types are drawn; any other type is a line.
 DRAWN_AS = {"bar": "bar", "column": "bar", "line": "line", "area": "area", "surface": "area", "pie": "pie", "ofPie": "pie", "doughnut": "pie", "radar": "radar", "scatter": "scatter", "bubble": "scatter", "stock": "line"}
 
+REGION_KINDS = "特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|省|市"
+
 
 def nice_max(x: Column) -> Column:
     """The axis end for a largest value: 2, 5 or 10 times a power of ten; 1 for none, zero and less."""
@@ -45,7 +48,7 @@ def drawn_as(kind: Column) -> Column:
 
 def region_name(name: Column) -> Column:
     """A region's name without the suffix of its kind."""
-    return F.trim(F.regexp_replace(name, "(?:特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|省|市)$", ""))
+    return F.trim(F.regexp_replace(name, f"(?:{REGION_KINDS})$", ""))
 
 
 def shows_labels(deleted: Column, flags: Column, otherwise: Column) -> Column:

@@ -14,6 +14,7 @@ BULLETED = r"^\s*[\x{2022}\x{25cf}\x{25cb}\x{25a0}\x{25c6}*-]\s+(.+)$"
 # Roman numerals and Chinese digits and units.
 ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 CHINESE_DIGITS, CHINESE_UNITS = "零一二三四五六七八九", ("", "十", "百", "千")
+# Widths and scores of characters.
 #: Widths of characters as shares of the font size, by pattern; the first that fits counts.
 CHAR_WIDTHS = ((r"\s", 0.25), (r"[\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{ff01}-\x{ff60}\x{ffe0}-\x{ffe6}]", 1.0), ("[MW]", 0.9), ("[CDGOQ]", 0.75), ("[PFLT]", 0.57), ("[IJ]", 0.36), ("[A-Z]", 0.66))
 #: Scores of characters of decoded text, by pattern; the first that fits counts, any other character scores 0.3.
