@@ -52,11 +52,20 @@ def _distance(a: np.ndarray, b: int | np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def vantage_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
+def best_radius(distances: np.ndarray, limit: int) -> tuple[int, int, int]:
+    """(radius, inside, outside): the radius that keeps both sides small, those near the border counting on both."""
+    upto = np.concatenate([np.zeros(limit + 1, np.int64), np.bincount(distances.astype(np.int64), minlength=65).cumsum()])  # upto[r + limit] are nearer than r
+    radius = np.arange(1, 65)
+    inside, outside = upto[radius + limit], len(distances) - upto[radius]
+    best = int(np.argmin(inside**2 + outside**2))
+    return int(radius[best]), int(inside[best]), int(outside[best])
+
+
+def vantage_tree(sample: np.ndarray, depth: int, limit: int = 2) -> list[tuple[int, int]]:
     """A complete binary tree over unsigned fingerprints, as a heap of (vantage point, radius).
 
-    A point goes inside where its distance from the vantage point is less than the radius. The radius is the median
-    distance of the sample that reaches the node, the vantage point the candidate whose distances spread most.
+    A point goes inside where its distance from the vantage point is less than the radius, see best_radius(). The
+    vantage point is the candidate for which the sample's two sides are smallest.
     """
     nodes: list[tuple[int, int]] = []
     parts = [sample]
@@ -67,11 +76,11 @@ def vantage_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
                 nodes.append((int(part[0]) if len(part) else 0, 32))
             else:
                 tries = part[:: max(1, len(part) // 8)][:8]
-                spread = [np.std(_distance(part, v)) for v in tries]
-                v = tries[int(np.argmax(spread))]
-                nodes.append((int(v), max(1, int(np.median(_distance(part, v))))))
-            d = _distance(part, np.uint64(nodes[-1][0])) if len(part) else np.zeros(0)
-            nxt += [part[d < nodes[-1][1]], part[d >= nodes[-1][1]]]
+                found = [best_radius(_distance(part, v), limit) for v in tries]
+                best = int(np.argmin([a * a + b * b for _, a, b in found]))
+                nodes.append((int(tries[best]), found[best][0]))
+            d = _distance(part, np.uint64(nodes[-1][0])).astype(np.int64) if len(part) else np.zeros(0)
+            nxt += [part[d < nodes[-1][1]], part[d + limit >= nodes[-1][1]]]  # as all points will be dealt
         parts = nxt
     return nodes
 
@@ -126,15 +135,8 @@ def close_pairs(points: np.ndarray, limit: int, leaf: int = 192, block: int = 51
         part = stack.pop()
         if len(part) > leaf:
             own = points[part]
-            best = None
-            for v in own[:: max(1, len(own) // 4)][:4]:
-                d = _distance(own, v).astype(np.int64)
-                r = max(1, int(np.median(d)))
-                outside = int((d + limit >= r).sum())
-                cost = int((d < r).sum()) ** 2 + outside**2
-                if best is None or cost < best[0]:
-                    best = (cost, d, r, outside)
-            _, d, r, outside = best
+            found = [(d, *best_radius(d, limit)) for v in own[:: max(1, len(own) // 4)][:4] for d in [_distance(own, v).astype(np.int64)]]
+            d, r, _, outside = min(found, key=lambda x: x[2] ** 2 + x[3] ** 2)
             if outside < 0.9 * len(part):
                 stack += [part[d < r], part[d + limit >= r]]
                 continue
@@ -211,9 +213,10 @@ def representatives(docs: DataFrame, words_per_shingle: int = 3, **settings) ->
 def linked_points(spark: SparkSession, points: DataFrame, cut: Cut, limit: int, per_shard: int, least_depth: int, sample: int) -> DataFrame:
     """(node, component) of the distinct points (fp long) that have a link."""
     count = points.count()
-    depth = max(least_depth, int(np.ceil(np.log2(max(1, count) / per_shard))))
+    # A side has about 0.62 of the points with its share of the border, so a tree has to be this much deeper than by halves.
+    depth = max(least_depth, int(np.ceil(1.45 * np.log2(max(1, count) / per_shard))))
     chosen = points.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = vantage_tree(chosen, depth)
+    nodes = vantage_tree(chosen, depth, limit)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
