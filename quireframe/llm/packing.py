@@ -48,7 +48,7 @@ class TokenIds:
     space touches other white space, and all texts for any other kind of file, go to the tokenizers library whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -61,19 +61,38 @@ class TokenIds:
             import tiktoken
 
             self.ranked = tiktoken.Encoding("chunks", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, i in ranks.items():
+                self.lengths[i] = len(token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of new chunks. Those that begin with a space and end with none are encoded as one text and cut
+        where their bytes end; the others, and all if a cut falls inside a token, are encoded one by one."""
+        joined = [c for c in new if c[:1] == " " and not c[-1].isspace()]
+        ids = np.asarray(self.ranked("".join(joined)), np.int64)
+        ends = np.cumsum([len(c.encode()) for c in joined])
+        token_ends = np.cumsum(self.lengths[ids])
+        cuts = np.searchsorted(token_ends, ends) + 1
+        if joined and (cuts[-1] != len(ids) or (token_ends[cuts - 1] != ends).any()):
+            joined, cuts = [], []
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for c, end in zip(joined, (4 * cuts).tolist() if joined else (), strict=True):
+            self.known[c] = raw[at:end]
+            at = end
+        for c in new.difference(joined):
+            own = self.ranked(c)
+            self.known[c] = struct.pack(f"<{len(own)}I", *own)
+
     def of(self, texts: list[str]) -> list[bytes]:
         chunks = [None if not self.ranked or "\0" in t or MIXED_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         known, new = self.known, set()
         for found in chunks:
             if found:
                 new |= set(found).difference(known)
-        for c in new:
-            ids = self.ranked(c)
-            known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self._learn(new)
         whole = iter(self._whole([t for t, c in zip(texts, chunks, strict=True) if c is None]))
         out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
         if len(known) > self.keep:
