@@ -147,8 +147,9 @@ def paragraph_height(text: Column, kind: Column, width: float = 554.0) -> Column
     font, high, after = pick(22.0, 16.0, 14.0), pick(1.45, 1.65, 1.8), pick(18.0, 14.0, 12.0)
     capacity = F.greatest(F.lit(8), F.floor(width / (font * 0.95)))
     first = F.greatest(F.lit(4), F.floor(width / (font * 0.95)))
-    one = lambda line: F.when(weighted_length(line) <= first, F.lit(1).cast("long")).otherwise(1 + F.ceil((weighted_length(line) - first) / capacity))
-    lines = F.aggregate(F.split(F.when(text == "", " ").otherwise(text), "\n"), F.lit(0).cast("long"), lambda n, line: n + one(line))
+    lengths = F.transform(F.split(F.when(text == "", " ").otherwise(text), "\n"), weighted_length)
+    one = lambda n: F.when(n <= first, F.lit(1).cast("long")).otherwise(1 + F.ceil((n - first) / capacity))
+    lines = F.aggregate(lengths, F.lit(0).cast("long"), lambda sum_, n: sum_ + one(n))
     return F.greatest(F.lit(18.0), lines * font * high + after)
 
 

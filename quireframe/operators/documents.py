@@ -131,7 +131,9 @@ def pages(docs: DataFrame, key: str, text: str, height: float = 931.0, width: fl
     A page is full where the next paragraph would exceed the height; a paragraph higher than a page stands alone.
     """
     p = docs.select(key, lines_of(F.col(text)).alias("p"))
-    sized = p.select(key, F.transform("p", lambda x, i: F.struct(T.role(x, i).alias("role"), T.paragraph_height(x, T.role(x, i), width).alias("height"))).alias("b"))
+    # in two steps, so that the role is worked out once for each paragraph
+    roles = F.transform("p", lambda x, i: F.struct(x.alias("text"), T.role(x, i).alias("role")))
+    sized = p.select(key, F.transform(roles, lambda b: F.struct(b["role"].alias("role"), T.paragraph_height(b["text"], b["role"], width).alias("height"))).alias("b"))
     placed = sized.withColumn("page", _greedy(F.col("b.height"), F.lit(height))).select(key, F.posexplode(F.arrays_zip("b", "page")).alias("ord", "z"))
     return placed.select(key, "ord", "z.b.role", F.round("z.b.height", 4).alias("height"), "z.page")
 
