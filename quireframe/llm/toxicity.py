@@ -1,11 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all words through an inverted index."""
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.llm.common import Cut
+from quireframe.llm.common import Cut, new_folder, store_of
 
 SEPARATOR = "\0"
 BETWEEN_WORDS = re.compile(r"\W+")
@@ -22,6 +25,10 @@ BEGINNINGS = (4, 5, 6, 7)
 #: A beginning's so manieth occurrence in a text is a term of its own (its number stands after the asterisk): a chance
 #: word may begin like a bad one, several in one text seldom do.
 OCCURRENCES = (2, 3, 4)
+#: How much longer the markers' part of a vector is than its words' part.
+MARKED = 2.0
+#: The cosine from which an example counts as a near copy of a text.
+COPY = 0.98
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>"
 
 
@@ -30,10 +37,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def terms_of(text: str | None) -> set[str]:
-    """All words of a text in lower case, their beginnings, and the further occurrences of beginnings."""
+def word_counts(text: str | None) -> Counter:
     words = Counter(BETWEEN_WORDS.split((text or "").lower()))
     words.pop("", None)
+    return words
+
+
+def terms_of(text: str | None) -> set[str]:
+    """All words of a text in lower case, their beginnings, and the further occurrences of beginnings."""
+    words = word_counts(text)
     begun: Counter = Counter()
     for w, n in words.items():
         for k in BEGINNINGS:
@@ -69,109 +81,151 @@ class Matcher:
 
 @dataclass
 class Index:
-    """Labelled examples as unit TF-IDF vectors, equal vectors as one entry with counts of both labels.
+    """Labelled examples as unit TF-IDF vectors over all their words, equal vectors as one entry with counts of both labels.
 
-    Entries are in blocks of ``width`` in the order of their vectors. For each block and term the largest weight is
-    known, so a query's largest possible cosine in a block is a short sum; blocks are scored from the most promising
-    on, and the rest is passed over once none of it can reach the k-th best. The result is exact.
+    The last ``marks`` terms of the vocabulary are the markers of toxic examples; where a text has some, they make a
+    second part of its vector, MARKED times as long as the words' part. The ``width`` commonest terms are a dense
+    matrix, the others have postings; both give every entry's cosine in single precision, from which those that can be
+    among the k best are worked out in double precision. The result is exact.
     """
 
     vocabulary: list[str]
     idf: np.ndarray
     k: int = 16
-    width: int = 128
+    width: int = 256
     prior: float = 0.5
-    clear: tuple[int, int] = (0, 0)  # toxic and other examples without any term of the vocabulary
+    marks: int = 0
+    clear: tuple[int, int] = (0, 0)  # toxic and other examples without any word
     clear_ids: list[int] = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     other: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list[int] = field(default_factory=list)
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float64))
+    keys: dict[bytes, int] = field(default_factory=dict)  # an entry by its counts' digest
     steps: tuple[list[float], list[float]] | None = None
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in counts], np.int64)
-        weights = np.array([1 + math.log(n) for _, n in counts]) * self.idf[terms]
+        pairs = np.array(counts, np.int64).reshape(-1, 2)
+        terms = pairs[:, 0]
+        weights = (1 + np.log(pairs[:, 1])) * self.idf[terms]
+        marked = terms >= len(self.idf) - self.marks
+        if marked.any() and not marked.all():
+            weights[marked] *= MARKED * np.linalg.norm(weights[~marked]) / np.linalg.norm(weights[marked])
         return terms, weights / np.linalg.norm(weights)
 
-    def build(self, examples: list[tuple[int, int, tuple]]) -> None:
+    @staticmethod
+    def key(counts: tuple[tuple[int, int], ...]) -> bytes:
+        return hashlib.sha1(np.array(counts, np.int64).tobytes()).digest()
+
+    def build(self, examples: Iterable[tuple[int, int, tuple]]) -> None:
         """examples: (doc_id, toxic, counts)."""
-        entries: dict[tuple, list] = {}
+        tallies: list[list[int]] = []
+        rows, seen, good = [], 0, 0
+        clear, clear_ids = [0, 0], []
         for doc_id, toxic, counts in examples:
-            e = entries.setdefault(counts, [0, 0, doc_id])
-            e[0 if toxic else 1] += 1
-            e[2] = min(e[2], doc_id)
-        if () in entries:
-            *self.clear, first = entries.pop(())
-            self.clear_ids = [first]
-        kept = sorted(entries)
-        self.toxic = np.array([entries[c][0] for c in kept], np.float64)
-        self.other = np.array([entries[c][1] for c in kept], np.float64)
-        self.ids = [entries[c][2] for c in kept]
-        self.prior = (sum(t for _, t, _ in examples) + 0.5) / (len(examples) + 1)
-        self.most = np.zeros((len(self.vocabulary), -(-len(kept) // self.width)))
-        for b in range(self.most.shape[1]):
-            vectors = [self.vector(c) for c in kept[b * self.width : (b + 1) * self.width]]
-            terms = np.concatenate([t for t, _ in vectors])
-            weights = np.concatenate([w for _, w in vectors])
-            places = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-            np.maximum.at(self.most[:, b], terms, weights)
-            self.blocks.append((terms, places, weights))
+            seen, good = seen + 1, good + toxic
+            if not counts:
+                clear[0 if toxic else 1] += 1
+                clear_ids = [min([doc_id, *clear_ids])]
+                continue
+            e = self.keys.setdefault(self.key(counts), len(tallies))
+            if e == len(tallies):
+                tallies.append([0, 0, doc_id])
+                terms, weights = self.vector(counts)
+                rows.append((terms.astype(np.int32), weights))
+            tallies[e][0 if toxic else 1] += 1
+            tallies[e][2] = min(tallies[e][2], doc_id)
+        self.clear, self.clear_ids = (clear[0], clear[1]), clear_ids
+        self.toxic, self.other = (np.array([t[i] for t in tallies], np.float64) for i in (0, 1))
+        self.ids = [t[2] for t in tallies]
+        self.prior = (good + 0.5) / (seen + 1)
+        self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        del rows
+        entry = np.repeat(np.arange(len(tallies), dtype=np.int32), np.diff(self.starts))
+        seen_in = np.bincount(self.terms, minlength=len(self.idf))
+        common = np.sort(np.argsort(-seen_in, kind="stable")[: self.width])
+        self.place = np.full(len(self.idf), -1, np.int32)  # a term's row in the dense matrix
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(tallies)), np.float32)
+        at = self.place[self.terms]
+        self.dense[at[at >= 0], entry[at >= 0]] = self.weights[at >= 0]
+        rare = np.nonzero(at < 0)[0]
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.posted, self.posted_weights = entry[rare], self.weights[rare].astype(np.float32)
+        self.first = np.searchsorted(self.terms[rare], np.arange(len(self.idf) + 1))
+
+    def all_nearest(self, queries: list[tuple], without: list[tuple[int, int] | None] | None = None) -> list[list[tuple[int, float, float, float]]]:
+        """nearest() of each query, with one matrix product for all of them."""
+        n = len(self.ids)
+        if not queries or not n:
+            return [[] for _ in queries]
+        vectors = [self.vector(c) for c in queries]
+        wide = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.place[terms]
+            wide[i, at[at >= 0]] = weights[at >= 0]
+        rough = wide @ self.dense
+        query = np.zeros(len(self.idf))
+        out = []
+        for i, (terms, weights) in enumerate(vectors):
+            row, leave = rough[i], without[i] if without else None
+            rare = self.place[terms] < 0
+            first = self.first[terms[rare]]
+            many = self.first[terms[rare] + 1] - first
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            if len(at):
+                row = row + np.bincount(self.posted[at], self.posted_weights[at] * np.repeat(weights[rare], many), n)
+            least = np.partition(row, n - self.k - 1)[n - self.k - 1] - 1e-4 if n > self.k + 1 else 0
+            found = np.nonzero(row > max(0, least))[0]
+            if not len(found):
+                out.append([])
+                continue
+            query[terms] = weights
+            many = self.starts[found + 1] - self.starts[found]
+            at = np.repeat(self.starts[found] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            score = np.bincount(np.repeat(np.arange(len(found)), many), query[self.terms[at]] * self.weights[at], len(found))
+            query[terms] = 0
+            order = np.lexsort((found, -score))
+            found, score = found[order], score[order]
+            size = self.toxic[found] + self.other[found]
+            if leave:
+                size = size - (found == leave[0])
+            enough = np.searchsorted(np.cumsum(size), self.k)
+            keep = score >= score[min(enough, len(score) - 1)] - 1e-9
+            near = []
+            for e, s in zip(found[keep].tolist(), score[keep].tolist(), strict=True):
+                a, b = self.toxic[e], self.other[e]
+                if leave and e == leave[0]:
+                    a, b = a - leave[1], b - (1 - leave[1])
+                if a + b > 0:
+                    near.append((e, min(1.0, s), a, b))
+            out.append(near)
+        return out
 
     def nearest(self, counts: tuple[tuple[int, int], ...], without: tuple[int, int] | None = None) -> list[tuple[int, float, float, float]]:
         """(entry, cosine, toxic, other) of the k nearest examples and all that tie with the last, best first.
 
         without: (entry, label), one example to leave out.
         """
-        terms, weights = self.vector(counts)
-        query = np.zeros(len(self.vocabulary))
-        query[terms] = weights
-        bound = weights @ self.most[terms] if self.blocks else np.zeros(0)
-        toxic, other = self.toxic, self.other
-        found_e, found_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            t, places, w = self.blocks[b]
-            score = np.bincount(places, query[t] * w)
-            e = np.nonzero(score > max(0.0, least - 1e-9))[0]
-            found_e, found_s = np.concatenate([found_e, e + b * self.width]), np.concatenate([found_s, score[e]])
-            order = np.lexsort((found_e, -found_s))
-            found_e, found_s = found_e[order], found_s[order]
-            size = toxic[found_e] + other[found_e]
-            if without:
-                size = size - (found_e == without[0])
-            enough = np.searchsorted(np.cumsum(size), self.k)
-            if enough < len(found_e):
-                least = found_s[enough]
-                keep = found_s >= least - 1e-9
-                found_e, found_s = found_e[keep], found_s[keep]
-        out = []
-        for e, s in zip(found_e.tolist(), found_s.tolist(), strict=True):
-            a, b = toxic[e], other[e]
-            if without and e == without[0]:
-                a, b = a - without[1], b - (1 - without[1])
-            if a + b > 0:
-                out.append((e, min(1.0, s), a, b))
-        return out
+        return self.all_nearest([counts], [without])[0]
 
-    def vote(self, near: list[tuple[int, float, float, float]]) -> float:
-        """Examples vote with 1 / (0.05 + distance), the distance being 1 - cosine; the prior has one vote."""
-        good = self.prior + sum(a / (1.05 - s) for _, s, a, _ in near)
+    def vote(self, near: list[tuple[int, float, float, float]], before: float | None = None) -> float:
+        """Examples vote with 1 / (0.05 + distance), the distance being 1 - cosine; ``before``, or the prior, has one vote."""
+        good = (self.prior if before is None else before) + sum(a / (1.05 - s) for _, s, a, _ in near)
         return good / (1 + sum((a + b) / (1.05 - s) for _, s, a, b in near))
 
+    def votes(self, examples: list[tuple[int, int, tuple]]) -> list[tuple[float, int]]:
+        """(vote, label) of the examples that have a word, each left out in its turn."""
+        own = [(y, c) for _, y, c in examples if c]
+        near = self.all_nearest([c for _, c in own], [(self.keys[self.key(c)], y) for y, c in own])
+        return [(self.vote(x), y) for x, (y, _) in zip(near, own, strict=True)]
+
     def calibrate(self, examples: list[tuple[int, int, tuple]]) -> None:
-        """Fit monotone steps (pool adjacent violators) from votes to rates on examples, each left out in its turn."""
-        keys: dict[tuple, int] = {}
-        for _, _, c in sorted({(0, 0, c) for _, _, c in examples if c}):
-            keys[c] = len(keys)
-        votes, seen = [], {}
-        for _, y, c in examples:
-            if c:
-                if (c, y) not in seen:
-                    seen[c, y] = self.vote(self.nearest(c, (keys[c], y)))
-                votes.append((seen[c, y], y))
+        self.fit_steps(self.votes(examples))
+
+    def fit_steps(self, votes: list[tuple[float, int]]) -> None:
+        """Fit monotone steps (pool adjacent violators) from votes to rates."""
         pools: list[list[float]] = []  # lowest and highest vote, toxic, all
         for v, y in sorted(votes):
             pools.append([v, v, y, 1])
@@ -183,24 +237,81 @@ class Index:
             y = [(p[2] + 0.5) / (p[3] + 1) for p in pools for _ in range(2)]
             self.steps = (x, np.maximum.accumulate(y).tolist())
 
+    def scores(self, queries: list[tuple]) -> list[tuple[float, list[int], list[float]]]:
+        """For each: calibrated score, and up to 5 nearest examples with their cosines.
+
+        Steps come from examples without their copies, so near copies of a text vote once more, after the steps."""
+        found = iter(self.all_nearest([c for c in queries if c]))
+        out = []
+        for counts in queries:
+            if not counts:
+                toxic, other = self.clear
+                out.append(((toxic + self.prior) / (toxic + other + 1), list(self.clear_ids), [1.0] * len(self.clear_ids)))
+                continue
+            near = next(found)
+            raw = self.vote(near)
+            if self.steps:
+                raw = float(np.interp(raw, *self.steps))
+            raw = self.vote([x for x in near if x[1] >= COPY], raw)
+            out.append((raw, [self.ids[e] for e, *_ in near[:5]], [s for _, s, *_ in near[:5]]))
+        return out
+
     def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and up to 5 nearest examples with their cosines."""
-        if not counts:
-            toxic, other = self.clear
-            return (toxic + self.prior) / (toxic + other + 1), list(self.clear_ids), [1.0] * len(self.clear_ids)
-        near = self.nearest(counts)
-        raw = self.vote(near)
-        if self.steps:
-            raw = float(np.interp(raw, *self.steps))
-        return raw, [self.ids[e] for e, *_ in near[:5]], [s for _, s, *_ in near[:5]]
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_terms: int = 4_000, k: int = 16) -> Index:
+        return self.scores([counts])[0]
+
+
+class Reader:
+    """Counts an index's words and markers in texts; words that no example has are passed over."""
+
+    def __init__(self, index: Index):
+        self.own = len(index.vocabulary) - index.marks
+        self.words = {w: i for i, w in enumerate(index.vocabulary[: self.own])}
+        self.markers = Matcher(index.vocabulary[self.own :])
+
+    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
+        words = sorted((self.words[w], n) for w, n in word_counts(text).items() if w in self.words)
+        return (*words, *((i + self.own, n) for i, n in self.markers.counts(text)))
+
+
+@dataclass
+class Stored:
+    """An index in the shared folder, and the steps from votes to rates."""
+
+    path: str
+    steps: tuple[list[float], list[float]] | None = None
+
+    def open(self) -> tuple[Index, Reader]:
+        """A worker reads an index once."""
+        if self.path not in OPENED:
+            OPENED.clear()
+            system, at = store_of(self.path)
+            with system.open_input_stream(at) as source:
+                index = pickle.load(source)
+            OPENED[self.path] = index, Reader(index)
+        index, reader = OPENED[self.path]
+        index.steps = self.steps
+        return index, reader
+
+
+OPENED: dict[str, tuple[Index, Reader]] = {}
+
+
+def opened(index: Index | Stored) -> tuple[Index, Reader]:
+    return index.open() if isinstance(index, Stored) else (index, Reader(index))
+
+
+def in_groups(items: list, size: int = 64) -> Iterator[list]:
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> Index | Stored:
     """Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
 
-    The vocabulary is the terms that mark toxic examples beyond chance (a Chernoff bound over all terms seen), at most
-    ``most_terms``; a word with a chosen beginning that is as precise is left out. Labels that are null are passed
-    over; of several labels of one document the largest counts. The index's size is bounded by the two parameters.
+    The vocabulary is all words of these examples, and as markers the terms that mark toxic examples beyond chance (a
+    Chernoff bound over all terms seen); a word with a chosen beginning that is as precise is no marker of its own.
+    Labels that are null are passed over; of several labels of one document the largest counts. One task builds the
+    index and writes it into the shared folder; its size is bounded by the examples.
     """
     cut = Cut(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -226,53 +337,79 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_te
     rate = toxic / (toxic + other)
     p, n = F.col("toxic") / (F.col("toxic") + F.col("other")), F.col("toxic") + F.col("other")
     excess = n * (p * F.log(p / rate) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0))
-    good = tallied.where((F.col("term") != "") & (p > max(0.5, rate)) & (excess >= math.log(100 * tallied.count()))).orderBy(excess.desc(), "term").limit(most_terms).collect()
+    good = tallied.where((F.col("term") != "") & (p > max(0.5, rate)) & (excess >= math.log(100 * tallied.count()))).collect()
     precision = {r.term: r.toxic / (r.toxic + r.other) for r in good}
 
     def covered(term: str) -> bool:
         stem, _, occurrence = term.partition("*")
         return any(precision.get(f"{stem[:k]}*{occurrence}", -1) >= precision[term] for k in BEGINNINGS if k < len(stem))
 
-    kept = sorted((r for r in good if not covered(r.term)), key=lambda r: r.term)
-    index = Index([r.term for r in kept], np.array([math.log((toxic + other + 1) / (r.toxic + r.other + 1)) + 1 for r in kept]), k=k)
-    vocabulary = index.vocabulary
+    markers = sorted((r.term, r.toxic + r.other) for r in good if not covered(r.term))
+    folder = new_folder(docs.sparkSession, "index")
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(vocabulary)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        examples, matcher = [], Matcher([m for m, _ in markers])
+        for b in batches:
+            for doc_id, text, toxic in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sorted((numbers.setdefault(w, len(numbers)), n) for w, n in word_counts(text).items())
+                examples.append((doc_id, toxic, np.array(own, np.int32).reshape(-1, 2), matcher.counts(text)))
+        if not examples:
+            return
+        seen = np.zeros(len(numbers))
+        for _, _, own, _ in examples:
+            seen[own[:, 0]] += 1
+        seen = np.concatenate([seen, [n for _, n in markers]])
+        index = Index([*numbers, *(m for m, _ in markers)], np.log((len(examples) + 1) / (seen + 1)) + 1, k=k, marks=len(markers))
+        index.build((d, y, (*map(tuple, own.tolist()), *((i + len(numbers), n) for i, n in marked))) for d, y, own, marked in examples)
+        system, at = store_of(folder)
+        system.create_dir(at, recursive=True)
+        name = f"index-{uuid.uuid4().hex}"
+        with system.open_output_stream(f"{at}/{name}") as out:
+            pickle.dump(index, out, 5)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    # At most most_examples texts, which the task reads batch by batch.
+    ordered = texts.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    stored = Stored(ordered.select("doc_id", "text", "toxic").mapInArrow(build, "path string").first().path)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [matcher.counts(t) for t in b.column(1).to_pylist()]
-            pairs = pa.array([[x for pair in c for x in pair] for c in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pairs], names=["doc_id", "toxic", "pairs"])
-
-    rows = texts.mapInArrow(vectors, "doc_id long, toxic int, pairs array<long>").collect()
-    examples = sorted((r.doc_id, r.toxic, tuple(zip(r.pairs[::2], r.pairs[1::2], strict=True))) for r in rows)
-    index.build(examples)
-    index.calibrate(examples)
+            index, reader = stored.open()
+            found = []
+            for group in in_groups(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))):
+                found += index.votes([(0, y, reader.counts(t)) for t, y in group])
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], names=["vote", "toxic"])
+
+    fitted = Index([], np.zeros(0))
+    # At most most_examples rows of two numbers.
+    fitted.fit_steps([tuple(r) for r in texts.select("text", "toxic").repartition(24).mapInArrow(votes, "vote double, toxic int").collect()])
     cut.drop(texts, tallied)
-    return index
+    return Stored(stored.path, fitted.steps)
+
 
+def of_texts(index: Index | Stored, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+    """Index.scores() of texts, equal ones worked out once."""
+    own, reader = opened(index)
+    known: dict = dict.fromkeys(texts)
+    for group in in_groups(list(known)):
+        known.update(zip(group, own.scores([reader.counts(t) for t in group]), strict=True))
+    return [known[t] for t in texts]
 
-def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
+
+def score(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines), one row per document.
 
-    Only the text is scored, all of it: its terms' counts are compared with all examples of the index. evidence has up
-    to 5 nearest examples' doc_id, cosines how near they are. Null and empty texts, and texts without any term of the
-    vocabulary, have the rate of such examples. Null ids stay null and are not held out; repeated rows come out as
+    Only the text is scored, all of it: its words' counts are compared with all examples that share one. evidence has up
+    to 5 nearest examples' doc_id, cosines how near they are. Null and empty texts, and texts without any word of an
+    example, have the rate of examples without a word. Null ids stay null and are not held out; repeated rows come out as
     often; an empty table gives no rows; other columns are left out. Without labels of both kinds every score is the
     rate that the labels have (0.5 without any).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, known = Matcher(index.vocabulary), {}
         for b in batches:
-            out = []
-            for text in b.column(2).to_pylist():
-                counts = matcher.counts(text)
-                if counts not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[counts] = index.score(counts)
-                out.append(known[counts])
+            out = of_texts(index, b.column(2).to_pylist())
             scores = pa.array([s for s, _, _ in out], pa.float64())
             predicted = pa.array([int(s >= threshold) for s, _, _ in out], pa.int32())
             arrays = [b.column(0), b.column(1), scores, predicted, pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))]
@@ -281,21 +418,11 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
-def clean(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
+def clean(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose text scores below the threshold, all their columns as they were."""
-    vocabulary = index
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, known = Matcher(vocabulary.vocabulary), {}
         for b in batches:
-            keep = []
-            for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                counts = matcher.counts(text)
-                if counts not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[counts] = vocabulary.score(counts)[0] < threshold
-                keep.append(known[counts])
+            keep = [s < threshold for s, *_ in of_texts(index, b.column(b.schema.get_field_index("text")).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -64,3 +64,16 @@ def test_hard_rows(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
+
+
+def test_copies_of_examples_without_markers(spark):
+    """Words of one toxic example are no markers, yet its copy has it as the nearest, at any number of labels."""
+    for many in (40, 400):
+        rows = [(i, " ".join(f"word{(i * 7 + j * j) % 97}" for j in range(12))) for i in range(many)]
+        bad = next(i for i in range(many) if zlib.crc32(str(i).encode()) % 3 != 1)
+        rows[bad] = (bad, "seldom heard nasty slurs in a row")
+        docs = spark.createDataFrame([*rows, (1000, rows[bad][1]), (1001, rows[bad][1] + " word1"), (1002, "unheard of")], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i == bad or i % 10 == 0)) for i in range(many)], "doc_id long, toxic int")
+        got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+        assert got[1000].predicted == 1 and got[1000].evidence[0] == bad and got[1000].cosines[0] > 0.999
+        assert got[1001].evidence[0] == bad and len({r.score for r in got.values()}) > 2
