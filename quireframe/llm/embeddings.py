@@ -185,15 +185,25 @@ class Graph:
 
     def audited_beam(self, queries: np.ndarray, threshold: float, target: float, beam: int = 24) -> tuple[int, float]:
         """The first beam of a doubling row with which the queries' links and nearest nodes are found at the target
-        recall or better, against brute force; and that recall. At the latest the beam holds all nodes."""
+        recall or better, against brute force; and that recall. At the latest the beam holds all nodes.
+
+        Recall is the lesser of two means: of the shares of its links that each query with links finds, so that one
+        with very many counts no more than another, and of nearest nodes. A query's own node is no link of it.
+        """
         exact = queries.astype(np.float32) @ self.x.T
         best = exact.argmax(axis=1)
+        own = np.nonzero((self.x[best] == queries).all(axis=1))[0]
+        exact[own, best[own]] = -np.inf
+        best = exact.argmax(axis=1)
+        some = np.isfinite(exact.max(axis=1))  # not so where a query's own node is all there is
         true = exact >= threshold - 1e-5
+        links = true.sum(axis=1)
         while True:
             q, p = self.within(queries, threshold, beam)
-            hits = int(true[q, p].sum())
-            hits += int((self.search(queries, beam)[0] == best[:, None]).any(axis=1).sum())
-            recall = hits / (int(true.sum()) + len(queries)) if len(queries) else 1.0
+            hits = np.bincount(q, true[q, p], len(queries))
+            near = (self.search(queries, beam)[0] == best[:, None]).any(axis=1)[some]
+            shares = hits[links > 0] / links[links > 0]
+            recall = float(min(shares.mean() if len(shares) else 1.0, near.mean() if len(near) else 1.0))
             if recall >= target or beam >= len(self.ids):
                 return beam, recall
             beam *= 2
@@ -241,6 +251,16 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, ROWS)
 
 
+PAIR = ["a", "b", "copies_a", "copies_b"]
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """(node, linked): the copies that a node's links lead to, from links (a < b) that either end, or both, found."""
+    once = links.dropDuplicates(["a", "b"])
+    both = once.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(once.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
+    return both.groupBy("node").agg(F.sum("n").alias("linked"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int = 50_000, least_shards: int = 8, recall: float = 0.99, audit: int = 256) -> DataFrame:
     """(vec_id long, n_links long, component_id long, kept boolean), one row per row of (vec_id, embedding).
 
@@ -248,8 +268,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
     counts as many. Nodes are dealt into shards by hash, each with a Graph; the beam of a shard is widened until an
     audit, ``audit`` nodes chosen by hash and compared with the whole shard, finds ``recall`` of their links and
     nearest nodes. Then every node is searched in every shard. Graphs lie in the shared folder; a task holds one graph
-    and a block of queries, and hands on a spanning forest of the links that it found. n_links counts the vectors that
-    the vector's own search found, and its copies.
+    and a block of queries, and hands on the links that it found and a spanning forest of them. n_links counts the
+    vectors of the distinct links that the search from either end found, and the vector's copies.
 
     Null, zero and non-finite vectors link with nothing (n_links 0, component_id their own id); so do rows whose
     vec_id is null (component_id null, kept false). Vectors of different lengths never link. Repeated rows are copies
@@ -304,7 +324,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
                 i = parent[i]
             return i
 
-        links = np.zeros(len(own), np.int64)
+        own_copies = own["copies"].to_numpy(np.int64)
         for dim in own["dim"].unique():
             rows_ = np.nonzero((own["dim"] == dim).to_numpy())[0]
             exact = np.frombuffer(b"".join(own["unit"].iloc[rows_]), np.float64).reshape(-1, int(dim))
@@ -320,25 +340,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
                     i, j = q[at : at + (1 << 16)], p[at : at + (1 << 16)]
                     good = (np.einsum("nd,nd->n", exact[i], known[j]) >= threshold) & (ids[i] != graph.ids[j])
                     i, j = i[good], j[good]
-                    np.add.at(links, rows_[i], copies[j])
+                    a, b, ca, cb = ids[i], graph.ids[j], own_copies[rows_[i]], copies[j]
+                    swap = a > b
+                    pairs = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in pairs], names=PAIR)
                     for a, b in zip(ids[i].tolist(), graph.ids[j].tolist(), strict=True):
                         a, b = root(a), root(b)
                         if a != b:
                             parent[max(a, b)] = min(a, b)
         tree = [(i, root(i)) for i in parent]
         tree = [(i, r) for i, r in tree if i != r]
-        n = len(own)
-        node = pa.array([*own["node"].tolist(), *(i for i, _ in tree)], pa.int64())
-        to = pa.array([None] * n + [r for _, r in tree], pa.int64())
-        yield pa.RecordBatch.from_arrays([node, to, pa.array([*(links + own["copies"].to_numpy(np.int64) - 1).tolist(), *[None] * len(tree)], pa.int64())], names=["node", "linked", "n_links"])
+        nothing = pa.nulls(len(tree), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in tree], pa.int64()), pa.array([r for _, r in tree], pa.int64()), nothing, nothing], names=PAIR)
 
     total = sum(sizes.values())
     blocks = max(1, -(-total // 4096)) if total > 6 * 4096 else max(1, min(24, total // 256 + 1))
     queries = nodes.select("node", "copies", "dim", "unit").repartition(blocks)
-    searched = cut(queries.mapInArrow(search, "node long, linked long, n_links long"), "searched")
-    groups = components(searched.where("linked IS NOT NULL").select(F.col("node").alias("a"), F.col("linked").alias("b")), cut)
-    counts = searched.where("linked IS NULL").select("node", "n_links")
-    known = nodes.select("key", "node").join(counts, "node").join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    # Links have the copies of both ends, links of the forest none.
+    searched = cut(queries.mapInArrow(search, ", ".join(f"{c} long" for c in PAIR)), "searched")
+    groups = components(searched.where("copies_a IS NULL").select("a", "b"), cut)
+    counts = link_counts(searched.where("copies_a IS NOT NULL"))
+    n_links = (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = nodes.select("key", "node", "copies").join(counts, "node", "left").select("key", "node", n_links).join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     known = cut(known.select(F.col("key").alias("of"), "n_links", F.coalesce("component", "node").alias("component_id")), "known")
     out = rows.join(known, rows["key"] == known["of"], "left")
     component = F.coalesce("component_id", "vec_id")

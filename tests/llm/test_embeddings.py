@@ -74,3 +74,29 @@ def test_recall_and_wide_beams():
     assert len(q) >= 0.95 * true and len(set(zip(q.tolist(), p.tolist(), strict=True))) == len(q)
     again = Graph.load(graph.save())
     assert (again.search(x[:5].astype(np.float32), 10)[0] == graph.search(x[:5].astype(np.float32), 10)[0]).all()
+
+
+def test_hot_group_does_not_hide_lost_links():
+    """A few pairs whose links are lost beside queries with very many: the beam has to widen."""
+    rng = np.random.default_rng(8)
+    hot = np.eye(1, 24)[0] + 0.02 * rng.normal(size=(600, 24))
+    pairs = rng.normal(size=(300, 24))
+    x = np.concatenate([hot, pairs, pairs + 0.05 * rng.normal(size=pairs.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(np.arange(len(x)), x)
+    lost = graph.within
+
+    def within(queries, threshold, beam):
+        q, p = lost(queries, threshold, beam)
+        few = np.bincount(q, minlength=len(queries))[q] < 100  # the small groups' links need a beam of 96
+        return (q, p) if beam >= 96 else (q[~few], p[~few])
+
+    graph.within = within
+    assert graph.audited_beam(x[::5].astype(np.float32), 0.9, 0.95)[0] >= 96
+
+
+def test_links_count_at_both_ends(spark):
+    from quireframe.llm.embeddings import link_counts
+
+    found = spark.createDataFrame([(1, 2, 1, 3), (1, 2, 1, 3), (2, 5, 3, 1)], "a long, b long, copies_a long, copies_b long")  # 1-2 found twice, 2-5 once
+    assert {r.node: r.linked for r in link_counts(found).collect()} == {1: 3, 2: 2, 5: 3}
