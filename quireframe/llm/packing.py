@@ -45,7 +45,8 @@ class TokenIds:
     A byte-level tokenizer never merges across a space that stands alone between two words, so a text is encoded
     chunk by chunk at such spaces and the ids of chunks are kept (at most ``keep`` of them). Where the file is a plain
     byte-level BPE, chunks are encoded by rank, which gives the same ids at a tenth of the time. Texts in which a
-    space touches other white space, and all texts for any other kind of file, go to the tokenizers library whole.
+    space touches other white space or an added token of the file stands (such as an end-of-text mark, which then is
+    its one id), and all texts for any other kind of file, go to the tokenizers library whole.
     """
 
     def __init__(self, path: str, keep: int = 700_000):
@@ -53,7 +54,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([MIXED_SPACE.pattern, "\0", *added]))
         self.known: dict[str, bytes] = {}
         self.keep = keep
         self.ranked = None
@@ -87,7 +89,7 @@ class TokenIds:
             self.known[c] = struct.pack(f"<{len(own)}I", *own)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if not self.ranked or "\0" in t or MIXED_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        chunks = [None if not self.ranked or self.whole.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         known, new = self.known, set()
         for found in chunks:
             if found:

@@ -13,9 +13,7 @@ TEXTS = ["", None, "a", "one two  three\n four", " lead", "trail ", "x\n\ny z",
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_chunked_ids_are_the_tokenizers_ids():
@@ -23,6 +21,7 @@ def test_chunked_ids_are_the_tokenizers_ids():
     texts = [t or "" for t in TEXTS]
     for _ in range(2):
         got = TokenIds(tokenizer_path()).of(texts)
+        assert np.frombuffer(got[7], "<u4").tolist().count(50256) == 1  # an added token's text is its id
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
