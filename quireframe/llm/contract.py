@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireframe.llm import embeddings, html, licenses, pii, toxicity, warc
 from quireframe.llm.audio import audio_round_trip
 from quireframe.llm.common import table
-from quireframe.llm.mixing import mix
+from quireframe.llm.mixing import mix, tempered
 from quireframe.llm.packing import pack
 from quireframe.llm.simhash import near_duplicates
 
@@ -57,7 +57,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Target weights: the square root of each source's rows, in whole thousandths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, tempered(docs))
 
 
 @query

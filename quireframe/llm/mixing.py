@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from fractions import Fraction
+from math import gcd, lcm
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +15,8 @@ from quireframe.llm.common import Cut
 
 ROWS_OF_PARTITION = 33  # bits of monotonically_increasing_id() below the partition's number
 NO_SOURCE = "\0"  # stands for null
+#: Rows up to which a small table of the schedule is broadcast; beyond, it is joined by key.
+MOST_BROADCAST = 1_000_000
 
 
 def ranks(rows: DataFrame, cut: Cut) -> DataFrame:
@@ -28,90 +35,115 @@ def ranks(rows: DataFrame, cut: Cut) -> DataFrame:
     return found.select("row", "source", (F.col("at") + F.col("shift")).alias("rank"))
 
 
-def cycles(blocks: DataFrame) -> DataFrame:
-    """(run, first, many, base, length, parts array<struct<source, take>>) from (source, n, share): the runs of equal cycles.
+def whole_parts(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The weights as whole numbers in exactly the same proportions, without a common divisor; zeros are left out.
 
-    In a cycle each source gives ``share`` blocks while it has them, and what it has left in its last cycle. So cycles
-    change only where a source ends; each run has its first cycle, how many there are, the slot at which it begins and
-    its slots a cycle. Up to twice as many runs as sources.
+    Floats count as the decimal numbers that they are written as. Negative, infinite and NaN weights raise ValueError.
     """
-    one = blocks.agg(F.array_sort(F.collect_list(F.struct("source", "n", "share"))).alias("b"))
-    ends = F.expr("array_sort(array_distinct(concat(array(0L), flatten(transform(b, x -> array(x.n div x.share, (x.n + x.share - 1) div x.share))))))")
-    one = one.withColumn("ends", ends).select("b", "ends", F.posexplode("ends").alias("run", "first")).where("run < size(ends) - 1")
-    parts = F.expr("filter(transform(b, x -> named_struct('source', x.source, 'take', CAST(least(x.share, x.n - first * x.share) AS INT))), p -> p.take > 0)")
-    runs = one.select("run", "first", F.expr("ends[run + 1] - first").alias("many"), parts.alias("parts"))
-    runs = runs.withColumn("length", F.expr("aggregate(parts, 0, (s, p) -> s + p.take)"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over a few rows for each source
-    return runs.select("run", "first", "many", F.coalesce(F.sum(F.col("many") * F.col("length")).over(before), F.lit(0)).alias("base"), "length", "parts")
+    exact = {}
+    for source, weight in weights.items():
+        try:
+            exact[source] = Fraction(str(weight))
+        except ValueError as error:
+            raise ValueError(f"weight {weight} of source {source!r}") from error
+        if exact[source] < 0:
+            raise ValueError(f"weight {weight} of source {source!r}")
+    scale = lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * scale) for s, w in exact.items() if w}
+    divisor = gcd(*parts.values())
+    return {s: n // divisor for s, n in parts.items()}
+
+
+def tempered(docs: DataFrame, source: str = "source", exponent: float = 0.5, parts: int = 1000) -> dict[str | None, int]:
+    """Target weights by source: the rows' number to the power ``exponent``, in whole parts of about ``parts``, 1 at least."""
+    rows = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("n")).collect()  # one for each source
+    total = sum(r.n**exponent for r in rows)
+    return {r.source: max(1, round(parts * r.n**exponent / total)) for r in rows}
 
 
 def earliest_deadline_first(parts: str, length: str) -> Column:
-    """array<int>: for each slot of a cycle, the place in ``parts`` of the source whose block runs.
+    """array<int>: for each slot of a period, the place in ``parts`` (array<struct<source, parts>>) of the source whose block runs.
 
-    Block j of a source with b of the cycle's L slots is released at floor(j L / b) and due by ceil((j + 1) L / b).
-    In each slot the released block with the earliest deadline runs (the first source of equal ones). All due times
-    are met, as the shares fill the cycle exactly, so no source is ever a whole block from its target.
+    Source i has p of the period's L slots. Its block j is released at floor(j L / p) and due by ceil((j + 1) L / p),
+    as p / L is its target weight. In each slot the released block with the earliest deadline runs (the first source
+    of equal ones). All due times are met, so after every slot each source is less than a block from its target; at
+    the period's end all are on it, and the next period is the same again. Slots are worked out in stretches, so that
+    no long array is copied for each of them.
     """
-    due = f"ceil((s.given[i] + 1) * {length} / p.take)"
-    ready = f"s.given[i] < p.take AND floor(s.given[i] * {length} / p.take) <= t"
+    due = f"((s.given[i] + 1) * {length} + p.parts - 1) div p.parts"
+    ready = f"s.given[i] < p.parts AND s.given[i] * {length} div p.parts <= t"
     pick = f"array_min(filter(transform({parts}, (p, i) -> IF({ready}, named_struct('due', {due}, 'i', i), NULL)), x -> x IS NOT NULL)).i"
     step = f"transform(array({pick}), k -> named_struct('given', transform(s.given, (g, i) -> IF(i = k, g + 1, g)), 'out', concat(s.out, array(k))))[0]"
-    return F.expr(f"aggregate(sequence(0, CAST({length} - 1 AS INT)), named_struct('given', transform({parts}, p -> 0), 'out', CAST(array() AS ARRAY<INT>)), (s, t) -> {step}, s -> s.out)")
+    stretch = f"CAST(ceil(sqrt({length})) AS BIGINT)"
+    inner = f"aggregate(sequence(a, least(a + {stretch}, {length}) - 1), named_struct('given', o.given, 'out', CAST(array() AS ARRAY<INT>)), (s, t) -> {step})"
+    outer = f"transform(array({inner}), x -> named_struct('given', x.given, 'out', concat(o.out, array(x.out))))[0]"
+    first = f"named_struct('given', transform({parts}, p -> 0L), 'out', CAST(array() AS ARRAY<ARRAY<INT>>))"
+    return F.expr(f"aggregate(sequence(0L, {length} - 1, {stretch}), {first}, (o, a) -> {outer}, o -> flatten(o.out))")
+
 
+def period(targets: DataFrame) -> DataFrame:
+    """(source, nth, slot): the slot of the period in which each source's nth block of it runs, from (tier, source, parts).
 
-def shares(counts: DataFrame, weights: dict[str, float] | None, cycle: int, most_sources: int) -> DataFrame:
-    """(source, rows, share): blocks a cycle, at least 1, from target weights; without weights, the square root of the rows."""
-    if weights is None:
-        weight = F.sqrt("rows")
-    elif weights:
-        given = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*[F.lit(float(v)) for v in weights.values()]))
-        weight = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0))
-    else:
-        weight = F.lit(1.0)
-    total = counts.select(weight.alias("w")).agg(F.sum("w").alias("total"), F.count("*").alias("sources")).first()
-    if total.sources > most_sources:
-        raise ValueError(f"{total.sources} sources; most_sources is {most_sources}")
-    return counts.select("source", "rows", F.greatest(F.lit(1), F.round(weight * cycle / (total.total or 1.0))).cast("int").alias("share"))
+    Each tier has a period of its own, as many slots as its parts sum up to, worked out in one row of nested
+    functions: its size is that of the weights, whatever the tables have.
+    """
+    one = targets.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("source", "parts"))).alias("p"), F.sum("parts").alias("length"))
+    slots = one.select("tier", "p", F.posexplode(earliest_deadline_first("p", "length")).alias("slot", "i"))
+    nth = F.row_number().over(Window.partitionBy("tier", "i").orderBy("slot")) - 1
+    return slots.select(F.expr("p[i].source").alias("source"), nth.cast("long").alias("nth"), F.col("slot").cast("long").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 16, cycle: int = 200, most_sources: int = 256) -> DataFrame:
-    """All rows with mix_slot (long) and mix_offset (int): the order in which sources interleave to target weights.
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
-    Rows of a source, by ``order``, form blocks of ``block_rows`` (the last may be shorter). A source's weight becomes
-    whole blocks out of about ``cycle`` slots, at least one; every cycle is filled by earliest_deadline_first(), so
-    over any stretch each source is within one block of its share. When a source has no more blocks, the others keep
-    their proportions. No row is dropped or repeated; mix_slot counts blocks from 0, mix_offset the rows in a block.
 
-    weights maps sources to relative weights; sources without one get one block a cycle. Without weights, each
-    source weighs as the square root of its rows. Null sources are one source of their own; null keys sort first;
-    rows equal in ``order`` come in the order of all their columns' hash. More sources than ``most_sources`` raise
-    ValueError, as the schedule's size grows with them (at most twice as many runs of at most cycle + sources slots).
-    An empty table gives no rows. Existing columns mix_slot and mix_offset are replaced.
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 16) -> DataFrame:
+    """All rows with mix_slot (long) and mix_offset (int): the order in which sources interleave to target weights.
+
+    Rows of a source, by ``order``, form blocks of ``block_rows`` (the last may be shorter); mix_offset counts the rows
+    in a block. Each block runs in a slot of its own, see earliest_deadline_first(): with the source's target weight
+    w, after any number t of slots the source has had more than w t - 1 and less than w t + 1 blocks. The bound holds
+    for the exact weights over the whole run. A source that has no more blocks leaves its slots empty, so mix_slot has
+    gaps there and the others keep their places and proportions. No row is dropped or repeated.
+
+    weights maps sources (None: null sources) to relative weights, see whole_parts(); without them they are tempered().
+    Sources without a weight, or with zero, come after all others have ended, in equal shares. Null sources are one
+    source of their own; null keys sort first; rows equal in ``order`` come in the order of all their columns' hash.
+    Any number of sources will do; the schedule has as many slots as the weights have parts. An empty table gives no
+    rows. Texts of any length, empty and null ones are carried as they are. Existing columns mix_slot and mix_offset
+    are replaced; no other column's name clashes.
     """
-    cut = Cut(docs.sparkSession)
+    spark, cut = docs.sparkSession, Cut(docs.sparkSession)
     docs = docs.drop("mix_slot", "mix_offset")
+    parts = whole_parts(tempered(docs, source) if weights is None else weights)
+    given = json.dumps([{"source": NO_SOURCE if s is None else str(s), "parts": n} for s, n in parts.items()])
+    given = spark.range(1).select(F.inline(F.from_json(F.lit(given), "array<struct<source string, parts long>>")))
     ties = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
     name = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source")
     rows = docs.select(F.struct(*docs.columns).alias("row"), name, F.struct(*order, ties.alias("ties")).alias("key"))  # so no column of docs clashes
     counts = docs.groupBy(name).agg(F.count("*").alias("rows"))
-    blocks = cut(shares(cut(counts, "counts"), weights, cycle, most_sources).select("source", F.ceil(F.col("rows") / block_rows).alias("n"), "share"), "blocks")
-    runs = cut(cycles(blocks), "runs")
-    firsts = [r.first for r in runs.select(F.col("first")).orderBy("first").collect()]  # two for each source at most
-    slots = runs.select("run", "first", "base", "length", "parts", F.posexplode(earliest_deadline_first("parts", "length")).alias("slot", "i"))
-    nth = F.row_number().over(Window.partitionBy("run", "i").orderBy("slot")) - 1
-    plan = slots.select("run", "first", "base", "length", "slot", F.expr("parts[i].source").alias("source"), nth.alias("nth"))
-    # One row for each source.
-    found = ranks(rows, cut).join(F.broadcast(blocks.select("source", "share")), "source")
+    targets = counts.join(given, "source", "full").select("source", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("parts", F.lit(1)).alias("parts"), F.col("parts").isNull().cast("int").alias("tier"))
+    targets = cut(targets, "targets")
+    tiers = {r.tier: r for r in targets.groupBy("tier").agg(F.count("*").alias("sources"), F.sum("parts").alias("length")).collect()}
+    length = F.lit(0).cast("long")
+    for tier, r in tiers.items():
+        length = F.when(F.col("tier") == tier, r.length).otherwise(length)
+    rounds = F.ceil(F.ceil(F.col("rows") / block_rows) / F.col("parts"))
+    weighted = targets.where("tier = 0").agg(F.max(rounds * length)).first()[0] or 0  # slots of the sources with a weight
+    plan = _small(cut(period(targets), "plan"), sum(r.length for r in tiers.values()))
+    targets = targets.select("source", "parts", length.alias("length"), F.when(F.col("tier") == 1, weighted).otherwise(0).cast("long").alias("base"))
     block = F.floor(F.col("rank") / block_rows)
-    found = found.withColumn("cycle", F.floor(block / F.col("share"))).withColumn("nth", (block % F.col("share")).cast("int"))
-    run = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda f: f <= F.col("cycle"))) - 1 if firsts else F.lit(0)
-    # At most 2 * sources * (cycle + sources) rows, whatever the table.
-    found = found.withColumn("run", run).join(F.broadcast(cut(plan, "plan")), ["source", "run", "nth"])
-    slot = F.col("base") + (F.col("cycle") - F.col("first")) * F.col("length") + F.col("slot")
+    found = ranks(rows, cut).join(_small(targets, sum(r.sources for r in tiers.values())), "source")
+    found = found.withColumn("nth", block % F.col("parts")).join(plan, ["source", "nth"])
+    slot = F.col("base") + F.floor(block / F.col("parts")) * F.col("length") + F.col("slot")
     return found.select("row.*", slot.cast("long").alias("mix_slot"), (F.col("rank") % block_rows).cast("int").alias("mix_offset"))
 
 
 def in_mixed_order(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, written in the order of mix(): each partition holds a stretch of it, in order."""
+    """The rows of docs, written in the order of mix(): each partition holds a stretch of it, in order.
+
+    All rows and columns come out as they went in, with null, empty, very long and repeated ones, in the order that
+    mix() defines for them; an empty table stays one.
+    """
     mixed = mix(docs, **settings)
     return mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(*docs.columns)
