@@ -1,4 +1,4 @@
-"""Near-duplicate vectors through hierarchical navigable small-world graphs, one a shard."""
+"""Near-duplicate vectors through hierarchical navigable small-world graphs of their classes, one a shard."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.llm.common import Cut, components, new_folder, store_of
+from quireframe.llm.common import Cut, components, delete, new_folder, store_of
 
 
 def beam_search(links: np.ndarray, x: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int, count: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -94,45 +94,74 @@ def diverse(ids: np.ndarray, sims: np.ndarray, x: np.ndarray, most: int) -> np.n
 
 
 class Graph:
-    """A hierarchical navigable small world over unit vectors.
+    """A hierarchical navigable small world over the leaders of unit vectors.
 
-    Each vector has a random highest layer (geometric); vectors are sorted by it, so that a layer is a beginning of
-    the order. Vectors go in by batches: a search from the top layer down finds a batch's candidates, other members
-    of the batch are candidates too, and neighbours are chosen by diverse() in both directions.
+    Each vector has a random highest layer (geometric); vectors go in sorted by it, so that a layer is a beginning of
+    the order. They go in by batches: a search from the top layer down finds a batch's candidates. A vector whose
+    nearest leader has a cosine of ``join`` or more becomes a member of its class and no node; the others are leaders,
+    other leaders of the batch are candidates too, and neighbours are chosen by diverse() in both directions.
+    ``of`` has each vector's class, as the leader's place in ``leaders``, which has places in x.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, degree: int = 16, build_beam: int = 64, batch: int = 256, seed: int = 1):
-        n = len(ids)
+    def __init__(self, x: np.ndarray, join: float = 2.0, degree: int = 16, build_beam: int = 64, batch: int = 256, seed: int = 1):
+        n = len(x)
         top = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(degree)), 8).astype(int)
-        order = np.lexsort((ids, -top))
-        self.ids, self.x, top = ids[order], np.ascontiguousarray(x[order], np.float32), top[order]
-        self.sizes = [int((top >= level).sum()) for level in range(top.max(initial=0) + 1)]
-        self.links = [np.full((m, degree * (2 if level == 0 else 1)), -1, np.int32) for level, m in enumerate(self.sizes)]
+        order = np.argsort(-top, kind="stable")
+        top = top[order]
+        self.x, self.exact = np.zeros(x.shape, np.float32), np.zeros(x.shape)
+        layers = [int((top >= level).sum()) for level in range(top.max(initial=0) + 1)]
+        self.sizes = [0] * len(layers)
+        self.links = [np.full((m, degree * (2 if level == 0 else 1)), -1, np.int32) for level, m in enumerate(layers)]
+        self.of, leaders = np.zeros(n, np.int64), []
         for at in range(0, n, batch):
-            self._insert(at, min(n, at + batch), build_beam)
-
-    def _insert(self, a: int, b: int, beam: int) -> None:
-        new = self.x[a:b]
-        inside = new @ new.T
-        np.fill_diagonal(inside, -np.inf)
-        starts = np.zeros((b - a, 1), np.int64)
+            own = order[at : at + batch]
+            self.of[own], new = self._insert(np.asarray(x[own], np.float64), top[at : at + batch], build_beam, join)
+            leaders.append(own[new])
+        self.leaders = np.concatenate([np.zeros(0, np.int64), *leaders])
+        self.x = np.ascontiguousarray(self.x[: self.sizes[0]])
+        self.links = [own[:m].copy() for own, m in zip(self.links, self.sizes, strict=True)]
+        del self.exact
+
+    def _insert(self, exact: np.ndarray, top: np.ndarray, beam: int, join: float) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each new vector, which of them are leaders)."""
+        new, a = exact.astype(np.float32), self.sizes[0]
+        candidates = []
+        starts = np.zeros((len(new), 1), np.int64)
         for level in range(len(self.sizes) - 1, -1, -1):
-            there, end = min(a, self.sizes[level]), min(b, self.sizes[level])
-            own = max(0, end - a)  # members of the batch that live in this layer
-            if there:
-                found, sims = beam_search(self.links[level], self.x, new, starts, beam if own else 4, there)
+            if self.sizes[level]:
+                found, sims = beam_search(self.links[level], self.x, new, starts, beam if top[0] >= level else 4, self.sizes[level])
                 starts = found[:, :4]
             else:
-                found, sims = np.full((b - a, 1), -1, np.int64), np.full((b - a, 1), -np.inf, np.float32)
-            if not own:
+                found, sims = np.full((len(new), 1), -1, np.int64), np.full((len(new), 1), -np.inf, np.float32)
+            candidates.append((found, sims))
+        best = found[:, 0]
+        joins = (best >= 0) & (np.einsum("nd,nd->n", exact, self.exact[best]) >= join)
+        near = exact @ exact.T
+        of, own = np.where(joins, best, -1), []
+        for i in np.nonzero(~joins)[0].tolist():
+            k = int(near[i, own].argmax()) if own else -1
+            if k >= 0 and near[i, own[k]] >= join:
+                of[i] = a + k
+            else:
+                of[i] = a + len(own)
+                own.append(i)
+        own = np.array(own, np.int64)
+        self.x[a : a + len(own)], self.exact[a : a + len(own)] = new[own], exact[own]
+        inside = near[np.ix_(own, own)].astype(np.float32)
+        np.fill_diagonal(inside, -np.inf)
+        for level, (found, sims) in zip(range(len(self.sizes) - 1, -1, -1), candidates, strict=True):
+            m = int((top[own] >= level).sum())  # the first of them live in this layer
+            if not m:
                 continue
             width = self.links[level].shape[1]
-            peers = np.argsort(-inside[:own, :own], axis=1, kind="stable")[:, : min(own, 2 * width)]
-            peer_sims = np.take_along_axis(inside[:own, :own], peers, axis=1)
-            ids = np.concatenate([found[:own], np.where(np.isfinite(peer_sims), peers + a, -1)], axis=1)
-            near = diverse(ids, np.concatenate([sims[:own], peer_sims], axis=1), self.x, width)
-            self.links[level][a:end] = near
-            self._back(level, a, near)
+            peers = np.argsort(-inside[:m, :m], axis=1, kind="stable")[:, : min(m, 2 * width)]
+            peer_sims = np.take_along_axis(inside[:m, :m], peers, axis=1)
+            ids = np.concatenate([found[own[:m]], np.where(np.isfinite(peer_sims), peers + a, -1)], axis=1)
+            chosen = diverse(ids, np.concatenate([sims[own[:m]], peer_sims], axis=1), self.x, width)
+            self.links[level][a : a + m] = chosen
+            self._back(level, a, chosen)
+            self.sizes[level] = a + m
+        return of, own
 
     def _back(self, level: int, a: int, near: np.ndarray) -> None:
         """Link the new nodes' neighbours back to them."""
@@ -156,72 +185,161 @@ class Graph:
             links[own] = diverse(ids, sims, self.x, width)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and (single-precision) cosines of about the ``beam`` nearest, best first."""
+        """Positions and (single-precision) cosines of about the ``beam`` nearest, best first; of all nodes by brute
+        force where the beam holds as many."""
+        if beam >= len(self.x):
+            sims = queries @ self.x.T
+            ids = np.argsort(-sims, axis=1, kind="stable")
+            return ids, np.take_along_axis(sims, ids, axis=1)
         starts = np.zeros((len(queries), 1), np.int64)
         for level in range(len(self.sizes) - 1, 0, -1):
             starts = beam_search(self.links[level], self.x, queries, starts, 4, self.sizes[level])[0]
         return beam_search(self.links[0], self.x, queries, starts, beam, self.sizes[0])
 
-    def within(self, queries: np.ndarray, threshold: float, beam: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """(query, position) of all nodes found with a cosine of about the threshold or more; not yet verified.
+
+#: Slack of angles (radians) and of single-precision cosines: what lies nearer to a bound is worked out exactly.
+ANGLE, COSINE = 1e-7, 1e-5
+
+
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+class Shard:
+    """The vectors of a shard in classes of near copies, and a Graph of the classes' leaders.
+
+    A class's members lie within half the linking angle of its leader, so all of them link with each other; two
+    classes can have a link only where their leaders are no farther apart than the linking angle and both radii. The
+    members of a class stand in a row, the leader first; a class is named by its smallest node.
+    """
+
+    def __init__(self, nodes: np.ndarray, copies: np.ndarray, units: np.ndarray, threshold: float):
+        self.threshold, self.angle = threshold, float(_angle(np.float64(threshold)))
+        self.graph = Graph(units, np.sqrt((1 + threshold) / 2) + 1e-9)
+        of, leaders = self.graph.of, self.graph.leaders
+        follows = np.ones(len(nodes), bool)
+        follows[leaders] = False
+        order = np.lexsort((nodes, follows, of))
+        self.nodes, self.copies, self.exact = nodes[order], copies[order], np.ascontiguousarray(units[order])
+        self.starts = np.searchsorted(of[order], np.arange(len(leaders) + 1))
+        first = self.starts[:-1]
+        self.radius, self.names, self.weight = np.zeros(len(leaders)), np.zeros(len(leaders), np.int64), np.zeros(len(leaders), np.int64)
+        if len(leaders):
+            to_leader = _angle(np.einsum("nd,nd->n", self.exact, self.exact[first][of[order]]))
+            self.radius = np.where(np.diff(self.starts) > 1, np.maximum.reduceat(to_leader, first) + ANGLE, 0.0)
+            self.names, self.weight = np.minimum.reduceat(self.nodes, first), np.add.reduceat(self.copies, first)
+
+    def reach(self, radii: np.ndarray, more: np.ndarray | float) -> np.ndarray:
+        """The least cosine at which leaders of classes with these radii can have a link between them."""
+        return np.cos(np.minimum(self.angle + radii + more, np.pi)) - COSINE
+
+    def near(self, leaders: np.ndarray, radii: np.ndarray, beam: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(query, class) of all classes found that may have a link with the query's class.
 
         A query whose whole beam is that near is searched again with a beam four times as wide.
         """
-        out = []
-        pending, width = np.arange(len(queries)), beam
+        widest, n = self.radius.max(initial=0), len(self.radius)
+        out, pending, width = [], np.arange(len(leaders)), beam
         while len(pending):
             again = []
             step = max(8, min(batch, (64 << 20) // max(1, width * 256)))
             for at in range(0, len(pending), step):
                 own = pending[at : at + step]
-                ids, sims = self.search(queries[own], width)
-                full = (sims >= threshold - 1e-5).all(axis=1) & (ids.shape[1] < len(self.ids))
+                ids, sims = self.graph.search(leaders[own], width)
+                full = (sims[:, -1] >= self.reach(radii[own], widest)) & (ids.shape[1] < n)
                 again.append(own[full])
-                r, c = np.nonzero((sims >= threshold - 1e-5) & (ids >= 0) & ~full[:, None])
+                r, c = np.nonzero((ids >= 0) & (sims >= self.reach(radii[own][:, None], self.radius[ids])) & ~full[:, None])
                 out.append((own[r], ids[r, c]))
             pending, width = np.concatenate(again), 4 * width
         empty = np.zeros(0, np.int64)
         return np.concatenate([empty, *(q for q, _ in out)]), np.concatenate([empty, *(p for _, p in out)])
 
-    def audited_beam(self, queries: np.ndarray, threshold: float, target: float, beam: int = 24) -> tuple[int, float]:
-        """The first beam of a doubling row with which the queries' links and nearest nodes are found at the target
-        recall or better, against brute force; and that recall. At the latest the beam holds all nodes.
+    def audited_beam(self, target: float, audit: int, beam: int = 24, seed: int = 2) -> tuple[int, float]:
+        """The first beam of a doubling row with which links are found at the target recall or better, and that recall.
 
-        Recall is the lesser of two means: of the shares of its links that each query with links finds, so that one
-        with very many counts no more than another, and of nearest nodes. A query's own node is no link of it.
+        Audited are up to ``audit`` leaders against brute force in two ways: a probe at just the linking angle from
+        each, in a random direction, has to find it and whatever else is that near; and each leader has to find the
+        other classes that may have a link with its own. Recall is the lesser mean of the shares found by each query
+        that has something to find. A beam of all nodes is brute force, so the target is always met.
         """
-        exact = queries.astype(np.float32) @ self.x.T
-        best = exact.argmax(axis=1)
-        own = np.nonzero((self.x[best] == queries).all(axis=1))[0]
-        exact[own, best[own]] = -np.inf
-        best = exact.argmax(axis=1)
-        some = np.isfinite(exact.max(axis=1))  # not so where a query's own node is all there is
-        true = exact >= threshold - 1e-5
+        n = len(self.radius)
+        chosen = np.unique(np.linspace(0, n - 1, min(audit, n)).astype(np.int64))
+        own = self.graph.x[chosen].astype(np.float64)
+        aside = np.random.default_rng(seed).normal(size=own.shape)
+        aside -= np.einsum("nd,nd->n", aside, own)[:, None] * own
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        aside = np.where(length > 1e-9, aside / np.maximum(length, 1e-9), 0.0)
+        cosine = min(1.0, self.threshold + 1e-4)
+        probes = cosine * own + np.sqrt(1 - cosine * cosine) * aside
+        queries = np.concatenate([probes, own]).astype(np.float32)
+        radii = np.concatenate([np.zeros(len(chosen)), self.radius[chosen]])
+        true = queries @ self.graph.x.T >= self.reach(radii[:, None], self.radius[None, :])
+        true[np.arange(len(chosen)) + len(chosen), chosen] = False
         links = true.sum(axis=1)
         while True:
-            q, p = self.within(queries, threshold, beam)
-            hits = np.bincount(q, true[q, p], len(queries))
-            near = (self.search(queries, beam)[0] == best[:, None]).any(axis=1)[some]
-            shares = hits[links > 0] / links[links > 0]
-            recall = float(min(shares.mean() if len(shares) else 1.0, near.mean() if len(near) else 1.0))
-            if recall >= target or beam >= len(self.ids):
+            q, p = self.near(queries, radii, beam)
+            shares = np.bincount(q, true[q, p], len(queries)) / np.maximum(links, 1)
+            halves = [shares[half][links[half] > 0] for half in (slice(0, len(chosen)), slice(len(chosen), None))]
+            recall = min((float(x.mean()) for x in halves if len(x)), default=1.0)
+            if recall >= target or beam >= n:
                 return beam, recall
             beam *= 2
 
     def save(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, x=self.x, sizes=np.array(self.sizes), **{f"links{i}": x for i, x in enumerate(self.links)})
+        own = {k: getattr(self, k) for k in ("nodes", "copies", "exact", "starts", "radius", "names", "weight")}
+        np.savez(out, threshold=self.threshold, x=self.graph.x, sizes=np.array(self.graph.sizes), **own, **{f"links{i}": x for i, x in enumerate(self.graph.links)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes) -> Shard:
+        own, graph = cls.__new__(cls), Graph.__new__(Graph)
         with np.load(io.BytesIO(data)) as f:
-            own = cls.__new__(cls)
-            own.ids, own.x, own.sizes = f["ids"], f["x"], f["sizes"].tolist()
-            own.links = [f[f"links{i}"] for i in range(len(own.sizes))]
+            own.threshold, own.angle, own.graph = float(f["threshold"]), float(_angle(f["threshold"])), graph
+            for k in ("nodes", "copies", "exact", "starts", "radius", "names", "weight"):
+                setattr(own, k, f[k])
+            graph.x, graph.sizes = f["x"], f["sizes"].tolist()
+            graph.links = [f[f"links{i}"] for i in range(len(graph.sizes))]
         return own
 
 
+def links_between(a: Shard, b: Shard, p: np.ndarray, q: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of a's vectors, links of b's vectors, which pairs link) over the class pairs (p of a, q of b).
+
+    Links count copies. Classes of one vector are compared in one go. Else each member of p is held against q's
+    leader: nearer than the linking angle less q's radius it links with all of q, beyond the angle and the radius with
+    none, and only in between its cosines with all of q are worked out, in blocks of ``most``.
+    """
+    out_a, out_b = np.zeros(len(a.nodes), np.int64), np.zeros(len(b.nodes), np.int64)
+    linked = np.zeros(len(p), bool)
+    single = (np.diff(a.starts)[p] == 1) & (np.diff(b.starts)[q] == 1)
+    for at in range(0, int(single.sum()), 1 << 16):
+        own = np.nonzero(single)[0][at : at + (1 << 16)]
+        i, j = a.starts[p[own]], b.starts[q[own]]
+        good = np.einsum("nd,nd->n", a.exact[i], b.exact[j]) >= a.threshold
+        linked[own] = good
+        np.add.at(out_a, i[good], b.copies[j[good]])
+        np.add.at(out_b, j[good], a.copies[i[good]])
+    for k in np.nonzero(~single)[0].tolist():
+        rows, other = slice(a.starts[p[k]], a.starts[p[k] + 1]), slice(b.starts[q[k]], b.starts[q[k] + 1])
+        x, y, radius = a.exact[rows], b.exact[other], b.radius[q[k]]
+        cosines = x @ y[0]
+        angles = _angle(cosines)
+        sure = angles + radius <= a.angle - ANGLE if radius else cosines >= a.threshold
+        open_ = np.nonzero(~sure & (angles - radius <= a.angle + ANGLE))[0] if radius else np.zeros(0, np.int64)
+        out_a[rows][sure] += b.weight[q[k]]
+        out_b[other] += a.copies[rows][sure].sum()
+        linked[k] = sure.any()
+        step = max(1, most // len(y))
+        for at in range(0, len(open_), step):
+            own = open_[at : at + step]
+            near = x[own] @ y.T >= a.threshold
+            out_a[rows][own] += near @ b.copies[other]
+            out_b[other] += a.copies[rows][own] @ near
+            linked[k] |= near.any()
+    return out_a, out_b, linked
+
+
 def _unit(vector: list | None) -> np.ndarray | None:
     """The vector in double precision over its length; None if it is null or zero or holds what is not a finite number."""
     if not vector or any(v is None for v in vector):
@@ -234,7 +352,6 @@ def _unit(vector: list | None) -> np.ndarray | None:
 
 
 ROWS = "vec_id long, key string, dim int, unit binary"
-NODES = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary())])
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -251,25 +368,62 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, ROWS)
 
 
-PAIR = ["a", "b", "copies_a", "copies_b"]
+FOUND = "kind int, a long, b long, n long"
+LINKS, EDGE, MEMBER = 0, 1, 2
 
 
-def link_counts(links: DataFrame) -> DataFrame:
-    """(node, linked): the copies that a node's links lead to, from links (a < b) that either end, or both, found."""
-    once = links.dropDuplicates(["a", "b"])
-    both = once.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(once.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-    return both.groupBy("node").agg(F.sum("n").alias("linked"))
+def compare(a: Shard, b: Shard | None, beam_a: int, beam_b: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, a, b, n) columns of what two shards, or one with itself (b None), have between them.
+
+    LINKS: node a has n more links. EDGE: classes a and b link (a spanning forest). MEMBER: node a is in class b.
+    Every class of each shard is searched in the other.
+    """
+    other = a if b is None else b
+    q, p = a.near(other.graph.x, other.radius, beam_a)
+    if b is None:
+        keep = p != q
+        found = np.unique(np.minimum(p, q)[keep] * len(a.radius) + np.maximum(p, q)[keep])
+    else:
+        i, j = b.near(a.graph.x, a.radius, beam_b)
+        found = np.unique(np.concatenate([p * len(b.radius) + q, i * len(b.radius) + j]))
+    p, q = found // max(1, len(other.radius)), found % max(1, len(other.radius))
+    links_a, links_b, linked = links_between(a, other, p, q)
+    if b is None:
+        of = np.repeat(np.arange(len(a.radius)), np.diff(a.starts))
+        links_a += links_b + a.weight[of] - a.copies
+        away = a.nodes != a.names[of]
+        yield MEMBER, a.nodes[away], a.names[of][away], np.zeros(int(away.sum()), np.int64)
+    else:
+        yield LINKS, b.nodes[links_b > 0], b.nodes[links_b > 0], links_b[links_b > 0]
+    yield LINKS, a.nodes[links_a > 0], a.nodes[links_a > 0], links_a[links_a > 0]
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    tree = []
+    for x, y in zip(a.names[p[linked]].tolist(), other.names[q[linked]].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            tree.append((x, y))
+    edges = np.array(tree, np.int64).reshape(-1, 2)
+    yield EDGE, edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int = 50_000, least_shards: int = 8, recall: float = 0.99, audit: int = 256) -> DataFrame:
     """(vec_id long, n_links long, component_id long, kept boolean), one row per row of (vec_id, embedding).
 
     Vectors link at a cosine of ``threshold`` or more, verified in double precision. Equal vectors are one node that
-    counts as many. Nodes are dealt into shards by hash, each with a Graph; the beam of a shard is widened until an
-    audit, ``audit`` nodes chosen by hash and compared with the whole shard, finds ``recall`` of their links and
-    nearest nodes. Then every node is searched in every shard. Graphs lie in the shared folder; a task holds one graph
-    and a block of queries, and hands on the links that it found and a spanning forest of them. n_links counts the
-    vectors of the distinct links that the search from either end found, and the vector's copies.
+    counts as many. Nodes are dealt into shards by hash; a Shard holds them in classes of near copies, so that the
+    links inside a class, and mostly those between classes, are counted without looking at pairs. The beam of each
+    shard's Graph is widened until an audit finds ``recall`` of what it looks for. Then each pair of shards is a task:
+    every class of either is searched in the other's graph, and the links of the classes found are counted for both
+    ends. Shards lie as files in the shared folder; a task holds two, so ``per_shard`` vectors bound its memory. Every
+    vector's class is searched in every shard, which is the method and grows with the vectors times the shards.
 
     Null, zero and non-finite vectors link with nothing (n_links 0, component_id their own id); so do rows whose
     vec_id is null (component_id null, kept false). Vectors of different lengths never link. Repeated rows are copies
@@ -282,87 +436,54 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_shard: int =
     nodes = cut(nodes, "nodes")
     folder = new_folder(spark, "graphs")
     sizes = {r.dim: r["count"] for r in nodes.groupBy("dim").count().collect()}
-    audits = {}
-    for dim in sizes:
-        chosen = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("key")).limit(audit).select("unit").collect()
-        audits[dim] = np.frombuffer(b"".join(r.unit for r in chosen), np.float64).reshape(-1, dim).astype(np.float32)
-    shards = {dim: max(least_shards, -(-n // per_shard)) for dim, n in sizes.items()}
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         dim = int(shard["dim"].iloc[0])
         shard = shard.sort_values("node")
-        x = np.frombuffer(b"".join(shard["unit"]), np.float64).reshape(-1, dim)
-        graph = Graph(shard["node"].to_numpy(np.int64), x)
-        beam, found = graph.audited_beam(audits[dim], threshold, recall)
+        units = np.frombuffer(b"".join(shard["unit"]), np.float64).reshape(-1, dim)
+        own = Shard(shard["node"].to_numpy(np.int64), shard["copies"].to_numpy(np.int64), units, threshold)
+        beam, found = own.audited_beam(recall, audit)
         system, at = store_of(folder)
         system.create_dir(at, recursive=True)
         name = f"graph-{uuid.uuid4().hex}.npz"
-        exact = pd.Series(shard["unit"].to_numpy(), index=shard["node"].to_numpy()).loc[graph.ids]
-        copies = pd.Series(shard["copies"].to_numpy(), index=shard["node"].to_numpy()).loc[graph.ids]
-        data = io.BytesIO()
-        np.savez(data, graph=np.frombuffer(graph.save(), np.uint8), exact=np.frombuffer(b"".join(exact), np.float64).reshape(-1, dim), copies=copies.to_numpy(np.int64))
         with system.open_output_stream(f"{at}/{name}") as out:
-            out.write(data.getbuffer())
-        return pd.DataFrame({"dim": [dim], "path": [f"{folder}/{name}"], "beam": [beam], "recall": [found], "nodes": [len(shard)]})
+            out.write(own.save())
+        return pd.DataFrame({"dim": [dim], "shard": [int(shard["shard"].iloc[0])], "path": [f"{folder}/{name}"], "beam": [beam], "recall": [found]})
 
     number = F.lit(1)
-    for dim, n in shards.items():
-        number = F.when(F.col("dim") == dim, n).otherwise(number)
+    for dim, n in sizes.items():
+        number = F.when(F.col("dim") == dim, max(least_shards, -(-n // per_shard))).otherwise(number)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), number))
-    graphs = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, path string, beam int, recall double, nodes long"), "graphs")
-    found = graphs.collect()  # a row a shard, at least per_shard nodes each beyond the least_shards
+    graphs = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, path string, beam int, recall double"), "graphs")
+    other = graphs.select(F.col("dim").alias("dim_b"), F.col("shard").alias("shard_b"), F.col("path").alias("path_b"), F.col("beam").alias("beam_b"))
+    # A row for each pair of shards: the tasks, and no rows of data.
+    pairs = cut(graphs.join(other, (F.col("dim") == F.col("dim_b")) & (F.col("shard") <= F.col("shard_b"))).select("path", "beam", "path_b", "beam_b"), "pairs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.Table.from_batches(batches, NODES).to_pandas()  # a block of about 4096 nodes
-        if not len(own):
-            return
-        parent: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        own_copies = own["copies"].to_numpy(np.int64)
-        for dim in own["dim"].unique():
-            rows_ = np.nonzero((own["dim"] == dim).to_numpy())[0]
-            exact = np.frombuffer(b"".join(own["unit"].iloc[rows_]), np.float64).reshape(-1, int(dim))
-            queries, ids = exact.astype(np.float32), own["node"].to_numpy(np.int64)[rows_]
-            for r in found:
-                if r.dim != dim:
-                    continue
-                system, at = store_of(r.path)
-                with system.open_input_file(at) as source, np.load(io.BytesIO(source.read())) as f:
-                    graph, known, copies = Graph.load(f["graph"].tobytes()), f["exact"], f["copies"]
-                q, p = graph.within(queries, threshold, r.beam)
-                for at in range(0, len(q), 1 << 16):
-                    i, j = q[at : at + (1 << 16)], p[at : at + (1 << 16)]
-                    good = (np.einsum("nd,nd->n", exact[i], known[j]) >= threshold) & (ids[i] != graph.ids[j])
-                    i, j = i[good], j[good]
-                    a, b, ca, cb = ids[i], graph.ids[j], own_copies[rows_[i]], copies[j]
-                    swap = a > b
-                    pairs = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in pairs], names=PAIR)
-                    for a, b in zip(ids[i].tolist(), graph.ids[j].tolist(), strict=True):
-                        a, b = root(a), root(b)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-        tree = [(i, root(i)) for i in parent]
-        tree = [(i, r) for i, r in tree if i != r]
-        nothing = pa.nulls(len(tree), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in tree], pa.int64()), pa.array([r for _, r in tree], pa.int64()), nothing, nothing], names=PAIR)
-
-    total = sum(sizes.values())
-    blocks = max(1, -(-total // 4096)) if total > 6 * 4096 else max(1, min(24, total // 256 + 1))
-    queries = nodes.select("node", "copies", "dim", "unit").repartition(blocks)
-    # Links have the copies of both ends, links of the forest none.
-    searched = cut(queries.mapInArrow(search, ", ".join(f"{c} long" for c in PAIR)), "searched")
-    groups = components(searched.where("copies_a IS NULL").select("a", "b"), cut)
-    counts = link_counts(searched.where("copies_a IS NOT NULL"))
-    n_links = (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    known = nodes.select("key", "node", "copies").join(counts, "node", "left").select("key", "node", n_links).join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    known = cut(known.select(F.col("key").alias("of"), "n_links", F.coalesce("component", "node").alias("component_id")), "known")
+        def opened(path: str) -> Shard:
+            system, at = store_of(path)
+            with system.open_input_file(at) as source:
+                return Shard.load(source.read())
+
+        last, a = None, None
+        for batch in batches:
+            for path, beam, path_b, beam_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != last:
+                    last, a = path, opened(path)
+                for kind, *columns in compare(a, None if path == path_b else opened(path_b), beam, beam_b):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    tasks = max(1, min(pairs.count(), 100_000))
+    found = cut(pairs.repartitionByRange(tasks, "path", "path_b").sortWithinPartitions("path", "path_b").mapInArrow(search, FOUND), "found")
+    counts = found.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("member"), F.col("b").alias("class"))
+    groups = cut(components(found.where(F.col("kind") == EDGE).select("a", "b"), cut).select(F.col("node").alias("named"), "component"), "groups")
+    own = F.coalesce("class", "node")
+    known = nodes.select("key", "node", "copies").join(counts, F.col("node") == F.col("linked"), "left").join(members, F.col("node") == F.col("member"), "left")
+    known = known.withColumn("class", own).join(groups, F.col("class") == F.col("named"), "left")
+    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    known = cut(known.select(F.col("key").alias("of"), n_links.alias("n_links"), F.coalesce("component", "class").alias("component_id")), "known", (nodes, graphs, pairs, found, groups))
+    delete(spark, folder)
     out = rows.join(known, rows["key"] == known["of"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 from quireframe.llm.contract import op8_embeddings
-from quireframe.llm.embeddings import Graph, near_duplicates
+from quireframe.llm.embeddings import LINKS, Shard, compare, near_duplicates
 
 
 def brute(rows, threshold=0.9):
@@ -60,43 +60,93 @@ def test_hard_rows(spark):
     assert plain(twice) == [(4, 1, 4, True)] * 2
 
 
-def test_recall_and_wide_beams():
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def shard(x):
+    return Shard(np.arange(len(x)), np.ones(len(x), np.int64), unit(x), 0.9)
+
+
+def counted(a, b=None):
+    """n_links of the nodes of a (and b) by compare(), the beams being audited ones."""
+    out = {}
+    for kind, nodes, _, n in compare(a, b, a.audited_beam(0.99, 64)[0], 24 if b is None else b.audited_beam(0.99, 64)[0]):
+        for d, k in zip(nodes.tolist(), n.tolist(), strict=True):
+            out[d] = out.get(d, 0) + (k if kind == LINKS else 0)
+    return out
+
+
+def test_links_of_classes_are_those_of_all_pairs():
+    """Groups as tight and as loose as the linking angle, so that classes link wholly, in part and not at all."""
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(600, 24))
-    copies = base[0] + 0.02 * rng.normal(size=(400, 24))  # more links than a first beam holds
-    x = np.concatenate([base, copies])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Graph(np.arange(len(x)), x)
-    beam, recall = graph.audited_beam(x[::10].astype(np.float32), 0.9, 0.95)
-    assert recall >= 0.95
-    q, p = graph.within(x.astype(np.float32), 0.9, beam)
-    true = (x @ x.T >= 0.9).sum()
-    assert len(q) >= 0.95 * true and len(set(zip(q.tolist(), p.tolist(), strict=True))) == len(q)
-    again = Graph.load(graph.save())
-    assert (again.search(x[:5].astype(np.float32), 10)[0] == graph.search(x[:5].astype(np.float32), 10)[0]).all()
-
-
-def test_hot_group_does_not_hide_lost_links():
-    """A few pairs whose links are lost beside queries with very many: the beam has to widen."""
+    centres = unit(rng.normal(size=(40, 24)))
+    x = np.concatenate([rng.normal(size=(300, 24)), *(c + rng.normal(size=(30, 24)) * (0.01 + 0.004 * k) for k, c in enumerate(centres))])
+    own = shard(x)
+    assert len(own.radius) < len(x) and own.radius.max() <= own.angle / 2
+    units = unit(x)
+    want = (units @ units.T >= 0.9).sum(axis=1) - 1
+    got = counted(own)
+    assert sum(min(got.get(i, 0), n) for i, n in enumerate(want)) >= 0.99 * want.sum() and all(got.get(i, 0) <= n for i, n in enumerate(want))
+    a, b = shard(x[::2]), shard(x[1::2])
+    b.nodes, b.names = b.nodes + 10_000, b.names + 10_000
+    cross = (unit(x[::2]) @ unit(x[1::2]).T >= 0.9)
+    got = counted(Shard.load(a.save()), Shard.load(b.save()))
+    assert sum(got.values()) >= 0.99 * 2 * cross.sum()
+    assert all(got.get(i, 0) <= n for i, n in enumerate(cross.sum(axis=1))) and all(got.get(10_000 + i, 0) <= n for i, n in enumerate(cross.sum(axis=0)))
+
+
+def test_audit_widens_the_beam():
+    """Links that a narrow beam loses fail the audit, however many others are found."""
     rng = np.random.default_rng(8)
-    hot = np.eye(1, 24)[0] + 0.02 * rng.normal(size=(600, 24))
-    pairs = rng.normal(size=(300, 24))
-    x = np.concatenate([hot, pairs, pairs + 0.05 * rng.normal(size=pairs.shape)])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Graph(np.arange(len(x)), x)
-    lost = graph.within
-
-    def within(queries, threshold, beam):
-        q, p = lost(queries, threshold, beam)
-        few = np.bincount(q, minlength=len(queries))[q] < 100  # the small groups' links need a beam of 96
-        return (q, p) if beam >= 96 else (q[~few], p[~few])
+    x = np.concatenate([np.eye(1, 24)[0] + 0.02 * rng.normal(size=(600, 24)), rng.normal(size=(900, 24))])
+    own = shard(x)
+    beam, recall = own.audited_beam(0.99, 256)
+    assert recall >= 0.99
+    plain = own.near
+
+    def near(leaders, radii, beam):
+        q, p = plain(leaders, radii, beam)
+        return (q, p) if beam >= 4 * 24 else (q[::2], p[::2])
+
+    own.near = near
+    assert own.audited_beam(0.99, 256)[0] >= 96
+    own.near = lambda leaders, radii, beam: plain(leaders, radii, beam) if beam >= len(own.radius) else (np.zeros(0, np.int64),) * 2
+    assert own.audited_beam(0.99, 256) == (own.audited_beam(0.99, 256)[0], 1.0)
+
+
+def test_many_links_against_brute_force(spark):
+    """Clusters of 80 and 400 near copies, and a loose one: no link is lost, and recall over all is stated."""
+    rng = np.random.default_rng(9)
+    centres = unit(rng.normal(size=(17, 32)))
+    x = np.concatenate([rng.normal(size=(400, 32)), *(c + 0.018 * rng.normal(size=(400 if k < 4 else 80, 32)) for k, c in enumerate(centres[:16])), centres[16] + 0.06 * rng.normal(size=(300, 32)), x_copies(rng)])
+    ids = rng.permutation(len(x)) * 3
+    units = unit(x)
+    links = units @ units.T >= 0.9
+    want = {int(d): int(n) - 1 for d, n in zip(ids, links.sum(axis=1), strict=True)}
+    df = spark.createDataFrame([(int(d), v.tolist()) for d, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    recall = sum(got[d].n_links for d in want) / sum(want.values())
+    assert recall >= 0.999 and all(got[d].n_links <= n for d, n in want.items()), recall
+    root = list(range(len(x)))
+    for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True):
+        a, b = (find(root, k) for k in (i, j))
+        root[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(x)):
+        least[find(root, i)] = min(int(ids[i]), least.get(find(root, i), 1 << 60))
+    wrong = sum(got[int(ids[i])].component_id != least[find(root, i)] for i in range(len(x)))
+    assert wrong == 0
 
-    graph.within = within
-    assert graph.audited_beam(x[::5].astype(np.float32), 0.9, 0.95)[0] >= 96
 
+def x_copies(rng):
+    """Two hundred equal vectors and fifty near them."""
+    one = rng.normal(size=(1, 32))
+    return np.concatenate([np.repeat(one, 200, axis=0), one + 0.05 * rng.normal(size=(50, 32))])
 
-def test_links_count_at_both_ends(spark):
-    from quireframe.llm.embeddings import link_counts
 
-    found = spark.createDataFrame([(1, 2, 1, 3), (1, 2, 1, 3), (2, 5, 3, 1)], "a long, b long, copies_a long, copies_b long")  # 1-2 found twice, 2-5 once
-    assert {r.node: r.linked for r in link_counts(found).collect()} == {1: 3, 2: 2, 5: 3}
+def find(root, i):
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
