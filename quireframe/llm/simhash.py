@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,29 +149,61 @@ def close_pairs(points: np.ndarray, limit: int, leaf: int = 192, block: int = 51
                 yield left[i[keep]], right[j[keep]]
 
 
+def part_masks(parts: int) -> list[int]:
+    """The 64 bits as so many runs of about equal length."""
+    ends = [64 * k // parts for k in range(parts + 1)]
+    return [(1 << high) - (1 << low) for low, high in zip(ends, ends[1:], strict=False)]
+
+
+def equal_part_pairs(points: np.ndarray, mask: int, limit: int, run: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """close_pairs() of the points that agree on all bits of the mask.
+
+    Points are sorted by those bits; short runs of equal ones are compared at each distance in the order at once, runs
+    of more than ``run`` points through vantage points.
+    """
+    part = points & np.uint64(mask)
+    order = np.argsort(part, kind="stable")
+    part, points = part[order], points[order]
+    starts = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0] if len(part) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(part)])
+    short = np.repeat(sizes <= run, sizes)
+    for k in range(1, run):
+        i = np.nonzero(short[:-k] & (part[k:] == part[:-k]))[0]
+        if not len(i):
+            break
+        i = i[_distance(points[i], points[i + k]) <= limit]
+        yield order[i], order[i + k]
+    for at, n in zip(starts[sizes > run].tolist(), sizes[sizes > run].tolist(), strict=True):
+        for i, j in close_pairs(points[at : at + n], limit):
+            yield order[at + i], order[at + j]
+
+
 def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id long, fingerprint string, component_id long), one row per document; settings as of groups()."""
     return groups(docs, **settings).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def groups(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, per_shard: int = 32768, least_depth: int = 6, sample: int = 8192) -> DataFrame:
+def groups(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, parts: int | None = None, per_shard: int = 32768, least_depth: int = 4, sample: int = 1 << 18) -> DataFrame:
     """(doc_id long, fp long, g long, component_id long), one row per document; g names the group.
 
     Fingerprints link where at most ``limit`` bits differ, equal ones included; component_id is the smallest doc_id
-    reachable. Equal fingerprints are one point, so a large group of copies is one row. A vantage-point tree, fitted
-    on a bounded ``sample`` of the points, deals all points into 2^depth shards of about ``per_shard`` points; points
-    near a border also go to the shard across it (see leaves_of), so no link is lost. A shard finds its links through
-    a tree of its own and hands on only a spanning forest of them. Links between shards meet in components().
+    reachable. Equal fingerprints are one point, so a large group of copies is one row. The bits are cut into ``parts``
+    (limit + 1 by default) and each part has a vantage-point tree over the Hamming distance of its bits, fitted on
+    about ``sample`` points (by hash), which deals all points into 2^depth shards. Two points within the limit differ
+    in at most limit // parts bits of some part, and points that near a border also go to the shard across it (see
+    leaves_of), so no link is lost. By default that is no bit: each point is dealt just ``parts`` times, whatever the
+    number of points, while a tree over all bits (parts=1) deals a fifth more at each level. A shard holds about
+    ``per_shard`` points, or the points over sample / 16 where there are more; it finds its links through sorting and
+    vantage points of its own and hands on only a spanning forest of them. Links between shards meet in components().
 
     Null texts count as empty; empty texts have fingerprint zero and so form one component. Rows with a null doc_id
     keep it; they take part in links, and a component of null ids alone has component_id null. Repeated rows come out
     as often as they went in. An empty table gives no rows. Other columns are left out.
     """
-    spark = docs.sparkSession
-    cut = Cut(spark)
+    cut = Cut(docs.sparkSession)
     by_doc = cut(fingerprints(docs, words_per_shingle), "fingerprints")
     points = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    linked = linked_points(spark, points.select("fp"), cut, limit, per_shard, least_depth, sample)
+    linked = linked_points(points.select("fp"), cut, limit, parts or limit + 1, per_shard, least_depth, sample)
     group = F.coalesce("component", "fp")
     named = points.join(linked, points["fp"] == linked["node"], "left").select("fp", "least", group.alias("g"))
     named = cut(named, "named")
@@ -210,24 +242,28 @@ def representatives(docs: DataFrame, words_per_shingle: int = 3, **settings) ->
     return docs.where(own.isNotNull()).join(gone.unionByName(odd), own == F.col(other), "left_anti").unionByName(told)
 
 
-def linked_points(spark: SparkSession, points: DataFrame, cut: Cut, limit: int, per_shard: int, least_depth: int, sample: int) -> DataFrame:
+def linked_points(points: DataFrame, cut: Cut, limit: int, parts: int, per_shard: int, least_depth: int, sample: int) -> DataFrame:
     """(node, component) of the distinct points (fp long) that have a link."""
     count = points.count()
-    # A side has about 0.62 of the points with its share of the border, so a tree has to be this much deeper than by halves.
-    depth = max(least_depth, int(np.ceil(1.45 * np.log2(max(1, count) / per_shard))))
-    chosen = points.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = vantage_tree(chosen, depth, limit)
+    depth = max(least_depth, min(int(np.ceil(np.log2(max(1, count) / per_shard))), int(np.log2(sample / 16))))
+    step = max(1, -(-count // sample))
+    # About ``sample`` numbers, to which the trees are fitted; all points are dealt.
+    chosen = points.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    masks, apart = part_masks(parts), limit // parts
+    trees = [vantage_tree(chosen & np.uint64(m), depth, apart) for m in masks]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            index, leaf = leaves_of(own.view(np.uint64), nodes, depth, limit)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own[index])], names=["shard", "fp"])
+            for k, (mask, nodes) in enumerate(zip(masks, trees, strict=True)):
+                index, leaf = leaves_of(own.view(np.uint64) & np.uint64(mask), nodes, depth, apart)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * parts + k), pa.array(own[index])], names=["shard", "fp"])
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
+        mask = masks[int(shard["shard"].iloc[0]) % parts]
         own = np.unique(shard["fp"].to_numpy(np.int64).view(np.uint64))
         links = Links(len(own))
-        for i, j in close_pairs(own, limit):
+        for i, j in close_pairs(own, limit) if apart else equal_part_pairs(own, mask, limit):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 links.join(x, y)
         found = np.array([(i, links.root(i)) for i in np.nonzero(links.parent != np.arange(len(own)))[0]], np.int64).reshape(-1, 2)

@@ -3,7 +3,7 @@ import xxhash
 
 from quireframe.llm.common import Cut, components
 from quireframe.llm.contract import op10_simhash
-from quireframe.llm.simhash import close_pairs, fingerprint, leaves_of, near_duplicates, representatives, vantage_tree
+from quireframe.llm.simhash import close_pairs, equal_part_pairs, fingerprint, leaves_of, near_duplicates, part_masks, representatives, vantage_tree
 
 
 def plain_fingerprint(text):
@@ -55,6 +55,36 @@ def test_trees_lose_no_pair():
         assert all(homes[i] & homes[j] for i, j in want)
 
 
+def test_parts_lose_no_pair_and_deal_each_point_once():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    family = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    points = np.unique(np.concatenate([base, family, base[:500] ^ np.uint64(1 << 63 | 1), np.array([0, 1, 3, 2**64 - 1], np.uint64)]))
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True))
+    got = set()
+    for mask in part_masks(3):
+        part = points & np.uint64(mask)
+        for depth in (1, 7):
+            index, leaf = leaves_of(part, vantage_tree(part[::3], depth, 0), depth, 0)
+            assert sorted(index.tolist()) == list(range(len(points)))
+            by_part = {}
+            for i, x in zip(index.tolist(), leaf.tolist(), strict=True):
+                assert by_part.setdefault(int(part[i]), x) == x  # equal parts meet
+        got |= {tuple(sorted(p)) for i, j in equal_part_pairs(points, mask, 2) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == want and sum(part_masks(3)) == 2**64 - 1
+
+
+def test_whole_trees_and_other_limits(spark):
+    rows = [(i, " ".join(f"w{(i // 3 * 31 + j) % 211 if j % 40 != i % 3 else i}" for j in range(120))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [(d, plain_fingerprint(t)) for d, t in rows]
+    for limit, parts in ((2, 1), (4, 2), (9, None)):
+        want = plain_components(prints, limit)
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, limit=limit, parts=parts, per_shard=16).collect()}
+        assert got == want
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (None, 3), (900, 700), (800, 700)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Cut(spark)).collect()}
