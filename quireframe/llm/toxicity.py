@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from quireframe.llm.common import Cut, new_folder, store_of
 
-SEPARATOR = "\0"
 BETWEEN_WORDS = re.compile(r"\W+")
 #: Lengths of the word beginnings that are terms beside whole words (a term with an asterisk is a beginning).
 BEGINNINGS = (4, 5, 6, 7)
@@ -54,29 +53,29 @@ def terms_of(text: str | None) -> set[str]:
     return {*words, *begun} | {f"{b}{o}" for b, n in begun.items() for o in OCCURRENCES if n >= o}
 
 
-class Matcher:
-    """Counts the vocabulary's terms in a text, all in one pass of an Aho-Corasick automaton."""
+def principal_order(rows: np.ndarray, leaf: int) -> np.ndarray:
+    """An order of the rows in which similar ones are near each other: halved again and again along the direction in
+    which each part differs most (found by power iteration), down to ``leaf`` rows."""
+    parts, out = [np.arange(len(rows))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= leaf:
+            out.append(part)
+            continue
+        own = rows[part] - rows[part].mean(axis=0)
+        along = np.ones(own.shape[1], np.float32) + np.arange(own.shape[1], dtype=np.float32) / own.shape[1]
+        for _ in range(8):
+            along = own.T @ (own @ along)
+            along /= np.linalg.norm(along) or 1
+        half = len(part) // 2 // leaf * leaf or leaf
+        order = np.argsort(own @ along, kind="stable")
+        parts += [part[order[half:]], part[order[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def __init__(self, vocabulary: list[str]):
-        import ahocorasick
 
-        self.terms: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
-        for i, term in enumerate(vocabulary):
-            stem, star, occurrence = term.partition("*")
-            self.terms.setdefault(stem + star, []).append((i, int(occurrence or 1)))
-        self.automaton = ahocorasick.Automaton()
-        for stem in self.terms:
-            self.automaton.add_word(SEPARATOR + (stem[:-1] if stem.endswith("*") else stem + SEPARATOR), (stem, not stem.endswith("*")))
-        if vocabulary:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """((term, count), ...) by term; a beginning counts where a longer word goes on."""
-        if not text or not len(self.automaton):
-            return ()
-        words = SEPARATOR + BETWEEN_WORDS.sub(SEPARATOR, text.lower()) + SEPARATOR
-        found = Counter(stem for end, (stem, whole) in self.automaton.iter(words) if whole or words[end + 1] != SEPARATOR)
-        return tuple(sorted((i, n if o == 1 else 1) for stem, n in found.items() for i, o in self.terms[stem] if n >= o))
+def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [first, first + many) in a row."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
 @dataclass
@@ -84,15 +83,22 @@ class Index:
     """Labelled examples as unit TF-IDF vectors over all their words, equal vectors as one entry with counts of both labels.
 
     The last ``marks`` terms of the vocabulary are the markers of toxic examples; where a text has some, they make a
-    second part of its vector, MARKED times as long as the words' part. The ``width`` commonest terms are a dense
-    matrix, the others have postings; both give every entry's cosine in single precision, from which those that can be
-    among the k best are worked out in double precision. The result is exact.
+    second part of its vector, MARKED times as long as the words' part.
+
+    The inverted index is a block-max one: entries stand in principal_order() in blocks of ``block``, and each posting
+    list knows, for each block that it enters, its largest weight there and where its postings are. The ``width``
+    commonest terms enter nearly all blocks, so their lists are one dense matrix, and give every entry a part of its
+    cosine; the blocks' largest parts give a threshold that the k best reach. A block's largest part and the other
+    terms' largest weights there bound the cosine of its entries, and only blocks whose bound reaches the threshold
+    have their postings added, in single precision. Entries that can be among the k best are then worked out in double
+    precision. So the result is exact.
     """
 
     vocabulary: list[str]
     idf: np.ndarray
     k: int = 16
-    width: int = 256
+    width: int = 512
+    block: int = 64
     prior: float = 0.5
     marks: int = 0
     clear: tuple[int, int] = (0, 0)  # toxic and other examples without any word
@@ -103,8 +109,9 @@ class Index:
     keys: dict[bytes, int] = field(default_factory=dict)  # an entry by its counts' digest
     steps: tuple[list[float], list[float]] | None = None
 
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.array(counts, np.int64).reshape(-1, 2)
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of ((term, count), ...)."""
+        pairs = np.asarray(counts, np.int64).reshape(-1, 2)
         terms = pairs[:, 0]
         weights = (1 + np.log(pairs[:, 1])) * self.idf[terms]
         marked = terms >= len(self.idf) - self.marks
@@ -113,17 +120,17 @@ class Index:
         return terms, weights / np.linalg.norm(weights)
 
     @staticmethod
-    def key(counts: tuple[tuple[int, int], ...]) -> bytes:
-        return hashlib.sha1(np.array(counts, np.int64).tobytes()).digest()
+    def key(counts) -> bytes:
+        return hashlib.sha1(np.asarray(counts, np.int64).tobytes()).digest()
 
-    def build(self, examples: Iterable[tuple[int, int, tuple]]) -> None:
+    def build(self, examples: Iterable[tuple]) -> None:
         """examples: (doc_id, toxic, counts)."""
         tallies: list[list[int]] = []
         rows, seen, good = [], 0, 0
         clear, clear_ids = [0, 0], []
         for doc_id, toxic, counts in examples:
             seen, good = seen + 1, good + toxic
-            if not counts:
+            if not len(counts):
                 clear[0 if toxic else 1] += 1
                 clear_ids = [min([doc_id, *clear_ids])]
                 continue
@@ -135,55 +142,85 @@ class Index:
             tallies[e][0 if toxic else 1] += 1
             tallies[e][2] = min(tallies[e][2], doc_id)
         self.clear, self.clear_ids = (clear[0], clear[1]), clear_ids
+        self.prior = (good + 0.5) / (seen + 1)
+        n = len(tallies)
+        seen_in = np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]), minlength=len(self.idf))
+        common = np.sort(np.argsort(-seen_in, kind="stable")[: self.width])
+        self.place = np.full(len(self.idf), -1, np.int32)  # a term's row in the dense matrices
+        self.place[common] = np.arange(len(common))
+        plain = np.zeros((n, len(common)), np.float32)
+        for e, (terms, weights) in enumerate(rows):
+            at = self.place[terms]
+            plain[e, at[at >= 0]] = weights[at >= 0]
+        order = principal_order(plain, self.block)
+        new = np.empty(n, np.int64)
+        new[order] = np.arange(n)
+        self.keys = {k: int(new[e]) for k, e in self.keys.items()}
+        rows, tallies = [rows[e] for e in order], [tallies[e] for e in order]
         self.toxic, self.other = (np.array([t[i] for t in tallies], np.float64) for i in (0, 1))
         self.ids = [t[2] for t in tallies]
-        self.prior = (good + 0.5) / (seen + 1)
         self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
         self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
         self.weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
         del rows
-        entry = np.repeat(np.arange(len(tallies), dtype=np.int32), np.diff(self.starts))
-        seen_in = np.bincount(self.terms, minlength=len(self.idf))
-        common = np.sort(np.argsort(-seen_in, kind="stable")[: self.width])
-        self.place = np.full(len(self.idf), -1, np.int32)  # a term's row in the dense matrix
-        self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(tallies)), np.float32)
-        at = self.place[self.terms]
-        self.dense[at[at >= 0], entry[at >= 0]] = self.weights[at >= 0]
-        rare = np.nonzero(at < 0)[0]
+        blocks = -(-n // self.block)
+        self.dense = np.zeros((len(common), blocks * self.block), np.float32)
+        self.dense[:, :n] = plain[order].T
+        del plain
+        entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        rare = np.nonzero(self.place[self.terms] < 0)[0]
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
         self.posted, self.posted_weights = entry[rare], self.weights[rare].astype(np.float32)
-        self.first = np.searchsorted(self.terms[rare], np.arange(len(self.idf) + 1))
-
-    def all_nearest(self, queries: list[tuple], without: list[tuple[int, int] | None] | None = None) -> list[list[tuple[int, float, float, float]]]:
-        """nearest() of each query, with one matrix product for all of them."""
-        n = len(self.ids)
-        if not queries or not n:
+        term, of = self.terms[rare].astype(np.int64), self.posted // self.block
+        begins = np.nonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[0] if len(rare) else np.zeros(0, np.int64)
+        # For each term and block with postings: the block, the largest weight, and the postings' first and number.
+        self.part_block, self.part_first, self.part_many = of[begins], begins, np.diff(np.r_[begins, len(rare)])
+        self.part_most = np.maximum.reduceat(self.posted_weights, begins) if len(rare) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[begins], np.arange(len(self.idf) + 1))
+
+    def all_nearest(self, queries: list, without: list[tuple[int, int] | None] | None = None) -> list[list[tuple[int, float, float, float]]]:
+        """nearest() of each query, with one matrix product a block for all of them."""
+        n, m = len(self.ids), len(queries)
+        if not m or not n:
             return [[] for _ in queries]
         vectors = [self.vector(c) for c in queries]
-        wide = np.zeros((len(queries), len(self.dense)), np.float32)
+        wide = np.zeros((m, len(self.dense)), np.float32)
+        parts, leasts = [], []
         for i, (terms, weights) in enumerate(vectors):
             at = self.place[terms]
             wide[i, at[at >= 0]] = weights[at >= 0]
+            rare = terms[at < 0]
+            many = self.first[rare + 1] - self.first[rare]
+            parts.append((ranges(self.first[rare], many), np.repeat(weights[at < 0], many).astype(np.float32)))
         rough = wide @ self.dense
+        blocks = rough.shape[1] // self.block
+        tops = rough.reshape(m, blocks, self.block).max(axis=2)
+
+        def least_of(scores: np.ndarray) -> float:
+            """The score of the one after the k best, which may be needed where one example is left out."""
+            return max(0.0, float(np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]) - 1e-4) if len(scores) > self.k else 0.0
+
+        for i, (at, w) in enumerate(parts):
+            of = self.part_block[at]
+            bound = tops[i] + np.bincount(of, self.part_most[at] * w, blocks).astype(np.float32)
+            least = least_of(tops[i])
+            go = bound[of] >= least - 1e-4
+            many = self.part_many[at[go]]
+            posted = ranges(self.part_first[at[go]], many)
+            rough[i] += np.bincount(self.posted[posted], self.posted_weights[posted] * np.repeat(w[go], many), rough.shape[1])
+            leasts.append(least)
         query = np.zeros(len(self.idf))
         out = []
         for i, (terms, weights) in enumerate(vectors):
-            row, leave = rough[i], without[i] if without else None
-            rare = self.place[terms] < 0
-            first = self.first[terms[rare]]
-            many = self.first[terms[rare] + 1] - first
-            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            if len(at):
-                row = row + np.bincount(self.posted[at], self.posted_weights[at] * np.repeat(weights[rare], many), n)
-            least = np.partition(row, n - self.k - 1)[n - self.k - 1] - 1e-4 if n > self.k + 1 else 0
-            found = np.nonzero(row > max(0, least))[0]
+            leave = without[i] if without else None
+            found = np.nonzero(rough[i, :n] > leasts[i])[0]
+            found = found[rough[i, found] > least_of(rough[i, found])]
             if not len(found):
                 out.append([])
                 continue
             query[terms] = weights
             many = self.starts[found + 1] - self.starts[found]
-            at = np.repeat(self.starts[found] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = ranges(self.starts[found], many)
             score = np.bincount(np.repeat(np.arange(len(found)), many), query[self.terms[at]] * self.weights[at], len(found))
             query[terms] = 0
             order = np.lexsort((found, -score))
@@ -203,7 +240,7 @@ class Index:
             out.append(near)
         return out
 
-    def nearest(self, counts: tuple[tuple[int, int], ...], without: tuple[int, int] | None = None) -> list[tuple[int, float, float, float]]:
+    def nearest(self, counts, without: tuple[int, int] | None = None) -> list[tuple[int, float, float, float]]:
         """(entry, cosine, toxic, other) of the k nearest examples and all that tie with the last, best first.
 
         without: (entry, label), one example to leave out.
@@ -215,13 +252,13 @@ class Index:
         good = (self.prior if before is None else before) + sum(a / (1.05 - s) for _, s, a, _ in near)
         return good / (1 + sum((a + b) / (1.05 - s) for _, s, a, b in near))
 
-    def votes(self, examples: list[tuple[int, int, tuple]]) -> list[tuple[float, int]]:
+    def votes(self, examples: list[tuple]) -> list[tuple[float, int]]:
         """(vote, label) of the examples that have a word, each left out in its turn."""
-        own = [(y, c) for _, y, c in examples if c]
+        own = [(y, c) for _, y, c in examples if len(c)]
         near = self.all_nearest([c for _, c in own], [(self.keys[self.key(c)], y) for y, c in own])
         return [(self.vote(x), y) for x, (y, _) in zip(near, own, strict=True)]
 
-    def calibrate(self, examples: list[tuple[int, int, tuple]]) -> None:
+    def calibrate(self, examples: list[tuple]) -> None:
         self.fit_steps(self.votes(examples))
 
     def fit_steps(self, votes: list[tuple[float, int]]) -> None:
@@ -237,14 +274,14 @@ class Index:
             y = [(p[2] + 0.5) / (p[3] + 1) for p in pools for _ in range(2)]
             self.steps = (x, np.maximum.accumulate(y).tolist())
 
-    def scores(self, queries: list[tuple]) -> list[tuple[float, list[int], list[float]]]:
+    def scores(self, queries: list) -> list[tuple[float, list[int], list[float]]]:
         """For each: calibrated score, and up to 5 nearest examples with their cosines.
 
         Steps come from examples without their copies, so near copies of a text vote once more, after the steps."""
-        found = iter(self.all_nearest([c for c in queries if c]))
+        found = iter(self.all_nearest([c for c in queries if len(c)]))
         out = []
         for counts in queries:
-            if not counts:
+            if not len(counts):
                 toxic, other = self.clear
                 out.append(((toxic + self.prior) / (toxic + other + 1), list(self.clear_ids), [1.0] * len(self.clear_ids)))
                 continue
@@ -256,21 +293,63 @@ class Index:
             out.append((raw, [self.ids[e] for e, *_ in near[:5]], [s for _, s, *_ in near[:5]]))
         return out
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[float]]:
+    def score(self, counts) -> tuple[float, list[int], list[float]]:
         return self.scores([counts])[0]
 
 
 class Reader:
-    """Counts an index's words and markers in texts; words that no example has are passed over."""
+    """Counts a vocabulary's words and markers in texts; words that the vocabulary lacks are passed over.
 
-    def __init__(self, index: Index):
-        self.own = len(index.vocabulary) - index.marks
-        self.words = {w: i for i, w in enumerate(index.vocabulary[: self.own])}
-        self.markers = Matcher(index.vocabulary[self.own :])
+    Words never reach over white space, so what each run between white space has is worked out once and kept (at most
+    ``keep`` runs).
+    """
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        words = sorted((self.words[w], n) for w, n in word_counts(text).items() if w in self.words)
-        return (*words, *((i + self.own, n) for i, n in self.markers.counts(text)))
+    def __init__(self, vocabulary: list[str], marks: int = 0, keep: int = 500_000):
+        self.own = len(vocabulary) - marks
+        self.words = {w: i for i, w in enumerate(vocabulary[: self.own])}
+        self.markers: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
+        for i, term in enumerate(vocabulary[self.own :], self.own):
+            stem, star, occurrence = term.partition("*")
+            self.markers.setdefault(stem + star, []).append((i, int(occurrence or 1)))
+        self.single: dict[str, int] = {}  # runs of one word without markers: its term, or -1
+        self.others: dict[str, tuple[list[int], list[str]]] = {}
+        self.keep = keep
+
+    def _run(self, run: str) -> tuple[list[int], list[str]]:
+        """(words of the vocabulary, stems of markers) in a run without white space."""
+        words = [w for w in BETWEEN_WORDS.split(run.lower()) if w]
+        stems = [x for w in words for x in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if x in self.markers] if self.markers else []
+        found = [self.words[w] for w in words if w in self.words]
+        if len(self.single) + len(self.others) < self.keep:
+            if len(found) < 2 and not stems:
+                self.single[run] = found[0] if found else -1
+            else:
+                self.others[run] = found, stems
+        return found, stems
+
+    def counts(self, text: str | None) -> np.ndarray:
+        """(term, count) rows by term; a beginning counts where a longer word goes on, and its further occurrences once."""
+        own: dict[int, int] = {-1: 0}
+        stems: dict[str, int] = {}
+        single, others = self.single, self.others
+        for run, n in Counter((text or "").split()).items():
+            t = single.get(run)
+            if t is None:
+                words, begun = others.get(run) or self._run(run)
+                for t in words:
+                    own[t] = own.get(t, 0) + n
+                for x in begun:
+                    stems[x] = stems.get(x, 0) + n
+            elif t in own:
+                own[t] += n
+            else:
+                own[t] = n
+        for x, n in stems.items():
+            own |= {i: n if o == 1 else 1 for i, o in self.markers[x] if n >= o}
+        del own[-1]
+        out = np.empty((len(own), 2), np.int64)
+        out[:, 0], out[:, 1] = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
+        return out[np.argsort(out[:, 0])]
 
 
 @dataclass
@@ -284,20 +363,35 @@ class Stored:
         """A worker reads an index once."""
         if self.path not in OPENED:
             OPENED.clear()
-            system, at = store_of(self.path)
-            with system.open_input_stream(at) as source:
-                index = pickle.load(source)
-            OPENED[self.path] = index, Reader(index)
+            index = _kept(self.path)
+            OPENED[self.path] = index, Reader(index.vocabulary, index.marks)
         index, reader = OPENED[self.path]
         index.steps = self.steps
         return index, reader
 
 
 OPENED: dict[str, tuple[Index, Reader]] = {}
+READERS: dict[str, Reader] = {}
 
 
 def opened(index: Index | Stored) -> tuple[Index, Reader]:
-    return index.open() if isinstance(index, Stored) else (index, Reader(index))
+    return index.open() if isinstance(index, Stored) else (index, Reader(index.vocabulary, index.marks))
+
+
+def _keep(folder: str, name: str, what) -> str:
+    """Pickle something into a new file of a shared folder and return its path."""
+    system, at = store_of(folder)
+    system.create_dir(at, recursive=True)
+    path = f"{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(f"{at}/{path}") as out:
+        pickle.dump(what, out, 5)
+    return f"{folder}/{path}"
+
+
+def _kept(path: str):
+    system, at = store_of(path)
+    with system.open_input_stream(at) as source:
+        return pickle.load(source)
 
 
 def in_groups(items: list, size: int = 64) -> Iterator[list]:
@@ -305,20 +399,47 @@ def in_groups(items: list, size: int = 64) -> Iterator[list]:
         yield items[at : at + size]
 
 
+def document_frequencies(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
+    """(term, n): in how many rows of docs each term of a stored vocabulary is; term -1 has the number of rows.
+
+    Each task adds its texts up, so at most a row for each task and term is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = READERS.get(vocabulary)
+        if reader is None:
+            READERS.clear()
+            reader = READERS.setdefault(vocabulary, Reader(_kept(vocabulary), marks))
+        seen, rows = None, 0
+        for b in batches:
+            if seen is None:
+                seen = np.zeros(reader.own + marks, np.int64)
+            rows += b.num_rows
+            for t in b.column(0).to_pylist():
+                seen[reader.counts(t)[:, 0]] += 1
+        found = np.nonzero(seen)[0] if seen is not None else np.zeros(0, np.int64)
+        numbers = seen[found] if seen is not None else found
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(numbers, rows))], names=["term", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> Index | Stored:
     """Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
 
     The vocabulary is all words of these examples, and as markers the terms that mark toxic examples beyond chance (a
     Chernoff bound over all terms seen); a word with a chosen beginning that is as precise is no marker of its own.
-    Labels that are null are passed over; of several labels of one document the largest counts. One task builds the
-    index and writes it into the shared folder; its size is bounded by the examples.
+    Terms weigh by how few of all documents have them. A label above zero is toxic, any other is not, null ones are
+    passed over; of several labels of one document the largest counts, of several rows of one doc_id the least text.
+    One task builds the index and writes it into the shared folder; its size is bounded by the examples.
     """
     cut = Cut(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
+    toxic = F.coalesce(F.max(F.col("toxic").cast("int") > 0), F.lit(False)).cast("int").alias("toxic")
+    chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
     # At most most_examples rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(cut(chosen, "chosen")), "doc_id")
-    texts = cut(texts.select("doc_id", "text", "toxic"), "examples")
+    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -344,33 +465,35 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
         stem, _, occurrence = term.partition("*")
         return any(precision.get(f"{stem[:k]}*{occurrence}", -1) >= precision[term] for k in BEGINNINGS if k < len(stem))
 
-    markers = sorted((r.term, r.toxic + r.other) for r in good if not covered(r.term))
+    markers = sorted(r.term for r in good if not covered(r.term))
     folder = new_folder(docs.sparkSession, "index")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, int] = {}
-        examples, matcher = [], Matcher([m for m, _ in markers])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for b in batches for w in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_keep(folder, "vocabulary", [*words, *markers])])], names=["path"])
+
+    # The words of at most most_examples texts.
+    words = tallied.where("term != '' AND instr(term, '*') = 0").select("term").repartition(1).sortWithinPartitions("term")
+    vocabulary = words.mapInArrow(number, "path string").first().path
+    frequencies = cut(document_frequencies(docs, vocabulary, len(markers)), "frequencies")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(_kept(vocabulary)) + 1)  # the last one, -1, is the number of rows
         for b in batches:
-            for doc_id, text, toxic in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                own = sorted((numbers.setdefault(w, len(numbers)), n) for w, n in word_counts(text).items())
-                examples.append((doc_id, toxic, np.array(own, np.int32).reshape(-1, 2), matcher.counts(text)))
-        if not examples:
-            return
-        seen = np.zeros(len(numbers))
-        for _, _, own, _ in examples:
-            seen[own[:, 0]] += 1
-        seen = np.concatenate([seen, [n for _, n in markers]])
-        index = Index([*numbers, *(m for m, _ in markers)], np.log((len(examples) + 1) / (seen + 1)) + 1, k=k, marks=len(markers))
-        index.build((d, y, (*map(tuple, own.tolist()), *((i + len(numbers), n) for i, n in marked))) for d, y, own, marked in examples)
-        system, at = store_of(folder)
-        system.create_dir(at, recursive=True)
-        name = f"index-{uuid.uuid4().hex}"
-        with system.open_output_stream(f"{at}/{name}") as out:
-            pickle.dump(index, out, 5)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+            seen[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        idf = np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([_keep(folder, "weights", idf)])], names=["path"])
+
+    weights = frequencies.repartition(1).mapInArrow(weigh, "path string").first().path  # a number for each word
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(_kept(vocabulary), _kept(weights), k=k, marks=len(markers))
+        reader = Reader(index.vocabulary, index.marks)
+        index.build((d, y, reader.counts(t)) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([_keep(folder, "index", index)])], names=["path"])
 
     # At most most_examples texts, which the task reads batch by batch.
-    ordered = texts.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = texts.repartition(1).sortWithinPartitions("doc_id")
     stored = Stored(ordered.select("doc_id", "text", "toxic").mapInArrow(build, "path string").first().path)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +507,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
     fitted = Index([], np.zeros(0))
     # At most most_examples rows of two numbers.
     fitted.fit_steps([tuple(r) for r in texts.select("text", "toxic").repartition(24).mapInArrow(votes, "vote double, toxic int").collect()])
-    cut.drop(texts, tallied)
+    cut.drop(texts, tallied, frequencies)
     return Stored(stored.path, fitted.steps)
 
 

@@ -77,3 +77,44 @@ def test_copies_of_examples_without_markers(spark):
         got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
         assert got[1000].predicted == 1 and got[1000].evidence[0] == bad and got[1000].cosines[0] > 0.999
         assert got[1001].evidence[0] == bad and len({r.score for r in got.values()}) > 2
+
+
+def test_query_against_plain_cosine(spark, sf):
+    """Every document's nearest examples by whole TF-IDF vectors, weights from all documents, against all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    examples = sorted(d for d in labels if d in texts)
+    stored = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    index, _ = toxicity.opened(stored)
+    words = {w for d in examples for w in toxicity.word_counts(texts[d])}
+    assert set(index.vocabulary[: len(index.vocabulary) - index.marks]) == words
+    counts = {d: toxicity.word_counts(t) for d, t in texts.items()}
+    seen = {w: sum(w in c for c in counts.values()) for w in words}
+    idf = {w: np.log((len(texts) + 1) / (n + 1)) + 1 for w, n in seen.items()}
+    assert np.allclose(index.idf[: len(words)], [idf[w] for w in index.vocabulary[: len(words)]])
+    marked = {d: {i - len(words): n for i, n in toxicity.Reader(index.vocabulary, index.marks).counts(t).tolist() if i >= len(words)} for d, t in texts.items()}
+
+    def vector(d):
+        own = {w: (1 + np.log(n)) * idf[w] for w, n in counts[d].items() if w in words}
+        more = {i: (1 + np.log(n)) * index.idf[len(words) + i] for i, n in marked[d].items()}
+        if own and more:
+            scale = toxicity.MARKED * np.sqrt(sum(x * x for x in own.values()) / sum(x * x for x in more.values()))
+            more = {i: x * scale for i, x in more.items()}
+        length = np.sqrt(sum(x * x for x in [*own.values(), *more.values()]))
+        return {k: x / length for k, x in (own | more).items()}
+
+    vectors = {d: vector(d) for d in texts}
+    for r in op2_toxicity(spark, sf).collect():
+        own = vectors[r.doc_id]
+        cosines = sorted({d: sum(x * vectors[d].get(k, 0) for k, x in own.items()) for d in examples}.values(), reverse=True)
+        classes = sorted({round(c, 9) for c in cosines if c > 0}, reverse=True)
+        assert np.allclose(sorted({round(c, 9) for c in r.cosines}, reverse=True)[:3], classes[: min(3, len(set(round(c, 9) for c in r.cosines)))], atol=1e-7)
+
+
+def test_odd_labels_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 40, "vile word here" if i % 2 else f"quiet words {i % 7}") for i in range(400)] + [(41, "x" * 200_000), (42, "vile " * 50_000)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, (2 if i % 4 == 1 else 1) if i % 2 else -1) for i in range(40)], "doc_id int, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels, most_examples=30)).collect()
+    assert len(rows) == 402 and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id < 40)
