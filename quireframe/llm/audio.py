@@ -170,8 +170,14 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PCM = "doc_id long, n_bytes long, codec string, media binary, payload binary, rate int, pcm binary"
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+PCM = f"{DIGEST}, codec string, rate int, pcm binary"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _files(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[list[tuple]]:
@@ -191,12 +197,12 @@ def _files(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iter
 
 
 def decoded(files: DataFrame, to: int = 16000) -> DataFrame:
-    """The files of store_texts() with their payload and 16-bit little-endian PCM at rate ``to``."""
+    """The files of store_texts() read back: sizes and digests of payload and file, and 16-bit little-endian PCM at rate ``to``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _files(batches):
-            out = [(d, n, codec, m, p, to, pcm.astype("<i2").tobytes()) for (d, n, m), (codec, p, pcm) in zip(rows, decode_all([r[2] for r in rows], to), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=[x.split()[0] for x in PCM.split(", ")])
+            found = zip(rows, decode_all([r[2] for r in rows], to), strict=True)
+            yield _batch([(d, n, len(p), sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), sha256(m).hexdigest(), codec, to, pcm.astype("<i2").tobytes()) for (d, n, m), (codec, p, pcm) in found], PCM)
 
     return files.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
@@ -208,25 +214,27 @@ def feature(codec: str, pcm: np.ndarray) -> str:
     return f"{codec}:{len(pcm)}:{size.max(initial=0)}:{int(size.sum(dtype=np.int64)) // max(1, len(pcm))}:{crossings}:{zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
-def digests(files: DataFrame, to: int = 16000) -> DataFrame:
-    """Sizes and digests of the files of store_texts() and of what they hold, with a feature() of their PCM.
-
-    The PCM at rate ``to`` is made as by decoded() and used up in the task; it is several times as large as the files.
-    """
+def features(sound: DataFrame) -> DataFrame:
+    """The rows of decoded(), with a feature() of their PCM in its place."""
+    names = [x.split()[0] for x in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _files(batches):
-            out = [
-                (d, n, len(p), sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), sha256(m).hexdigest(), feature(codec, pcm))
-                for (d, n, m), (codec, p, pcm) in zip(rows, decode_all([r[2] for r in rows], to), strict=True)
-            ]
-            kinds = [pa.int64() if x.endswith("long") else pa.string() for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                found = [feature(codec, np.frombuffer(pcm, "<i2")) for codec, pcm in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.string())], names=[*names, "feature"])
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return sound.select(*names, "codec", "pcm").mapInArrow(run, f"{DIGEST}, feature string")
 
 
 def audio_round_trip(docs: DataFrame, to: int = 16000) -> DataFrame:
-    """digests() of the files of store_texts(), which are written as a Parquet column and read back."""
+    """The texts as WAVE files, their PCM at rate ``to``, and what both have: see store_texts(), decoded() and features().
+
+    Files and PCM are written as tables into the shared folder and read back, the files' table goes once the PCM is
+    there. PCM is four (ADPCM eight) times as large as the text, so its table is compressed harder. One value of a
+    column holds less than 2 GB, so a text of more than 250 MB raises.
+    """
     cut = Cut(docs.sparkSession)
-    return digests(cut(store_texts(docs), "audio"), to)
+    files = cut(store_texts(docs), "audio")
+    return features(cut(decoded(files, to), "pcm", (files,), level=12))

@@ -33,9 +33,9 @@ class Cut:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def __call__(self, df: DataFrame, name: str, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
+    def __call__(self, df: DataFrame, name: str, drop: tuple[DataFrame, ...] = (), level: int = 3) -> DataFrame:
         path = new_folder(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._kept = [*getattr(self, "_kept", []), out]

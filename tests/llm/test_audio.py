@@ -82,3 +82,14 @@ def test_hard_rows(spark):
     assert audio.audio_round_trip(df.union(df)).where("doc_id = 3").count() == 2
     pcm = audio.decoded(audio.store_texts(small)).where("doc_id = 3").first()
     assert pcm.rate == 16000 and len(pcm.pcm) == 2 * 2 * 576
+
+
+def test_pcm_is_stored(spark, monkeypatch):
+    """The features come from a stored table of PCM."""
+    kept = []
+    plain = audio.Cut.__call__
+    monkeypatch.setattr(audio.Cut, "__call__", lambda self, df, name, *a, **k: kept.append((name, plain(self, df, name, *a, **k))) or kept[-1][1])
+    df = spark.createDataFrame([(1, "abc"), (2, "x" * 577)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in audio.audio_round_trip(df).collect()}
+    stored = {r.doc_id: r for r in dict(kept)["pcm"].collect()}
+    assert set(stored) == {1, 2} and all(rows[d].feature == audio.feature(r.codec, np.frombuffer(r.pcm, "<i2")) for d, r in stored.items())
