@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from datetime import datetime, timezone
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -32,31 +33,47 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _id(page_id: int | None) -> str:
-    return "<urn:page:null>" if page_id is None else f"<urn:page:{page_id}>"
+#: Names of records come from the archive and the record's place in it, so each has one of its own.
+RECORDS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quireframe:records")
 
 
-def _page(record_id: str) -> int | None:
-    found = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return None if found == "null" else int(found)
+def _number(page_id: int | None) -> str:
+    return "null" if page_id is None else str(page_id)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, http: bytes = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n") -> bytes:
-    """A WARC/1.1 record. A revisit keeps the length of its payload in a header, and no payload."""
+def _page(number: str) -> int | None:
+    return None if number == "null" else int(number)
+
+
+def _line(value: str | None) -> str:
+    return "".join(c for c in value or "" if c not in "\r\n")
+
+
+def record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_uri: str | None = None, name: str = "", date: str = "1970-01-01T00:00:00Z",
+    http: bytes = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n",
+) -> bytes:
+    """A WARC/1.1 record: ``name`` makes its record id unique, ``date`` is when the archive was written (UTC).
+
+    A revisit has the page's number, the one it refers to and the length of its payload in extension headers, and no
+    payload; what it refers to is named by the response's target and digest.
+    """
     revisit = refers_to is not None
     block = http if revisit else http + payload
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _id(page_id)),
-        ("WARC-Target-URI", "".join(c for c in url or "" if c not in "\r\n")),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(RECORDS, f'{name} {_number(page_id)}')}>"),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", _line(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
+        ("X-Page", _number(page_id)),
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
-        headers += [("WARC-Refers-To", _id(refers_to)), ("WARC-Profile", REVISIT)]
+        headers += [("X-Refers-To-Page", _number(refers_to)), ("WARC-Refers-To-Target-URI", _line(refers_to_uri)), ("WARC-Profile", REVISIT)]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers)).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -72,9 +89,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon or name.lower() in headers:
             raise BrokenArchive(f"bad header line {line!r}")
         headers[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "content-length", "warc-payload-digest", "warc-block-digest"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "warc-block-digest", "x-page"):
         if name not in headers:
             raise BrokenArchive(f"no {name}")
+    try:
+        datetime.fromisoformat(headers["warc-date"])
+    except ValueError as error:
+        raise BrokenArchive(f"bad date {headers['warc-date']!r}") from error
     n = headers["content-length"]
     if not n.isdigit() or len(rest) != int(n) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BrokenArchive(f"Content-Length {n} of a record with {len(rest) - 4} bytes")
@@ -87,7 +108,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     if headers["warc-type"] == "response":
         if headers["warc-payload-digest"] != f"sha1:{payload_digest(payload)}" or headers.get("x-payload-length") != str(len(payload)):
             raise BrokenArchive("the payload's length or digest differs")
-    elif headers["warc-type"] != "revisit" or payload or "warc-refers-to" not in headers:
+    elif headers["warc-type"] != "revisit" or payload or "x-refers-to-page" not in headers:
         raise BrokenArchive("neither a response nor a revisit")
     return headers, payload
 
@@ -177,17 +198,18 @@ def with_digests(pages: DataFrame) -> DataFrame:
 
 
 def refer(pages: DataFrame, cut: Cut, least_bytes: int = 0) -> DataFrame:
-    """with_digests() and refers_to (long): of pages with equal payloads of at least ``least_bytes``, the largest page_id is the
+    """with_digests(), refers_to (long) and refers_to_uri (that page's url): of pages with equal payloads of at least ``least_bytes``, the largest page_id is the
     response (null), the others refer to it. Smaller payloads are all responses.
 
     A payload that very many pages share is one row of the aggregate, made before the shuffle; the join reads written
     tables, so that Spark can split a skewed digest. Rows repeated with the largest page_id are responses each.
     """
     digested = cut(with_digests(pages), "pages")
-    counted = digested.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-    shared = cut(counted.where("_n > 1 AND _last IS NOT NULL").select(F.col("payload_digest").alias("_digest"), "_last"), "shared")
+    counted = digested.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.max_by("url", "page_id").alias("_uri"), F.count("*").alias("_n"))
+    shared = cut(counted.where("_n > 1 AND _last IS NOT NULL").select(F.col("payload_digest").alias("_digest"), "_last", "_uri"), "shared")
     joined = digested.join(shared, F.col("payload_digest") == F.col("_digest"), "left")
-    return joined.select(*digested.columns, F.when((F.col("page_id") != F.col("_last")) | (F.col("page_id").isNull() & F.col("_last").isNotNull()), F.col("_last")).alias("refers_to"))
+    other = (F.col("page_id") != F.col("_last")) | (F.col("page_id").isNull() & F.col("_last").isNotNull())
+    return joined.select(*digested.columns, F.when(other, F.col("_last")).alias("refers_to"), F.when(other, F.col("_uri")).alias("refers_to_uri"))
 
 
 def write(referred: DataFrame, folder: str, samples: int = 200, sample_bytes: int = 16 << 10) -> DataFrame:
@@ -200,13 +222,16 @@ def write(referred: DataFrame, folder: str, samples: int = 200, sample_bytes: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = store_of(folder)
         path, n = f"{at}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst", 0
+        date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
         def records() -> Iterator[bytes]:
+            own = 0
             for whole in batches:
                 for at in range(0, whole.num_rows, 64):
                     part = whole.slice(at, 64)
-                    for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                        yield record(page_id, url, html.encode(), digest, refers_to)
+                    for page_id, url, html, digest, refers_to, uri in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        yield record(page_id, url, html.encode(), digest, refers_to, uri, f"{path} {own}", date)
+                        own += 1
 
         rows = records()
         first = list(islice(rows, samples))
@@ -216,7 +241,7 @@ def write(referred: DataFrame, folder: str, samples: int = 200, sample_bytes: in
                 n = write_archive((x for some in (first, rows) for x in some), out, train_dictionary([x[:sample_bytes] for x in first]))
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return referred.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long")
+    return referred.select("page_id", "url", "html", "payload_digest", "refers_to", "refers_to_uri").mapInArrow(run, "path string, records long")
 
 
 def read(files: DataFrame, batch: int = 256) -> DataFrame:
@@ -235,8 +260,8 @@ def read(files: DataFrame, batch: int = 256) -> DataFrame:
                 with system.open_input_stream(at) as source:
                     for data in read_archive(source):
                         h, payload = parse(data)
-                        refers = _page(h["warc-refers-to"]) if h["warc-type"] == "revisit" else None
-                        rows.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], refers, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), payload))
+                        refers = _page(h["x-refers-to-page"]) if h["warc-type"] == "revisit" else None
+                        rows.append((_page(h["x-page"]), h.get("warc-target-uri"), h["warc-type"], refers, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), payload))
                         n += 1
                         held += len(payload)
                         if len(rows) >= batch or held > 4 << 20:
@@ -259,4 +284,4 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     cut = Cut(pages.sparkSession)
     folder = new_folder(pages.sparkSession, "warc")
     files = cut(write(refer(pages, cut, least_bytes), folder), "files")
-    return read(files.repartition(max(1, min(files.count(), 4096)))).drop("payload")
+    return read(files.repartition(max(1, files.count()))).drop("payload")  # a task for each archive

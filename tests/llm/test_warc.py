@@ -74,3 +74,18 @@ def test_broken_archives():
     for bad in (record.replace(b"payload\r", b"payloae\r"), record[:-1], record.replace(b"WARC/1.1", b"WARC/9.9"), record.replace(b"Content-Length: 6", b"Content-Length: 7"), record.replace(b"WARC-Type: response\r\n", b"")):
         with pytest.raises(warc.BrokenArchive):
             warc.parse(bad)
+
+
+def test_records_have_a_date_and_an_id_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>same"), (1, "http://a/", "<p>same"), (9, "http://b/", "<p>same")], "page_id long, url string, html string")
+    files = Cut(spark)(warc.write(warc.refer(pages.coalesce(1), Cut(spark)), new_folder(spark, "test")), "files").collect()
+    found = []
+    for f in files:
+        system, at = warc.store_of(f.path)
+        with system.open_input_stream(at) as source:
+            found += [warc.parse(x)[0] for x in warc.read_archive(source)]
+    assert len({h["warc-record-id"] for h in found}) == 3 and all(h["warc-date"].endswith("Z") for h in found)
+    assert {h["warc-refers-to-target-uri"] for h in found if h["warc-type"] == "revisit"} == {"http://b/"}
+    whole = warc.record(1, "u", b"x", warc.payload_digest(b"x"), None)
+    with pytest.raises(warc.BrokenArchive):
+        warc.parse(whole.replace(b"WARC-Date: 1970-01-01T00:00:00Z\r\n", b""))
