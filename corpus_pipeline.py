@@ -28,7 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind in brackets."""
-    return pii.redact(docs, pii.train(docs))
+    found = Cut(spark)(pii.candidates(docs), "found")
+    return pii.redact(found, pii.train(found))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

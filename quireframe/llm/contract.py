@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireframe.llm import embeddings, html, licenses, pii, toxicity, warc
 from quireframe.llm.audio import audio_round_trip
-from quireframe.llm.common import table
+from quireframe.llm.common import Cut, table
 from quireframe.llm.mixing import mix, tempered
 from quireframe.llm.packing import pack
 from quireframe.llm.simhash import near_duplicates
@@ -40,8 +40,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pii.digest(docs, pii.train(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = Cut(spark)(pii.candidates(docs).select(F.struct("row.doc_id").alias("row"), "found"), "found")
+    return pii.digest(found, pii.train(found))
 
 
 @query

@@ -101,64 +101,66 @@ def _features(m: Column, votes: Column, before: Column, after: Column) -> Column
     return F.array(*named)
 
 
-def _starts(parts: Column) -> Column:
-    """Where each match starts, in code points, from the gaps before the matches and their lengths."""
-    return F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, p: F.struct((s["at"] + p["gap"] + p["n"]).alias("at"), F.concat(s["out"], F.array(s["at"] + p["gap"])).alias("out")),
-        lambda s: s["out"],
-    )
+def _starts(parts: str) -> Column:
+    """Where each match starts, in code points, from the gaps before the matches and their lengths.
+
+    Matches are added up in stretches of about the root of their number, so that no long array is copied for each.
+    """
+    stretch = f"CAST(ceil(sqrt(size({parts}))) AS INT)"
+    inner = f"aggregate(slice({parts}, a + 1, {stretch}), named_struct('at', o.at, 'out', CAST(array() AS ARRAY<INT>)), (s, p) -> named_struct('at', s.at + p.gap + p.n, 'out', concat(s.out, array(s.at + p.gap))))"
+    outer = f"transform(array({inner}), x -> named_struct('at', x.at, 'out', concat(o.out, array(x.out))))[0]"
+    first = "named_struct('at', 0, 'out', CAST(array() AS ARRAY<ARRAY<INT>>))"
+    return F.expr(f"IF(size({parts}) = 0, CAST(array() AS ARRAY<INT>), aggregate(sequence(0, size({parts}) - 1, {stretch}), {first}, (o, a) -> {outer}, o -> flatten(o.out)))")
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with one more column, _pii_found: all candidate spans of the text.
+    """(row, found): each row of docs as a struct, so that no column's name clashes, and all candidate spans of its text.
 
     A span has kind (its place in KINDS), start, end (code points, end exclusive), base (whether it is one of the
-    fixed patterns' spans), votes and features. Null texts have none. Column names that start with _pii are taken.
+    fixed patterns' spans), votes and features. Null texts have none.
     """
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     patterns = PATTERNS | {"wide": WIDE}
-    df = docs.withColumns({f"_pii_m_{k}": F.regexp_extract_all(whole, F.lit(p), F.lit(0)) for k, p in patterns.items()})
-    df = df.withColumns({f"_pii_s_{k}": _cut_at(whole, p, F.col(f"_pii_m_{k}")) for k, p in patterns.items()})
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("whole"))
+    df = df.withColumns({f"m_{k}": F.regexp_extract_all("whole", F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    df = df.withColumns({f"s_{k}": _cut_at(F.col("whole"), p, F.col(f"m_{k}")) for k, p in patterns.items()})
 
     def parts(k: str) -> Column:
-        gaps = F.col(f"_pii_s_{k}")
+        gaps = F.col(f"s_{k}")
         return F.transform(
-            F.col(f"_pii_m_{k}"),
+            F.col(f"m_{k}"),
             lambda m, i: F.struct(
                 m.alias("m"), F.char_length(gaps[i]).alias("gap"), F.char_length(m).alias("n"),
                 F.right(gaps[i], F.lit(BEFORE)).alias("before"), F.left(gaps[i + 1], F.lit(1)).alias("after"),
             ),
         )
 
-    df = df.withColumns({f"_pii_p_{k}": parts(k) for k in patterns})
-    df = df.withColumns({f"_pii_at_{k}": _starts(F.col(f"_pii_p_{k}")) for k in patterns})
+    df = df.withColumns({f"p_{k}": parts(k) for k in patterns})
+    df = df.withColumns({f"at_{k}": _starts(f"p_{k}") for k in patterns})
 
     def span(number: Column, kind: str, p: Column, start: Column, base: Column) -> Column:
         return F.struct(number.alias("kind"), start.alias("start"), (start + p["n"]).alias("end"), base.alias("base"), p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after"))
 
     def spans(k: str) -> Column:
-        at = F.col(f"_pii_at_{k}")
-        every = F.transform(F.col(f"_pii_p_{k}"), lambda p, i: span(F.lit(KINDS.index(k)), k, p, at[i], _is_base(k, p["m"])))
+        at = F.col(f"at_{k}")
+        every = F.transform(F.col(f"p_{k}"), lambda p, i: span(F.lit(KINDS.index(k)), k, p, at[i], _is_base(k, p["m"])))
         likely = (lambda s: s["base"] | F.char_length(_digits(s["m"])).between(13, 19)) if k == "card" else (lambda s: s["base"])
         return F.filter(every, likely)
 
-    at = F.col("_pii_at_wide")
+    at = F.col("at_wide")
     kind = lambda m: F.when(m.rlike("^[0-9A-Fa-f]{1,4}:"), 1).when(m.rlike(r"^[(0-9][0-9() .-]+$"), 3).otherwise(0)
-    wide = F.transform(F.col("_pii_p_wide"), lambda p, i: span(kind(p["m"]), "wide", p, at[i], F.lit(False)))
-    df = df.withColumn("_pii_all", F.concat(*[spans(k) for k in KINDS], wide))
-    base = F.filter("_pii_all", lambda s: s["base"])
-    df = df.withColumn("_pii_base", base)
-    more = F.filter("_pii_all", lambda s: ~s["base"] & ~F.exists("_pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    wide = F.transform(F.col("p_wide"), lambda p, i: span(kind(p["m"]), "wide", p, at[i], F.lit(False)))
+    df = df.withColumn("every", F.concat(*[spans(k) for k in KINDS], wide))
+    base = F.filter("every", lambda s: s["base"])
+    df = df.withColumn("base", base)
+    more = F.filter("every", lambda s: ~s["base"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def judged(s: Column) -> Column:
         votes = reduce(lambda out, k: F.when(s["kind"] == k, _votes(KINDS[k], s["m"], s["base"], s["before"], s["after"])).otherwise(out), range(3), _votes("phone", s["m"], s["base"], s["before"], s["after"]))
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), votes.alias("votes"), s["m"].alias("m"), s["before"].alias("before"), s["after"].alias("after"))
 
-    df = df.withColumn("_pii_voted", F.transform(F.concat("_pii_base", more), judged))
-    found = F.transform("_pii_voted", lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"], s["votes"], _features(s["m"], s["votes"], s["before"], s["after"]).alias("features")))
-    return df.withColumn("_pii_found", found).select(*docs.columns, "_pii_found")
+    df = df.withColumn("voted", F.transform(F.concat("base", more), judged))
+    found = F.transform("voted", lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"], s["votes"], _features(s["m"], s["votes"], s["before"], s["after"]).alias("features")))
+    return df.select("row", found.alias("found"))
 
 
 @dataclass
@@ -203,13 +205,13 @@ def expectation_maximisation(counts: DataFrame, rounds: int = 25) -> DataFrame:
     return done.select("kind", F.expr(f"array({accuracy})").alias("accuracy"), F.col("q").alias("patterns"))
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Estimate the labelers' reliabilities and train the span classifier on all candidates of all rows."""
-    cut = Cut(docs.sparkSession)
-    one = docs.select(F.col(text).alias("text"))
-    # Written before they are exploded: else Spark tests for empty arrays first, and so finds all candidates twice or more.
-    found = cut(candidates(one).select("_pii_found"), "found")
-    spans = found.select(F.explode("_pii_found").alias("s")).select("s.kind", "s.votes", "s.features")
+def train(found: DataFrame) -> Model:
+    """Estimate the labelers' reliabilities and train the span classifier on all candidates() of all rows.
+
+    Candidates should be written before (as by Cut), so that texts are searched once for training and for what follows.
+    """
+    cut = Cut(found.sparkSession)
+    spans = found.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.features")
     counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n"))
     learnt = cut(expectation_maximisation(counts), "learnt")
     soft = learnt.select("kind", F.explode("patterns").alias("p")).select("kind", F.col("p.v").alias("votes"), F.col("p.y").alias("y"))
@@ -227,50 +229,56 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         else:
             weights[f"{r.kind} {r.feature}"] = log((r.good + 0.5) / (t.good + 1)) - log((r.bad + 0.5) / (t.bad + 1))
     accuracy = {KINDS[r.kind]: dict(zip(VOTERS, r.accuracy, strict=True)) for r in learnt.select("kind", "accuracy").collect()}
-    cut.drop(found, learnt)
+    cut.drop(learnt)
     return Model(accuracy, weights)
 
 
-def find(docs: DataFrame, model: Model, text: str = "text", column: str = "spans") -> DataFrame:
-    """The rows with one more column: array<struct<kind string, start int, end int, base boolean>> by kind, then start.
+def _spans(model: Model) -> Column:
+    """The spans of ``found`` that stay, by kind, then start."""
+    kept = F.filter("found", lambda s: s["base"] | (model.log_odds(s) >= 0))
+    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
+    names = F.array(*map(F.lit, KINDS))
+    return F.transform(ordered, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+
+
+def find(found: DataFrame, model: Model, column: str = "spans") -> DataFrame:
+    """The rows of candidates() with one more column: array<struct<kind string, start int, end int, base boolean>> by kind, then start.
 
     All base spans, and the other candidates that the classifier takes. Null and empty texts have an empty array;
-    every row comes out once, in any number of repeats; a column of the new name is replaced.
+    every row comes out once, in any number of repeats; an empty table stays one; a column of the new name is replaced.
     """
-    df = candidates(docs.drop(column), text)
-    kept = F.filter("_pii_found", lambda s: s["base"] | (model.log_odds(s) >= 0))
-    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
-    names = F.array(*map(F.lit, KINDS))
-    return df.withColumn(column, F.transform(ordered, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))).drop("_pii_found")
+    names = [c for c in found.schema["row"].dataType.names if c != column]
+    return found.select(*[F.col("row")[c].alias(c) for c in names], _spans(model).alias(column))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, counts of the base spans by kind, SHA-256 of the joined base spans, and all spans joined."""
-    df = find(docs.select("doc_id", "text"), model, column="_spans")
-    base = F.filter("_spans", lambda s: s["base"])
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return df.withColumn("_base", base).select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+def digest(found: DataFrame, model: Model) -> DataFrame:
+    """Per row of candidates(): doc_id, counts of the base spans by kind, SHA-256 of the joined base spans, and all spans joined."""
+    df = found.select(F.col("row.doc_id").cast("long").alias("doc_id"), _spans(model).alias("spans")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return df.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with each span of the text replaced by its kind in brackets, as in [EMAIL].
+def redact(found: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of candidates() with each span of the text replaced by its kind in brackets, as in [EMAIL].
 
-    Spans that overlap are replaced together, under the kind of the first. Null texts stay null. A column n_chars is
-    set to the new length.
+    Spans that overlap are replaced together, under the kind of the first. Null texts stay null, empty ones empty;
+    repeated rows stay as often, an empty table stays one. A column n_chars is set to the new length.
     """
-    found = find(docs, model, column="_pii_spans")
-    by_start = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.withColumn("_pii_spans", by_start)
-    step = lambda a, s: (
-        F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.col("text").substr(a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
-        .otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    )
-    new = F.aggregate("_pii_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.col("text").substr(a["at"] + 1, F.lit(2147483647))))
-    out = found.withColumn("text", F.when(F.size("_pii_spans") > 0, new).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    schema = found.schema["row"].dataType
+    step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.struct(s["start"], a["at"].alias("from"), s["kind"]))).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+    by_start = F.array_sort(F.transform(_spans(model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<start:int,from:int,kind:string>>")
+    whole = F.col("row")[text].cast("string")
+    df = found.select("row", whole.alias("whole"), by_start.alias("spans")).withColumn("cuts", F.aggregate("spans", F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    pieces = F.transform("cuts.out", lambda c: F.concat(F.col("whole").substr(c["from"] + 1, c["start"] - c["from"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    new = F.concat(F.array_join(pieces, ""), F.col("whole").substr(F.col("cuts.at") + 1, F.lit(2147483647)))
+    df = df.withColumn("whole", F.when(F.size("spans") > 0, new).otherwise(F.col("whole")))
+    own = {c: F.col("row")[c] for c in schema.names}
+    own[text] = F.col("whole").cast(schema[text].dataType)
+    if "n_chars" in own:
+        own["n_chars"] = F.char_length("whole").cast(schema["n_chars"].dataType)
+    return df.select(*[v.alias(c) for c, v in own.items()])

@@ -47,25 +47,25 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def model(spark, sf):
-    return pii.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    return pii.train(pii.candidates(spark.read.parquet(f"{sf}/documents.parquet")))
 
 
 def test_base_spans_and_redaction(spark, model):
     rows = [(i, t, len(t or ""), "x") for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
-    for r in pii.find(df, model).collect():
+    for r in pii.find(pii.candidates(df), model).collect():
         base = [(s.kind, s.start, s.end) for s in r.spans if s.base]
         assert base == plain_spans(TEXTS[r.doc_id]), r.doc_id
         order = [(pii.KINDS.index(s.kind), s.start) for s in r.spans]
         assert order == sorted(order)
-    for r in pii.redact(df, model).collect():
+    for r in pii.redact(pii.candidates(df), model).collect():
         if TEXTS[r.doc_id] is None:
             assert r.text is None
             continue
         assert not plain_spans(r.text) and r.n_chars == len(r.text)
         if not plain_spans(TEXTS[r.doc_id]):
             assert r.text == TEXTS[r.doc_id] or "[" in r.text
-    assert pii.digest(df.limit(0), model).count() == 0
+    assert pii.digest(pii.candidates(df.limit(0)), model).count() == 0
 
 
 def test_query(spark, sf):
@@ -80,9 +80,9 @@ def test_query(spark, sf):
 
 
 def test_training_without_candidates(spark):
-    empty = pii.train(spark.createDataFrame([(1, "nothing"), (2, None)], "doc_id long, text string"))
+    empty = pii.train(pii.candidates(spark.createDataFrame([(1, "nothing"), (2, None)], "doc_id long, text string")))
     assert empty.weights == {}
-    got = pii.digest(spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string"), empty).first()
+    got = pii.digest(pii.candidates(spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")), empty).first()
     assert got.spans == "email:0:7"
 
 
@@ -98,7 +98,18 @@ def test_weak_labels_reject_secrets_and_take_spelt_out_addresses(spark):
     bad = [f"token={4111111111111112 + i} end" for i in range(60) if not luhn(str(4111111111111112 + i))]
     card = [f"card {c} end" for c in ("4111111111111111", "4242424242424242", "5555555555554444") * 12]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + card)], "doc_id long, text string")
-    model = pii.train(docs)
-    rows = {r.text: [(s.kind, s.base) for s in r.spans] for r in pii.find(docs, model).collect()}
+    model = pii.train(pii.candidates(docs))
+    rows = {r.text: [(s.kind, s.base) for s in r.spans] for r in pii.find(pii.candidates(docs), model).collect()}
     assert all(rows[t] == [] for t in bad)
     assert all(rows[t] == [("email", i < 60)] for i, t in enumerate(good))
+
+
+def test_clashing_names_and_many_matches(spark, model):
+    """Columns named as the inner ones, and a text with very many matches."""
+    many = "mail a@b.com or 10.0.0.1, " * 1500
+    df = spark.createDataFrame([(many, 1, "w", "e", "b", 5), (None, 2, "w", "e", "b", 6)], "text string, doc_id long, whole string, every string, found string, row int")
+    got = {r.doc_id: r for r in pii.redact(pii.candidates(df), model).collect()}
+    assert got[1].asDict().keys() == set(df.columns) and (got[1].whole, got[1].found, got[2].row, got[2].text) == ("w", "b", 6, None)
+    assert got[1].text == "mail [EMAIL] or [IP], " * 1500
+    spans = pii.find(pii.candidates(df), model).where("doc_id = 1").first().spans
+    assert [(s.kind, s.start, s.end) for s in spans] == plain_spans(many)

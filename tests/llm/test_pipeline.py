@@ -37,7 +37,7 @@ def test_stages_against_plain_versions(spark):
     one = {r.doc_id: r for r in single.collect()}
     assert set(one) == {groups[i] for i in range(len(rows))} and all(kept[d] == r for d, r in one.items())
 
-    spans = {r.doc_id: r.spans for r in pii.find(single, pii.train(single)).collect()}
+    spans = {r.doc_id: r.spans for r in pii.find(pii.candidates(single), pii.train(pii.candidates(single))).collect()}
     hidden = {r.doc_id: r for r in masked.collect()}
     assert set(hidden) == set(one) and any(spans.values())
     for d, r in hidden.items():
