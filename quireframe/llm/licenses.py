@@ -22,12 +22,12 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def winnow(words: list[str], k: int = 3, window: int = 4, whole: int = 30) -> list[int]:
-    """Where the fingerprints of a template begin: of each ``window`` shingles of ``k`` words in a row the one with the
-    least hash (the last of equal ones). All shingles of a template of at most ``whole`` words are fingerprints."""
+def winnow(words: list[str], k: int = 3, widest: int = 4, least: int = 8) -> list[int]:
+    """Where the fingerprints of a template begin: of each window of shingles (``k`` words in a row) the one with the
+    least hash, the last of equal ones. A window has ``widest`` shingles, or fewer where else the template would have
+    less than ``least`` windows of its own."""
     n = max(1, len(words) - k + 1)
-    if len(words) <= whole:
-        return list(range(n))
+    window = max(1, min(widest, n // least))
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(n)]
     return sorted({min(range(at, at + window), key=lambda i: (hashes[i], -i)) for at in range(n - window + 1)})
 
@@ -64,6 +64,70 @@ def align(template: list[str], words: list[str], low: int, high: int) -> tuple[i
     return best
 
 
+@dataclass
+class Run:
+    """Fingerprints of a template that follow each other near one diagonal: first and last places, diagonals, how many."""
+
+    first_i: int
+    first_j: int
+    last_i: int
+    last_j: int
+    low: int
+    high: int
+    last: int
+    hits: int = 1
+
+
+def runs_of(hits: list[tuple[int, int]], size: int, reach: int) -> list[Run]:
+    """The runs of a template's hits (place in the template, place in the text), by place in the text.
+
+    A hit goes on from the run with the nearest diagonal, at most ``reach`` away, that is not as far in the template.
+    Open runs stand by diagonal; those too far behind in the text to go on are passed over.
+    """
+    out: list[Run] = []
+    open_: dict[int, list[Run]] = {}
+    for i, j in hits:
+        d = j - i
+        near = []
+        for b in range(d // (reach + 1) - 1, d // (reach + 1) + 2):
+            if own := open_.get(b):
+                own[:] = [r for r in own if j - r.last_j <= size + reach]
+                near += [r for r in own if r.last_i < i and abs(d - r.last) <= reach]
+        if near:
+            r = min(near, key=lambda r: (abs(d - r.last), -r.last_j))
+            open_[r.last // (reach + 1)].remove(r)
+            r.last_i, r.last_j, r.low, r.high, r.last, r.hits = i, j, min(d, r.low), max(d, r.high), d, r.hits + 1
+        else:
+            r = Run(i, j, i, j, d, d, d)
+            out.append(r)
+        open_.setdefault(r.last // (reach + 1), []).append(r)
+    return out
+
+
+def chains_of(runs: list[Run], size: int) -> list[list[Run]]:
+    """Chains of two runs or more that follow each other in template and text with at most ``size`` words between:
+    a template with something longer put in or left out. Each run takes the predecessor with most fingerprints."""
+    runs = sorted(runs, key=lambda r: r.first_j)
+    total, before = [r.hits for r in runs], [-1] * len(runs)
+    for n, r in enumerate(runs):
+        for m in range(n - 1, -1, -1):
+            p = runs[m]
+            if p.first_j < r.first_j - 3 * size:
+                break
+            if p.first_i < r.first_i and p.last_i < r.last_i and r.first_j - p.last_j <= size and r.hits + total[m] > total[n]:
+                total[n], before[n] = r.hits + total[m], m
+    out, used = [], set()
+    for n in sorted(range(len(runs)), key=lambda n: (-total[n], n)):
+        chain = []
+        while n >= 0 and n not in used:
+            used.add(n)
+            chain.append(runs[n])
+            n = before[n]
+        if len(chain) > 1:
+            out.append(chain[::-1])
+    return out
+
+
 @dataclass
 class Templates:
     """License templates as words, and the inverted index of their fingerprints: phrase to (template, place)."""
@@ -90,8 +154,9 @@ class Templates:
     def find(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(license, start, end, matched words, coverage) of every match, by start; start and end in code points.
 
-        Fingerprints of one template that follow each other near one diagonal are a candidate; it is aligned in a band
-        around them. Coverage is the share of the template's words that match. Of matches that overlap the one with
+        Runs of a template's fingerprints near one diagonal are candidates; the template is aligned in a band around each.
+        Runs that follow each other are a candidate too, in a band around all of them: so a template with a clause put in
+        or left out is matched by what it keeps. Coverage is the share of the template's words that match. Of matches that overlap the one with
         more matched words stays, then the one with the higher coverage, the earlier, the first by name.
         """
         if not text or not len(self.index):
@@ -102,27 +167,22 @@ class Templates:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = words_of(text)
-        groups: dict[int, list[list[int]]] = {}  # by template: [last place, least and largest diagonal]
+        by_template: dict[int, list[tuple[int, int]]] = {}
         at, place = 0, 0
         for start, found in hits:
             place += plain.count(" ", at, start)
             at = start
             for t, i in found:
-                d, reach = place - i, self._reach(t)
-                own = groups.setdefault(t, [])
-                for g in own[-1:-9:-1]:
-                    if i > g[0] and abs(d - g[3]) <= reach:
-                        g[0], g[1], g[2], g[3] = i, min(d, g[1]), max(d, g[2]), d
-                        break
-                else:
-                    own.append([i, d, d, d])
+                by_template.setdefault(t, []).append((i, place))
         matches = []
-        for t, own in groups.items():
+        for t, own in by_template.items():
             reach, size = self._reach(t), len(self.words[t])
-            for low, high in sorted({(g[1] - reach, g[2] + reach) for g in own}):
+            runs = runs_of(own, size, reach)
+            bands = [(r.low - reach, r.high + reach) for r in runs]
+            bands += [(min(r.low for r in chain) - reach, max(r.high for r in chain) + reach) for chain in chains_of(runs, size)]
+            for low, high in sorted(set(bands)):
                 first = max(0, low)
-                part = words[first : high + size]
-                _, matched, a, b = align(self.words[t], part, low - first, high - first)
+                _, matched, a, b = align(self.words[t], words[first : max(first, high + size)], low - first, high - first)
                 if matched >= self.least * size:
                     matches.append((matched, matched / size, first + a, first + b, self.names[t]))
         kept: list[tuple] = []  # by place; none overlaps another

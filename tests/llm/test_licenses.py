@@ -83,3 +83,19 @@ def test_hard_rows(spark):
     assert got[3] == (3, [("MIT", 1_000_000, 1_000_000 + len(TEMPLATES["MIT"]) - 1, 1.0)])
     assert got[4] == got[5] == (4, [("MIT notice", 2, 34, 1.0)]) and len(got[6][1]) == 50
     assert scan(df.limit(0)).count() == 0 and all(not r.matches for r in scan(df, {}).collect())
+
+
+def test_clauses_put_in_and_left_out():
+    """A published variant with a clause more, and a text whose many repeated phrases open many runs."""
+    known = Templates(TEMPLATES)
+    extra = " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+    third = TEMPLATES["BSD-3-Clause"].index(" 3. Neither")
+    text = TEMPLATES["BSD-3-Clause"][:third] + extra + TEMPLATES["BSD-3-Clause"][third:].replace(" 3. ", " 4. ")
+    found = known.find("Some words. " + text)
+    assert [m[0] for m in found] == ["BSD-3-Clause"] and found[0][4] > 0.98 and found[0][1] == len("Some words. ") and found[0][2] >= len("Some words. " + text) - 2
+    words = [f"w{i}" for i in range(60)]
+    for n in range(5, 60, 6):
+        words[n : n + 3] = ["again", "and", "again"]
+    own = Templates({"own": " ".join(words)})
+    noisy = "again and again " * 40 + " ".join(words[:20]) + " again and again" * 12 + " ".join(words[20:])
+    assert [m[0] for m in own.find(noisy)] == ["own"]
