@@ -28,7 +28,8 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, paragraphs, table_rows, text_length, outline_items) of each document, computed inside its row."""
     p = docs.select(key, lines_of(F.col(text)).alias("p"))
-    heading = F.filter(F.transform("p", lambda x, i: T.role(x, i)), lambda r: r != "body")
+    solid = F.transform("p", lambda x: F.struct(x.alias("text"), T.solid_length(x).alias("solid")))
+    heading = F.filter(F.transform(solid, lambda b, i: T.role(b["text"], i, solid=b["solid"])), lambda r: r != "body")
     return p.select(
         key, F.size("p").alias("paragraphs"), F.size(F.filter("p", lambda x: T.is_table_line(x))).alias("table_rows"),
         F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + F.char_length(x)).alias("text_length"), F.size(heading).alias("outline_items"),
@@ -131,8 +132,9 @@ def pages(docs: DataFrame, key: str, text: str, height: float = 931.0, width: fl
     A page is full where the next paragraph would exceed the height; a paragraph higher than a page stands alone.
     """
     p = docs.select(key, lines_of(F.col(text)).alias("p"))
-    # in two steps, so that the role is worked out once for each paragraph
-    roles = F.transform("p", lambda x, i: F.struct(x.alias("text"), T.role(x, i).alias("role")))
+    # in steps, so that the length and the role are worked out once for each paragraph
+    solid = F.transform("p", lambda x: F.struct(x.alias("text"), T.solid_length(x).alias("solid")))
+    roles = F.transform(solid, lambda b, i: F.struct(b["text"].alias("text"), T.role(b["text"], i, solid=b["solid"]).alias("role")))
     sized = p.select(key, F.transform(roles, lambda b: F.struct(b["role"].alias("role"), T.paragraph_height(b["text"], b["role"], width).alias("height"))).alias("b"))
     placed = sized.withColumn("page", _greedy(F.col("b.height"), F.lit(height))).select(key, F.posexplode(F.arrays_zip("b", "page")).alias("ord", "z"))
     return placed.select(key, "ord", "z.b.role", F.round("z.b.height", 4).alias("height"), "z.page")

@@ -6,6 +6,7 @@ exact test as a residual, so that no join compares every range with every other.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,19 +86,28 @@ def expand(ranges: DataFrame, merges: DataFrame, rounds: int = 100) -> DataFrame
     raise RuntimeError(f"ranges still grow after {rounds} rounds")
 
 
-def drop_overlapping(merges: DataFrame, rounds: int = 1000) -> DataFrame:
+def drop_overlapping(merges: DataFrame) -> DataFrame:
     """The merges (sheet_id, merge_id and ends) that overlap no kept one with a smaller merge_id: the first come stay.
 
-    In each round a merge that overlaps no undecided smaller one is kept, and those that overlap a kept one go.
+    A merge that ends before it begins, or begins before the first row or column, is not kept either. Each sheet is
+    folded in order of merge_id in one task, as each choice hangs on those before it; only ids and ends go there, and
+    a merge is held against the kept ones by tile.
     """
-    pairs = overlapping(merges.withColumnRenamed("merge_id", "range_id"), merges).where("merge_id < range_id").select("sheet_id", "range_id", "merge_id")
-    pairs = cut(pairs)
-    dropped = pairs.select("sheet_id", "range_id").limit(0)
-    for _ in range(rounds):
-        open_ = pairs.join(dropped, ["sheet_id", "range_id"], "left_anti").join(dropped.withColumnRenamed("range_id", "merge_id"), ["sheet_id", "merge_id"], "left_anti")
-        if not open_.take(1):
-            return merges.join(dropped.withColumnRenamed("range_id", "merge_id"), ["sheet_id", "merge_id"], "left_anti")
-        later = open_.select("sheet_id", F.col("range_id").alias("merge_id")).distinct()
-        lost = open_.join(later, ["sheet_id", "merge_id"], "left_anti").select("sheet_id", "range_id").distinct()
-        dropped = cut(dropped.unionByName(lost))
-    raise RuntimeError(f"merges are not settled after {rounds} rounds")
+    own = merges.select("sheet_id", "merge_id", *ENDS)
+
+    def fold(sheet: pd.DataFrame) -> pd.DataFrame:
+        tiles: dict[tuple[int, int], list[tuple]] = {}
+        kept = []
+        for sheet_id, merge_id, a, b, c, d in sheet.sort_values("merge_id").itertuples(index=False):
+            if not (1 <= a <= c and 1 <= b <= d):
+                continue
+            there = [(x, y) for x in range(a // a1.TILE_ROWS, c // a1.TILE_ROWS + 1) for y in range(b // a1.TILE_COLUMNS, d // a1.TILE_COLUMNS + 1)]
+            if any(a <= e[2] and e[0] <= c and b <= e[3] and e[1] <= d for t in there for e in tiles.get(t, ())):
+                continue
+            for t in there:
+                tiles.setdefault(t, []).append((a, b, c, d))
+            kept.append((sheet_id, merge_id))
+        return pd.DataFrame(kept, columns=["sheet_id", "merge_id"])
+
+    kept = own.groupBy("sheet_id").applyInPandas(fold, own.select("sheet_id", "merge_id").schema)
+    return merges.join(kept, ["sheet_id", "merge_id"], "left_semi")

@@ -90,13 +90,13 @@ def slide_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sheet_profiles",
-    """SELECT l_suppkey, count(*) AS rows, CAST(max(l_linenumber) * 30 AS INT) AS columns, CASE WHEN max(l_linenumber) * 30 >= 100 THEN 'two-axis-window' WHEN count(*) >= 500 OR count(*) * max(l_linenumber) * 30 >= 20000 THEN 'row-window' ELSE 'table' END AS mode
-FROM lineitem WHERE l_linenumber % 4 <> 0 OR l_suppkey % 3 = 0 GROUP BY l_suppkey""",
+    """WITH s AS (SELECT l_suppkey, count(*) AS rows, CAST(max(l_linenumber) * (5 + l_suppkey % 12) AS INT) AS columns FROM lineitem GROUP BY l_suppkey)
+SELECT *, CASE WHEN columns >= 100 THEN 'two-axis-window' WHEN rows >= 500 OR rows * columns >= 20000 THEN 'row-window' ELSE 'table' END AS mode FROM s""",
 )
 def sheet_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-SHEETPROFILE, AG-ARCHIVE, AG-CANVAS: how the suppliers' sheets are to be shown."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber % 4 <> 0 OR l_suppkey % 3 = 0")
-    sizes = lines.groupBy("l_suppkey").agg(F.count("*").alias("rows"), (F.max("l_linenumber") * 30).alias("columns"))
+    columns = (F.max("l_linenumber") * (5 + F.col("l_suppkey") % 12)).cast("int").alias("columns")
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"), columns)
     return sizes.withColumn("mode", charts.sheet_profile(F.col("rows"), F.col("columns")))
 
 

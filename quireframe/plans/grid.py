@@ -143,12 +143,12 @@ def order_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MERGES_SQL = """m AS (SELECT CAST(o_orderkey // 500 AS VARCHAR) AS sheet_id, o_orderkey AS merge_id, CAST(o_orderkey % 500 + 1 AS INT) AS start_row, CAST(o_custkey % 60 + 1 AS INT) AS start_column,
   CAST(o_orderkey % 500 + 1 + o_custkey % 3 AS INT) AS end_row, CAST(o_custkey % 60 + 1 + o_orderkey % 4 AS INT) AS end_column FROM orders)"""
-RANGES_SQL = """r AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY merge_id) AS n, merge_id AS range_id, start_row, start_column, start_row + 2 AS end_row, start_column + 3 AS end_column FROM m WHERE merge_id % 50 = 7)"""
+RANGES_SQL = """r AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY merge_id) AS n, merge_id AS range_id, start_row, start_column, start_row + 2 AS end_row, start_column + 3 AS end_column FROM m)"""
 
 
-def some_ranges(merged: DataFrame) -> DataFrame:
-    """Ranges of three rows and four columns that begin where some of the merges do."""
-    return merged.where("merge_id % 50 = 7").select("sheet_id", F.col("merge_id").alias("range_id"), "start_row", "start_column", (F.col("start_row") + 2).alias("end_row"), (F.col("start_column") + 3).alias("end_column"))
+def ranges_at(merged: DataFrame) -> DataFrame:
+    """Ranges of three rows and four columns that begin where the merges do."""
+    return merged.select("sheet_id", F.col("merge_id").alias("range_id"), "start_row", "start_column", (F.col("start_row") + 2).alias("end_row"), (F.col("start_column") + 3).alias("end_column"))
 
 
 @query(
@@ -186,7 +186,7 @@ SELECT r.sheet_id, range_id, merge_id, m.start_row AS m_start_row, m.start_colum
 def merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-MERGE-ISECT, JN-OBJ-ISECT: the merges that a range touches."""
     merged = order_merges(spark, sf_dir)
-    return merges.overlapping(some_ranges(merged), merged)
+    return merges.overlapping(ranges_at(merged), merged)
 
 
 @query(
@@ -203,10 +203,20 @@ SELECT sheet_id, range_id, arg_max(a, step) AS start_row, arg_max(b, step) AS st
 def merge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QR-MERGE-EXPAND: ranges grown until no merge is cut."""
     merged = order_merges(spark, sf_dir)
-    return merges.expand(some_ranges(merged), merged)
+    return merges.expand(ranges_at(merged), merged)
 
 
-@query("merge_reject")
+@query(
+    "merge_reject",
+    f"""WITH RECURSIVE {MERGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY merge_id) AS n FROM m),
+k(sheet_id, n, kept) AS (
+  SELECT sheet_id, 1::BIGINT, [struct_pack(i := merge_id, a := start_row, b := start_column, c := end_row, d := end_column)] FROM o WHERE n = 1
+  UNION ALL
+  SELECT k.sheet_id, o.n, CASE WHEN len(list_filter(kept, lambda x: x.a <= o.end_row AND o.start_row <= x.c AND x.b <= o.end_column AND o.start_column <= x.d)) > 0 THEN kept
+    ELSE list_append(kept, struct_pack(i := merge_id, a := start_row, b := start_column, c := end_row, d := end_column)) END FROM k JOIN o ON o.sheet_id = k.sheet_id AND o.n = k.n + 1),
+z AS (SELECT sheet_id, unnest(arg_max(kept, n)) AS x FROM k GROUP BY sheet_id)
+SELECT sheet_id, x.i AS merge_id, x.a AS start_row, x.b AS start_column, x.c AS end_row, x.d AS end_column FROM z""",
+)
 def merge_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-OVERLAP-REJECT: the merges that overlap none that came before and stays."""
     return merges.drop_overlapping(order_merges(spark, sf_dir))

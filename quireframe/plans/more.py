@@ -117,9 +117,20 @@ def measured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("user_id", "z.b.event_id", F.col("z.p").alias("page"))
 
 
-@query("measuring_batches")
+@query(
+    "measuring_batches",
+    """WITH RECURSIVE h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 5 = 0 THEN event_id % 90 ELSE 0 END AS size FROM events),
+f(user_id, n, start, batch, held, used) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM events
+  UNION ALL
+  SELECT user_id, n, b, b + k, CASE WHEN k > 0 THEN 1 ELSE h1 + 1 END, u - 200 * k FROM (
+    SELECT *, greatest(u - 1, 0) // 200 AS k FROM (
+      SELECT user_id, n, CASE WHEN full_ THEN batch + 1 ELSE batch END AS b, CASE WHEN full_ THEN 0 ELSE held END AS h1, CASE WHEN full_ THEN 0 ELSE used END + size AS u
+      FROM (SELECT f.user_id, h.n, f.batch, f.held, f.used, h.size, f.held >= 100 OR h.size > 0 AND f.used >= 200 AS full_ FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1))))
+SELECT f.user_id, event_id, CAST(start AS INT) AS batch FROM f JOIN h USING (user_id, n)""",
+)
 def measuring_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-MEASBATCH: blocks of a user's document, some of them tables, in batches; a test has a plain version."""
+    """WN-MEASBATCH: blocks of a user's document, some of them tables, in batches."""
     blocks = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 90).otherwise(0).cast("int").alias("rows")))).alias("b"))
     placed = blocks.withColumn("p", layout.measuring_batches(F.col("b.rows"))).select("user_id", F.explode(F.arrays_zip("b", "p")).alias("z"))
     return placed.select("user_id", "z.b.event_id", F.col("z.p").alias("batch"))
