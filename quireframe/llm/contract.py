@@ -53,7 +53,8 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    index, counted = toxicity.fit_and_count(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, index) if counted is None else toxicity.score_counted(counted, index)
 
 
 @query

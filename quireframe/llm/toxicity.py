@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quireframe.llm.common import Cut, new_folder, store_of
 
 BETWEEN_WORDS = re.compile(r"\W+")
+MARKS = ".,;:!?()[]{}\"'"  # characters of no word that often stand around one
 #: Lengths of the word beginnings that are terms beside whole words (a term with an asterisk is a beginning).
 BEGINNINGS = (4, 5, 6, 7)
 #: A beginning's so manieth occurrence in a text is a term of its own (its number stands after the asterisk): a chance
@@ -317,7 +318,9 @@ class Reader:
 
     def _run(self, run: str) -> tuple[list[int], list[str]]:
         """(words of the vocabulary, stems of markers) in a run without white space."""
-        words = [w for w in BETWEEN_WORDS.split(run.lower()) if w]
+        low = run.lower()
+        bare = low.strip(MARKS)
+        words = [bare] if bare.isalnum() else [w for w in BETWEEN_WORDS.split(low) if w]
         stems = [x for w in words for x in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if x in self.markers] if self.markers else []
         found = [self.words[w] for w in words if w in self.words]
         if len(self.single) + len(self.others) < self.keep:
@@ -399,39 +402,73 @@ def in_groups(items: list, size: int = 64) -> Iterator[list]:
         yield items[at : at + size]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
-    """(term, n): in how many rows of docs each term of a stored vocabulary is; term -1 has the number of rows.
+COUNTED = "doc_id long, held_out boolean, counts binary"
 
-    Each task adds its texts up, so at most a row for each task and term is shuffled.
-    """
+
+def packed(counts: np.ndarray) -> bytes:
+    """(term, count) rows as 32-bit numbers: the steps from term to term, then the counts."""
+    return np.concatenate([np.diff(counts[:, 0], prepend=0), counts[:, 1]]).astype("<i4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    steps, numbers = np.frombuffer(raw, "<i4").reshape(2, -1)
+    return np.stack([np.cumsum(steps, dtype=np.int64), numbers], axis=1)
+
+
+def count_terms(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
+    """(doc_id, held_out, counts): the packed() counts of a stored vocabulary's terms in each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = READERS.get(vocabulary)
         if reader is None:
             READERS.clear()
             reader = READERS.setdefault(vocabulary, Reader(_kept(vocabulary), marks))
-        seen, rows = None, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(reader.counts(t)) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "held_out", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTED)
+
+
+def document_frequencies(counted: DataFrame) -> DataFrame:
+    """(term, n): in how many rows of count_terms() each term is; term -1 has the number of rows.
+
+    Each task adds its rows up, so at most a row for each task and term is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(0, np.int64), 0
         for b in batches:
-            if seen is None:
-                seen = np.zeros(reader.own + marks, np.int64)
             rows += b.num_rows
-            for t in b.column(0).to_pylist():
-                seen[reader.counts(t)[:, 0]] += 1
-        found = np.nonzero(seen)[0] if seen is not None else np.zeros(0, np.int64)
-        numbers = seen[found] if seen is not None else found
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(numbers, rows))], names=["term", "n"])
+            found = np.bincount(np.concatenate([np.zeros(0, np.int64), *(unpacked(x)[:, 0] for x in b.column(0).to_pylist())]))
+            if len(found) < len(seen):
+                seen[: len(found)] += found
+            else:
+                found[: len(seen)] += seen
+                seen = found
+        terms = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1).astype(np.int32)), pa.array(np.append(seen[terms], rows))], names=["term", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counted.select("counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> Index | Stored:
-    """Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
+    """fit_and_count() without the counts."""
+    return fit_and_count(docs, labels, most_examples, k)[0]
+
+
+def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> tuple[Index | Stored, DataFrame | None]:
+    """An index of labelled examples, and count_terms() of all documents, from which score_counted() goes on.
+
+    Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
 
     The vocabulary is all words of these examples, and as markers the terms that mark toxic examples beyond chance (a
     Chernoff bound over all terms seen); a word with a chosen beginning that is as precise is no marker of its own.
     Terms weigh by how few of all documents have them. A label above zero is toxic, any other is not, null ones are
     passed over; of several labels of one document the largest counts, of several rows of one doc_id the least text.
-    One task builds the index and writes it into the shared folder; its size is bounded by the examples.
+    One task builds the index and writes it into the shared folder; its size is bounded by the examples. Without
+    examples of both kinds there is nothing to count (None).
     """
     cut = Cut(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -454,7 +491,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
     toxic, other = (whole.toxic, whole.other) if whole else (0, 0)
     if not toxic or not other:
         cut.drop(texts, tallied)
-        return Index([], np.zeros(0), prior=(toxic + 0.5) / (toxic + other + 1), clear=(toxic, other))
+        return Index([], np.zeros(0), prior=(toxic + 0.5) / (toxic + other + 1), clear=(toxic, other)), None
     rate = toxic / (toxic + other)
     p, n = F.col("toxic") / (F.col("toxic") + F.col("other")), F.col("toxic") + F.col("other")
     excess = n * (p * F.log(p / rate) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0))
@@ -475,7 +512,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
     # The words of at most most_examples texts.
     words = tallied.where("term != '' AND instr(term, '*') = 0").select("term").repartition(1).sortWithinPartitions("term")
     vocabulary = words.mapInArrow(number, "path string").first().path
-    frequencies = cut(document_frequencies(docs, vocabulary, len(markers)), "frequencies")
+    counted = cut(count_terms(docs, vocabulary, len(markers)), "counted")
+    frequencies = cut(document_frequencies(counted), "frequencies")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(_kept(vocabulary)) + 1)  # the last one, -1, is the number of rows
@@ -508,7 +546,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
     # At most most_examples rows of two numbers.
     fitted.fit_steps([tuple(r) for r in texts.select("text", "toxic").repartition(24).mapInArrow(votes, "vote double, toxic int").collect()])
     cut.drop(texts, tallied, frequencies)
-    return Stored(stored.path, fitted.steps)
+    return Stored(stored.path, fitted.steps), counted
 
 
 def of_texts(index: Index | Stored, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
@@ -520,6 +558,13 @@ def of_texts(index: Index | Stored, texts: list[str | None]) -> list[tuple[float
     return [known[t] for t in texts]
 
 
+def _scored(b: pa.RecordBatch, out: list, threshold: float) -> pa.RecordBatch:
+    scores = pa.array([s for s, _, _ in out], pa.float64())
+    predicted = pa.array([int(s >= threshold) for s, _, _ in out], pa.int32())
+    arrays = [b.column(0), b.column(1), scores, predicted, pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
+
+
 def score(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines), one row per document.
 
@@ -532,15 +577,26 @@ def score(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = of_texts(index, b.column(2).to_pylist())
-            scores = pa.array([s for s, _, _ in out], pa.float64())
-            predicted = pa.array([int(s >= threshold) for s, _, _ in out], pa.int32())
-            arrays = [b.column(0), b.column(1), scores, predicted, pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
+            yield _scored(b, of_texts(index, b.column(2).to_pylist()), threshold)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
+def score_counted(counted: DataFrame, index: Stored, threshold: float = 0.7) -> DataFrame:
+    """score() of the rows of count_terms(), whose texts need not be read again; equal counts are worked out once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = opened(index)
+        for b in batches:
+            rows = b.column(2).to_pylist()
+            known: dict = dict.fromkeys(rows)
+            for group in in_groups(list(known)):
+                known.update(zip(group, own.scores([unpacked(x) for x in group]), strict=True))
+            yield _scored(b, [known[x] for x in rows], threshold)
+
+    return counted.select("doc_id", "held_out", "counts").mapInArrow(run, SCORES)
+
+
 def clean(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose text scores below the threshold, all their columns as they were."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,3 +118,18 @@ def test_odd_labels_and_repeated_rows(spark):
     rows = toxicity.score(docs, toxicity.fit(docs, labels, most_examples=30)).collect()
     assert len(rows) == 402 and all(0 <= r.score <= 1 for r in rows)
     assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id < 40)
+    index, counted = toxicity.fit_and_count(docs, labels, most_examples=30)
+    again = toxicity.score_counted(counted, index).collect()
+    assert sorted((r.doc_id, r.score) for r in again) == sorted((r.doc_id, r.score) for r in rows)
+
+
+def test_runs_are_split_as_words():
+    words = ["Word,", "don't", "(x)", "É.a", "_a", "a_", "İx", "...", "x–y", "“quoted”", "ſt", "Straße!", "a.b.c", "٣", "½", "x²"]
+    reader = toxicity.Reader(sorted({w for t in words for w in toxicity.word_counts(t)}))
+    for t in [*words, " ".join(words)]:
+        assert {reader_word(reader, i): n for i, n in reader.counts(t).tolist()} == dict(toxicity.word_counts(t))
+    assert np.array_equal(toxicity.unpacked(toxicity.packed(reader.counts(" ".join(words)))), reader.counts(" ".join(words)))
+
+
+def reader_word(reader, i):
+    return next(w for w, k in reader.words.items() if k == i)
