@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +28,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that are closed when one of these opens, up to the elements that hold them.
 IMPLIED = {t: ({t}, {"ul", "ol", "menu", "dir"}) for t in ("li",)} | {t: ({"dt", "dd"}, {"dl"}) for t in ("dt", "dd")} | {
     t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")
@@ -35,34 +38,46 @@ NEVER = frozenset("head nav noscript template button select svg math object canv
 #: Words of class names, ids and roles that mark what stands beside the main text.
 BESIDE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar"
-    " breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer masthead topbar toolbar comment comments commentlist disqus respond"
-    " reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal"
-    " overlay cookie cookies consent gdpr notice notices alert disclaimer copyright contentinfo complementary search form dialog alertdialog".split()
+    " breadcrumb breadcrumbs pagination pager sidebar widget widgets footer masthead topbar toolbar comment comments commentlist disqus"
+    " share sharing social newsletter subscribe subscription signup login popup modal overlay cookie cookies consent gdpr contentinfo".split()
+)
+#: Words that may do so, or name a part of an article: there the wrapper's statistics decide, see Wrapper.
+MAYBE = frozenset(
+    "aside respond reply replies discussion related recommended recommendations notice notices alert disclaimer copyright complementary search form dialog alertdialog".split()
 )
 BEGINNINGS = ("adsby", "advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
-# Each part ends at the next tag's beginning or after a bounded number of steps, so broken pages take linear time too.
+# No part is tried again once it has matched, and a part ends at the next tag's beginning.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^<>]*+>.*?(?:</\1\b[^<>]*+>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'<>]*+>)){{0,500}}+)>|<[!?/][^<>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^<>]*+>.*?(?:</\1\b[^<>]*+>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'<>]*+>))*+)>|<[!?/][^<>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements without a mark that lie deeper than this are as one with the element around them.
 DEEPEST = 80
+#: A text of links has to be this long to be one of an article's references, and a shared one to be an article's own.
+REFERENCE, SHARED = 25, 80
 
 
-def _beside(names: list[str]) -> bool:
+def _beside(names: list[str]) -> str:
+    """The mark that the names speak for: - beside the main text, ~ maybe so, or none."""
+    found = ""
     for name in names:
         words = [w.lower() for w in WORD.findall(name)]
-        if words and words[0] not in ("has", "with", "no", "is", "js") and (words[0] in BESIDE or words[-1] in BESIDE or any(w.startswith(BEGINNINGS) for w in words)):
-            return True
-    return False
+        if not words or words[0] in ("has", "with", "no", "is", "js"):
+            continue
+        if words[0] in BESIDE or words[-1] in BESIDE or any(w.startswith(BEGINNINGS) for w in words):
+            return "-"
+        if words[0] in MAYBE or words[-1] in MAYBE:
+            found = "~"
+    return found
 
 
 _LABELS: dict[tuple[str, str], str] = {}
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """tag#id.class without digits, after a mark: ! never main text, - beside it, ^ a header, + the main element."""
+    """tag#id.class without digits, after a mark: ! never main text, - beside it, ~ maybe so, ^ a header, + the main element."""
     if not attributes and tag not in NEVER:
         mark = "-" if tag in ("footer", "aside", "form") else "^" if tag == "header" else "+" if tag in ("article", "main") else ""
         return mark + tag
@@ -74,8 +89,10 @@ def label_of(tag: str, attributes: str) -> str:
     hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE)
     if tag in NEVER or hidden and tag not in ("html", "body"):
         mark = "!"
-    elif tag in ("footer", "aside", "form") or tag not in ("html", "body", "main") and _beside(names):
+    elif tag in ("footer", "aside", "form"):
         mark = "-"
+    elif tag not in ("html", "body", "main", "article") and (beside := _beside(names)):
+        mark = beside
     elif tag == "header" or any(re.fullmatch(r"(?i)(?:.*[-_])?header", n) for n in names):
         mark = "^"
     elif tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
@@ -95,9 +112,9 @@ def parse(page: str | None) -> tuple[tuple, list[list[tuple[int, str, int]]]]:
     The token stream is balanced first: void and inline elements go, missing end tags are added, stray ones passed
     over. An element is (label, children); equal elements in a row are one, and their texts share a place.
     """
-    stack: list[list] = [["", "", [], []]]  # tag, label, shapes, places of each shape
+    stack: list[list] = [["", "", [], [], True]]  # tag, label, shapes, places of each shape, is it an element of its own
     held: list[str] = []
-    linked, in_link, skip, n = 0, 0, 0, 0
+    linked, in_link, skip, n, depth = 0, 0, 0, 0, 0
     page = page or ""
 
     def flush() -> None:
@@ -111,7 +128,7 @@ def parse(page: str | None) -> tuple[tuple, list[list[tuple[int, str, int]]]]:
         linked = 0
 
     def add(shape, places: list) -> None:
-        _, _, shapes, kept = stack[-1]
+        _, _, shapes, kept, _ = stack[-1]
         if shapes and shapes[-1] == shape:
             for old, new in zip(kept[-1], places, strict=True):
                 old.extend(new)
@@ -120,8 +137,11 @@ def parse(page: str | None) -> tuple[tuple, list[list[tuple[int, str, int]]]]:
             kept.append(places)
 
     def close() -> None:
-        nonlocal skip
-        _, label, shapes, places = stack.pop()
+        nonlocal skip, depth
+        _, label, shapes, places, own = stack.pop()
+        if not own:
+            return
+        depth -= 1
         if label[0] == "!":
             skip -= 1
         if shapes:
@@ -177,19 +197,23 @@ def parse(page: str | None) -> tuple[tuple, list[list[tuple[int, str, int]]]]:
             close_to({"p"}, {"button", "table", "td", "th", "li", "div", "section", "article", "main", "body", "blockquote"})
             if tag in IMPLIED:
                 close_to(*IMPLIED[tag])
-        elif label[0] not in "!-":
+        elif label[0] not in "!-~":
             continue
-        if len(stack) < DEEPEST or label[0] == "!":
-            if not block:
-                flush()
-            if label[0] == "!":
-                skip += 1
-            stack.append([tag, label, [], []])
+        if not block:
+            flush()
+        mark = label[0] if label[0] in "!-~^+" else ""
+        if depth >= DEEPEST and (not mark or any(x[4] and x[1][:1] == mark for x in stack)):
+            stack.append([tag, label, *stack[-1][2:4], False])  # shares the lists of the element around it
+            continue
+        depth += 1
+        if mark == "!":
+            skip += 1
+        stack.append([tag, label, [], [], True])
     say(page[at:])
     flush()
     while len(stack) > 1:
         close()
-    _, _, shapes, places = stack[0]
+    _, _, shapes, places, _ = stack[0]
     return tuple(shapes), [p for some in places for p in some]
 
 
@@ -231,31 +255,84 @@ def fold(items: list) -> list:
     return items
 
 
-def pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Align two rows of labels by a longest common subsequence; None stands for a missing partner."""
-    first = 0
-    while first < min(len(a), len(b)) and a[first] == b[first]:
-        first += 1
-    last = 0
-    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
-        last += 1
-    x, y = a[first : len(a) - last], b[first : len(b) - last]
-    out: list = [(i, i) for i in range(first)]
+def _table_pairs(x: list[str], y: list[str]) -> Iterator[tuple[int, int]]:
+    """Matching places of a longest common subsequence, by a table of all pairs of places."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((first + i, first + j))
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append((first + i, None))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((None, first + j))
             j += 1
+
+
+def _long_pairs(x: list[str], y: list[str], table: int) -> Iterator[tuple[int, int]]:
+    """Matching places of long rows in about linear time: labels that both have once are anchors, as many as stand in
+    the same order; between anchors small parts go by table, others take each label's next place."""
+    once = lambda row: {v for v, n in Counter(row).items() if n == 1}
+    place = {v: j for j, v in enumerate(y)}
+    both = once(x) & once(y)
+    tails: list[int] = []  # a longest increasing row of anchors' places in y
+    back: dict[int, tuple[int, int | None]] = {}
+    last: list[int] = []
+    for i, v in enumerate(x):
+        if v in both:
+            j = place[v]
+            k = bisect_left(tails, j)
+            back[j] = (i, last[k - 1] if k else None)
+            tails[k : k + 1], last[k : k + 1] = [j], [j]
+    chain, j = [], last[-1] if last else None
+    while j is not None:
+        chain.append((back[j][0], j))
+        j = back[j][1]
+    a = b = 0
+    for i, j in [*reversed(chain), (len(x), len(y))]:
+        p, q = x[a:i], y[b:j]
+        if len(p) * len(q) <= table:
+            yield from ((a + k, b + m) for k, m in _table_pairs(p, q))
+        elif p and q:
+            where: dict[str, list[int]] = {}
+            for m, v in enumerate(q):
+                where.setdefault(v, []).append(m)
+            at = 0
+            for k, v in enumerate(p):
+                own = where.get(v, ())
+                n = bisect_left(own, at)
+                if n < len(own) and (own[n] - at <= 64 or k == 0):
+                    yield a + k, b + own[n]
+                    at = own[n] + 1
+        if i < len(x):
+            yield i, j
+        a, b = i + 1, j + 1
+
+
+def pairs(a: list[str], b: list[str], table: int = 250_000) -> list[tuple[int | None, int | None]]:
+    """Align two rows of labels; None stands for a missing partner.
+
+    By a longest common subsequence where the rows, without their common beginning and end, have at most ``table``
+    pairs of places, else by anchors, see _long_pairs().
+    """
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    x, y = a[first : len(a) - last], b[first : len(b) - last]
+    out: list = [(i, i) for i in range(first)]
+    i = j = 0
+    found = _table_pairs(x, y) if len(x) * len(y) <= table else _long_pairs(x, y, table)
+    for k, m in [*found, (len(x), len(y))]:
+        out += [(first + n, None) for n in range(i, k)] + [(None, first + n) for n in range(j, m)]
+        if k < len(x):
+            out.append((first + k, first + m))
+        i, j = k + 1, m + 1
     return out + [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
 
 
@@ -298,9 +375,9 @@ class Learner:
         shape, places = parse(page)
         if not shape:
             return
-        hashes = [{xxhash.xxh32_intdigest(t) for _, t, _ in p} for p in places]
+        hashes = [{xxhash.xxh64_intdigest(t) for _, t, _ in p} for p in places]
         stats = [[sum(len(t) for _, t, _ in p), sum(k for *_, k in p), h] for p, h in zip(places, hashes, strict=True)]
-        seen = xxhash.xxh32_intdigest(repr([sorted(h) for h in hashes]))
+        seen = xxhash.xxh64_intdigest(repr([sorted(h) for h in hashes]))
         old = self.shapes.get((host, shape))
         if old is None:
             self.shapes[host, shape] = [1, [seen], stats]
@@ -337,15 +414,20 @@ class Wrapper:
 
     Marked elements are passed over, but for one that holds four fifths of the text and a heading or main element, or
     all of the text. If the elements marked as main hold a quarter of the rest, only they count; else the descent goes
-    into the child that holds three fifths of the text for as long as there is one without text of its own. Texts
-    mostly made of links are passed over, in a main element only where the place has mostly such. A text that each of three or more different pages has belongs to the template.
+    into the child that holds three fifths of the text for as long as there is one without text of its own. An element
+    that its names only maybe mark stays where it stands inside the main text and reads as prose: it has texts of SHARED
+    characters on average, mostly outside links, that differ from page to page. Texts mostly made of links are passed
+    over; in a main element only short ones do, in places that have mostly such, as longer ones are references. A text
+    that each of three or more different pages has belongs to the template. Where such texts are more than three tenths
+    of a page's, and its first-level heading is one of them, its host has near copies of one article, and they stay;
+    without such headings only short ones that are no heading count as template there.
     """
 
     def __init__(self, data: dict):
-        self.items = data["items"]
+        self.items, self.pages = data["items"], max(1, data["pages"])
         self.template = len(data["seen"]) > 2
         whole, self.opened = _chars(self.items, lambda x: False), set()
-        marked = lambda x: x[0][:1] in ("-", "^")
+        marked = lambda x: x[0][:1] in ("-", "~", "^")
         bare = not _chars(self.items, marked)
 
         def open_up(items: list) -> None:
@@ -367,10 +449,29 @@ class Wrapper:
             while step := next((x for x in row if holds(x) and 5 * _chars([x], self.passed) >= 3 * rest), None):
                 row, at = step[2], step
             self.region = None if at is None else [at]
-        self.known: dict[tuple, list[tuple[bool, frozenset]]] = {}
+        titles = [t for x in self._titles(self.items) for t in x[2] if t[0] == TEXT]
+        self.one_title = all(t[4] for t in titles) if titles else None  # do all pages have the same?
+        self.known: dict[tuple, list[tuple[bool, bool, bool, frozenset]]] = {}
+
+    def _titles(self, items: list) -> list:
+        return [y for x in items if x[0] != TEXT and not self.passed(x) for y in ([x] if x[0].split(".")[0] == "h1" else self._titles(x[2]))]
 
     def passed(self, item: list) -> bool:
-        return item[0][:1] in ("-", "^") and id(item) not in self.opened
+        return item[0][:1] in ("-", "~", "^") and id(item) not in self.opened
+
+    def _prose(self, item: list) -> bool:
+        """Does a part that may stand beside the main text read as a part of it?"""
+        texts, shared = [], 0
+        rows = [item[2]]
+        while rows:
+            for x in rows.pop():
+                if x[0] != TEXT:
+                    rows.append(x[2])
+                elif x[2]:
+                    texts.append(x)
+                    shared += bool(x[4]) and self.template
+        long = [x for x in texts if x[2] >= SHARED * (1 if x[1] & OPTIONAL else self.pages)]
+        return bool(long) and 2 * sum(x[3] for x in texts) < sum(x[2] for x in texts) and 2 * shared <= len(texts)
 
     def _main(self, items: list) -> list:
         out = []
@@ -380,15 +481,15 @@ class Wrapper:
         inner = [y for x in out for y in self._main(x[2])]
         return inner if inner and 4 * sum(_chars([y], self.passed) for y in inner) >= 3 * sum(_chars([x], self.passed) for x in out) else out
 
-    def places(self, shape: tuple) -> list[tuple[bool, frozenset]]:
-        """For each text place of a page's shape: is it main text, and the template's texts there."""
+    def places(self, shape: tuple) -> list[tuple[bool, bool, bool, frozenset]]:
+        """For each text place of a page's shape: is it main text, mostly of links, in a heading; the template's texts there."""
         if shape not in self.known:
             if len(self.known) > 2000:
                 self.known.clear()
             self.known[shape] = list(self._match(shape, self.items, self.region is None, False, False, False))
         return self.known[shape]
 
-    def _match(self, shape: tuple, items: list, inside: bool, out: bool, header: bool, title: bool) -> Iterator[tuple[bool, frozenset]]:
+    def _match(self, shape: tuple, items: list, inside: bool, out: bool, header: bool, title: bool, heading: bool = False) -> Iterator[tuple[bool, bool, bool, frozenset]]:
         """Align a page's elements with the wrapper's items, both folded, and judge the texts."""
         labels = [TEXT if s == TEXT else s[0] for s in shape]
         mine, flat = [], []  # labels that repeat in a row count once
@@ -408,12 +509,15 @@ class Wrapper:
             p = partner[k] or again.get(k)
             if s == TEXT:
                 linked = p is not None and 2 * p[3] > p[2]
-                yield (inside or title) and not out and (not header or title) and not linked, frozenset(p[4] if p else ())
+                yield (inside or title) and not out and (not header or title), linked, heading, frozenset(p[4] if p else ())
                 continue
             mark, closed = s[0][0], p is None or id(p) not in self.opened
+            if mark == "~":
+                closed = closed and not (inside and p is not None and self._prose(p))
+                mark = "-"
             yield from self._match(
                 s[1], p[2] if p else [], inside or p is not None and self.region is not None and any(p is r for r in self.region) or p is None and mark == "+",
-                out or mark == "-" and closed, header or mark == "^" and closed, title or s[0].split(".")[0] == "h1",
+                out or mark == "-" and closed, header or mark == "^" and closed, title or s[0].split(".")[0] == "h1", heading or s[0].split(".")[0] in HEADINGS,
             )
 
     @staticmethod
@@ -425,19 +529,17 @@ class Wrapper:
     def text(self, page: str | None) -> str:
         shape, found = parse(page)
         blocks, fixed, total = [], 0, 0
-        for (main, template), texts in zip(self.places(shape), found, strict=True):
+        for (main, links, heading, template), texts in zip(self.places(shape), found, strict=True):
             if main:
                 for place, text, linked in texts:
-                    if not self.marked and 2 * linked > len(text):
+                    if 2 * linked > len(text) and (not self.marked or links and len(text) < REFERENCE):
                         continue
-                    same = self.template and bool(template) and xxhash.xxh32_intdigest(text) in template
-                    blocks.append((place, text, same))
+                    same = self.template and bool(template) and xxhash.xxh64_intdigest(text) in template
+                    blocks.append((place, text, same, same and len(text) < SHARED and not heading))
                     fixed += len(text) if same else 0
                     total += len(text)
-        if 10 * fixed > 3 * total:  # near copies of one article share more than a template has
-            fixed = 0
-            blocks = [(p, t, False) for p, t, _ in blocks]
-        return "\n\n".join(t for _, t, same in sorted(blocks) if not same)
+        copies = 10 * fixed > 3 * total and self.one_title is not False  # near copies share more than a template has
+        return "\n\n".join(t for _, t, same, short in sorted(blocks) if not (not self.one_title and short if copies else same))
 
 
 def wrappers(pages: DataFrame, cut: Cut, held: int = 2000, salts: int = 16) -> DataFrame:
@@ -483,8 +585,8 @@ def extract(pages: DataFrame, most_broadcast: int = 32 << 20) -> DataFrame:
     split a host with very many pages. Pages without a host (null or odd url) are read through a wrapper of their own.
 
     Null and empty html, and pages without main text, give the empty string. Null page_id and url stay null, repeated
-    rows come out as often as they went in, an empty table gives no rows, other columns are left out. Elements nested
-    deeper than 80 count as part of the one around them.
+    rows come out as often as they went in, an empty table gives no rows, other columns are left out. Unmarked elements
+    nested deeper than 80 count as part of the one around them, marked ones at any depth are told apart.
     """
     cut = Cut(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))

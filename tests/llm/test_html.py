@@ -94,3 +94,56 @@ def test_tables_as_layout():
 
     w = Wrapper(learnt(*map(page, range(6))))
     assert w.text(page(2)) == f"Story 2\n\n{'word ' * 30}2\n\nmore 2"
+
+
+def article(i, body):
+    return f"<html><body><div class=nav><a href=/>Home</a></div><article><h1>Title {i}</h1><p>First paragraph {i} of an article, long enough to read as prose on its own, as articles are.</p>{body}</article><footer>x</footer></body></html>"
+
+
+PROSE = "a part of the article {i} that goes on for quite some time, so that it reads as prose and not as a row of links or buttons."
+
+
+def texts(pages):
+    w = Wrapper(learnt(*pages))
+    return [w.text(p) for p in pages]
+
+
+def test_parts_of_an_article_stay_whatever_their_class():
+    for name in ("discussion", "related-work", "notice", "form-of-the-argument"):
+        pages = [article(i, f"<section class='{name}'><h2>Part {i}</h2><p>{PROSE.format(i=i)}</p></section>") for i in range(4)]
+        assert all(f"Part {i}\n\n{PROSE.format(i=i)}" in t for i, t in enumerate(texts(pages)))
+    pages = [article(i, f"<div class='related'><a href=1>See {i}</a> <a href=2>More</a></div><section class='comments'><p>{PROSE.format(i=i)}</p></section>") for i in range(4)]
+    assert not any("See" in t or PROSE.format(i=i) in t for i, t in enumerate(texts(pages)))
+
+
+def test_linked_references_stay_and_link_rows_go():
+    rows = "<ul>" + "".join(f"<li><a href=r{k}>Author {k}, a title of some length, journal {k}</a></li>" for k in range(5)) + "</ul>"
+    pages = [article(i, f"{rows}<p><a href=p>Prev</a> <a href=n>Next {i}</a></p>") for i in range(2)]
+    for t in texts(pages):
+        assert t.count("a title of some length") == 5 and "Next" not in t
+
+
+def test_template_lines_of_short_articles_go():
+    pages = [f"<article><h1>News {i}</h1><p>Short item {i}.</p><p>Subscribe to our letter</p></article>" for i in range(4)]
+    assert texts(pages) == [f"News {i}\n\nShort item {i}." for i in range(4)]
+
+
+def test_deep_marks_and_long_tags():
+    for deep in (5, 90, 500):
+        page = "<article>" + "<div>" * deep + "<p>Kept text here</p><div class=advert>Buy this</div><p>and more</p>" + "</div>" * deep + "<p>after</p></article>"
+        assert texts([page]) == ["Kept text here\n\nand more\n\nafter"]
+    many = "".join(f" data-a{k}='v{k}'" for k in range(900))
+    assert texts([f"<article><p{many}>plain</p></article>"]) == ["plain"]
+
+
+def test_long_rows_align_in_linear_time():
+    import time
+
+    began = time.process_time()
+    a, b = [f"a{i}" for i in range(4000)], [f"b{i}" for i in range(4000)]
+    assert len(pairs(a, b)) == 8000
+    c = [x for i in range(3000) for x in (f"k{i}", "div")]
+    d = [x for i in range(0, 3000, 2) for x in (f"k{i}", "div", "p")]
+    assert sum(i is not None and j is not None and c[i] == d[j] for i, j in pairs(c, d)) >= 2900
+    assert [i for i, _ in pairs(c, d) if i is not None] == list(range(len(c))) and [j for _, j in pairs(c, d) if j is not None] == list(range(len(d)))
+    assert time.process_time() - began < 3
