@@ -5,11 +5,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quireframe.llm.common import Cut
 
@@ -228,13 +230,18 @@ def features(sound: DataFrame) -> DataFrame:
     return sound.select(*names, "codec", "pcm").mapInArrow(run, f"{DIGEST}, feature string")
 
 
-def audio_round_trip(docs: DataFrame, to: int = 16000) -> DataFrame:
+def audio_round_trip(docs: DataFrame, to: int = 16000, passes: int = 4) -> DataFrame:
     """The texts as WAVE files, their PCM at rate ``to``, and what both have: see store_texts(), decoded() and features().
 
-    Files and PCM are written as tables into the shared folder and read back, the files' table goes once the PCM is
-    there. PCM is four (ADPCM eight) times as large as the text, so its table is compressed harder. One value of a
-    column holds less than 2 GB, so a text of more than 250 MB raises.
+    Files and PCM are written as tables into the shared folder and read back. PCM is four (ADPCM eight) times as large
+    as the text, so its table is compressed harder; the files go once their PCM is there, in ``passes`` by a hash of
+    the row, so that no more than such a part of the files lies beside it. One value of a column holds less than 2 GB,
+    so a text of more than 250 MB raises.
     """
     cut = Cut(docs.sparkSession)
-    files = cut(store_texts(docs), "audio")
-    return features(cut(decoded(files, to), "pcm", (files,), level=12))
+    docs = docs.select("doc_id", "text")
+    sound = []
+    for k in range(passes):
+        files = cut(store_texts(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == k)), "audio")
+        sound.append(cut(decoded(files, to), "pcm", (files,), level=9))
+    return features(reduce(DataFrame.unionByName, sound))

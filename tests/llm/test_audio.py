@@ -91,5 +91,5 @@ def test_pcm_is_stored(spark, monkeypatch):
     monkeypatch.setattr(audio.Cut, "__call__", lambda self, df, name, *a, **k: kept.append((name, plain(self, df, name, *a, **k))) or kept[-1][1])
     df = spark.createDataFrame([(1, "abc"), (2, "x" * 577)], "doc_id long, text string")
     rows = {r.doc_id: r for r in audio.audio_round_trip(df).collect()}
-    stored = {r.doc_id: r for r in dict(kept)["pcm"].collect()}
+    stored = {r.doc_id: r for name, table in kept if name == "pcm" for r in table.collect()}
     assert set(stored) == {1, 2} and all(rows[d].feature == audio.feature(r.codec, np.frombuffer(r.pcm, "<i2")) for d, r in stored.items())
