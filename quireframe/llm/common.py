@@ -7,7 +7,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.operators.lineage import new_folder
+from quireframe.operators import lineage
+
+#: Folders that were made in the shared folder and may still be there; see sweep().
+WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; it is not made yet."""
+    WRITTEN.append(lineage.new_folder(spark, name))
+    return WRITTEN[-1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +64,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete what has been written since WRITTEN had so many folders, but for one of them."""
+    for path in WRITTEN[since:]:
+        if path != keep:
+            delete(spark, path)
+    WRITTEN[since:] = [keep]
+
+
 def components(edges: DataFrame, cut: Cut, rounds: int = 60) -> DataFrame:
     """Connected components of the links (a, b), both long: (node, component), component the smallest node reachable.
 

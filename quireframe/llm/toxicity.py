@@ -455,10 +455,14 @@ def document_frequencies(counted: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> Index | Stored:
     """fit_and_count() without the counts."""
-    return fit_and_count(docs, labels, most_examples, k)[0]
+    cut = Cut(docs.sparkSession)
+    index, counted = fit_and_count(docs, labels, most_examples, k, cut)
+    if counted is not None:
+        cut.drop(counted)
+    return index
 
 
-def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16) -> tuple[Index | Stored, DataFrame | None]:
+def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16, cut: Cut | None = None) -> tuple[Index | Stored, DataFrame | None]:
     """An index of labelled examples, and count_terms() of all documents, from which score_counted() goes on.
 
     Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
@@ -470,7 +474,7 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
     One task builds the index and writes it into the shared folder; its size is bounded by the examples. Without
     examples of both kinds there is nothing to count (None).
     """
-    cut = Cut(docs.sparkSession)
+    cut = cut or Cut(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     toxic = F.coalesce(F.max(F.col("toxic").cast("int") > 0), F.lit(False)).cast("int").alias("toxic")
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)

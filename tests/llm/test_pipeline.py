@@ -5,7 +5,9 @@ from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
 from quireframe.llm import pii, toxicity
+from quireframe.llm.common import WRITTEN
 from quireframe.llm.contract import tokenizer_path
+from quireframe.llm.mixing import mix
 
 
 def stages(spark, sf, docs):
@@ -49,6 +51,8 @@ def test_stages_against_plain_versions(spark):
         assert r.text == "".join(out) + text[at:] and r.n_chars == len(r.text) and (r.lang, r.source) == (one[d].lang, one[d].source)
 
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, masked.collect()))
+    order = [r.doc_id for r in mix(masked).orderBy("mix_slot", "mix_offset").collect()]
+    assert [r.doc_id for r in mixed.collect()] == order
 
     tokens = Tokenizer.from_file(tokenizer_path())
     pieces = {}
@@ -63,7 +67,9 @@ def test_stages_against_plain_versions(spark):
 
 
 def test_run(spark, sf):
+    before = len(WRITTEN)
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert len(WRITTEN) == before + 1
 
 
 def test_stages_with_hard_rows(spark, sf):
