@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
+# Fixed value: Han characters.
 HAN = r"\x{4e00}-\x{9fa5}"
 # Ordered and bulleted list lines.
 ORDERED = r"^\s*(?:\(?[0-9A-Za-z]{1,3}\)?[.)\x{3001}\x{ff1f}]|[\x{ff08}(][\x{4e00}\x{4e8c}\x{4e09}\x{56db}\x{4e94}\x{516d}\x{4e03}\x{516b}\x{4e5d}\x{5341}]{1,3}[\x{ff09})])\s+(.+)$"
@@ -65,6 +70,39 @@ def decode_score(text: Column) -> Column:
     return _weigh(text, CHAR_SCORES, 0.3)
 
 
+# Code pages of old files and their codecs, and the candidates for bytes of an unknown one, in order.
+CODE_PAGES = {1252: "cp1252", 936: "gbk", 950: "big5", 932: "cp932", 949: "cp949"}
+CANDIDATES = ("cp1252", "gb18030", "gbk", "utf-8")
+#: Code page 1252 with the bytes that it leaves out as control characters.
+_WESTERN = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256))
+
+
+def _decoded(raw: bytes, codec: str) -> str:
+    return codecs.charmap_decode(raw, "strict", _WESTERN)[0] if codec == "cp1252" else raw.decode(codec, "replace")
+
+
+@pandas_udf(ArrayType(StringType()))
+def _candidates(raw: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else [_decoded(bytes(x), c) for c in CANDIDATES] for x in raw])
+
+
+def best_decoded(raw: Column) -> Column:
+    """Bytes of an unknown code page as text: the first candidate with the highest decode_score()."""
+    scored = F.transform(_candidates(raw), lambda t, i: F.struct(decode_score(t).alias("score"), (-i).alias("first"), t.alias("text")))
+    return F.array_max(scored)["text"]
+
+
+@pandas_udf(StringType())
+def _by_page(raw: pd.Series, page: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _decoded(bytes(x), CODE_PAGES.get(int(p) if p == p and p is not None else 1252, "cp1252")) for x, p in zip(raw, page, strict=True)])
+
+
+def decode_page(raw: Column, page: Column) -> Column:
+    """struct<text, warning>: bytes of a code page as text; unknown pages count as 1252, with a warning."""
+    warning = F.when(~page.isin(*CODE_PAGES), F.concat(F.lit("code page "), page.cast("string"), F.lit(" is read as 1252")))
+    return F.struct(_by_page(raw, page).alias("text"), warning.alias("warning"))
+
+
 def text_width(text: Column, font: Column) -> Column:
     """Estimated width of a line in the unit of the font size."""
     return _weigh(text, CHAR_WIDTHS, 0.5) * font

@@ -43,12 +43,13 @@ def _workbook(rows: pd.Series) -> pd.Series:
     def one(items) -> bytes:
         names = sorted({r["name"] for r in items})
         at = {n: i for i, n in enumerate(names)}
-        cells = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{at[r["name"]]}</v></c><c r="B{i}"><v>{r["balance"]!r}</v></c><c r="C{i}" t="b"><v>{int(r["balance"] > 0)}</v></c></row>' for i, r in enumerate(items, 1))
+        cells = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{at[r["name"]]}</v></c><c r="B{i}" s="{1 if r["balance"] > 0 else 2}"><v>{r["balance"]!r}</v></c><c r="C{i}" t="b"><v>{int(r["balance"] > 0)}</v></c></row>' for i, r in enumerate(items, 1))
         return package({
             "xl/workbook.xml": f'<workbook xmlns="{SHEET}" xmlns:r="{RELATIONS}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>',
             "xl/_rels/workbook.xml.rels": relations(["worksheets/sheet1.xml"], "worksheet"),
             "xl/sharedStrings.xml": f'<sst xmlns="{SHEET}">' + "".join(f"<si><t>{escape(n)}</t></si>" for n in names) + "</sst>",
-            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET}"><sheetData>{cells}</sheetData><mergeCells><mergeCell ref="A1:B{len(items)}"/></mergeCells></worksheet>',
+            "xl/styles.xml": f'<styleSheet xmlns="{SHEET}"><numFmts><numFmt numFmtId="164" formatCode="0.00E+00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="4"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET}"><dimension ref="A1:C{len(items)}"/><sheetData>{cells}</sheetData><mergeCells><mergeCell ref="A1:B{len(items)}"/></mergeCells></worksheet>',
         })
 
     return pd.Series([one(r) for r in rows])
@@ -100,6 +101,25 @@ def office_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.merges(workbooks(spark, sf_dir)).drop("sheet_id")
 
 
+@query("office_peek", "SELECT CAST(s_suppkey // 50 AS VARCHAR) AS file_id, '1' AS sheet_id, 'A1:C' || count(*) AS dimension, CAST(count(*) AS INT) AS rows, CAST(3 AS INT) AS columns FROM supplier GROUP BY s_suppkey // 50")
+def office_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-XLSX-PEEK: the sizes that sheets say they have, read without their cells."""
+    return office.peek(workbooks(spark, sf_dir)).select("file_id", "sheet_id", "dimension", "rows", "columns")
+
+
+@query(
+    "office_styles",
+    r"""WITH n AS (SELECT CAST(s_suppkey // 50 AS VARCHAR) AS file_id, 'B' || row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) AS ref, s_acctbal > 0 AS up, s_acctbal AS x FROM supplier)
+SELECT file_id, ref, CAST(CASE WHEN up THEN 1 ELSE 2 END AS INT) AS style_id, CASE WHEN up THEN '#,##0.00' ELSE '0.00E+00' END AS code,
+  CASE WHEN up THEN format('{:,.2f}', x) ELSE regexp_replace(printf('%.2E', x), 'E([+-])0(\d)$', 'E\1\2') END AS shown FROM n""",
+)
+def office_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-XLSX: numbers of workbooks as their styles' formats show them."""
+    files = workbooks(spark, sf_dir)
+    shown = office.displayed(office.cells(files), office.number_formats(files))
+    return shown.where("type = 'n'").select("file_id", "ref", "style_id", "code", "shown")
+
+
 @query("office_blocks", rf"WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file_id, ord, 'paragraph' AS type, text FROM p")
 def office_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-DOCX, SRC-DOCX-STREAM, PRJ-TRACKED: the paragraphs of text documents."""

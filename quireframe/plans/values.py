@@ -152,6 +152,30 @@ def decode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.decode_score(F.col("text")), 3).alias("score"))
 
 
+@query(
+    "best_decode",
+    "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '你好' WHEN 1 THEN c_name ELSE c_name || 'plain, text' END AS text FROM customer",
+)
+def best_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-DECODE, TK-BESTDECODE: bytes of an unknown code page, some GBK."""
+    key, name = F.col("c_custkey"), F.encode("c_name", "UTF-8")
+    raw = F.when(key % 3 == 0, F.concat(name, F.unhex(F.lit("C4E3BAC3")))).when(key % 3 == 1, name).otherwise(F.concat(name, F.encode(F.lit("plain, text"), "UTF-8")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.best_decoded(raw).alias("text"))
+
+
+@query(
+    "code_pages",
+    """SELECT c_custkey, c_name || CASE c_custkey % 6 WHEN 0 THEN 'ÄãºÃ' WHEN 1 THEN '你好' WHEN 2 THEN '斕疑' WHEN 3 THEN 'ﾄ羲ﾃ' WHEN 4 THEN '콱봤' ELSE 'ÄãºÃ' END AS text,
+  CASE WHEN c_custkey % 6 = 5 THEN 'code page 437 is read as 1252' END AS warning FROM customer""",
+)
+def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-CODEPAGE: the same bytes in several code pages."""
+    page = F.element_at(F.array(*map(F.lit, (1252, 936, 950, 932, 949, 437))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    raw = F.concat(F.encode("c_name", "UTF-8"), F.unhex(F.lit("C4E3BAC3")))
+    found = table(spark, sf_dir, "customer").select("c_custkey", T.decode_page(raw, page).alias("d"))
+    return found.select("c_custkey", "d.text", "d.warning")
+
+
 @query(
     "html_strip",
     r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x{b}\f\r]+', ' ', 'g')) AS text FROM pages""",

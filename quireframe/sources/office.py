@@ -11,14 +11,16 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.functions import a1
+from quireframe.functions import a1, numbers
 from quireframe.operators import lookup
 
 #: Limits on what a package may unpack to: bytes of a part, and how many times its packed size.
@@ -32,24 +34,19 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.{xlsx,docx,pptx
 
 
 def _rows(files: DataFrame, read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> DataFrame:
-    """A table of what ``read`` gives for each package, file_id before it."""
+    """A table of what ``read`` gives for each package, file_id before it. A file that cannot be read to its end gives no rows."""
     names = ["file_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as package:
-                        for row in read(package):
-                            rows.append((file_id, *row))
-                            if len(rows) == 5000:
-                                yield pd.DataFrame(rows, columns=names, dtype=object)
-                                rows = []
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, OSError, ValueError, TypeError):
-                    pass  # problems() has it
-                if rows:
-                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows = [(file_id, *row) for row in read(package)]
+                except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, OSError, ValueError, TypeError):
+                    continue  # problems() has it
+                for at in range(0, len(rows), 5000):
+                    yield pd.DataFrame(rows[at : at + 5000], columns=names, dtype=object)
 
     return files.where("content IS NOT NULL").mapInPandas(run, f"file_id string, {schema}")
 
@@ -67,15 +64,17 @@ def _relation(node: ElementTree.Element) -> str:
     return next((v for k, v in node.attrib.items() if k.endswith("}id")), "")
 
 
-def _open(package: zipfile.ZipFile, part: str) -> bytes:
+def _stream(package: zipfile.ZipFile, part: str) -> IO[bytes]:
+    """A part as a stream that unpacks while it is read."""
     info = package.getinfo(part)
     if info.file_size > MOST_PART_BYTES or info.file_size > MOST_RATIO * max(1, info.compress_size):
         raise ValueError(f"{part} unpacks to {info.file_size} bytes")
-    return package.read(part)
+    return package.open(part)
 
 
 def _tree(package: zipfile.ZipFile, part: str) -> ElementTree.Element:
-    return ElementTree.fromstring(_open(package, part))
+    with _stream(package, part) as source:
+        return ElementTree.parse(source).getroot()
 
 
 def _below(node: ElementTree.Element, name: str) -> Iterator[ElementTree.Element]:
@@ -159,10 +158,59 @@ def _sheet_items(z: zipfile.ZipFile, wanted: set[str]) -> Iterator[tuple[str, st
         return
     for sheet_id, _, part, *_ in _sheet_parts(z):
         if part in z.namelist():
-            for _, node in ElementTree.iterparse(io.BytesIO(_open(z, part))):
-                if _local(node.tag) in wanted:
-                    yield sheet_id, _local(node.tag), node
-                    node.clear()
+            with _stream(z, part) as source:
+                for _, node in ElementTree.iterparse(source):
+                    if _local(node.tag) in wanted:
+                        yield sheet_id, _local(node.tag), node
+                        node.clear()
+
+
+def peek(files: DataFrame) -> DataFrame:
+    """(file_id, sheet_id, name, state, dimension, rows, columns): the range that each sheet says it has, null where it says none.
+
+    A sheet is unpacked only up to its data, however large it is.
+    """
+
+    def read(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for sheet_id, name, part, state, _ in _sheet_parts(z) if "xl/workbook.xml" in z.namelist() else ():
+            found = None
+            if part in z.namelist():
+                with _stream(z, part) as source:
+                    for _, node in ElementTree.iterparse(source, ("start",)):
+                        if _local(node.tag) == "dimension":
+                            found = node.get("ref")
+                        if _local(node.tag) in ("dimension", "sheetData"):
+                            break
+            yield sheet_id, name, state, found
+
+    found = _rows(files, read, "sheet_id string, name string, state string, dimension string")
+    r = a1.parse_range(F.when(F.col("dimension").contains(":"), F.col("dimension")).otherwise(F.concat_ws(":", "dimension", "dimension")))
+    return found.withColumns({"rows": r["end_row"] - r["start_row"] + 1, "columns": r["end_column"] - r["start_column"] + 1})
+
+
+def number_formats(files: DataFrame) -> DataFrame:
+    """(file_id, style_id, format_id, code): the number format of each cell style; built-in ones by their fixed codes."""
+
+    def read(z: zipfile.ZipFile) -> Iterator[tuple]:
+        if "xl/styles.xml" not in z.namelist():
+            return
+        root = _tree(z, "xl/styles.xml")
+        own = {int(n.get("numFmtId")): n.get("formatCode") for n in _below(root, "numFmt")}
+        for i, xf in enumerate(x for group in _below(root, "cellXfs") for x in group if _local(x.tag) == "xf"):
+            n = int(xf.get("numFmtId") or 0)
+            yield i, n, own.get(n) or numbers.BUILTIN_FORMATS.get(n, "General")
+
+    return _rows(files, read, "style_id int, format_id int, code string")
+
+
+def displayed(cells: DataFrame, formats: DataFrame, codes: tuple[str, ...] = tuple(numbers.BUILTIN_FORMATS.values())) -> DataFrame:
+    """cells() with code and shown: numbers by the format of their style, if it is one of ``codes``, else in general form.
+
+    A workbook has few styles, so its formats are joined by file and style.
+    """
+    found = cells.join(formats.select("file_id", "style_id", "code"), ["file_id", "style_id"], "left").withColumn("code", F.coalesce("code", F.lit("General")))
+    number = F.when(F.col("code").isin(*codes), numbers.display_by(F.col("num_value"), F.col("code"), list(dict.fromkeys(codes)))).otherwise(numbers.general(F.col("num_value")))
+    return found.withColumn("shown", F.when(F.col("type") == "n", number).otherwise(F.col("value")))
 
 
 def _raw_cells(z: zipfile.ZipFile) -> Iterator[tuple]:

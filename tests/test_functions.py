@@ -159,3 +159,13 @@ def test_hsl(spark):
         h, light, s = colorsys.rgb_to_hls(*[int(base[i : i + 2], 16) / 255 for i in (1, 3, 5)])
         want = colorsys.hls_to_rgb(h, min(1, light * 0.8 + 0.1), s * 0.5)
         assert all(abs(int(shown[i : i + 2], 16) - 255 * w) <= 0.51 for i, w in zip((1, 3, 5), want, strict=True))
+
+
+def test_decoding_by_score(spark):
+    """The first candidate with the highest score; bytes that a code page leaves out are kept."""
+    raws = {"plain": b"plain", "han": "你好".encode("gbk"), "out": b"a\x81b", "bad": b"\xff\xff", "none": None}
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in raws.items()], "k string, raw binary")
+    got = {r.k: r.t for r in df.select("k", text.best_decoded(F.col("raw")).alias("t")).collect()}
+    assert (got["plain"], got["han"], got["bad"], got["none"]) == ("plain", "你好", "ÿÿ", None) and got["out"] in ("a\x81b", "a乥", "a�b")
+    pages = {r.k: (r.d.text, r.d.warning) for r in df.select("k", text.decode_page(F.col("raw"), F.lit(1)).alias("d")).collect()}
+    assert pages["out"] == ("a\x81b", "code page 1 is read as 1252")

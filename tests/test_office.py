@@ -86,3 +86,20 @@ def test_slides_and_charts(files):
     assert found == [(1, False, "text", "title", "Hello", 0), (1, False, "notes", "body", "say this", 0), (2, True, "image", None, "", 0), (2, True, "table", None, "", 2)]
     points = rows(office.chart_points(files).orderBy("series", "idx"), "type", "series_name", "idx", "category", "value", "x")
     assert points == [("bar", "Series 1", 0, "a", 1.0, None), ("bar", "Series 1", 2, None, None, None), ("scatter", "Series 2", 0, None, 8.0, 7.0)]
+
+
+def test_sheets_are_peeked_at_and_styles_read(spark):
+    styles = f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="170" formatCode="yyyy/m/d"/><numFmt numFmtId="171" formatCode="odd"/></numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs><xf/><xf numFmtId="170"/><xf numFmtId="10"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    sheet = f'<worksheet xmlns="{MAIN}"><dimension ref="B2:D9"/><sheetData><row r="1"><c r="A1" s="1"><v>45000</v></c><c r="B1" s="2"><v>0.125</v></c><c r="C1" s="3"><v>1.50</v></c><c r="D1"><v>2</v></c></row></sheetData></worksheet>'
+    book = {"xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="One" sheetId="1" r:id="rId1"/><sheet name="Two" sheetId="2" r:id="rId2"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(("worksheet", "worksheets/sheet1.xml"), ("worksheet", "worksheets/sheet2.xml"))}
+    good = package(book | {"xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{MAIN}"><sheetData/></worksheet>'})
+    broken = package(book | {"xl/worksheets/sheet1.xml": sheet.replace("</row>", "</row>" + "<row r='2'><c r='A2'><v>1</v></c></row>" * 6000 + "<row>"), "xl/worksheets/sheet2.xml": "<x/>"})
+    files = spark.createDataFrame([("good", bytearray(good)), ("broken", bytearray(broken))], "file_id string, content binary")
+    seen = {(r.file_id, r.name): (r.dimension, r.rows, r.columns) for r in office.peek(files).collect()}
+    assert seen["good", "One"] == ("B2:D9", 8, 3) and seen["good", "Two"] == (None, None, None)
+    assert {r.file_id for r in office.cells(files).collect()} == {"good"}  # no part of a broken file
+    assert {r.file_id for r in office.problems(files).collect()} == {"broken"}
+    formats = {r.style_id: (r.format_id, r.code) for r in office.number_formats(files).collect()}
+    assert formats == {0: (0, "General"), 1: (170, "yyyy/m/d"), 2: (10, "0.00%"), 3: (171, "odd")}
+    shown = {r.ref: r.shown for r in office.displayed(office.cells(files), office.number_formats(files), ("0.00%", "yyyy/m/d")).collect()}
+    assert shown == {"A1": "2023-03-15", "B1": "12.50%", "C1": "1.5", "D1": "2"}
