@@ -67,20 +67,17 @@ def outline_rows(tree: DataFrame, key: str) -> DataFrame:
 def numbering(items: DataFrame, key: str, start: Column | None = None) -> DataFrame:
     """items (key, ord, level) with counters (array<int>): the counters of levels 0 to the item's own.
 
-    A level's counter starts anew after an item of a smaller level. So a level-n counter is the number of its items since
-    then: a count inside the run that such items begin. Levels that were not seen since count as start.
+    A level's counter starts anew after an item of a smaller level. So a level-n counter is the number of its items so
+    far without those up to the last such item. Levels that were not seen since count as start. All windows have one
+    order, so the items are sorted once.
     """
-    order = Window.partitionBy(key).orderBy("ord")
+    upto = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     first = F.lit(1) if start is None else start
-    df = items
-    for n in LEVELS:
-        df = df.withColumn(f"_run{n}", F.count(F.when(F.col("level") < n, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    counters = []
-    for n in LEVELS:
-        seen = F.count(F.when(F.col("level") == n, 1)).over(Window.partitionBy(key, f"_run{n}").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-        counters.append(F.greatest(seen, F.lit(1)) - 1 + first)
-    df = df.withColumn("_all", F.array(*[c.cast("int") for c in counters]))
-    return df.withColumn("counters", F.slice("_all", F.lit(1), F.col("level") + 1)).drop("_all", *[f"_run{n}" for n in LEVELS])
+    df = items.withColumns({f"_all{n}": F.count(F.when(F.col("level") == n, 1)).over(upto) for n in LEVELS})
+    df = df.withColumns({f"_before{n}": F.last(F.when(F.col("level") < n, F.col(f"_all{n}")), ignorenulls=True).over(upto) for n in LEVELS})
+    counters = [(F.greatest(F.col(f"_all{n}") - F.coalesce(f"_before{n}", F.lit(0)), F.lit(1)) - 1 + first).cast("int") for n in LEVELS]
+    df = df.withColumn("_counters", F.array(*counters)).withColumn("counters", F.slice("_counters", F.lit(1), F.col("level") + 1))
+    return df.drop("_counters", *[f"_{x}{n}" for n in LEVELS for x in ("all", "before")])
 
 
 def number_text(counters: Column, level: Column, kinds: tuple[str, ...] = ("decimal", "lower_letter", "roman")) -> Column:

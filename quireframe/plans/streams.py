@@ -29,7 +29,7 @@ def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "revisions")
     writer = streams.progress(rows).writeStream.foreachBatch(streams.upsert_into(f"{folder}/table", ["key"]))
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return streams.read_current(spark, f"{folder}/table")
+    return streams.read_current(spark, f"{folder}/table", ["key"])
 
 
 @query(

@@ -24,10 +24,15 @@ def test_newest_and_upsert(spark, sf, tmp_path):
     run(streams.newest(stream, ["key"]).writeStream.outputMode("complete").format("memory").queryName("newest_rows").option("checkpointLocation", str(tmp_path / "c1")).start())
     assert sorted(map(tuple, spark.table("newest_rows").collect())) == want
     table = str(tmp_path / "table")
-    run(stream.writeStream.foreachBatch(streams.upsert_into(table, ["key"])).option("checkpointLocation", str(tmp_path / "c2")).start())
-    assert sorted(map(tuple, streams.read_current(spark, table).collect())) == want
-    streams.upsert_into(table, ["key"])(rows.where("revision < 5"), 3)  # the last batch again
-    assert streams.read_current(spark, str(tmp_path / "none")) is None
+    upsert = streams.upsert_into(table, ["key"], merge_every=3)
+    run(stream.writeStream.foreachBatch(upsert).option("checkpointLocation", str(tmp_path / "c2")).start())
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["batch=3", "upto=2"]
+    assert sorted(map(tuple, streams.read_current(spark, table, ["key"]).collect())) == want
+    upsert(rows.where("revision < 5"), 3)  # the last batch again
+    same = rows.limit(1).withColumn("value", F.lit(-1.0).cast(rows.schema["value"].dataType))
+    upsert(streams.read_current(spark, table, ["key"]).join(same.select("key"), "key").withColumn("value", F.lit(-1.0).cast(rows.schema["value"].dataType)), 4)  # of the same revision
+    assert streams.read_current(spark, table, ["key"]).where("value = -1").count() == 0
+    assert streams.read_current(spark, str(tmp_path / "none"), ["key"]) is None
 
 
 def test_pages_in_any_order(spark, sf, tmp_path):
