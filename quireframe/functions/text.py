@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 from functools import reduce
 
 import pandas as pd
@@ -103,6 +104,47 @@ def decode_page(raw: Column, page: Column) -> Column:
     return F.struct(_by_page(raw, page).alias("text"), warning.alias("warning"))
 
 
+# Marks of a field's beginning, the end of its instruction and its end, and of anchors of objects.
+FIELD_MARKS, ANCHORS = "\x13\x14\x15", "\x01\x08"
+
+
+def _shown(text: str) -> str:
+    """A text with each field as its result, or as the anchors of its instruction where it has no result."""
+    open_: list[list[str]] = [["", "", ""]]  # instruction and result of each open field, and which of them goes on
+    out = ""
+
+    def add(what: str) -> None:
+        nonlocal out
+        if len(open_) == 1:
+            out += what
+        else:
+            open_[-1][1 if open_[-1][2] else 0] += what
+
+    def close() -> None:
+        instruction, result, _ = open_.pop()
+        add(result or "".join(c for c in instruction if c in ANCHORS))
+
+    for part in re.split(f"([{FIELD_MARKS}])", text):
+        if part == FIELD_MARKS[0]:
+            open_.append(["", "", ""])
+        elif part == FIELD_MARKS[1]:
+            open_[-1][2] = "result"
+        elif part == FIELD_MARKS[2]:
+            if len(open_) > 1:
+                close()
+        elif part:
+            add(part)
+    while len(open_) > 1:  # fields without an end
+        close()
+    return out
+
+
+@pandas_udf(StringType())
+def field_results(text: pd.Series) -> pd.Series:
+    """Texts of old documents with their fields resolved, fields inside fields too."""
+    return text.map(_shown, na_action="ignore")
+
+
 def text_width(text: Column, font: Column) -> Column:
     """Estimated width of a line in the unit of the font size."""
     return _weigh(text, CHAR_WIDTHS, 0.5) * font

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quireframe.functions import chart
+from quireframe.functions import a1, chart
 
 
 def matrix(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,3 +71,30 @@ def column_shares(lengths: DataFrame, table: list[str], column: str, width: Colu
     weights = lengths.groupBy(*table, column).agg(F.greatest(F.lit(8.0), F.max(width)).alias("weight"))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy(*table)) * total
     return weights.withColumn("px", F.greatest(F.lit(float(least)), share))
+
+
+#: A reference of a chart: a sheet's name, in quotes (doubled inside) or plain, or none; a cell or a range.
+REFERENCE = r"^=(?:'((?:''|[^'])+)'|([^!]+))?!?\$?([A-Z]+\$?[0-9]+(?::\$?[A-Z]+\$?[0-9]+)?)$"
+
+
+def referenced_cells(references: DataFrame, sheets: DataFrame, cells: DataFrame) -> DataFrame:
+    """references (their columns, among them sheet_id and formula) with target, ord, row_index, column_index and value.
+
+    A reference gives a row for each cell of its range, row by row (ord from 0); value is null where the sheet has no
+    such cell. target is the sheet (sheet_id, name) that the formula names, or the reference's own where it names none
+    or none that is there. Formulas of another form give no rows. sheets may have a file_id with references and cells,
+    then names count inside their file.
+    """
+    scope = [c for c in ("file_id",) if c in sheets.columns]
+    part = lambda i: F.regexp_extract("formula", REFERENCE, i)
+    named = F.trim(F.when(part(1) != "", F.replace(part(1), F.lit("''"), F.lit("'"))).otherwise(part(2)))
+    asked = references.where(F.col("formula").rlike(REFERENCE)).withColumns({"_name": named, "_range": a1.parse_range(part(3))})
+    known = sheets.groupBy(*scope, F.col("name").alias("_name")).agg(F.min("sheet_id").alias("_found"))
+    asked = asked.join(known, [*scope, "_name"], "left").withColumn("target", F.coalesce("_found", "sheet_id"))
+    r = F.col("_range")
+    span = F.greatest(r["end_column"] - r["start_column"] + 1, F.lit(0))
+    rows = asked.withColumns({"_first": r["start_row"], "_column": r["start_column"], "_span": span, "row_index": F.explode(F.when(r["start_row"] <= r["end_row"], F.sequence(r["start_row"], r["end_row"])))})
+    each = rows.withColumn("column_index", F.explode(F.when(F.col("_span") > 0, F.sequence(F.col("_column"), F.col("_column") + F.col("_span") - 1))))
+    each = each.withColumn("ord", ((F.col("row_index") - F.col("_first")) * F.col("_span") + F.col("column_index") - F.col("_column")).cast("long"))
+    values = cells.select(*scope, F.col("sheet_id").alias("target"), "row_index", "column_index", "value")
+    return each.join(values, [*scope, "target", "row_index", "column_index"], "left").select(*references.columns, "target", "ord", "row_index", "column_index", "value")

@@ -25,11 +25,37 @@ SHIPPED_SQL = "q AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(m
 SELECT e.series, CAST(i AS INT) AS idx, value FROM e, unnest(range(0, last + 1)) AS t(i) LEFT JOIN s ON s.series = e.series AND s.idx = i""",
 )
 def chart_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-CHARTMATRIX, SO-CACHEPT, FN-CATEGORIES, JN-CHARTREF: dense series with gaps."""
+    """AG-CHARTMATRIX, SO-CACHEPT, FN-CATEGORIES: dense series with gaps."""
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), (F.col("event_id") % 40).alias("idx"), "value", F.col("event_id").alias("ord"))
     return charts.matrix(points, ["series"])
 
 
+@query(
+    "chart_references",
+    """WITH s AS (SELECT s_nationkey AS sheet, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row_index, s_name, s_acctbal FROM supplier),
+c AS (SELECT sheet, row_index, CAST(1 AS INT) AS column_index, s_name AS value FROM s UNION ALL SELECT sheet, row_index, CAST(2 AS INT), CAST(s_acctbal AS VARCHAR) FROM s),
+f AS (SELECT c_custkey, c_custkey % 3 AS k, CASE c_custkey % 3 WHEN 0 THEN n_nationkey ELSE c_nationkey END AS target,
+  CASE c_custkey % 3 WHEN 0 THEN 1 + c_custkey % 5 WHEN 1 THEN 1 ELSE 2 END AS a, CASE c_custkey % 3 WHEN 0 THEN 3 + c_custkey % 7 WHEN 1 THEN 1 ELSE 2 END AS z,
+  CASE c_custkey % 3 WHEN 2 THEN 2 ELSE 1 END AS l, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 2 END AS r FROM customer JOIN nation ON n_nationkey = c_custkey % 25)
+SELECT c_custkey, CAST(target AS VARCHAR) AS target, CAST((i - a) * (r - l + 1) + k2 - l AS BIGINT) AS ord, CAST(i AS INT) AS row_index, CAST(k2 AS INT) AS column_index, value
+FROM f, unnest(range(a, z + 1)) AS t(i), unnest(range(l, r + 1)) AS u(k2) LEFT JOIN c ON c.sheet = target AND c.row_index = i AND c.column_index = k2""",
+)
+def chart_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-CHARTREF: the cells that formulas refer to, on a sheet they name, their own, and one that is not there."""
+    from pyspark.sql.window import Window
+
+    placed = table(spark, sf_dir, "supplier").withColumn("row_index", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    pairs = F.explode(F.array(F.struct(F.lit(1).alias("column_index"), F.col("s_name").alias("value")), F.struct(F.lit(2).alias("column_index"), F.col("s_acctbal").cast("string").alias("value"))))
+    cells = placed.select(F.col("s_nationkey").cast("string").alias("sheet_id"), "row_index", pairs.alias("c")).select("sheet_id", "row_index", "c.column_index", "c.value")
+    nations = table(spark, sf_dir, "nation")
+    sheets = nations.select(F.col("n_nationkey").cast("string").alias("sheet_id"), F.concat("n_name", F.lit("'s")).alias("name"))
+    key = F.col("c_custkey")
+    named = F.concat(F.lit("='"), F.col("n_name"), F.lit("''s'!$A$"), (1 + key % 5).cast("string"), F.lit(":$B$"), (3 + key % 7).cast("string"))
+    formula = F.when(key % 3 == 0, named).when(key % 3 == 1, "=A1").otherwise("=Missing!B2")
+    asked = table(spark, sf_dir, "customer").join(nations, F.col("n_nationkey") == key % 25).select("c_custkey", F.col("c_nationkey").cast("string").alias("sheet_id"), formula.alias("formula"))
+    return charts.referenced_cells(asked, sheets, cells).drop("sheet_id", "formula")
+
+
 @query("percent_stack", f"WITH {SHIPPED_SQL} SELECT flag, status, month, quantity, round(quantity / sum(quantity) OVER (PARTITION BY month), 9) AS share FROM q")
 def percent_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QR-CHART percent stacking: shares of a month's quantity."""

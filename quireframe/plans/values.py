@@ -152,6 +152,20 @@ def decode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.decode_score(F.col("text")), 3).alias("score"))
 
 
+@query(
+    "field_texts",
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'to ' || c_name || '.' WHEN 1 THEN chr(8) || c_name WHEN 2 THEN c_mktsegment || c_name || '!' ELSE c_name END AS text FROM customer",
+)
+def field_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-FIELDS: fields with a result, with an anchor only, inside each other, and a text without any."""
+    key, name, mark = F.col("c_custkey"), F.col("c_name"), lambda n: F.chr(F.lit(n))
+    linked = F.concat(F.lit("to "), mark(19), F.lit(" LINK x "), mark(20), name, mark(21), F.lit("."))
+    shape = F.concat(mark(19), F.lit(" SHAPE "), mark(8), mark(21), name)
+    nested = F.concat(mark(19), F.lit(" IF "), mark(19), F.lit(" PAGE "), mark(20), F.lit("1"), mark(21), mark(20), F.col("c_mktsegment"), mark(19), F.lit(" REF "), mark(20), name, mark(21), mark(21), F.lit("!"))
+    text = F.when(key % 4 == 0, linked).when(key % 4 == 1, shape).when(key % 4 == 2, nested).otherwise(name)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.field_results(text).alias("text"))
+
+
 @query(
     "best_decode",
     "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '你好' WHEN 1 THEN c_name ELSE c_name || 'plain, text' END AS text FROM customer",
