@@ -54,10 +54,14 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t]+", " "))
 
 
+# Fixed value: characters that UTF-8 read as Latin-1 shows.
+MOJIBAKE = "[ÃÂäåæçèé]"
+
+
 def mojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; as it was where it has no sign of that or does not decode."""
     again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    odd = text.rlike("[ÃÂäåæçèé]") & ~text.rlike(r"[^\x{0}-\x{ff}]")
+    odd = text.rlike(MOJIBAKE) & ~text.rlike(r"[^\x{0}-\x{ff}]")
     return F.when(odd & F.is_valid_utf8(F.encode(text, "ISO-8859-1").cast("string")), again).otherwise(text)
 
 

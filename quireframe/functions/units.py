@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Units to the inch.
+# Units to the inch.
 PER_INCH = {"emu": 914400, "twip": 1440, "point": 72, "half_point": 144, "eighth_point": 576, "master": 576}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,6 +86,7 @@ def measured_pages(heights: Column, content_height: float) -> Column:
 _WIDTHS = [(re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), p)), w) for p, w in CHAR_WIDTHS]
 
 
+@cache
 def char_width(c: str) -> float:
     """Width of a character as a share of the font size."""
     return next((w for p, w in _WIDTHS if p.match(c)), 0.5)
