@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireframe.functions import a1
+from quireframe.operators import merges
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -60,6 +61,31 @@ def in_range(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int])
     return out
 
 
+def range_query(ranges: DataFrame, sheets: DataFrame, cells: DataFrame, sizes: DataFrame, merged: DataFrame) -> dict[str, DataFrame]:
+    """What a viewer asks for of many ranges (sheet_id, range_id and ends) at once.
+
+    sheets have rows, columns, row_size and column_size (the defaults), sizes have axis ('row' or 'column'), idx, size
+    and hidden, merged has merge_id and ends. Ranges are clamped to their sheet, grown until no merge is cut, and
+    clamped again: ``range``. ``cells`` are the cells inside, met by tile; ``axis`` has the size of every row and
+    column inside, the default and not hidden where none is given; ``merges`` are the merges that touch the range.
+    """
+    def clamped(df: DataFrame) -> DataFrame:
+        sized = df.join(sheets, "sheet_id")
+        rows, columns = clamp_range(F.col("start_row"), F.col("end_row"), F.col("rows")), clamp_range(F.col("start_column"), F.col("end_column"), F.col("columns"))
+        ends = zip(merges.ENDS, (rows[0], columns[0], rows[1], columns[1]), strict=True)
+        return sized.select("sheet_id", "range_id", *[x.cast("int").alias(e) for e, x in ends])
+
+    whole = clamped(merges.expand(clamped(ranges), merged))
+    inside = F.col("row_index").between(F.col("start_row"), F.col("end_row")) & F.col("column_index").between(F.col("start_column"), F.col("end_column"))
+    placed = cells.withColumns({"row_tile": a1.row_tile(F.col("row_index")), "column_tile": a1.column_tile(F.col("column_index"))})
+    found = merges.tiled(whole).join(placed, ["sheet_id", "row_tile", "column_tile"]).where(inside).drop("row_tile", "column_tile", *merges.ENDS)
+    lines = [whole.select("sheet_id", "range_id", F.lit(axis).alias("axis"), F.explode(F.sequence(f"start_{axis}", f"end_{axis}")).alias("idx")) for axis in ("row", "column")]
+    metrics = lines[0].unionByName(lines[1]).join(sizes, ["sheet_id", "axis", "idx"], "left").join(sheets, "sheet_id")
+    default = F.when(F.col("axis") == "row", F.col("row_size")).otherwise(F.col("column_size"))
+    metrics = metrics.select("sheet_id", "range_id", "axis", "idx", F.coalesce("size", default).alias("size"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    return {"range": whole, "cells": found, "axis": metrics, "merges": merges.overlapping(whole, merged)}
+
+
 def tiles(cells: DataFrame) -> DataFrame:
     """(sheet_id, row_tile, column_tile, cells, first_row, last_row, filled): the tiles that have cells."""
     return cells.groupBy("sheet_id", a1.row_tile(F.col("row_index")).alias("row_tile"), a1.column_tile(F.col("column_index")).alias("column_tile")).agg(

@@ -16,7 +16,7 @@ from quireframe.operators.lineage import cut
 ENDS = ["start_row", "start_column", "end_row", "end_column"]
 
 
-def _tiled(ranges: DataFrame) -> DataFrame:
+def tiled(ranges: DataFrame) -> DataFrame:
     """The ranges once for each tile that they touch."""
     rows = F.explode(F.sequence(a1.row_tile(F.col("start_row")), a1.row_tile(F.col("end_row"))))
     columns = F.explode(F.sequence(a1.column_tile(F.col("start_column")), a1.column_tile(F.col("end_column"))))
@@ -37,7 +37,7 @@ def cover(merges: DataFrame) -> DataFrame:
 
 def containing(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """The cells that a merge holds, with the merge's ends and merge_id."""
-    tiled = _tiled(merges.select("sheet_id", "merge_id", *ENDS))
+    tiled = tiled(merges.select("sheet_id", "merge_id", *ENDS))
     placed = cells.withColumns({"row_tile": a1.row_tile(F.col("row_index")), "column_tile": a1.column_tile(F.col("column_index"))})
     found = placed.join(tiled, ["sheet_id", "row_tile", "column_tile"])
     inside = F.col("row_index").between(F.col("start_row"), F.col("end_row")) & F.col("column_index").between(F.col("start_column"), F.col("end_column"))
@@ -49,8 +49,8 @@ def overlapping(ranges: DataFrame, merges: DataFrame) -> DataFrame:
 
     A pair meets in every tile that both touch, and counts only in the first of them, so nothing has to be made distinct.
     """
-    a = _tiled(ranges.select("sheet_id", "range_id", *ENDS))
-    b = _tiled(merges.select("sheet_id", "merge_id", *[F.col(c).alias(f"m_{c}") for c in ENDS], *ENDS)).drop(*ENDS)
+    a = tiled(ranges.select("sheet_id", "range_id", *ENDS))
+    b = tiled(merges.select("sheet_id", "merge_id", *[F.col(c).alias(f"m_{c}") for c in ENDS], *ENDS)).drop(*ENDS)
     both = a.join(b, ["sheet_id", "row_tile", "column_tile"])
     first = lambda tile, c: F.greatest(tile(F.col(f"start_{c}")), tile(F.col(f"m_start_{c}")))
     once = (F.col("row_tile") == first(a1.row_tile, "row")) & (F.col("column_tile") == first(a1.column_tile, "column"))

@@ -146,6 +146,14 @@ MERGES_SQL = """m AS (SELECT CAST(o_orderkey // 500 AS VARCHAR) AS sheet_id, o_o
 RANGES_SQL = """r AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY merge_id) AS n, merge_id AS range_id, start_row, start_column, start_row + 2 AS end_row, start_column + 3 AS end_column FROM m)"""
 
 
+GROWN_SQL = """g(sheet_id, range_id, a, b, c, d, step) AS (
+  SELECT sheet_id, range_id, start_row, start_column, end_row, end_column, 0 FROM r
+  UNION ALL
+  SELECT * FROM (SELECT g.sheet_id, g.range_id, least(g.a, min(m.start_row)) AS a, least(g.b, min(m.start_column)) AS b, greatest(g.c, max(m.end_row)) AS c, greatest(g.d, max(m.end_column)) AS d, g.step + 1
+    FROM g JOIN m ON g.sheet_id = m.sheet_id AND m.start_row <= g.c AND g.a <= m.end_row AND m.start_column <= g.d AND g.b <= m.end_column
+    GROUP BY g.sheet_id, g.range_id, g.a, g.b, g.c, g.d, g.step HAVING min(m.start_row) < g.a OR min(m.start_column) < g.b OR max(m.end_row) > g.c OR max(m.end_column) > g.d))"""
+
+
 def ranges_at(merged: DataFrame) -> DataFrame:
     """Ranges of three rows and four columns that begin where the merges do."""
     return merged.select("sheet_id", F.col("merge_id").alias("range_id"), "start_row", "start_column", (F.col("start_row") + 2).alias("end_row"), (F.col("start_column") + 3).alias("end_column"))
@@ -192,12 +200,7 @@ def merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "merge_expand",
     f"""WITH RECURSIVE {MERGES_SQL}, {RANGES_SQL},
-g(sheet_id, range_id, a, b, c, d, step) AS (
-  SELECT sheet_id, range_id, start_row, start_column, end_row, end_column, 0 FROM r
-  UNION ALL
-  SELECT * FROM (SELECT g.sheet_id, g.range_id, least(g.a, min(m.start_row)) AS a, least(g.b, min(m.start_column)) AS b, greatest(g.c, max(m.end_row)) AS c, greatest(g.d, max(m.end_column)) AS d, g.step + 1
-    FROM g JOIN m ON g.sheet_id = m.sheet_id AND m.start_row <= g.c AND g.a <= m.end_row AND m.start_column <= g.d AND g.b <= m.end_column
-    GROUP BY g.sheet_id, g.range_id, g.a, g.b, g.c, g.d, g.step HAVING min(m.start_row) < g.a OR min(m.start_column) < g.b OR max(m.end_row) > g.c OR max(m.end_column) > g.d))
+{GROWN_SQL}
 SELECT sheet_id, range_id, arg_max(a, step) AS start_row, arg_max(b, step) AS start_column, arg_max(c, step) AS end_row, arg_max(d, step) AS end_column FROM g GROUP BY sheet_id, range_id""",
 )
 def merge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +209,41 @@ def merge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.expand(ranges_at(merged), merged)
 
 
+ASKED_SQL = f"""{MERGES_SQL}, r AS (SELECT sheet_id, merge_id AS range_id, least(start_row, 498) AS start_row, least(start_column, 60) AS start_column, least(start_row + 2, 498) AS end_row, least(start_column + 3, 60) AS end_column FROM m),
+{GROWN_SQL}, x AS (SELECT sheet_id, range_id, least(arg_max(a, step), 498) AS start_row, least(arg_max(b, step), 60) AS start_column, least(arg_max(c, step), 498) AS end_row, least(arg_max(d, step), 60) AS end_column FROM g GROUP BY sheet_id, range_id)"""
+
+
+def asked_ranges(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Ranges at all merges over sheets of 498 rows and 60 columns, with the lines of the sheets' orders as cells."""
+    merged, key = order_merges(spark, sf_dir), F.col("o_orderkey")
+    sheets = merged.select("sheet_id").distinct().select("sheet_id", F.lit(498).alias("rows"), F.lit(60).alias("columns"), F.lit(20).alias("row_size"), F.lit(64).alias("column_size"))
+    sizes = table(spark, sf_dir, "orders").select(F.floor(key / 500).cast("string").alias("sheet_id"), F.lit("row").alias("axis"), (key % 500 + 1).cast("int").alias("idx"), (F.col("o_custkey") % 30 + 10).cast("int").alias("size"), (F.col("o_custkey") % 13 == 0).alias("hidden"))
+    line = F.col("l_orderkey")
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.floor(line / 500).cast("string").alias("sheet_id"), (line % 500 + 1).cast("int").alias("row_index"), (F.col("l_partkey") % 60 + 1).cast("int").alias("column_index")).agg(F.max("l_linenumber").alias("value"))
+    return grid.range_query(ranges_at(merged), sheets, cells, sizes, merged)
+
+
+@query(
+    "range_cells",
+    f"""WITH RECURSIVE {ASKED_SQL}, c AS (SELECT CAST(l_orderkey // 500 AS VARCHAR) AS sheet_id, CAST(l_orderkey % 500 + 1 AS INT) AS row_index, CAST(l_partkey % 60 + 1 AS INT) AS column_index, max(l_linenumber) AS value FROM lineitem GROUP BY ALL)
+SELECT x.sheet_id, range_id, row_index, column_index, value FROM x JOIN c ON c.sheet_id = x.sheet_id AND row_index BETWEEN start_row AND end_row AND column_index BETWEEN start_column AND end_column""",
+)
+def range_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-RANGE: the cells of many ranges, clamped and grown by merges."""
+    return asked_ranges(spark, sf_dir)["cells"]
+
+
+@query(
+    "range_axes",
+    f"""WITH RECURSIVE {ASKED_SQL}, s AS (SELECT CAST(o_orderkey // 500 AS VARCHAR) AS sheet_id, CAST(o_orderkey % 500 + 1 AS INT) AS idx, CAST(o_custkey % 30 + 10 AS INT) AS size, o_custkey % 13 = 0 AS hidden FROM orders)
+SELECT x.sheet_id, range_id, 'row' AS axis, CAST(i AS INT) AS idx, coalesce(size, CAST(20 AS INT)) AS size, coalesce(hidden, false) AS hidden FROM x, unnest(range(start_row, end_row + 1)) AS t(i) LEFT JOIN s ON s.sheet_id = x.sheet_id AND s.idx = i
+UNION ALL SELECT sheet_id, range_id, 'column', CAST(i AS INT), CAST(64 AS INT), false FROM x, unnest(range(start_column, end_column + 1)) AS t(i)""",
+)
+def range_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-RANGE: the sizes of all rows and columns of many ranges."""
+    return asked_ranges(spark, sf_dir)["axis"]
+
+
 @query(
     "merge_reject",
     f"""WITH RECURSIVE {MERGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY merge_id) AS n FROM m),
