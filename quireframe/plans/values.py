@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.functions import a1, chart, numbers, units
+from quireframe.functions import a1, chart, fields, numbers, units
 from quireframe.functions import text as T
 from quireframe.plans.registry import query, table
 
@@ -166,6 +166,28 @@ def field_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.field_results(text).alias("text"))
 
 
+@query(
+    "slide_fields",
+    """WITH o AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 17 - 1 AS k, o_custkey % 2 = 1 AS zh, CASE WHEN hour(o_orderdate) < 12 THEN '上午' ELSE '下午' END AS half,
+  list_extract(['星期日', '星期一', '星期二', '星期三', '星期四', '星期五', '星期六'], CAST(dayofweek(o_orderdate) + 1 AS INT)) AS wd FROM orders)
+SELECT o_orderkey, CASE k WHEN -1 THEN CAST(o_orderkey AS VARCHAR) WHEN 14 THEN 'was' WHEN 15 THEN 'was'
+  WHEN 0 THEN CASE WHEN zh THEN strftime(d, '%Y/%m/%d %H:%M') ELSE strftime(d, '%m/%d/%Y %H:%M') END WHEN 1 THEN CASE WHEN zh THEN strftime(d, '%Y/%m/%d') ELSE strftime(d, '%m/%d/%Y') END
+  WHEN 2 THEN CASE WHEN zh THEN strftime(d, '%Y年%-m月%d日') || wd ELSE strftime(d, '%A, %B %d, %Y') END WHEN 3 THEN CASE WHEN zh THEN strftime(d, '%Y年%-m月%d日') ELSE strftime(d, '%d %B %Y') END
+  WHEN 4 THEN CASE WHEN zh THEN strftime(d, '%Y年%-m月%d日') ELSE strftime(d, '%B %d, %Y') END WHEN 5 THEN CASE WHEN zh THEN strftime(d, '%d日-%-m月-%y年') ELSE strftime(d, '%d-%b-%y') END
+  WHEN 6 THEN CASE WHEN zh THEN strftime(d, '%Y年%-m月') ELSE strftime(d, '%B %y') END WHEN 7 THEN CASE WHEN zh THEN strftime(d, '%y年%-m月') ELSE strftime(d, '%b-%y') END
+  WHEN 8 THEN CASE WHEN zh THEN strftime(d, '%Y/%m/%d ') || half || strftime(d, '%I:%M') ELSE strftime(d, '%m/%d/%Y %I:%M %p') END
+  WHEN 9 THEN CASE WHEN zh THEN strftime(d, '%Y/%m/%d ') || half || strftime(d, '%I:%M:%S') ELSE strftime(d, '%m/%d/%Y %I:%M:%S %p') END
+  WHEN 10 THEN strftime(d, '%H:%M') WHEN 11 THEN strftime(d, '%H:%M:%S') WHEN 12 THEN CASE WHEN zh THEN half || strftime(d, '%I:%M') ELSE strftime(d, '%I:%M %p') END
+  WHEN 13 THEN CASE WHEN zh THEN half || strftime(d, '%I:%M:%S') ELSE strftime(d, '%I:%M:%S %p') END END AS text FROM o""",
+)
+def slide_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-FIELDDATE: order dates as the fields of slides, in English and Chinese."""
+    k = F.col("o_orderkey") % 17 - 1
+    kind = F.when(k == -1, "slidenum").when(k == 0, "DateTime").when(k == 15, "other").when(k < 14, F.concat(F.lit("datetime"), k.cast("string")))
+    shown = fields.slide_field(kind, F.lit("was"), F.col("o_orderkey"), F.col("o_orderdate"), F.when(F.col("o_custkey") % 2 == 1, "zh-CN").otherwise("en-US"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("text"))
+
+
 @query(
     "best_decode",
     "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '你好' WHEN 1 THEN c_name ELSE c_name || 'plain, text' END AS text FROM customer",
