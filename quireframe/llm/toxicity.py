@@ -10,6 +10,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from quireframe.llm.common import Cut, new_folder, store_of
 
 BETWEEN_WORDS = re.compile(r"\W+")
+#: What a run stands for that is no single term: none, not seen yet, and from there down the others.
+NOTHING, NEW, OTHER = -1, -2, -3
 MARKS = ".,;:!?()[]{}\"'"  # characters of no word that often stand around one
 #: Lengths of the word beginnings that are terms beside whole words (a term with an asterisk is a beginning).
 BEGINNINGS = (4, 5, 6, 7)
@@ -74,9 +77,17 @@ def principal_order(rows: np.ndarray, leaf: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+UPTO = np.arange(1 << 16)
+
+
 def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The numbers of all ranges [first, first + many) in a row."""
-    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    steps = np.repeat(first - np.cumsum(many) + many, many)
+    global UPTO
+    if len(UPTO) < len(steps):
+        UPTO = np.arange(2 * len(steps))
+    steps += UPTO[: len(steps)]
+    return steps
 
 
 @dataclass
@@ -302,19 +313,21 @@ class Reader:
     """Counts a vocabulary's words and markers in texts; words that the vocabulary lacks are passed over.
 
     Words never reach over white space, so what each run between white space has is worked out once and kept (at most
-    ``keep`` runs).
+    ``keep`` runs beside the words themselves).
     """
 
-    def __init__(self, vocabulary: list[str], marks: int = 0, keep: int = 500_000):
+    def __init__(self, vocabulary: list[str], marks: int = 0, keep: int = 300_000):
         self.own = len(vocabulary) - marks
         self.words = {w: i for i, w in enumerate(vocabulary[: self.own])}
         self.markers: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
         for i, term in enumerate(vocabulary[self.own :], self.own):
             stem, star, occurrence = term.partition("*")
             self.markers.setdefault(stem + star, []).append((i, int(occurrence or 1)))
-        self.single: dict[str, int] = {}  # runs of one word without markers: its term, or -1
-        self.others: dict[str, tuple[list[int], list[str]]] = {}
-        self.keep = keep
+        self.code: dict[str, int] = {}  # by run: the term of its one word, NOTHING, or a place in others (from OTHER down)
+        self.others: list[tuple[list[int], list[str]]] = []
+        marked = lambda w: w in self.markers or any(f"{w[:k]}*" in self.markers for k in BEGINNINGS if len(w) > k)
+        self.code |= {w: i for w, i in self.words.items() if not self.markers or not marked(w)}
+        self.keep = len(self.code) + keep
 
     def _run(self, run: str) -> tuple[list[int], list[str]]:
         """(words of the vocabulary, stems of markers) in a run without white space."""
@@ -323,33 +336,31 @@ class Reader:
         words = [bare] if bare.isalnum() else [w for w in BETWEEN_WORDS.split(low) if w]
         stems = [x for w in words for x in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if x in self.markers] if self.markers else []
         found = [self.words[w] for w in words if w in self.words]
-        if len(self.single) + len(self.others) < self.keep:
+        if len(self.code) < self.keep:
             if len(found) < 2 and not stems:
-                self.single[run] = found[0] if found else -1
+                self.code[run] = found[0] if found else NOTHING
             else:
-                self.others[run] = found, stems
+                self.code[run] = OTHER - len(self.others)
+                self.others.append((found, stems))
         return found, stems
 
     def counts(self, text: str | None) -> np.ndarray:
         """(term, count) rows by term; a beginning counts where a longer word goes on, and its further occurrences once."""
-        own: dict[int, int] = {-1: 0}
-        stems: dict[str, int] = {}
-        single, others = self.single, self.others
-        for run, n in Counter((text or "").split()).items():
-            t = single.get(run)
-            if t is None:
-                words, begun = others.get(run) or self._run(run)
-                for t in words:
-                    own[t] = own.get(t, 0) + n
-                for x in begun:
-                    stems[x] = stems.get(x, 0) + n
-            elif t in own:
-                own[t] += n
-            else:
-                own[t] = n
+        runs = (text or "").split()
+        codes = np.fromiter(map(self.code.get, runs, repeat(NEW)), np.int64, len(runs))
+        terms, numbers = np.unique(codes[codes >= 0], return_counts=True)
+        rest = np.nonzero(codes <= NEW)[0].tolist()
+        if not rest:
+            return np.stack([terms, numbers], axis=1)
+        own, stems = dict(zip(terms.tolist(), numbers.tolist(), strict=True)), Counter()
+        for i, code in zip(rest, codes[rest].tolist(), strict=True):
+            words, begun = self.others[OTHER - code] if code <= OTHER else self._run(runs[i])
+            for t in words:
+                own[t] = own.get(t, 0) + 1
+            if begun:
+                stems.update(begun)
         for x, n in stems.items():
             own |= {i: n if o == 1 else 1 for i, o in self.markers[x] if n >= o}
-        del own[-1]
         out = np.empty((len(own), 2), np.int64)
         out[:, 0], out[:, 1] = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
         return out[np.argsort(out[:, 0])]
