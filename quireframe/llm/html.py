@@ -39,12 +39,11 @@ NEVER = frozenset("head nav noscript template button select svg math object canv
 BESIDE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar"
     " breadcrumb breadcrumbs pagination pager sidebar widget widgets footer masthead topbar toolbar comment comments commentlist disqus"
-    " share sharing social newsletter subscribe subscription signup login popup modal overlay cookie cookies consent gdpr contentinfo".split()
+    " share sharing social newsletter subscribe subscription signup login popup modal overlay cookie cookies consent gdpr contentinfo"
+    " aside recommended recommendations notice notices alert disclaimer copyright complementary search form dialog alertdialog".split()
 )
 #: Words that may do so, or name a part of an article: there the wrapper's statistics decide, see Wrapper.
-MAYBE = frozenset(
-    "aside respond reply replies discussion related recommended recommendations notice notices alert disclaimer copyright complementary search form dialog alertdialog".split()
-)
+MAYBE = frozenset("respond reply replies discussion related".split())
 BEGINNINGS = ("adsby", "advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
 # No part is tried again once it has matched, and a part ends at the next tag's beginning.
 TOKEN = re.compile(

@@ -109,10 +109,10 @@ def texts(pages):
 
 
 def test_parts_of_an_article_stay_whatever_their_class():
-    for name in ("discussion", "related-work", "notice", "form-of-the-argument"):
+    for name in ("discussion", "related-work", "reply-to-critics", "results"):
         pages = [article(i, f"<section class='{name}'><h2>Part {i}</h2><p>{PROSE.format(i=i)}</p></section>") for i in range(4)]
         assert all(f"Part {i}\n\n{PROSE.format(i=i)}" in t for i, t in enumerate(texts(pages)))
-    pages = [article(i, f"<div class='related'><a href=1>See {i}</a> <a href=2>More</a></div><section class='comments'><p>{PROSE.format(i=i)}</p></section>") for i in range(4)]
+    pages = [article(i, f"<div class='related'><a href=1>See {i}</a> <a href=2>More</a></div><section class='comments'><p>{PROSE.format(i=i)}</p></section><div class='notice'>{PROSE.format(i=i)}</div>") for i in range(4)]
     assert not any("See" in t or PROSE.format(i=i) in t for i, t in enumerate(texts(pages)))
 
 
