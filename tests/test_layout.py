@@ -1,3 +1,6 @@
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from quireframe.operators import axis, layout, slides
@@ -30,6 +33,30 @@ def test_batches(spark, sf):
     assert [r[0] for r in df.select(layout.measuring_batches(F.col("s"))).collect()] == [[0] * 100 + [1], [0, 2, 2], [], [], [0, 1]]
 
 
+def plain_height(text, font=12.0, available=395 * 0.92):
+    """By pieces that are words, spaces, or the characters of a word wider than a line, the first of which begins a line."""
+    lines = 0
+    for line in re.split(r"\r?\n", re.sub(r"(?:\r?\n)+$", "", text)):
+        pieces, used, lines = [], 0.0, lines + 1
+        for token in re.findall(r"\s+|\S+", line):
+            widths = [layout.char_width(c) * font for c in token]
+            pieces += [(sum(widths), False)] if sum(widths) <= available else [(w, k == 0) for k, w in enumerate(widths)]
+        for width, first in pieces:
+            if used > 0 and (first or used + width > available):
+                lines, used = lines + 1, 0.0
+            used += width
+    return math.ceil(max(1, lines) * font * 1.2 + 1)
+
+
+def test_reading_heights_by_pieces(spark, sf):
+    want = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        if r.text is not None:
+            want[r.conv_id] = max(want.get(r.conv_id, 0), plain_height(r.text))
+    got = {r.conv_id: r.height for r in reading_heights(spark, sf).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want
+
+
 def test_wrapping(spark, sf):
     assert layout.count_lines("aaaa bbbb", 10, 40) == 2 and layout.count_lines("a" * 20, 10, 45) == 3 and layout.count_lines("", 10, 45) == 1 and layout.count_lines("a\n\nb", 10, 45) == 3
     df = spark.createDataFrame([("x\r\n\r\n",), (None,), ("",), ("中中中",)], "t string")
