@@ -186,7 +186,7 @@ class Index:
         term, of = self.terms[rare].astype(np.int64), self.posted // self.block
         begins = np.nonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[0] if len(rare) else np.zeros(0, np.int64)
         # For each term and block with postings: the block, the largest weight, and the postings' first and number.
-        self.part_block, self.part_first, self.part_many = of[begins], begins, np.diff(np.r_[begins, len(rare)])
+        self.part_block, self.part_first, self.part_many = of[begins], begins.astype(np.int32), np.diff(np.r_[begins, len(rare)]).astype(np.int32)
         self.part_most = np.maximum.reduceat(self.posted_weights, begins) if len(rare) else np.zeros(0, np.float32)
         self.first = np.searchsorted(term[begins], np.arange(len(self.idf) + 1))
 
@@ -217,7 +217,7 @@ class Index:
             bound = tops[i] + np.bincount(of, self.part_most[at] * w, blocks).astype(np.float32)
             least = least_of(tops[i])
             go = bound[of] >= least - 1e-4
-            many = self.part_many[at[go]]
+            many = self.part_many[at[go]].astype(np.int64)
             posted = ranges(self.part_first[at[go]], many)
             rough[i] += np.bincount(self.posted[posted], self.posted_weights[posted] * np.repeat(w[go], many), rough.shape[1])
             leasts.append(least)
@@ -318,7 +318,6 @@ class Reader:
 
     def __init__(self, vocabulary: list[str], marks: int = 0, keep: int = 300_000):
         self.own = len(vocabulary) - marks
-        self.words = {w: i for i, w in enumerate(vocabulary[: self.own])}
         self.markers: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
         for i, term in enumerate(vocabulary[self.own :], self.own):
             stem, star, occurrence = term.partition("*")
@@ -326,7 +325,9 @@ class Reader:
         self.code: dict[str, int] = {}  # by run: the term of its one word, NOTHING, or a place in others (from OTHER down)
         self.others: list[tuple[list[int], list[str]]] = []
         marked = lambda w: w in self.markers or any(f"{w[:k]}*" in self.markers for k in BEGINNINGS if len(w) > k)
-        self.code |= {w: i for w, i in self.words.items() if not self.markers or not marked(w)}
+        self.marked: dict[str, int] = {}  # the vocabulary's words that are markers or begin like one
+        for i, w in enumerate(vocabulary[: self.own]):
+            (self.marked if self.markers and marked(w) else self.code)[w] = i
         self.keep = len(self.code) + keep
 
     def _run(self, run: str) -> tuple[list[int], list[str]]:
@@ -335,7 +336,7 @@ class Reader:
         bare = low.strip(MARKS)
         words = [bare] if bare.isalnum() else [w for w in BETWEEN_WORDS.split(low) if w]
         stems = [x for w in words for x in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if x in self.markers] if self.markers else []
-        found = [self.words[w] for w in words if w in self.words]
+        found = [t for w in words if (t := self.marked.get(w, -1)) >= 0 or (t := self.code.get(w, -1)) >= 0]
         if len(self.code) < self.keep:
             if len(found) < 2 and not stems:
                 self.code[run] = found[0] if found else NOTHING
@@ -373,23 +374,29 @@ class Stored:
     path: str
     steps: tuple[list[float], list[float]] | None = None
 
-    def open(self) -> tuple[Index, Reader]:
-        """A worker reads an index once."""
+    def open(self) -> Index:
+        """A worker reads an index once, and then needs no reader of another vocabulary."""
         if self.path not in OPENED:
             OPENED.clear()
-            index = _kept(self.path)
-            OPENED[self.path] = index, Reader(index.vocabulary, index.marks)
-        index, reader = OPENED[self.path]
-        index.steps = self.steps
-        return index, reader
+            READERS.clear()
+            OPENED[self.path] = _kept(self.path)
+        OPENED[self.path].steps = self.steps
+        return OPENED[self.path]
+
+    def reader(self) -> Reader:
+        index = self.open()
+        if self.path not in READERS:
+            READERS.clear()
+            READERS[self.path] = Reader(index.vocabulary, index.marks)
+        return READERS[self.path]
 
 
-OPENED: dict[str, tuple[Index, Reader]] = {}
+OPENED: dict[str, Index] = {}
 READERS: dict[str, Reader] = {}
 
 
 def opened(index: Index | Stored) -> tuple[Index, Reader]:
-    return index.open() if isinstance(index, Stored) else (index, Reader(index.vocabulary, index.marks))
+    return (index.open(), index.reader()) if isinstance(index, Stored) else (index, Reader(index.vocabulary, index.marks))
 
 
 def _keep(folder: str, name: str, what) -> str:
@@ -433,6 +440,7 @@ def count_terms(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
         reader = READERS.get(vocabulary)
         if reader is None:
             READERS.clear()
+            OPENED.clear()
             reader = READERS.setdefault(vocabulary, Reader(_kept(vocabulary), marks))
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -551,7 +559,7 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, reader = stored.open()
+            index, reader = opened(stored)
             found = []
             for group in in_groups(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))):
                 found += index.votes([(0, y, reader.counts(t)) for t, y in group])
@@ -601,7 +609,7 @@ def score_counted(counted: DataFrame, index: Stored, threshold: float = 0.7) ->
     """score() of the rows of count_terms(), whose texts need not be read again; equal counts are worked out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = opened(index)
+        own = index.open()
         for b in batches:
             rows = b.column(2).to_pylist()
             known: dict = dict.fromkeys(rows)

@@ -132,4 +132,4 @@ def test_runs_are_split_as_words():
 
 
 def reader_word(reader, i):
-    return next(w for w, k in reader.words.items() if k == i)
+    return next(w for w, k in (*reader.code.items(), *reader.marked.items()) if k == i and w == w.lower() and w.isalnum() | ("_" in w))
