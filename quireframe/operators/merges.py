@@ -37,9 +37,9 @@ def cover(merges: DataFrame) -> DataFrame:
 
 def containing(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """The cells that a merge holds, with the merge's ends and merge_id."""
-    tiled = tiled(merges.select("sheet_id", "merge_id", *ENDS))
+    laid = tiled(merges.select("sheet_id", "merge_id", *ENDS))
     placed = cells.withColumns({"row_tile": a1.row_tile(F.col("row_index")), "column_tile": a1.column_tile(F.col("column_index"))})
-    found = placed.join(tiled, ["sheet_id", "row_tile", "column_tile"])
+    found = placed.join(laid, ["sheet_id", "row_tile", "column_tile"])
     inside = F.col("row_index").between(F.col("start_row"), F.col("end_row")) & F.col("column_index").between(F.col("start_column"), F.col("end_column"))
     return found.where(inside).drop("row_tile", "column_tile")
 
