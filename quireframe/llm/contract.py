@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quireframe.llm import embeddings, html, licenses, pii, toxicity, warc
 from quireframe.llm.audio import audio_round_trip
 from quireframe.llm.common import Cut, table
+from quireframe.llm.merkle import manifest
 from quireframe.llm.mixing import mix, tempered
 from quireframe.llm.packing import pack
 from quireframe.llm.simhash import near_duplicates
@@ -79,6 +80,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_matches, licenses): the matches of each document as name:start:end:coverage, joined by commas."""
@@ -109,3 +115,23 @@ u AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS e FROM v),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.9),
 r(id, component) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.component FROM r JOIN l ON l.a = r.id)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(component) AS component_id, v.vec_id = min(component) AS kept FROM v JOIN r ON r.id = v.vec_id GROUP BY v.vec_id"""
+
+# CRC-32 by bits. A node's path has its left and right siblings at each level, and a fold goes through it.
+ORACLES["op12_merkle"] = """
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v // 2, 3988292384 * (v % 2)))) AS crc FROM documents),
+f AS (SELECT doc_id, source, [coalesce(octet_length(encode(x)) || ':' || x, '-') FOR x IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text]] AS v,
+    [coalesce(octet_length(encode(x)) || ':' || x, '-') FOR x IN [CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END]] AS w FROM c),
+d AS (SELECT doc_id, source, sha256(array_to_string(v, '')) AS leaf, sha256(array_to_string(v[:4] || w, '')) AS shown FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+a(source, level, pos, n, digest) AS (SELECT source, 0, pos, n, leaf FROM p UNION ALL SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY source, level, pos // 3, n),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b(level, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM s UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY level, pos // 3, n),
+e AS (SELECT source, level, pos, n, digest FROM a UNION ALL SELECT NULL, 1000 + level, pos, n, digest FROM b),
+g AS (SELECT x.source, x.level, x.pos, string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos) AS l, string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos) AS r
+    FROM e x JOIN e y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY ALL),
+h AS (SELECT p.doc_id, p.source, p.pos, p.leaf, p.shown, s.subroot, list(coalesce(l, '') || '|' || coalesce(r, '') ORDER BY level) FILTER (level IS NOT NULL) AS path
+    FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN g ON level < 1000 AND g.source IS NOT DISTINCT FROM p.source AND g.pos = p.pos // CAST(pow(3, level) AS BIGINT)
+      OR level >= 1000 AND g.pos = s.pos // CAST(pow(3, level - 1000) AS BIGINT) GROUP BY ALL),
+k AS (SELECT *, (SELECT digest FROM b WHERE n = 1) AS root, list_reduce(list_prepend(shown, coalesce(path, [])), lambda t, x: sha256(split_part(x, '|', 1) || t || split_part(x, '|', 2))) AS folded_root FROM h)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM k"""

@@ -10,7 +10,7 @@ KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
 def test_query_against_its_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
