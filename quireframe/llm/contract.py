@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quireframe.llm import embeddings, html, licenses, pii, toxicity, warc
 from quireframe.llm.audio import audio_round_trip
 from quireframe.llm.common import Cut, table
+from quireframe.llm.dialogues import repair
 from quireframe.llm.merkle import manifest
 from quireframe.llm.mixing import mix, tempered
 from quireframe.llm.packing import pack
@@ -85,6 +86,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_matches, licenses): the matches of each document as name:start:end:coverage, joined by commas."""
@@ -135,3 +141,30 @@ h AS (SELECT p.doc_id, p.source, p.pos, p.leaf, p.shown, s.subroot, list(coalesc
       OR level >= 1000 AND g.pos = s.pos // CAST(pow(3, level - 1000) AS BIGINT) GROUP BY ALL),
 k AS (SELECT *, (SELECT digest FROM b WHERE n = 1) AS root, list_reduce(list_prepend(shown, coalesce(path, [])), lambda t, x: sha256(split_part(x, '|', 1) || t || split_part(x, '|', 2))) AS folded_root FROM h)
 SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM k"""
+
+# v has the best {c: cost, a: audit, o: repaired rows} for the grammar's states (nothing, after s, u, a) from row i on.
+ORACLES["op13_dialogues"] = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v // 2, 3988292384 * (v % 2)))), 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (b || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r(conv_id, i, v) AS (
+  SELECT conv_id, n, [{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}, {'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']}, {'c': 5, 'a': 'I', 'o': ['assistant:']}, {'c': 0, 'a': '', 'o': []}] FROM n
+  UNION ALL
+  SELECT conv_id, i - 1, [list_min([x, CASE WHEN q <> 2 THEN {'c': 5 + w[3].c, 'a': 'I' || w[3].a, 'o': list_prepend('user:', w[3].o)} ELSE x END]) FOR x, q IN w] FROM (
+    SELECT conv_id, i, [list_min([x, CASE q WHEN 3 THEN {'c': 5 + u[4].c, 'a': 'I' || u[4].a, 'o': list_prepend('assistant:', u[4].o)} WHEN 4 THEN {'c': 5 + u[3].c, 'a': 'I' || u[3].a, 'o': list_prepend('user:', u[3].o)} ELSE x END]) FOR x, q IN u] AS w FROM (
+      SELECT r.conv_id, r.i, [list_min([{'c': 2 + v[q].c, 'a': 'D' || v[q].a, 'o': v[q].o},
+        CASE WHEN fault IN ('blank', 'duplicate') THEN {'c': 2 + v[q].c, 'a': 'D' || v[q].a, 'o': v[q].o}
+          WHEN q = 3 THEN {'c': 1 + e + v[4].c, 'a': 'R' || v[4].a, 'o': list_prepend('assistant:' || text, v[4].o)} ELSE {'c': 1 + e + v[3].c, 'a': 'R' || v[3].a, 'o': list_prepend('user:' || text, v[3].o)} END,
+        CASE WHEN fault IN ('blank', 'duplicate') OR t = 0 THEN {'c': 2 + v[q].c, 'a': 'D' || v[q].a, 'o': v[q].o} ELSE {'c': e + v[t].c, 'a': 'K' || v[t].a, 'o': list_prepend(role || ':' || text, v[t].o)} END]) FOR t, q IN ts] AS u
+      FROM r JOIN (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS e, CASE c WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS g FROM f) f
+        ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i, LATERAL (SELECT g AS ts)))),
+z AS (SELECT conv_id, v[1] AS z FROM r WHERE i = 0)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(z.c, 0) AS BIGINT) AS cost,
+  coalesce(z.a, '') AS audit, sha256(coalesce(array_to_string(z.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
