@@ -13,6 +13,7 @@ from quireframe.llm.merkle import manifest
 from quireframe.llm.mixing import mix, tempered
 from quireframe.llm.packing import pack
 from quireframe.llm.simhash import near_duplicates
+from quireframe.llm.topk import top_k
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
@@ -168,3 +174,10 @@ z AS (SELECT conv_id, v[1] AS z FROM r WHERE i = 0)
 SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(z.c, 0) AS BIGINT) AS cost,
   coalesce(z.a, '') AS audit, sha256(coalesce(array_to_string(z.o, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+ORACLES["op11_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_dot_product(q.e, c.e), 0) AS BIGINT) AS score, row_number() OVER (PARTITION BY q.i ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.i <> c.i AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM s WHERE rank <= 5"""

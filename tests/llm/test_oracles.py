@@ -3,7 +3,7 @@ import pytest
 
 from quireframe.llm.contract import ORACLES, QUERIES
 
-KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
