@@ -26,7 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the rate of labelled examples without a word; repeated rows go or stay together. A score of
     exactly 0.7 goes. Without labels of both kinds every document has the rate of the labels.
     """
-    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    cut = Cut(spark)
+    index, counted = toxicity.fit_and_count(docs, table(spark, sf_dir, "labels"), cut=cut, digests=True)
+    return toxicity.clean(docs, index, counted=counted, cut=cut)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,18 +183,21 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     return groups(docs, **settings).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def groups(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, parts: int | None = None, per_shard: int = 32768, least_depth: int = 4, sample: int = 1 << 18) -> DataFrame:
+def groups(docs: DataFrame, limit: int = 2, words_per_shingle: int = 3, parts: int | None = 1, per_shard: int = 32768, least_depth: int = 4, sample: int = 1 << 18) -> DataFrame:
     """(doc_id long, fp long, g long, component_id long), one row per document; g names the group.
 
     Fingerprints link where at most ``limit`` bits differ, equal ones included; component_id is the smallest doc_id
-    reachable. Equal fingerprints are one point, so a large group of copies is one row. The bits are cut into ``parts``
-    (limit + 1 by default) and each part has a vantage-point tree over the Hamming distance of its bits, fitted on
-    about ``sample`` points (by hash), which deals all points into 2^depth shards. Two points within the limit differ
-    in at most limit // parts bits of some part, and points that near a border also go to the shard across it (see
-    leaves_of), so no link is lost. By default that is no bit: each point is dealt just ``parts`` times, whatever the
-    number of points, while a tree over all bits (parts=1) deals a fifth more at each level. A shard holds about
-    ``per_shard`` points, or the points over sample / 16 where there are more; it finds its links through sorting and
-    vantage points of its own and hands on only a spanning forest of them. Links between shards meet in components().
+    reachable. Equal fingerprints are one point, so a large group of copies is one row. A vantage-point tree over the
+    Hamming distance of all bits, fitted on about ``sample`` points (by hash), deals all points into 2^depth shards; by
+    the triangle inequality only points within the limit of a border may have a partner across it, and those go to the
+    shard across it too (see leaves_of), so no link is lost. That deals about a fifth more at each level. A shard holds
+    about ``per_shard`` points, or the points over sample / 16 where there are more; it is split by vantage points of its
+    own in the same way until parts are small, and hands on only a spanning forest of its links. Links between shards
+    meet in components().
+
+    With ``parts`` over 1 (None: limit + 1) the bits are cut into as many runs with a tree each: two points within the limit differ in at
+    most limit // parts bits of one. With limit + 1 parts that is no bit, each point is dealt ``parts`` times at any
+    number of points, and shards find equal parts by sorting.
 
     Null texts count as empty; empty texts have fingerprint zero and so form one component. Rows with a null doc_id
     keep it; they take part in links, and a component of null ids alone has component_id null. Repeated rows come out

@@ -433,8 +433,16 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.stack([np.cumsum(steps, dtype=np.int64), numbers], axis=1)
 
 
-def count_terms(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
-    """(doc_id, held_out, counts): the packed() counts of a stored vocabulary's terms in each row's whole text."""
+def text_digest(docs: DataFrame) -> Column:
+    """A text's SHA-256 (hexadecimal); a null one counts as empty."""
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+
+
+def count_terms(docs: DataFrame, vocabulary: str, marks: int, digests: bool = False) -> DataFrame:
+    """(doc_id, held_out, counts): the packed() counts of a stored vocabulary's terms in each row's whole text.
+
+    With ``digests`` there is a fourth column, digest, by which decisions on texts find their rows (see clean()).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = READERS.get(vocabulary)
@@ -445,9 +453,12 @@ def count_terms(docs: DataFrame, vocabulary: str, marks: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(reader.counts(t)) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "held_out", "counts"])
+                counts = pa.array([packed(reader.counts(t)) for t in b.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts, *b.columns[3:]], names=["doc_id", "held_out", "counts", *b.schema.names[3:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTED)
+    own = [text_digest(docs).alias("digest")] if digests else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *own)
+    return rows.mapInArrow(run, COUNTED + ", digest string" * digests)
 
 
 def document_frequencies(counted: DataFrame) -> DataFrame:
@@ -481,7 +492,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int
     return index
 
 
-def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16, cut: Cut | None = None) -> tuple[Index | Stored, DataFrame | None]:
+def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, k: int = 16, cut: Cut | None = None, digests: bool = False) -> tuple[Index | Stored, DataFrame | None]:
     """An index of labelled examples, and count_terms() of all documents, from which score_counted() goes on.
 
     Learn from the labelled documents that are not held out, at most ``most_examples`` of them (by hash of doc_id).
@@ -535,7 +546,7 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
     # The words of at most most_examples texts.
     words = tallied.where("term != '' AND instr(term, '*') = 0").select("term").repartition(1).sortWithinPartitions("term")
     vocabulary = words.mapInArrow(number, "path string").first().path
-    counted = cut(count_terms(docs, vocabulary, len(markers)), "counted")
+    counted = cut(count_terms(docs, vocabulary, len(markers), digests), "counted")
     frequencies = cut(document_frequencies(counted), "frequencies")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -620,8 +631,41 @@ def score_counted(counted: DataFrame, index: Stored, threshold: float = 0.7) ->
     return counted.select("doc_id", "held_out", "counts").mapInArrow(run, SCORES)
 
 
-def clean(docs: DataFrame, index: Index | Stored, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, all their columns as they were."""
+def toxic_digests(counted: DataFrame, index: Stored, threshold: float = 0.7) -> DataFrame:
+    """(digest) of the texts in count_terms(digests=True) that score at or above the threshold, each once.
+
+    A worker holds the index for a task and gives it back then, as what comes after needs the memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.open()
+        try:
+            for b in batches:
+                rows = b.column(0).to_pylist()
+                known: dict = dict.fromkeys(rows)
+                for group in in_groups(list(known)):
+                    known.update(zip(group, (s for s, *_ in own.scores([unpacked(x) for x in group])), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array([known[x] >= threshold for x in rows], pa.bool_()))], names=["digest"])
+        finally:
+            del own
+            OPENED.clear()
+            READERS.clear()
+
+    return counted.select("counts", "digest").mapInArrow(run, "digest string").distinct()
+
+
+def clean(docs: DataFrame, index: Index | Stored, threshold: float = 0.7, counted: DataFrame | None = None, cut: Cut | None = None) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, all their columns as they were.
+
+    With ``counted`` (count_terms(digests=True) of docs) texts need not be read again: the digests of toxic texts are
+    found from the counts, and rows go by an anti-join on their text's digest.
+    """
+    if counted is not None:
+        cut = cut or Cut(docs.sparkSession)
+        mark = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
+        toxic = cut(toxic_digests(counted, index, threshold), "toxic", (counted,)).withColumnRenamed("digest", f"{mark}digest")
+        return docs.join(toxic, text_digest(docs) == F.col(f"{mark}digest"), "left_anti")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [s < threshold for s, *_ in of_texts(index, b.column(b.schema.get_field_index("text")).to_pylist())]
