@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.operators import axis, heights, objects, trees
+from quireframe.operators import axis, heights, objects, reading, trees
 from quireframe.plans.documents import ITEMS_SQL, outline_items
 from quireframe.plans.grid import PARTS_SQL, order_merges, part_rows
 from quireframe.plans.registry import query, table
@@ -173,3 +173,43 @@ def page_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-FENWICK inverse: the page at an offset."""
     points = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") * 7 % 20000 - 50).cast("double").alias("x")).distinct()
     return heights.index_at(page_heights(spark, sf_dir), points, "doc")
+
+
+READING_SQL = """c AS (SELECT DISTINCT CAST(l_partkey // 1000 AS VARCHAR) AS sheet_id, CAST(l_partkey % 1000 + 1 AS INT) AS row_index, CAST(l_partkey % 1000 + 1 + CASE WHEN l_partkey % 5 = 0 THEN 3 ELSE 0 END AS INT) AS end_row, l_quantity * 2 AS needed FROM lineitem WHERE CAST(l_partkey // 1000 AS VARCHAR) IN (SELECT sheet_id FROM o)),
+y AS (SELECT c.*, r, coalesce(o.size, 20.0) AS size FROM c CROSS JOIN unnest(range(row_index, end_row + 1)) AS t(r) LEFT JOIN o ON o.sheet_id = c.sheet_id AND o.idx = r),
+h AS (SELECT sheet_id, row_index, end_row, needed, sum(size) AS has, max(r) FILTER (size > 0) AS target, arg_max(size, r) FILTER (size > 0) AS now FROM y GROUP BY ALL),
+u AS (SELECT sheet_id, target AS idx, max(now + needed - has) AS height FROM h WHERE target IS NOT NULL AND needed > has GROUP BY ALL)"""
+
+
+def reading_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as cells in the rows of their parts; those of every fifth part are merged over four rows."""
+    key, row = F.col("l_partkey"), (F.col("l_partkey") % 1000 + 1).cast("int")
+    cells = table(spark, sf_dir, "lineitem").select(F.floor(key / 1000).cast("string").alias("sheet_id"), row.alias("row_index"), (row + F.when(key % 5 == 0, 3).otherwise(0)).cast("int").alias("end_row"), (F.col("l_quantity") * 2).alias("needed"))
+    return cells.join(part_rows(spark, sf_dir).select("sheet_id").distinct(), "sheet_id", "left_semi")
+
+
+@query("reading_rows", f"WITH {PARTS_SQL}, {READING_SQL} SELECT sheet_id, CAST(idx AS INT) AS idx, height FROM u")
+def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-READHEIGHT: rows that have to be higher so that their cells' texts show, merged cells' by their last visible row."""
+    return reading.row_updates(reading_cells(spark, sf_dir), axis.offsets(part_rows(spark, sf_dir)), 20.0)
+
+
+@query(
+    "reading_objects",
+    f"""WITH {PARTS_SQL}, {READING_SQL}, {OBJECTS_SQL}, a AS (SELECT h.sheet_id, r AS idx, coalesce(o.size, 20.0) AS size, CASE WHEN o.size = 0 AND o.idx IS NOT NULL AND EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey // 1000 AS VARCHAR) = h.sheet_id AND p_partkey % 1000 + 1 = r AND p_size % 7 = 0) THEN 0 ELSE greatest(coalesce(o.size, CASE WHEN u.height IS NULL THEN 20.0 ELSE 0 END), coalesce(u.height, 0)) END AS shown
+  FROM (SELECT DISTINCT sheet_id FROM o) h CROSS JOIN unnest(range(1, 1201)) AS t(r) LEFT JOIN o ON o.sheet_id = h.sheet_id AND o.idx = r LEFT JOIN u ON u.sheet_id = h.sheet_id AND u.idx = r),
+e AS (SELECT sheet_id, idx, size, shown, sum(size) OVER w - size AS start, sum(size) OVER w AS stop, sum(shown) OVER w - shown AS to_ FROM a WINDOW w AS (PARTITION BY sheet_id ORDER BY idx)),
+p AS (SELECT sheet_id, object_id, 0 AS k, y AS x FROM ob UNION ALL SELECT sheet_id, object_id, 1, y + height FROM ob),
+f AS (SELECT p.sheet_id, object_id, k, x, least(1000, coalesce((SELECT min(idx) FROM e WHERE e.sheet_id = p.sheet_id AND stop > x), 1000)) AS idx FROM p WHERE p.sheet_id IN (SELECT sheet_id FROM o)),
+m AS (SELECT f.sheet_id, object_id, k, to_ + shown * CASE WHEN size > 0 THEN greatest(0, least(1, (x - start) / size)) ELSE 0 END AS v FROM f JOIN e ON e.sheet_id = f.sheet_id AND e.idx = f.idx),
+v AS (SELECT sheet_id, object_id, max(v) FILTER (k = 0) AS y, max(v) FILTER (k = 1) AS bottom FROM m GROUP BY ALL)
+SELECT sheet_id, object_id, round(y, 6) AS y, round(greatest(1, bottom - y), 6) AS height FROM v""",
+)
+def reading_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-READING: where objects lie once rows are as high as their texts need."""
+    overrides = part_rows(spark, sf_dir)
+    source = axis.offsets(overrides)
+    display = axis.offsets(reading.updated(overrides, reading.row_updates(reading_cells(spark, sf_dir), source, 20.0), 20.0))
+    objects_ = part_objects(spark, sf_dir).join(source.select("sheet_id").distinct(), "sheet_id", "left_semi")
+    found = reading.remapped(objects_, source, display, 20.0, 1000)
+    return found.select("sheet_id", "object_id", *[F.round(c, 6).alias(c) for c in ("y", "height")])
