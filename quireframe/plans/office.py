@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from quireframe.operators import documents
+from quireframe.operators import documents, lineage
 from quireframe.plans.documents import LINES_SQL
 from quireframe.plans.registry import query, table
-from quireframe.sources import office
+from quireframe.sources import office, sheets
 
 RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -138,3 +138,39 @@ def office_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     files = turns.select("file_id", _deck("t").alias("content"))
     return office.slide_elements(files).select("file_id", "slide_index", "ord", "type", "placeholder", "text")
+
+
+def written(files: DataFrame, name: str) -> str:
+    """A new folder with the files (file_id, content) in it, written by the tasks that have them."""
+    import re
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    folder = lineage.new_folder(files.sparkSession, name)
+
+    def write(batches):
+        system, at = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for file_id, content in zip(batch["file_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                with system.open_output_stream(f"{at}/{file_id}.xlsx") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.select("file_id", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+@query(
+    "sheet_window",
+    """WITH n AS (SELECT CAST(s_suppkey // 50 AS VARCHAR) AS file_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) AS INT) AS row_index, s_name, s_acctbal FROM supplier)
+SELECT file_id, 'S' AS sheet_name, row_index, CAST(k AS INT) AS column_index, CASE WHEN k = 1 THEN 's' ELSE 'n' END AS type, CASE WHEN k = 1 THEN s_name ELSE CAST(s_acctbal AS VARCHAR) END AS value FROM n, (VALUES (1), (2)) AS t(k) WHERE row_index BETWEEN 5 AND 24""",
+)
+def sheet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-XLSX-CELLS, SRC-SAX, SRC-URI, FLT-RANGE: rows 5 to 24 of each sheet, read no further than that."""
+    folder = written(workbooks(spark, sf_dir), "workbooks")
+    cells = sheets.raw_cells(spark, folder).where("row_index BETWEEN 5 AND 24 AND column_index <= 2 AND sheet_name = 'S'")
+    strings = office.shared_strings(office.read_files(spark, folder, "*.xlsx").withColumn("file_id", F.regexp_extract("file_id", "([^/]+)$", 1)))
+    named = cells.withColumn("file_id", F.regexp_extract("file_id", "([^/]+)$", 1))
+    return sheets.shown(named, strings).select(F.replace("file_id", F.lit(".xlsx"), F.lit("")).alias("file_id"), "sheet_name", "row_index", "column_index", "type", "value")
