@@ -43,6 +43,43 @@ def radar_axes(points: DataFrame, keys: list[str], category: str, value: str) ->
     return most.withColumn("axis_max", chart.nice_max(F.col("largest")))
 
 
+def with_categories(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys, series, idx from 0, category, value) with categories: those of a chart that has none are 1, 2, 3 and so on.
+
+    A chart that has categories keeps them, and places without one have none.
+    """
+    has = F.max(F.col("category").isNotNull().cast("int")).over(Window.partitionBy(*keys)) == 1
+    return points.withColumn("category", F.when(has, F.col("category")).otherwise((F.col("idx") + 1).cast("string")))
+
+
+def radar_order(axes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """axes with place (from 0): the first axis stays, the others go the other way round, as they are drawn clockwise."""
+    w = Window.partitionBy(*keys)
+    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order))
+    return axes.withColumns({"_n": n, "_at": at}).withColumn("place", F.when((F.col("_n") <= 2) | (F.col("_at") == 1), F.col("_at") - 1).otherwise(F.col("_n") - F.col("_at") + 1).cast("int")).drop("_n", "_at")
+
+
+def plotted(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, drawn, series, place, name, x, y): what is drawn of points (keys, kind, series, type, idx, category, value, x).
+
+    kind is the chart's. A pie (or doughnut) draws its first series by category; a radar the axes in radar_order(), but
+    cartesian where it has no categories; every other chart all series, points of scatter and bubble series at their x,
+    else at their category, else by number. A gap is a point without y, on a pie 0.
+    """
+    known = with_categories(points.withColumn("_own", F.col("category")), keys)
+    w = Window.partitionBy(*keys)
+    named = F.max(F.col("_own").isNotNull().cast("int")).over(w) == 1
+    drawn = F.when(F.col("kind").isin("pie", "doughnut"), "pie").when((F.col("kind") == "radar") & named, "radar").otherwise("cartesian")
+    rows = known.withColumn("drawn", drawn).where((F.col("drawn") != "pie") | (F.col("series") == 0))
+    axes = rows.where("drawn = 'radar'").select(*keys, "idx").distinct()
+    order = radar_order(axes, keys, "idx").withColumnRenamed("place", "_place")
+    placed = rows.join(order, [*keys, "idx"], "left")
+    scatter = chart.drawn_as(F.col("type")) == "scatter"
+    x = F.when((F.col("drawn") == "cartesian") & scatter, F.coalesce("x", F.col("_own").try_cast("double"), (F.col("idx") + 1).cast("double")))
+    y = F.when(F.col("drawn") == "pie", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value"))
+    return placed.select(*keys, "drawn", "series", F.coalesce("_place", F.col("idx")).cast("int").alias("place"), F.col("category").alias("name"), x.alias("x"), y.alias("y"))
+
+
 def tiers(rows: DataFrame, keys: list[str], tier: str, order: str) -> DataFrame:
     """(keys, tier, first, number): the distinct tiers, numbered from 1 as they come."""
     found = rows.groupBy(*keys, tier).agg(F.min(order).alias("first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireframe.functions import text as T
-from quireframe.operators import charts
+from quireframe.operators import charts, wps
 from quireframe.plans.registry import query, table
 
 
@@ -25,7 +25,7 @@ SHIPPED_SQL = "q AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(m
 SELECT e.series, CAST(i AS INT) AS idx, value FROM e, unnest(range(0, last + 1)) AS t(i) LEFT JOIN s ON s.series = e.series AND s.idx = i""",
 )
 def chart_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-CHARTMATRIX, SO-CACHEPT, FN-CATEGORIES: dense series with gaps."""
+    """AG-CHARTMATRIX, SO-CACHEPT: dense series with gaps."""
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), (F.col("event_id") % 40).alias("idx"), "value", F.col("event_id").alias("ord"))
     return charts.matrix(points, ["series"])
 
@@ -82,7 +82,7 @@ def of_pie(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT chart, category, largest, CASE WHEN largest <= 0 THEN 1.0::DOUBLE ELSE (CASE WHEN largest / 10.0::DOUBLE ** floor(log10(largest)) <= 2 THEN 2 WHEN largest / 10.0::DOUBLE ** floor(log10(largest)) <= 5 THEN 5 ELSE 10 END) * 10.0::DOUBLE ** floor(log10(largest)) END AS axis_max FROM m""",
 )
 def radar_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-RADARMAX, SO-RADAR: a round axis end for each segment."""
+    """AG-RADARMAX: a round axis end for each segment."""
     points = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("chart"), F.col("c_mktsegment").alias("category"), F.col("c_acctbal").alias("value"))
     return charts.radar_axes(points, ["chart"], "category", "value")
 
@@ -120,7 +120,7 @@ def slide_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT *, CASE WHEN columns >= 100 THEN 'two-axis-window' WHEN rows >= 500 OR rows * columns >= 20000 THEN 'row-window' ELSE 'table' END AS mode FROM s""",
 )
 def sheet_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-SHEETPROFILE, AG-ARCHIVE, AG-CANVAS: how the suppliers' sheets are to be shown."""
+    """AG-SHEETPROFILE: how the suppliers' sheets are to be shown."""
     columns = (F.max("l_linenumber") * (5 + F.col("l_suppkey") % 12)).cast("int").alias("columns")
     sizes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"), columns)
     return sizes.withColumn("mode", charts.sheet_profile(F.col("rows"), F.col("columns")))
@@ -136,3 +136,63 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     cells = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grid"), F.col("role").alias("col"), (F.char_length(t) + T.matches(t, f"[{T.HAN}]")).cast("double").alias("width"))
     return charts.column_shares(cells, ["grid"], "col", F.col("width")).withColumn("px", F.round("px", 6))
+
+
+# A chart for each customer: kind by key, two series over orders; every fourth chart has no categories, some points no value.
+KINDS_SQL = """k AS (SELECT o_custkey AS chart_id, ['pie', 'radar', 'line', 'scatter', 'doughnut'][CAST(o_custkey % 5 AS INT) + 1] AS kind, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderkey, o_totalprice FROM orders),
+p AS (SELECT chart_id, kind, s AS series, kind AS type, idx, CASE WHEN chart_id % 4 > 0 THEN CASE WHEN s = 1 AND kind = 'scatter' THEN CAST(o_orderkey AS VARCHAR) ELSE 'o' || o_orderkey END END AS category, CASE WHEN (o_orderkey + s) % 6 > 0 THEN o_totalprice * (s + 1) END AS value, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey / 2.0 END::DOUBLE AS x FROM k, (VALUES (0), (1)) AS t(s))"""
+
+
+@query(
+    "plotted_points",
+    f"""WITH {KINDS_SQL}, n AS (SELECT *, max(idx) OVER (PARTITION BY chart_id) + 1 AS n FROM p)
+SELECT chart_id, CASE WHEN kind IN ('pie', 'doughnut') THEN 'pie' WHEN kind = 'radar' AND chart_id % 4 > 0 THEN 'radar' ELSE 'cartesian' END AS drawn, CAST(series AS INT) AS series,
+  CAST(CASE WHEN kind = 'radar' AND chart_id % 4 > 0 AND n > 2 AND idx > 0 THEN n - idx ELSE idx END AS INT) AS place, coalesce(category, CAST(idx + 1 AS VARCHAR)) AS name,
+  CASE WHEN kind = 'scatter' THEN coalesce(x, TRY_CAST(category AS DOUBLE), idx + 1) END AS x, CASE WHEN kind IN ('pie', 'doughnut') THEN coalesce(value, 0) ELSE value END AS y
+FROM n WHERE kind NOT IN ('pie', 'doughnut') OR series = 0""",
+)
+def plotted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-CHART, SO-RADAR, FN-CATEGORIES: what charts of each type draw, radar axes in their order, default categories."""
+    from pyspark.sql.window import Window
+
+    key, order = F.col("o_custkey"), F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("chart_id"), F.element_at(F.array(*map(F.lit, ("pie", "radar", "line", "scatter", "doughnut"))), (key % 5 + 1).cast("int")).alias("kind"),
+        (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("idx"), order.alias("id"), "o_totalprice",
+    ).withColumn("series", F.explode(F.array(F.lit(0), F.lit(1))))
+    name = F.when((F.col("series") == 1) & (F.col("kind") == "scatter"), F.col("id").cast("string")).otherwise(F.concat(F.lit("o"), F.col("id")))
+    points = rows.select(
+        "chart_id", "kind", "series", F.col("kind").alias("type"), "idx", F.when(F.col("chart_id") % 4 > 0, name).alias("category"),
+        F.when((F.col("id") + F.col("series")) % 6 > 0, F.col("o_totalprice") * (F.col("series") + 1)).alias("value"), F.when(F.col("id") % 3 == 0, F.col("id") / 2.0).alias("x"),
+    )
+    return charts.plotted(points, ["chart_id"])
+
+
+@query(
+    "wps_points",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_custkey % 6 AS k FROM orders),
+r AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'o' || o_orderkey END AS c FROM n), l AS (SELECT o_custkey, list(c ORDER BY i) FILTER (c <> '') AS labels FROM r GROUP BY o_custkey),
+s AS (SELECT r.*, labels, s FROM r JOIN l USING (o_custkey), (VALUES (0), (1)) AS t(s) WHERE k < 5 AND (k < 4 OR s = 0))
+SELECT o_custkey AS chart_id, CASE k WHEN 0 THEN 'pie' WHEN 1 THEN 'doughnut' WHEN 4 THEN 'map' ELSE 'line' END AS kind, CAST(s AS INT) AS series, CASE WHEN s = 0 THEN 'Price' ELSE 'Key' END AS series_name,
+  CASE k WHEN 0 THEN 'pie' WHEN 1 THEN 'pie' WHEN 3 THEN 'area' WHEN 4 THEN 'map' ELSE 'line' END AS type, CAST(i AS INT) AS idx, labels[i + 1] AS category,
+  CASE WHEN s = 1 THEN o_orderkey WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END::DOUBLE AS value, CASE WHEN k = 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END END AS tier FROM s""",
+)
+def wps_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-CHART-WPS, FN-JSONPROP, FN-JSONTABLE: series and points of charts that are kept as JSON properties."""
+    key, k = F.col("o_custkey"), F.col("o_custkey") % 6
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    order = F.col("o_orderkey")
+    price = F.when(order % 5 == 0, '"n/a"').when(order % 3 == 0, quoted(F.concat(F.lit(" "), F.col("o_totalprice").cast("string")))).otherwise(F.col("o_totalprice").cast("string"))
+    third = F.when(k == 4, quoted(F.when(order % 2 == 0, " even").otherwise("odd"))).otherwise(order.cast("string"))
+    row = F.concat(F.lit("["), F.when(order % 7 == 0, "null").otherwise(quoted(F.concat(F.lit(" o"), order))), F.lit(", "), price, F.lit(", "), third, F.lit("]"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", row.alias("row")).alias("r")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), ", ").alias("rows"))
+    data = F.concat(F.lit('[["", "Price", " Key"], 5, '), F.col("rows"), F.lit("]"))
+    demo = F.concat(F.lit('{"data": '), data, F.lit("}"))
+    texts = {
+        "type": F.when(k <= 1, "wpsPie").otherwise("wpsLine"), "dschart_type": F.when(k == 4, "MAP").when(k == 5, "tree"),
+        "demoData": F.when(k == 2, F.replace(demo, F.lit('"'), F.lit("?quot;"))).when(k < 4, demo), "dschart": F.when(k >= 4, F.concat(F.lit('{"json": {"data": ['), data, F.lit("]}}"))),
+        "style": F.when(k == 1, '{"radius": ["40%", "70%"]}').when(k == 3, '{"areaStyle": {"show": true}}').when(k == 2, "no JSON"),
+    }
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in texts.items()])).alias("p")
+    properties = rows.select(key.alias("chart_id"), pairs).select("chart_id", "p.name", "p.value").where("value IS NOT NULL")
+    return wps.points(wps.models(properties, "chart_id"), "chart_id")

@@ -109,7 +109,7 @@ s AS (SELECT *, (idx - 1) * 20.0::DOUBLE + coalesce(sum(size - 20) OVER (PARTITI
 
 @query("axis_offsets", f"WITH {PARTS_SQL} SELECT sheet_id, axis, idx, size, start, start + size AS \"end\" FROM s")
 def axis_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-AXIS, WN-FENWICK: offsets of rows with sizes of their own."""
+    """WN-AXIS: offsets of rows with sizes of their own."""
     return axis.offsets(part_rows(spark, sf_dir)).select("sheet_id", "axis", "idx", "size", "start", "end")
 
 
@@ -179,7 +179,7 @@ SELECT c.sheet_id, row_index, column_index, merge_id, start_row, start_column, e
 FROM c JOIN m ON c.sheet_id = m.sheet_id AND row_index BETWEEN start_row AND end_row AND column_index BETWEEN start_column AND end_column""",
 )
 def merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-MERGE-POINT, SRC-CELLIMG: the merges that hold a cell."""
+    """JN-MERGE-POINT: the merges that hold a cell."""
     key = F.col("l_orderkey")
     cells = table(spark, sf_dir, "lineitem").select(F.floor(key / 500).cast("string").alias("sheet_id"), (key % 500 + 1).cast("int").alias("row_index"), (F.col("l_partkey") % 60 + 1).cast("int").alias("column_index")).distinct()
     return merges.containing(cells, order_merges(spark, sf_dir))
@@ -192,7 +192,7 @@ SELECT r.sheet_id, range_id, merge_id, m.start_row AS m_start_row, m.start_colum
   AND m.start_row <= r.end_row AND r.start_row <= m.end_row AND m.start_column <= r.end_column AND r.start_column <= m.end_column""",
 )
 def merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-MERGE-ISECT, JN-OBJ-ISECT: the merges that a range touches."""
+    """JN-MERGE-ISECT: the merges that a range touches."""
     merged = order_merges(spark, sf_dir)
     return merges.overlapping(ranges_at(merged), merged)
 
