@@ -1,13 +1,12 @@
-"""Streams of revisions and of ordered pieces: newest rows, upserts into a table, and folds in sequence."""
+"""Streams of revisions and of ordered pieces: newest rows, and folds in sequence."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,55 +18,6 @@ def newest(stream: DataFrame, keys: list[str], revision: str = "revision") -> Da
     return revisions.newest(stream, keys, revision)
 
 
-def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """The numbers of the whole folders kind=number in a path, in order."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith(f"{kind}=")]
-    return sorted(int(p.getName().partition("=")[2]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def read_current(spark: SparkSession, path: str, keys: list[str], revision: str = "revision") -> DataFrame | None:
-    """The newest row of each key in what upsert_into() has written; None before the first batch.
-
-    Of rows with the same revision the one of the earliest batch counts, as later ones are stale.
-    """
-    whole = _written(spark, path, "upto")[-1:]
-    parts = [(f"{path}/upto={n}", n) for n in whole]
-    parts += [(f"{path}/batch={n}", n) for n in _written(spark, path, "batch") if not whole or n > whole[0]]
-    if not parts:
-        return None
-    rows = reduce(DataFrame.unionByName, [spark.read.parquet(at).withColumn("_batch", F.lit(n).cast("long")) for at, n in parts])
-    rest = [c for c in rows.columns if c not in keys and c != "_batch"]
-    best = F.max_by(F.struct(*rest), F.struct(revision, -F.col("_batch"))).alias("_row")
-    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-
-
-def upsert_into(path: str, keys: list[str], revision: str = "revision", merge_every: int = 64) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that applies each batch to the table in ``path``, see read_current().
-
-    A batch writes its own newest rows as batch=number, and nothing else; one that runs again writes the same. After
-    every ``merge_every`` batches all is merged into upto=number and what that has is deleted, so that readers merge
-    few folders and a row is written again only then.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        revisions.newest(batch, keys, revision).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if number % merge_every != merge_every - 1:
-            return
-        whole = [n for n in _written(spark, path, "upto") if n < number]
-        read_current(spark, path, keys, revision).write.mode("overwrite").parquet(f"{path}/upto={number}")
-        for at in [*(f"batch={n}" for n in _written(spark, path, "batch") if n <= number), *(f"upto={n}" for n in whole)]:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{at}")
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    return apply
-
-
 def fold_in_order(stream: DataFrame, key: str, sequence: str, columns: list[str], start: object, step: Callable, out_schema: str, most_waiting: int = 100_000) -> DataFrame:
     """Rows of a key folded in the order of their sequence numbers 0, 1, 2 and so on, whatever order they come in.
 
