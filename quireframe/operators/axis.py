@@ -52,3 +52,15 @@ def offset_at(sized: DataFrame, points: DataFrame) -> DataFrame:
     default = F.col("row.default_size")
     start = F.when(F.col("near").isNull(), (F.col("idx") - 1) * default).otherwise(F.col("near.end") + (F.col("idx") - F.col("near.idx") - 1) * default)
     return found.select(*KEYS, "idx", start.alias("start"), *[F.col(f"row.{c}") for c in rest])
+
+
+def viewport(sized: DataFrame, views: DataFrame, least: float = 240.0, overscan: float = 2.0) -> DataFrame:
+    """views (sheet_id, axis, view_id, scroll, size, default_size, count) with first and last: the rows or columns from
+    ``overscan`` sizes of the view before it to as many behind it; a view counts as ``least`` px at least."""
+    span = F.greatest(F.lit(least), F.col("size"))
+    top = F.greatest(F.lit(0.0), F.col("scroll"))
+    edges = F.explode(F.array(F.struct(F.lit("first").alias("edge"), F.greatest(F.lit(0.0), top - overscan * span).alias("x")), F.struct(F.lit("last").alias("edge"), (top + (1 + overscan) * span).alias("x"))))
+    asked = views.select(*KEYS, "view_id", "default_size", "count", edges.alias("e")).select(*KEYS, "view_id", "default_size", "count", "e.edge", "e.x")
+    found = find(sized, asked.select(*KEYS, "x", "default_size", "count").distinct()).withColumnRenamed("idx", "_at")
+    at = asked.join(found, [*KEYS, "x"]).groupBy(*KEYS, "view_id").agg(*[F.max(F.when(F.col("edge") == e, F.col("_at"))).alias(e) for e in ("first", "last")])
+    return views.join(at, [*KEYS, "view_id"]).withColumn("last", F.greatest("first", "last"))

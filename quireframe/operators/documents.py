@@ -201,3 +201,35 @@ def overflow_pages(blocks: DataFrame, key: str, order: str, spacer: Column, full
     earlier = F.coalesce(F.max(F.col("_full").cast("int")).over(before), F.lit(0)) == 1
     cut = (F.col("_full") & earlier & (F.col("_n") - 1 - solid >= least)).cast("int")
     return marked.withColumn("_cut", cut).withColumn("page", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_spacer", "_full", "_n", "_cut")
+
+
+def page_starts(blocks: DataFrame, key: str, order: str) -> DataFrame:
+    """blocks with page (from 0), the one on which a block's beginning stands; blocks that are only a break have null.
+
+    blocks have rendered (where the file says a page began when it was last shown), explicit (a break stands in it),
+    alone (nothing but a break), section (it ends a section) and table_breaks (rows of a table before which a page
+    begins). A page begins before a block that was rendered so, but not where the one before ended with an explicit
+    break, which says the same; behind a block with an explicit break or the end of a section; before the rows of a
+    table. A boundary without a block on the page before begins none.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = F.coalesce(F.size("table_breaks"), F.lit(0))
+    said = yes("explicit") & ~yes("section") | yes("alone")
+    doubled = F.coalesce(F.lag(said).over(w), F.lit(False))
+    before = yes("rendered") & (rows <= 0) & ~doubled
+    after = yes("alone") | yes("section") | yes("explicit")
+    shown = ~yes("alone")
+    marked = blocks.withColumns({"_before": before, "_after": after, "_shown": shown, "_rows": F.greatest(rows, F.lit(0)), "_first": F.coalesce(F.get("table_breaks", F.lit(0)) == 0, F.lit(False)) & (rows > 0)})
+    # something stands on the page before if a block that shows came since the last boundary
+    boundary = F.col("_before") | F.coalesce(F.lag("_after").over(w), F.lit(False)) | F.col("_first")
+    marked = marked.withColumn("_cut", boundary)
+    run = marked.withColumn("_run", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # pages that begin inside a table, behind its first row
+    inner = F.when(F.col("_shown"), F.col("_rows") - F.col("_first").cast("int")).otherwise(0)
+    has = run.groupBy(key, "_run").agg(F.max(F.col("_shown").cast("int")).alias("_has"), F.sum(inner).alias("_inner"))
+    upto = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    has = has.withColumn("_page", F.coalesce(F.sum(F.col("_has") + F.col("_inner")).over(upto), F.lit(0)))
+    placed = run.join(has.select(key, "_run", "_page"), [key, "_run"]).withColumn("_passed", F.coalesce(F.sum(inner).over(Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    page = F.when(F.col("_shown"), F.col("_page") + F.col("_passed")).cast("int")
+    return placed.withColumn("page", page).drop("_before", "_after", "_shown", "_rows", "_first", "_cut", "_run", "_page", "_passed")

@@ -136,3 +136,40 @@ def overflow(cells: DataFrame, width: Column, align: Column, kind: Column) -> Da
     direction = F.when(align == "left", "right").when(align == "right", "left").when(align == "center", "both").when(align == "justify", "none").when(kind == "s", "right").otherwise("none")
     free = {"direction": direction, "left_free": F.col("_upto") - F.col("_previous_end"), "right_free": F.col("_next_start") - F.col("_end")}
     return out.where("_full").withColumns(free).drop("_full", "_upto", "_end", "_previous_end", "_next_start")
+
+
+def extent(dimensions: DataFrame, cells: DataFrame, merged: DataFrame) -> DataFrame:
+    """(sheet_id, last_row, last_column) from 0: the farthest of a sheet's declared ends (row_end, column_end, exclusive),
+    its cells, also blank ones, and its merges. Sizes and styles of whole rows and columns do not count.
+    """
+    parts = [
+        dimensions.select("sheet_id", (F.col("row_end") - 1).alias("r"), (F.col("column_end") - 1).alias("c")),
+        cells.select("sheet_id", F.col("row_index").alias("r"), F.col("column_index").alias("c")),
+        merged.select("sheet_id", F.col("end_row").alias("r"), F.col("end_column").alias("c")),
+    ]
+    most = lambda c: F.greatest(F.lit(0), F.coalesce(F.max(c), F.lit(0))).cast("int")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("sheet_id").agg(most("r").alias("last_row"), most("c").alias("last_column"))
+
+
+def visible_merges(merged: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(sheet_id, merge_id, row_index, column_index, row_span, column_span): merges on the rows and columns that show.
+
+    rows and columns (sheet_id, idx) are those that show. A merge stands at the first of its rows and columns that shows
+    and spans those that do; one without any is left out. How many show up to an index is a running count, so a merge
+    asks for two places on each axis (as-of steps), however large it is.
+    """
+    ranked = [(rows.select("sheet_id", F.lit("row").alias("axis"), "idx")), columns.select("sheet_id", F.lit("column").alias("axis"), "idx")]
+    w = Window.partitionBy("sheet_id", "axis").orderBy("idx")
+    shown = ranked[0].unionByName(ranked[1]).withColumn("n", F.row_number().over(w))
+    ends = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(e).alias("end"), (F.col(f"{'start' if e == 'before' else 'end'}_{a}") - (1 if e == "before" else 0)).alias("idx")) for a in ("row", "column") for e in ("before", "upto")]))
+    asked = merged.select("sheet_id", "merge_id", ends.alias("e")).select("sheet_id", "e.axis", "e.idx", F.struct("merge_id", "e.end").alias("ask"))
+    both = shown.withColumn("ask", F.lit(None).cast(asked.schema["ask"].dataType)).unionByName(asked.withColumn("n", F.lit(None).cast("int")))
+    upto = Window.partitionBy("sheet_id", "axis").orderBy("idx", F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("n", F.coalesce(F.last("n", ignorenulls=True).over(upto), F.lit(0))).where("ask IS NOT NULL")
+    at = lambda a, e: F.max(F.when((F.col("axis") == a) & (F.col("ask.end") == e), F.col("n"))).alias(f"{a}_{e}")
+    spans = counted.groupBy("sheet_id", "ask.merge_id").agg(*[at(a, e) for a in ("row", "column") for e in ("before", "upto")]).where("row_upto > row_before AND column_upto > column_before")
+    out = spans
+    for a in ("row", "column"):
+        first = shown.where(F.col("axis") == a).select("sheet_id", F.col("idx").alias(f"{a}_index"), (F.col("n") - 1).alias(f"{a}_before"))
+        out = out.join(first, ["sheet_id", f"{a}_before"])
+    return out.select("sheet_id", "merge_id", "row_index", "column_index", (F.col("row_upto") - F.col("row_before")).alias("row_span"), (F.col("column_upto") - F.col("column_before")).alias("column_span"))

@@ -96,3 +96,28 @@ def index_at(blocks: DataFrame, points: DataFrame, key: str, block: int = BLOCK)
     end = F.col("any.block") * block + F.col("any.n") - 1
     idx = F.when(F.col("any.block").isNull(), -1).when(F.col("x") <= 0, 0).when(F.col("x") >= F.col("near.all"), end).otherwise(F.least(end, F.col("near.block") * block + walked))
     return found.select(*[F.col(f"row.{c}").alias(c) for c in points.columns], idx.cast("long").alias("idx"))
+
+
+def page_window(blocks: DataFrame, views: DataFrame, key: str, block: int = BLOCK, overscan: float = 2.0, least: int = 3) -> DataFrame:
+    """views (key, view_id, scroll, size) with first, last (exclusive), above and below: the pages to show and the heights
+    of what is left out before and behind them.
+
+    Pages from ``overscan`` sizes of the view before it to as many behind, at least ``least`` (as far as there are so
+    many), of which half of what is missing comes before.
+    """
+    ends = starts(blocks, key).where("block = last").select(key, (F.col("block") * block + F.size("heights")).alias("_n"), F.col("all").alias("_all"))
+    span = F.greatest(F.col("size"), F.lit(0.0)) * overscan
+    edges = F.explode(F.array(F.struct(F.lit("a").alias("edge"), F.greatest(F.lit(0.0), F.col("scroll") - span).alias("x")), F.struct(F.lit("b").alias("edge"), (F.col("scroll") + F.col("size") + span).alias("x"))))
+    asked = views.select(key, "view_id", edges.alias("e")).select(key, "view_id", "e.edge", "e.x")
+    found = index_at(blocks, asked, key, block).groupBy(key, "view_id").agg(*[F.max(F.when(F.col("edge") == e, F.col("idx"))).alias(f"_{e}") for e in "ab"])
+    known = views.join(found, [key, "view_id"]).join(ends, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    start, end = F.greatest(F.col("_a"), F.lit(0)), F.least(F.col("_b") + 1, F.col("_n"))
+    missing = F.greatest(F.lit(0), least - (end - start))
+    before = F.least(start, F.ceil(missing / 2))
+    last = F.least(F.col("_n"), end + missing - before)
+    first = F.when(missing > 0, F.greatest(F.lit(0), last - least)).otherwise(start)
+    placed = known.withColumns({"first": first.cast("long"), "last": last.cast("long")}).drop("_a", "_b", "_n")
+    above = offset_of(blocks, placed.select(key, "view_id", F.col("first").alias("idx")), key, block).select(key, "view_id", F.col("offset").alias("above"))
+    upto = offset_of(blocks, placed.select(key, "view_id", F.col("last").alias("idx")), key, block).select(key, "view_id", F.col("offset").alias("_upto"))
+    out = placed.join(above, [key, "view_id"]).join(upto, [key, "view_id"])
+    return out.select(*views.columns, "first", "last", "above", (F.coalesce("_all", F.lit(0.0)) - F.col("_upto")).alias("below"))

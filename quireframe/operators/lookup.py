@@ -125,3 +125,15 @@ def newest_first(edits: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """entries (edit_id, key, offset) of the newest edit that has each key; edits (edit_id, depth), 0 the newest."""
     ranked = entries.join(edits, "edit_id")
     return ranked.groupBy(key).agg(F.min_by("offset", "depth").alias("offset"), F.min("depth").alias("depth"))
+
+
+def interval_value(points: DataFrame, intervals: DataFrame, key: str, value: str, otherwise: float = 0.0) -> DataFrame:
+    """points (key, position) with the value of the interval (key, start, end, value) that holds it, end exclusive; else ``otherwise``.
+
+    Intervals do not overlap. An as-of step over the union of both finds the last that begins at or before the position.
+    """
+    known = intervals.where("end > start").select(key, F.col("start").cast("long").alias("position"), F.struct(F.col("end"), F.col(value).alias("v")).alias("i"))
+    asked = points.select(key, F.col("position").cast("long").alias("position"), F.lit(None).cast(known.schema["i"].dataType).alias("i"), F.lit(True).alias("asked"))
+    upto = Window.partitionBy(key).orderBy("position", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = known.withColumn("asked", F.lit(None).cast("boolean")).unionByName(asked).withColumn("near", F.last("i", ignorenulls=True).over(upto)).where("asked")
+    return both.select(key, "position", F.coalesce(F.when(F.col("position") < F.col("near.end"), F.col("near.v")), F.lit(otherwise)).alias(value))

@@ -70,3 +70,14 @@ def canvas(cells: DataFrame, objects: DataFrame, least: float = 0.0) -> DataFram
     far = objects.groupBy("sheet_id").agg(F.max(F.col("x") + F.col("width")).alias("_x"), F.max(F.col("y") + F.col("height")).alias("_y"))
     joined = cells.join(far, "sheet_id", "left")
     return joined.select("sheet_id", F.greatest("width", F.coalesce("_x", F.lit(0.0)), F.lit(least)).alias("width"), F.greatest("height", F.coalesce("_y", F.lit(0.0)), F.lit(least)).alias("height"))
+
+
+def anchor_rects(anchors: DataFrame, sized: DataFrame, default_row: float, default_column: float) -> DataFrame:
+    """(sheet_id, object_id, x, y, width, height) of objects held by two cells (from_row, from_column, to_row, to_column
+    from 1, each with an offset in px: from_y, from_x, to_y, to_x); sides are 1 px at least."""
+    ends = [("row", "from_row", "from_y", "top"), ("row", "to_row", "to_y", "bottom"), ("column", "from_column", "from_x", "left"), ("column", "to_column", "to_x", "right")]
+    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).cast("int").alias("idx"), F.col(off).cast("double").alias("off"), F.lit(name).alias("edge")) for a, c, off, name in ends]))
+    points = anchors.select("sheet_id", "object_id", spread.alias("p")).select("sheet_id", "p.axis", "p.idx", F.when(F.col("p.axis") == "row", default_row).otherwise(default_column).alias("default_size"), "object_id", "p.edge", "p.off")
+    at = axis.offset_at(sized, points).groupBy("sheet_id", "object_id").agg(*[F.max(F.when(F.col("edge") == name, F.col("start") + F.col("off"))).alias(name) for *_, name in ends])
+    side = lambda a, b: F.greatest(F.lit(1.0), F.col(b) - F.col(a))
+    return at.select("sheet_id", "object_id", F.col("left").alias("x"), F.col("top").alias("y"), side("left", "right").alias("width"), side("top", "bottom").alias("height"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.operators import axis, heights, objects, reading, trees
+from quireframe.operators import axis, documents, grid, heights, lookup, objects, reading, trees
 from quireframe.plans.documents import ITEMS_SQL, outline_items
 from quireframe.plans.grid import PARTS_SQL, order_merges, part_rows
 from quireframe.plans.registry import query, table
@@ -213,3 +213,109 @@ def reading_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects_ = part_objects(spark, sf_dir).join(source.select("sheet_id").distinct(), "sheet_id", "left_semi")
     found = reading.remapped(objects_, source, display, 20.0, 1000)
     return found.select("sheet_id", "object_id", *[F.round(c, 6).alias(c) for c in ("y", "height")])
+
+
+@query(
+    "sheet_views",
+    f"""WITH {PARTS_SQL}, full_ AS (SELECT h.sheet_id, r AS idx, coalesce(o.size, 20.0) AS size FROM (SELECT DISTINCT sheet_id FROM o) h CROSS JOIN unnest(range(1, 1001)) AS t(r) LEFT JOIN o ON o.sheet_id = h.sheet_id AND o.idx = r),
+ends AS (SELECT sheet_id, idx, sum(size) OVER (PARTITION BY sheet_id ORDER BY idx) AS e FROM full_),
+q AS (SELECT CAST(o_orderkey % 3 AS VARCHAR) AS sheet_id, o_orderkey AS view_id, greatest(0, o_custkey * 11 % 20000 - 50)::DOUBLE AS top, greatest(240, o_orderkey % 500)::DOUBLE AS span FROM orders WHERE CAST(o_orderkey % 3 AS VARCHAR) IN (SELECT sheet_id FROM o)),
+r AS (SELECT sheet_id, view_id, least(1000, coalesce((SELECT min(idx) FROM ends WHERE ends.sheet_id = q.sheet_id AND e > greatest(0, top - 2 * span)), 1000)) AS a, least(1000, coalesce((SELECT min(idx) FROM ends WHERE ends.sheet_id = q.sheet_id AND e > top + 3 * span), 1000)) AS b FROM q)
+SELECT sheet_id, view_id, CAST(a AS BIGINT) AS first, CAST(greatest(a, b) AS BIGINT) AS last FROM r""",
+)
+def sheet_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-VIEWPORT: the rows to show for a place of a sheet, two heights of the view before it to two behind."""
+    sized = axis.offsets(part_rows(spark, sf_dir))
+    views = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).cast("string").alias("sheet_id"), F.lit("row").alias("axis"), F.col("o_orderkey").alias("view_id"), (F.col("o_custkey") * 11 % 20000 - 50).cast("double").alias("scroll"), (F.col("o_orderkey") % 500).cast("double").alias("size"), F.lit(20.0).alias("default_size"), F.lit(1000).alias("count"))
+    return axis.viewport(sized, views.join(sized.select("sheet_id").distinct(), "sheet_id", "left_semi")).select("sheet_id", "view_id", "first", "last")
+
+
+@query(
+    "page_views",
+    f"""WITH {PAGES_SQL}, w AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 40 AS view_id FROM lineitem), p AS (SELECT doc, view_id, (view_id * 613 % 20000)::DOUBLE AS scroll, (view_id % 7 * 20)::DOUBLE AS size FROM w), t AS (SELECT DISTINCT doc, n, total FROM v),
+a AS (SELECT p.*, n, total, greatest(0, scroll - 2 * size) AS x, scroll + 3 * size AS z FROM p JOIN t USING (doc)),
+i AS (SELECT *, CASE WHEN x <= 0 THEN 0 WHEN x >= total THEN n - 1 ELSE least(n - 1, (SELECT count(*) FROM v WHERE v.doc = a.doc AND upto <= x)) END AS s, least(n, 1 + CASE WHEN z <= 0 THEN 0 WHEN z >= total THEN n - 1 ELSE least(n - 1, (SELECT count(*) FROM v WHERE v.doc = a.doc AND upto <= z)) END) AS e FROM a),
+m AS (SELECT *, greatest(0, 3 - (e - s)) AS missing FROM i), l AS (SELECT *, least(n, e + missing - least(s, CAST(ceil(missing / 2) AS BIGINT))) AS last FROM m),
+f AS (SELECT *, CASE WHEN missing > 0 THEN greatest(0, last - 3) ELSE s END AS first FROM l)
+SELECT doc, view_id, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, coalesce((SELECT max(upto) FROM v WHERE v.doc = f.doc AND v.idx < first), 0) AS above, total - coalesce((SELECT max(upto) FROM v WHERE v.doc = f.doc AND v.idx < last), 0) AS below FROM f""",
+)
+def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-VIEWPORT, QR-PAGES: the pages to show for a place of a document, three at least, and the heights around them."""
+    view = F.col("view_id")
+    views = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 40).alias("view_id")).distinct()
+    views = views.select("doc", "view_id", (view * 613 % 20000).cast("double").alias("scroll"), (view % 7 * 20).cast("double").alias("size"))
+    return heights.page_window(page_heights(spark, sf_dir), views, "doc").drop("scroll", "size")
+
+
+@query(
+    "anchored_objects",
+    f"""WITH {PARTS_SQL}, a AS (SELECT *, r || '/' || c || '/' || CAST(q AS INT) AS object_id FROM (SELECT DISTINCT CAST(l_partkey // 1000 AS VARCHAR) AS sheet_id, l_partkey % 1000 + 1 AS r, l_suppkey % 9 + 1 AS c, l_quantity AS q FROM lineitem WHERE CAST(l_partkey // 1000 AS VARCHAR) IN (SELECT sheet_id FROM o))),
+b AS (SELECT *, (r - 1) * 20.0::DOUBLE + coalesce((SELECT sum(size - 20) FROM s WHERE s.sheet_id = a.sheet_id AND s.idx < r), 0) + q AS y, (r + q % 4 - 1) * 20.0::DOUBLE + coalesce((SELECT sum(size - 20) FROM s WHERE s.sheet_id = a.sheet_id AND s.idx < r + q % 4), 0) + 5 AS y2 FROM a)
+SELECT sheet_id, object_id, (c - 1) * 64.0::DOUBLE + 3 AS x, y, greatest(1, q % 3 * 64.0::DOUBLE) AS width, greatest(1, y2 - y) AS height FROM b""",
+)
+def anchored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-ANCHOR: px rectangles of objects between two cells, 1 px at least."""
+    sized = axis.offsets(part_rows(spark, sf_dir))
+    lines = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_partkey") / 1000).cast("string").alias("sheet_id"), (F.col("l_partkey") % 1000 + 1).alias("r"), (F.col("l_suppkey") % 9 + 1).alias("c"), F.col("l_quantity").alias("q")).distinct()
+    lines = lines.withColumn("object_id", F.concat_ws("/", "r", "c", F.col("q").cast("int")))
+    lines = lines.join(sized.select("sheet_id").distinct(), "sheet_id", "left_semi")
+    anchors = lines.select("sheet_id", "object_id", F.col("r").alias("from_row"), F.col("q").alias("from_y"), F.col("c").alias("from_column"), F.lit(3).alias("from_x"), (F.col("r") + F.col("q") % 4).alias("to_row"), F.lit(5).alias("to_y"), (F.col("c") + F.col("q") % 3).alias("to_column"), F.lit(3).alias("to_x"))
+    return objects.anchor_rects(anchors, sized, 20.0, 64.0)
+
+
+@query(
+    "drawing_tops",
+    """WITH i AS (SELECT conv_id, turn * 100 AS a, turn * 100 + length(text) % 90 AS b, turn * 10.0::DOUBLE AS top FROM conversations), p AS (SELECT DISTINCT conv_id, turn * 61 AS position FROM conversations)
+SELECT p.conv_id, CAST(position AS BIGINT) AS position, coalesce((SELECT max(top) FROM i WHERE i.conv_id = p.conv_id AND a <= position AND position < b), 0) AS top FROM p""",
+)
+def drawing_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-ANCHOR: the top of the paragraph whose characters hold an anchor, 0 between paragraphs."""
+    turns = table(spark, sf_dir, "conversations")
+    intervals = turns.select("conv_id", (F.col("turn") * 100).alias("start"), (F.col("turn") * 100 + F.char_length("text") % 90).alias("end"), (F.col("turn") * 10.0).alias("top"))
+    return lookup.interval_value(turns.select("conv_id", (F.col("turn") * 61).alias("position")).distinct(), intervals, "conv_id", "top")
+
+
+@query(
+    "sheet_extents",
+    """WITH c AS (SELECT CAST(o_orderkey // 500 AS VARCHAR) AS s, o_orderkey % 500 AS r, o_custkey % 60 AS k, o_custkey % 3 AS dr, o_orderkey % 4 AS dk, o_orderkey % 7 AS z FROM orders)
+SELECT s AS sheet_id, CAST(greatest(0, max(CASE WHEN z < 3 THEN r WHEN z < 5 THEN r + dr + 1 ELSE r % 100 - 1 END)) AS INT) AS last_row, CAST(greatest(0, max(CASE WHEN z < 3 THEN k WHEN z < 5 THEN k + dk + 1 ELSE k % 20 - 1 END)) AS INT) AS last_column FROM c GROUP BY s""",
+)
+def sheet_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-USED-RANGE-XLS: the extent of declared dimensions, cells and merges of sheets."""
+    key, row, column = F.col("o_orderkey"), F.col("o_orderkey") % 500, F.col("o_custkey") % 60
+    rows = table(spark, sf_dir, "orders").select(F.floor(key / 500).cast("string").alias("sheet_id"), row.alias("r"), column.alias("k"), (row + F.col("o_custkey") % 3 + 1).alias("end_row"), (column + key % 4 + 1).alias("end_column"), (key % 7).alias("z"))
+    dimensions = rows.where("z >= 5").select("sheet_id", (F.col("r") % 100).alias("row_end"), (F.col("k") % 20).alias("column_end"))
+    return grid.extent(dimensions, rows.where("z < 3").select("sheet_id", F.col("r").alias("row_index"), F.col("k").alias("column_index")), rows.where("z IN (3, 4)"))
+
+
+@query(
+    "visible_merges",
+    """WITH m AS (SELECT CAST(o_orderkey // 500 AS VARCHAR) AS sheet_id, o_orderkey AS merge_id, o_orderkey % 500 + 1 AS a, o_custkey % 60 + 1 AS b, o_orderkey % 500 + 1 + o_custkey % 3 AS c, o_custkey % 60 + 1 + o_orderkey % 4 AS d FROM orders),
+r AS (SELECT sheet_id, merge_id, count(*) AS n, min(i) AS first FROM m, unnest(range(a, c + 1)) AS t(i) WHERE i % 4 <> 1 AND i <= 520 GROUP BY ALL), k AS (SELECT sheet_id, merge_id, count(*) AS n, min(i) AS first FROM m, unnest(range(b, d + 1)) AS t(i) WHERE i % 3 <> 0 AND i <= 70 GROUP BY ALL)
+SELECT r.sheet_id, r.merge_id, CAST(r.first AS INT) AS row_index, CAST(k.first AS INT) AS column_index, CAST(r.n AS INT) AS row_span, CAST(k.n AS INT) AS column_span FROM r JOIN k USING (sheet_id, merge_id)""",
+)
+def visible_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-VISIBLE: merges on the rows and columns that show; every fourth row and every third column is hidden."""
+    merged = order_merges(spark, sf_dir)
+    sheets = merged.select("sheet_id").distinct()
+    shown = lambda last: sheets.select("sheet_id", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("idx"))
+    return grid.visible_merges(merged, shown(520).where("idx % 4 <> 1"), shown(70).where("idx % 3 <> 0"))
+
+
+# Events as blocks: errors are rendered breaks, every seventh has an explicit one (every 14th nothing else), every 19th ends a section, every 23rd is a table with breaks before its first and third row.
+@query(
+    "page_starts",
+    """WITH RECURSIVE b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type = 'error' AS rendered, event_id % 7 = 0 AS explicit, event_id % 14 = 0 AS alone, event_id % 19 = 0 AS section, event_id % 23 = 0 AND event_id % 14 > 0 AS tab FROM events),
+f(user_id, n, event_id, page, filled, said, place) AS (SELECT DISTINCT user_id, 0::BIGINT, -1::BIGINT, 0, FALSE, FALSE, NULL::INT FROM b
+  UNION ALL SELECT user_id, n, event_id, page3 + (filled3 AND after)::INT, CASE WHEN after THEN FALSE ELSE filled3 END, alone OR explicit AND NOT section, CASE WHEN NOT alone THEN CASE WHEN tab THEN page3 - 1 ELSE page3 END END FROM (
+    SELECT *, alone OR explicit OR section AS after, CASE WHEN alone THEN page2 WHEN tab THEN page2 + filled2::INT + 1 ELSE page2 END AS page3, CASE WHEN alone THEN filled2 ELSE TRUE END AS filled3 FROM (
+      SELECT *, page + (filled AND cut)::INT AS page2, filled AND NOT cut AS filled2 FROM (
+        SELECT b.*, f.page, f.filled, b.rendered AND NOT b.tab AND NOT f.said AS cut FROM f JOIN b ON b.user_id = f.user_id AND b.n = f.n + 1))))
+SELECT user_id, event_id, CAST(place AS INT) AS page FROM f WHERE n > 0""",
+)
+def page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-PAGEBREAK: where pages begin by explicit and rendered breaks, sections and rows of tables, doubles counted once."""
+    key = F.col("event_id")
+    tab = (key % 23 == 0) & (key % 14 > 0)
+    blocks = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("rendered"), (key % 7 == 0).alias("explicit"), (key % 14 == 0).alias("alone"), (key % 19 == 0).alias("section"), F.when(tab, F.array(F.lit(0), F.lit(2))).alias("table_breaks"))
+    return documents.page_starts(blocks, "user_id", "event_id").select("user_id", "event_id", "page")
