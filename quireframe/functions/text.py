@@ -54,15 +54,20 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t]+", " "))
 
 
-# Fixed value: characters that UTF-8 read as Latin-1 shows.
-MOJIBAKE = "[ÃÂäåæçèé]"
+# Fixed value: characters that UTF-8 read as Latin-1 or GBK shows, and the sign of bytes that were lost.
+MOJIBAKE = "[ÃÂäåæçèé]|\ufffd|锟|鎬|宸|濮|韬|骞|涓|鍚|煡"
 
 
 def mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read again; as it was where it has no sign of that or does not decode."""
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    odd = text.rlike(MOJIBAKE) & ~text.rlike(r"[^\x{0}-\x{ff}]")
-    return F.when(odd & F.is_valid_utf8(F.encode(text, "ISO-8859-1").cast("string")), again).otherwise(text)
+    """UTF-8 that was read by single bytes, read again; as it was where it has no sign of that or does not decode.
+
+    The bytes are the lower eight bits of each character's first UTF-16 unit, whatever stands above them.
+    """
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    low = F.unhex(F.regexp_replace(units, r"\G..(..)(?:D[C-F]..)?", "$1"))
+    again = low.cast("string")
+    good = text.rlike(MOJIBAKE) & F.is_valid_utf8(again) & ~F.contains(F.make_valid_utf8(again), F.lit("\ufffd"))
+    return F.when(good, F.decode(F.when(good, low), "UTF-8")).otherwise(text)
 
 
 def weighted_length(text: Column) -> Column:

@@ -92,18 +92,18 @@ def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as rows of sheets of 1000: sizes are heights, every seventh size is hidden, some rows have no override."""
+    """Parts as rows of sheets of 1000: sizes are heights, those of a third of the sizes the default, every seventh other size is hidden."""
     parts = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     rows = parts.select(
         F.floor(key / 1000).cast("string").alias("sheet_id"), F.lit("row").alias("axis"), (key % 1000 + 1).cast("int").alias("idx"),
-        F.col("p_size").cast("double").alias("size"), (F.col("p_size") % 7 == 0).alias("hidden"), F.lit(20.0).alias("default_size"),
+        F.when(F.col("p_size") % 3 == 0, 20.0).otherwise(F.col("p_size").cast("double")).alias("size"), ((F.col("p_size") % 3 != 0) & (F.col("p_size") % 7 == 0)).alias("hidden"), F.lit(20.0).alias("default_size"),
     )
-    return rows.where("size % 3 != 0")
+    return rows
 
 
 PARTS_SQL = """o AS (SELECT CAST(p_partkey // 1000 AS VARCHAR) AS sheet_id, 'row' AS axis, CAST(p_partkey % 1000 + 1 AS INT) AS idx,
-  CASE WHEN p_size % 7 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS size FROM part WHERE p_size % 3 <> 0),
+  CASE WHEN p_size % 3 = 0 THEN 20.0::DOUBLE WHEN p_size % 7 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS size FROM part),
 s AS (SELECT *, (idx - 1) * 20.0::DOUBLE + coalesce(sum(size - 20) OVER (PARTITION BY sheet_id, axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o)"""
 
 
@@ -123,7 +123,7 @@ SELECT q.sheet_id, 'row' AS axis, x, CAST(least(1000, coalesce((SELECT min(idx)
 FROM q WHERE q.sheet_id IN (SELECT sheet_id FROM o)""",
 )
 def axis_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-AXIS inverse, WN-VIEWPORT: the row at an offset."""
+    """WN-AXIS inverse: the row at an offset."""
     sized = axis.offsets(part_rows(spark, sf_dir))
     asked = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_partkey") / 1000).cast("string").alias("sheet_id"), (F.col("l_quantity") * 400).alias("x")).distinct()
     known = sized.select("sheet_id").distinct()

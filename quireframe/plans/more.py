@@ -16,7 +16,7 @@ from quireframe.plans.registry import query, table
 @query(
     "slide_compose",
     """WITH s AS (SELECT conv_id * 100 + turn AS slide_id, conv_id % 7 AS layout_id, conv_id % 3 AS master_id, length(text) AS n FROM conversations),
-m AS (SELECT n_nationkey % 3 AS master_id, n_nationkey AS ord, 'm' || n_name AS name FROM nation WHERE n_nationkey < 6), l AS (SELECT n_nationkey % 7 AS layout_id, n_nationkey AS ord, 'l' || n_name AS name FROM nation),
+m AS (SELECT n_nationkey % 3 AS master_id, n_nationkey AS ord, 'm' || n_name AS name FROM nation), l AS (SELECT n_nationkey % 7 AS layout_id, n_nationkey AS ord, 'l' || n_name AS name FROM nation),
 u AS (SELECT slide_id, 0 AS rank, 'master' AS source, ord, name FROM s JOIN m USING (master_id) UNION ALL SELECT slide_id, 1, 'layout', ord, name FROM s JOIN l USING (layout_id) UNION ALL SELECT slide_id, 2, 'slide', 0, 'text ' || n FROM s)
 SELECT slide_id, CAST(row_number() OVER (PARTITION BY slide_id ORDER BY rank, ord, name) - 1 AS INT) AS z_index, source, name FROM u""",
 )
@@ -24,7 +24,7 @@ def slide_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QR-SLIDE, QR-SLIDES, JN-MASTER, SO-DOCORDER: turns as slides, nations as elements of masters and layouts."""
     nation = table(spark, sf_dir, "nation")
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("slide_id"), (F.col("conv_id") % 7).alias("layout_id"), (F.col("conv_id") % 3).alias("master_id"), "text")
-    masters = nation.where("n_nationkey < 6").select((F.col("n_nationkey") % 3).alias("master_id"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("m"), "n_name").alias("name"))
+    masters = nation.select((F.col("n_nationkey") % 3).alias("master_id"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("m"), "n_name").alias("name"))
     layouts = nation.select((F.col("n_nationkey") % 7).alias("layout_id"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("l"), "n_name").alias("name"))
     own = turns.select("slide_id", F.lit(0).alias("ord"), F.concat(F.lit("text "), F.char_length("text")).alias("name"))
     return slides.compose(turns, masters, layouts, own)
@@ -32,12 +32,12 @@ def slide_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "slide_notes",
-    """WITH n AS (SELECT user_id % 300 AS slide, event_id, event_type FROM events WHERE event_type <> 'view')
+    """WITH n AS (SELECT user_id % 300 AS slide, event_id, event_type FROM events)
 SELECT c_custkey, coalesce((SELECT string_agg(event_type, chr(10) ORDER BY event_id) FROM n WHERE slide = c_custkey), '') AS notes FROM customer""",
 )
 def slide_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-NOTES: customers as slides, events as notes."""
-    notes = table(spark, sf_dir, "events").where("event_type <> 'view'").select((F.col("user_id") % 300).alias("c_custkey"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
+    notes = table(spark, sf_dir, "events").select((F.col("user_id") % 300).alias("c_custkey"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
     return slides.with_notes(table(spark, sf_dir, "customer").select("c_custkey"), notes, "c_custkey")
 
 
@@ -302,14 +302,14 @@ def overflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "repaired_texts",
-    r"""SELECT item_id, text AS repaired, 'x' || chr(10) || regexp_replace(text, '[{}\\]', '', 'g') AS plain FROM benchmark""",
+    r"""SELECT item_id, text AS repaired, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN '锟 ' || text ELSE chr(31) || ' ' || text END AS mixed, 'x' || chr(10) || regexp_replace(text, '[{}\\]', '', 'g') AS plain FROM benchmark""",
 )
 def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-MOJIBAKE, FN-STRIP-RTF: texts whose UTF-8 was read as Latin-1, and texts inside RTF."""
     text = F.col("text")
     spoilt = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     rtf = F.concat(F.lit(r"{\rtf1\b x\par "), F.regexp_replace(text, r"[{}\\]", ""), F.lit("}"))
-    return table(spark, sf_dir, "benchmark").select("item_id", T.mojibake(spoilt).alias("repaired"), T.strip_rtf(rtf).alias("plain"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.mojibake(spoilt).alias("repaired"), T.mojibake(F.concat(F.lit("锟 "), text)).alias("mixed"), T.strip_rtf(rtf).alias("plain"))
 
 
 @query(
@@ -340,7 +340,7 @@ def capped_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand AS sheet_id, count(*) FILTER (value <> '' OR fill IS NOT NULL OR border IS NOT NULL) AS kept, count(*) FILTER (value = '' AND (fill IS NOT NULL OR border IS NOT NULL)) AS blanks FROM s GROUP BY p_brand""",
 )
 def visible_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-VISIBLE-EMPTY, FLT-USED-RANGE-XLS: blank cells count where their style shows."""
+    """FLT-VISIBLE-EMPTY: blank cells count where their style shows."""
     size = F.col("p_size")
     cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet_id"), F.when(size % 5 == 0, "fill").alias("fill"), F.when(size % 7 == 0, "thin").alias("border"), F.when(size % 3 == 0, F.col("p_type")).otherwise("").alias("value"))
     shows = grid.shows_when_empty(F.col("fill"), F.col("border"))

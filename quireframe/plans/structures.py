@@ -196,7 +196,7 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reading_objects",
-    f"""WITH {PARTS_SQL}, {READING_SQL}, {OBJECTS_SQL}, a AS (SELECT h.sheet_id, r AS idx, coalesce(o.size, 20.0) AS size, CASE WHEN o.size = 0 AND o.idx IS NOT NULL AND EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey // 1000 AS VARCHAR) = h.sheet_id AND p_partkey % 1000 + 1 = r AND p_size % 7 = 0) THEN 0 ELSE greatest(coalesce(o.size, CASE WHEN u.height IS NULL THEN 20.0 ELSE 0 END), coalesce(u.height, 0)) END AS shown
+    f"""WITH {PARTS_SQL}, {READING_SQL}, {OBJECTS_SQL}, a AS (SELECT h.sheet_id, r AS idx, coalesce(o.size, 20.0) AS size, CASE WHEN o.size = 0 AND o.idx IS NOT NULL AND EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey // 1000 AS VARCHAR) = h.sheet_id AND p_partkey % 1000 + 1 = r AND p_size % 7 = 0 AND p_size % 3 <> 0) THEN 0 ELSE greatest(coalesce(o.size, CASE WHEN u.height IS NULL THEN 20.0 ELSE 0 END), coalesce(u.height, 0)) END AS shown
   FROM (SELECT DISTINCT sheet_id FROM o) h CROSS JOIN unnest(range(1, 1201)) AS t(r) LEFT JOIN o ON o.sheet_id = h.sheet_id AND o.idx = r LEFT JOIN u ON u.sheet_id = h.sheet_id AND u.idx = r),
 e AS (SELECT sheet_id, idx, size, shown, sum(size) OVER w - size AS start, sum(size) OVER w AS stop, sum(shown) OVER w - shown AS to_ FROM a WINDOW w AS (PARTITION BY sheet_id ORDER BY idx)),
 p AS (SELECT sheet_id, object_id, 0 AS k, y AS x FROM ob UNION ALL SELECT sheet_id, object_id, 1, y + height FROM ob),

@@ -47,7 +47,7 @@ def test_texts(spark):
     assert values(spark, "string", ["ab中", "", None], lambda c: F.round(text.weighted_length(c), 4)) == [2.1, 0.0, None]
     assert values(spark, "string", ["a\x07b\x0dc\x02  d "], text.normalize) == ["a|b\nc d"]
     assert values(spark, "string", ["a😀", "ab"], text.utf16_length) == [3, 2]
-    assert values(spark, "string", ["Ã¼ber", "plain", "naïve", None], text.mojibake) == ["über", "plain", "naïve", None]
+    assert values(spark, "string", ["Ã¼ber", "plain", "naïve", None, "锟é", "锟 a", "é", "\U0001f600 Ã©"], text.mojibake) == ["über", "plain", "naïve", None, "锟é", "\x1f a", "é", "= é"]
     assert values(spark, "string", ["1. a", "(b) c", "（三） d", "- e", "• f", "x", "1234. g"], text.list_kind) == ["ordered"] * 3 + ["bulleted"] * 2 + [None] * 2
     assert values(spark, "string", ["a|b", "a|", "| |x| y"], text.is_table_line) == [True, False, True]
     assert values(spark, "string", ["<p>a<script>x</script>b &amp;</p>"], text.strip_html) == ["a b &amp;"]
@@ -169,3 +169,12 @@ def test_decoding_by_score(spark):
     assert (got["plain"], got["han"], got["bad"], got["none"]) == ("plain", "你好", "ÿÿ", None) and got["out"] in ("a\x81b", "a乥", "a�b")
     pages = {r.k: (r.d.text, r.d.warning) for r in df.select("k", text.decode_page(F.col("raw"), F.lit(1)).alias("d")).collect()}
     assert pages["out"] == ("a\x81b", "code page 1 is read as 1252")
+
+
+def test_fields_in_east_asian_languages(spark):
+    from quireframe.functions.fields import slide_field
+
+    rows = spark.createDataFrame([("ja-JP", "datetime2"), ("ko", "datetime2"), ("ko-KR", "datetime12"), ("ja", "datetime13"), ("ko", "datetime1"), ("fr-FR", "datetime4"), (None, "datetime10")], "l string, k string")
+    at = F.lit("2024-03-05 14:07:09").cast("timestamp")
+    found = rows.select(slide_field(F.col("k"), F.lit("x"), F.lit(1), at, F.col("l")).alias("t"))
+    assert [r.t for r in found.collect()] == ["2024年3月05日火曜日", "2024년 3월 05일 화요일", "오후 02:07", "午後02:07:09", "2024. 03. 05.", "March 05, 2024", "14:07"]
