@@ -113,45 +113,40 @@ def decode_page(raw: Column, page: Column) -> Column:
     return F.struct(_by_page(raw, page).alias("text"), warning.alias("warning"))
 
 
-# Marks of a field's beginning, the end of its instruction and its end, and of anchors of objects.
-FIELD_MARKS, ANCHORS = "\x13\x14\x15", "\x01\x08"
-
-
-def _shown(text: str) -> str:
-    """A text with each field as its result, or as the anchors of its instruction where it has no result."""
-    open_: list[list[str]] = [["", "", ""]]  # instruction and result of each open field, and which of them goes on
-    out = ""
-
-    def add(what: str) -> None:
-        nonlocal out
-        if len(open_) == 1:
-            out += what
-        else:
-            open_[-1][1 if open_[-1][2] else 0] += what
-
-    def close() -> None:
-        instruction, result, _ = open_.pop()
-        add(result or "".join(c for c in instruction if c in ANCHORS))
-
-    for part in re.split(f"([{FIELD_MARKS}])", text):
-        if part == FIELD_MARKS[0]:
-            open_.append(["", "", ""])
-        elif part == FIELD_MARKS[1]:
-            open_[-1][2] = "result"
-        elif part == FIELD_MARKS[2]:
-            if len(open_) > 1:
-                close()
-        elif part:
-            add(part)
-    while len(open_) > 1:  # fields without an end
-        close()
-    return out
+# Fixed value: marks of a field's beginning, the end of its instruction and its end; 01 and 08 are anchors of objects.
+FIELD_MARKS = "\x13\x14\x15"
 
 
-@pandas_udf(StringType())
-def field_results(text: pd.Series) -> pd.Series:
-    """Texts of old documents with their fields resolved, fields inside fields too."""
-    return text.map(_shown, na_action="ignore")
+#: One round of resolving fields: instructions keep their anchors only, further separators go, a field that holds no
+#: other becomes its result, or its anchors if it has none.
+FIELD_STEPS = (
+    (r"(\x13|(?!\A)\G)([\x01\x08]*)[^\x01\x08\x13-\x15]+", "$1$2"),
+    (r"(\x13[\x01\x08]*\x14|(?!\A)\G)([^\x13-\x15]*)\x14", "$1$2"),
+    (r"\x13[\x01\x08]*\x14([^\x13-\x15]+)\x15", "$1"),
+    (r"\x13([\x01\x08]*)\x14?\x15", "$1"),
+)
+
+
+def field_results(text: Column) -> Column:
+    """Texts of old documents with each field as its result, or as the anchors of its instruction where it has no result.
+
+    Fields lie in each other: a running count over the marks says how deep, which is how many rounds from the inside out
+    it takes, and how many fields have no end, which come to theirs at the end of the text. Marks that belong to no field
+    go.
+    """
+    ends = F.split(F.regexp_replace(text, f"[^{FIELD_MARKS[0]}{FIELD_MARKS[2]}]", ""), "")
+    count = lambda s, c: F.when(c == FIELD_MARKS[0], s["now"] + 1).when(c == FIELD_MARKS[2], F.greatest(s["now"] - 1, F.lit(0))).otherwise(s["now"])
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(ends, start, lambda s, c: F.struct(count(s, c).alias("now"), F.greatest(s["most"], count(s, c)).alias("most")))
+
+    def round_(t: Column) -> Column:
+        for pattern, kept in FIELD_STEPS:
+            t = F.regexp_replace(t, pattern, kept)
+        return t
+
+    whole = F.concat(text, F.repeat(F.lit(FIELD_MARKS[2]), depth["now"]))
+    resolved = F.aggregate(F.sequence(F.lit(1), depth["most"]), whole, lambda t, _: round_(t))
+    return F.translate(F.when(depth["most"] > 0, resolved).otherwise(text), FIELD_MARKS, "")
 
 
 def text_width(text: Column, font: Column) -> Column:

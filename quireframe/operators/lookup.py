@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,14 +107,15 @@ def style_at(points: DataFrame, runs: DataFrame, key: str, value: str) -> DataFr
     return both.withColumn("found", F.last("style", ignorenulls=True).over(upto)).where("asked").select(key, "position", F.col("found.v").alias(value))
 
 
-def inherit(styles: DataFrame, fields: list[str], doublings: int = 16) -> DataFrame:
+def inherit(styles: DataFrame, fields: list[str]) -> DataFrame:
     """styles (style_id, fields) with each missing field from the nearest style up the chain of based_on.
 
-    Chains are followed by doubling: each round joins every style with where it stands, so n rounds follow 2^n steps.
-    In a chain that comes back to itself all fields are found on the way; it is left at the last round at the latest.
+    Chains are followed by doubling: each round joins every style with where it stands, so n rounds follow 2^n steps, and
+    as many are done as the longest chain of so many styles can need. In one that comes back to itself all fields are
+    found on the way.
     """
-    now = styles.select("style_id", "based_on", *fields)
-    for _ in range(doublings):
+    now = cut(styles.select("style_id", "based_on", *fields))
+    for _ in range(math.ceil(math.log2(max(1, now.count()))) + 1):
         up = now.select(F.col("style_id").alias("_id"), F.col("based_on").alias("_next"), *[F.col(f).alias(f"_{f}") for f in fields])
         step = now.join(up, F.col("based_on") == F.col("_id"), "left")
         now = cut(step.select("style_id", F.when(F.col("_next") != F.col("style_id"), F.col("_next")).alias("based_on"), *[F.coalesce(f, f"_{f}").alias(f) for f in fields]))

@@ -174,3 +174,38 @@ def sheet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = office.shared_strings(office.read_files(spark, folder, "*.xlsx").withColumn("file_id", F.regexp_extract("file_id", "([^/]+)$", 1)))
     named = cells.withColumn("file_id", F.regexp_extract("file_id", "([^/]+)$", 1))
     return sheets.shown(named, strings).select(F.replace("file_id", F.lit(".xlsx"), F.lit("")).alias("file_id"), "sheet_name", "row_index", "column_index", "type", "value")
+
+
+@pandas_udf(BinaryType())
+def _sectioned(sections: pd.Series) -> pd.Series:
+    """Customers (k, name) as sections: those of every third have a header of their own, those of every fourth a footer for first pages."""
+
+    def one(items) -> bytes:
+        parts, relations_, body = {}, [], ""
+        for i, s in enumerate(items):
+            own = [(kind, type_) for kind, type_, n in (("header", "default", 3), ("footer", "first", 4)) if s["k"] % n == 0]
+            references = ""
+            for kind, type_ in own:
+                relations_.append(f"{kind}{i}.xml")
+                references += f'<w:{kind}Reference w:type="{type_}" r:id="rId{len(relations_)}"/>'
+                parts[f"word/{kind}{i}.xml"] = f'<w:hdr xmlns:w="{WORD}"><w:p><w:r><w:t>{kind} {escape(s["name"])}</w:t></w:r></w:p><w:p><w:r><w:t>2</w:t></w:r></w:p></w:hdr>'
+            end = f"<w:sectPr>{references}</w:sectPr>"
+            body += f'<w:p><w:r><w:t>{escape(s["name"])}</w:t></w:r></w:p>' + (end if i == len(items) - 1 else f"<w:p><w:pPr>{end}</w:pPr></w:p>")
+        parts["word/document.xml"] = f'<w:document xmlns:w="{WORD}" xmlns:r="{RELATIONS}"><w:body>{body}</w:body></w:document>'
+        parts["word/_rels/document.xml.rels"] = relations(relations_, "header")
+        return package(parts)
+
+    return pd.Series([one(s) for s in sections])
+
+
+@query(
+    "office_regions",
+    """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS file_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS section, c_custkey AS k, c_name FROM customer),
+r AS (SELECT file_id, section, 'header' AS kind, 'default' AS type, CASE WHEN k % 3 = 0 THEN 'header ' || c_name END AS t FROM c UNION ALL SELECT file_id, section, 'footer', 'first', CASE WHEN k % 4 = 0 THEN 'footer ' || c_name END FROM c),
+l AS (SELECT file_id, section, kind, type, last_value(t IGNORE NULLS) OVER (PARTITION BY file_id, kind ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM r)
+SELECT file_id, section, kind, type, t || chr(10) || '2' AS text FROM l WHERE t IS NOT NULL""",
+)
+def office_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-DOCX, SRC-DOCX-STREAM: headers and footers by section, those of the section before where there is none."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")))).alias("s"))
+    return office.regions(rows.select("file_id", _sectioned("s").alias("content")))

@@ -13,6 +13,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import IO
 from xml.etree import ElementTree
 
@@ -33,8 +34,16 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.{xlsx,docx,pptx
     return files.select(F.col("path").alias("file_id"), "content")
 
 
+#: Rows of a file that are held while it is read for the first time, and rows of a batch.
+HELD, BATCH = 50_000, 5000
+
+
 def _rows(files: DataFrame, read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> DataFrame:
-    """A table of what ``read`` gives for each package, file_id before it. A file that cannot be read to its end gives no rows."""
+    """A table of what ``read`` gives for each package, file_id before it. A file that cannot be read to its end gives no rows.
+
+    So a file is read to its end before its first row is given on. Its rows are held for that only up to HELD; one that
+    has more is read a second time, batch by batch.
+    """
     names = ["file_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,11 +51,15 @@ def _rows(files: DataFrame, read: Callable[[zipfile.ZipFile], Iterator[tuple]],
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as package:
-                        rows = [(file_id, *row) for row in read(package)]
+                        found = read(package)
+                        rows = list(islice(found, HELD))
+                        large = sum(1 for _ in found) > 0
                 except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, OSError, ValueError, TypeError):
                     continue  # problems() has it
-                for at in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[at : at + 5000], columns=names, dtype=object)
+                with zipfile.ZipFile(io.BytesIO(content)) as package:
+                    again = read(package) if large else iter(rows)
+                    while some := list(islice(again, BATCH)):
+                        yield pd.DataFrame([(file_id, *row) for row in some], columns=names, dtype=object)
 
     return files.where("content IS NOT NULL").mapInPandas(run, f"file_id string, {schema}")
 
@@ -153,16 +166,22 @@ def shared_strings(files: DataFrame) -> DataFrame:
 
 
 def _sheet_items(z: zipfile.ZipFile, wanted: set[str]) -> Iterator[tuple[str, str, ElementTree.Element]]:
-    """(sheet_id, kind, element) of elements of all sheets, one at a time; each is emptied after use."""
+    """(sheet_id, kind, element) of elements of all sheets, one at a time; each leaves the tree after use."""
     if "xl/workbook.xml" not in z.namelist():
         return
     for sheet_id, _, part, *_ in _sheet_parts(z):
         if part in z.namelist():
             with _stream(z, part) as source:
-                for _, node in ElementTree.iterparse(source):
+                path: list[ElementTree.Element] = []
+                for event, node in ElementTree.iterparse(source, ("start", "end")):
+                    if event == "start":
+                        path.append(node)
+                        continue
+                    path.pop()
                     if _local(node.tag) in wanted:
                         yield sheet_id, _local(node.tag), node
-                        node.clear()
+                    if _local(node.tag) in wanted or len(path) == 1:
+                        path[-1].remove(node)  # else the tree would grow by an empty element for each
 
 
 def peek(files: DataFrame) -> DataFrame:
@@ -289,6 +308,53 @@ def _first(node: ElementTree.Element, name: str) -> ElementTree.Element | None:
     return next(_below(node, name), None)
 
 
+def _children(z: zipfile.ZipFile, part: str, parent: str) -> Iterator[ElementTree.Element]:
+    """The children of a part's first element of a name, one at a time; each leaves the tree after use."""
+    with _stream(z, part) as source:
+        path: list[ElementTree.Element] = []
+        at = None
+        for event, node in ElementTree.iterparse(source, ("start", "end")):
+            if event == "start":
+                path.append(node)
+                if at is None and _local(node.tag) == parent:
+                    at = len(path)
+                continue
+            path.pop()
+            if at is not None and len(path) == at:
+                yield node
+                path[-1].remove(node)
+            elif at is not None and len(path) < at:
+                return
+
+
+def regions(files: DataFrame) -> DataFrame:
+    """(file_id, section, kind, type, text): headers and footers of each section (from 0) of text documents.
+
+    type is default, first or even; a section without one of its own has that of the section before.
+    """
+
+    def read(z: zipfile.ZipFile) -> Iterator[tuple]:
+        if "word/document.xml" not in z.namelist():
+            return
+        targets = {r[1]: r[2] for r in _relations(z, "word/document.xml")}
+        now: dict[tuple[str, str], str] = {}
+        section = 0
+        for child in _children(z, "word/document.xml", "body"):
+            end = child if _local(child.tag) == "sectPr" else _first(child, "sectPr") if _local(child.tag) == "p" else None
+            if end is None:
+                continue
+            for x in end:
+                kind = _local(x.tag).removesuffix("Reference")
+                part = targets.get(_relation(x))
+                if kind in ("header", "footer") and part in z.namelist():
+                    now[kind, _attribute(x, "type") or "default"] = "\n".join(_paragraph_text(p) for p in _below(_tree(z, part), "p"))
+            for (kind, type_), text in sorted(now.items()):
+                yield section, kind, type_, text
+            section += 1
+
+    return _rows(files, read, "section int, kind string, type string, text string")
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """(file_id, ord, type, text, style_id, outline_level, num_id, num_level, page_break): the body of each text document.
 
@@ -299,11 +365,10 @@ def blocks(files: DataFrame) -> DataFrame:
     def read(z: zipfile.ZipFile) -> Iterator[tuple]:
         if "word/document.xml" not in z.namelist():
             return
-        body = _first(_tree(z, "word/document.xml"), "body")
         value = lambda p, name: None if (n := _first(p, name)) is None else _attribute(n, "val")
         number = lambda v: None if v is None else int(v)
         at = 0
-        for child in body if body is not None else ():
+        for child in _children(z, "word/document.xml", "body"):
             if _local(child.tag) == "p":
                 broken = any(_attribute(b, "type") == "page" for b in _below(child, "br")) or _first(child, "lastRenderedPageBreak") is not None or _first(child, "pageBreakBefore") is not None
                 yield at, "paragraph", _paragraph_text(child).strip("\n"), value(child, "pStyle"), number(value(child, "outlineLvl")), value(child, "numId"), number(value(child, "ilvl")), broken
