@@ -233,3 +233,19 @@ def page_starts(blocks: DataFrame, key: str, order: str) -> DataFrame:
     placed = run.join(has.select(key, "_run", "_page"), [key, "_run"]).withColumn("_passed", F.coalesce(F.sum(inner).over(Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     page = F.when(F.col("_shown"), F.col("_page") + F.col("_passed")).cast("int")
     return placed.withColumn("page", page).drop("_before", "_after", "_shown", "_rows", "_first", "_cut", "_run", "_page", "_passed")
+
+
+def object_statistics(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, paragraphs, table_rows, text_length, outline_items, images, drawings) of blocks (key, block_id, kind, text,
+    outline_level, image_ids, drawing_ids), those inside tables and shapes being rows of their own.
+
+    A block that comes again (kind 'paragraph', 'table_row' or others) counts once, and so does each picture and drawing
+    of a document, whatever blocks show it.
+    """
+    once = blocks.groupBy(key, "block_id").agg(F.min(F.struct("kind", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), "outline_level")).alias("b"))
+    sums = once.groupBy(key).agg(
+        F.count_if(F.col("b.kind") == "paragraph").alias("paragraphs"), F.count_if(F.col("b.kind") == "table_row").alias("table_rows"), F.sum("b.chars").cast("long").alias("text_length"), F.count_if(F.col("b.outline_level").isNotNull()).alias("outline_items")
+    )
+    ids = lambda c: blocks.select(key, F.explode(c).alias("id")).where("id IS NOT NULL").groupBy(key).agg(F.count_distinct("id").alias(c[:-4] + "s"))
+    out = sums.join(ids("image_ids"), key, "left").join(ids("drawing_ids"), key, "left")
+    return out.select(key, "paragraphs", "table_rows", "text_length", "outline_items", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("images", "drawings")])

@@ -164,3 +164,12 @@ def distinct_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-WARN-DISTINCT, ST-DISTINCT: each warning of a file once."""
     warned = table(spark, sf_dir, "events")
     return warned.groupBy("user_id", F.col("event_type").alias("code")).agg(F.min("event_id").alias("first"), F.count("*").alias("times"))
+
+
+@query("strict_strings", "SELECT c_custkey, c_name AS value FROM customer")
+def strict_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-SST-STRICT: every cell's shared string by its index; an index without an entry fails the query."""
+    names = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("string").alias("file_id"), "c_custkey", "c_name")
+    entries = lookup.dictionary(names, ["file_id"], "c_name")
+    cells = names.join(entries.withColumnRenamed("value", "c_name"), ["file_id", "c_name"]).select("file_id", "c_custkey", "index")
+    return lookup.resolve(cells, entries, ["file_id"], "index", missing=None).select("c_custkey", "value")

@@ -122,7 +122,7 @@ def office_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("office_blocks", rf"WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file_id, ord, 'paragraph' AS type, text FROM p")
 def office_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-DOCX, SRC-DOCX-STREAM, PRJ-TRACKED: the paragraphs of text documents."""
+    """SRC-DOCX, SRC-DOCX-STREAM: the paragraphs of text documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), documents.lines_of(F.col("text")).alias("p"))
     files = docs.withColumn("content", _text_document("p")).drop("p")
     return office.blocks(files).select("file_id", "ord", "type", "text")
@@ -134,7 +134,7 @@ def office_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, slide_index, CAST(0 AS INT) AS ord, 'text' AS type, 'title' AS placeholder, role AS text FROM n UNION ALL SELECT file_id, slide_index, CAST(1 AS INT), CASE WHEN trim(text) = '' THEN 'shape' ELSE 'text' END, 'body', text FROM n""",
 )
 def office_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-PPTX, PRJ-UNSUPPORTED: the elements of decks."""
+    """SRC-PPTX: the elements of decks."""
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     files = turns.select("file_id", _deck("t").alias("content"))
     return office.slide_elements(files).select("file_id", "slide_index", "ord", "type", "placeholder", "text")
@@ -209,3 +209,71 @@ def office_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-DOCX, SRC-DOCX-STREAM: headers and footers by section, those of the section before where there is none."""
     rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")))).alias("s"))
     return office.regions(rows.select("file_id", _sectioned("s").alias("content")))
+
+
+@pandas_udf(BinaryType())
+def _tracked(rows: pd.Series) -> pd.Series:
+    """Rows (name, segment) as paragraphs: the name, an inserted segment, a deleted and a moved-away name, a moved one, in a link and a field."""
+    run = lambda t, tag="t": f'<w:r><w:{tag} xml:space="preserve">{escape(t)}</w:{tag}></w:r>'
+    one = lambda r: (
+        f'<w:p>{run(r["name"])}<w:ins>{run("+" + r["segment"])}</w:ins><w:del>{run(r["name"], "delText")}{run("gone")}</w:del><w:moveFrom>{run("away")}</w:moveFrom>'
+        f'<w:moveTo>{run(" to ")}</w:moveTo><w:hyperlink>{run("link")}</w:hyperlink><w:fldSimple>{run("field")}</w:fldSimple><w:sdt><w:sdtContent>{run("!")}</w:sdtContent></w:sdt></w:p>'
+    )
+    return pd.Series([package({"word/document.xml": f'<w:document xmlns:w="{WORD}"><w:body>{"".join(map(one, items))}</w:body></w:document>'}) for items in rows])
+
+
+@query(
+    "office_tracked",
+    "SELECT CAST(c_nationkey AS VARCHAR) AS file_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS ord, c_name || '+' || c_mktsegment || ' to linkfield!' AS text FROM customer",
+)
+def office_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-TRACKED: texts as they stand after their tracked changes."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))).alias("r"))
+    return office.blocks(rows.select("file_id", _tracked("r").alias("content"))).select("file_id", "ord", "text")
+
+
+CHART = "http://schemas.openxmlformats.org/drawingml/2006/chart"
+
+
+@pandas_udf(BinaryType())
+def _charted(slides: pd.Series) -> pd.Series:
+    """Orders (k, price) of customers: a slide with a table frame, a chart frame and one of another kind, and a chart whose every fifth point is missing."""
+
+    def one(items) -> bytes:
+        frame = lambda body: f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="1" name="f"/></p:nvGraphicFramePr><a:graphic><a:graphicData>{body}</a:graphicData></a:graphic></p:graphicFrame>'
+        frames = frame(f"<a:tbl>{'<a:tr/>' * len(items)}</a:tbl>") + frame('<c:chart r:id="rId1"/>') + frame("<x/>")
+        points = lambda key: "".join(f'<c:pt idx="{i}"><c:v>{p[key]}</c:v></c:pt>' for i, p in enumerate(items) if i % 5 < 4)
+        return package({
+            "ppt/presentation.xml": f'<p:presentation xmlns:p="{SLIDE}" xmlns:r="{RELATIONS}"><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": relations(["slides/slide1.xml"], "slide"),
+            "ppt/slides/slide1.xml": f'<p:sld xmlns:p="{SLIDE}" xmlns:a="{DRAWING}" xmlns:c="{CHART}" xmlns:r="{RELATIONS}"><p:cSld><p:spTree>{frames}</p:spTree></p:cSld></p:sld>',
+            "ppt/charts/chart1.xml": f'<c:chartSpace xmlns:c="{CHART}"><c:chart><c:plotArea><c:lineChart><c:ser><c:tx><c:strRef><c:strCache><c:pt idx="0"><c:v>Prices</c:v></c:pt></c:strCache></c:strRef></c:tx>'
+            f'<c:cat><c:strRef><c:strCache>{points("k")}</c:strCache></c:strRef></c:cat><c:val><c:numRef><c:numCache>{points("price")}</c:numCache></c:numRef></c:val></c:ser></c:lineChart></c:plotArea></c:chart></c:chartSpace>',
+        })
+
+    return pd.Series([one(s) for s in slides])
+
+
+def order_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, content): a deck with one slide and one chart for each customer."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price")))).alias("s"))
+    return rows.select("file_id", _charted("s").alias("content"))
+
+
+@query(
+    "office_frames",
+    "SELECT CAST(o_custkey AS VARCHAR) AS file_id, CAST(i AS INT) AS ord, k AS type, CAST(CASE WHEN i = 0 THEN count(*) ELSE 0 END AS INT) AS row_count FROM orders, (VALUES (0, 'table'), (1, 'chart'), (2, 'unsupported')) AS t(i, k) GROUP BY o_custkey, i, k",
+)
+def office_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-UNSUPPORTED: frames of slides by what is in them; one of an unknown kind stays."""
+    return office.slide_elements(order_decks(spark, sf_dir)).select("file_id", "ord", "type", "row_count")
+
+
+@query(
+    "office_charts",
+    """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS file_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderkey, o_totalprice FROM orders)
+SELECT file_id, 'line' AS type, 'Prices' AS series_name, idx, CAST(o_orderkey AS VARCHAR) AS category, o_totalprice AS value FROM n WHERE idx % 5 < 4""",
+)
+def office_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-CHART-XML: the cached points of charts at their places."""
+    return office.chart_points(order_decks(spark, sf_dir)).select("file_id", "type", "series_name", "idx", "category", "value")

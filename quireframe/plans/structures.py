@@ -319,3 +319,19 @@ def page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tab = (key % 23 == 0) & (key % 14 > 0)
     blocks = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("rendered"), (key % 7 == 0).alias("explicit"), (key % 14 == 0).alias("alone"), (key % 19 == 0).alias("section"), F.when(tab, F.array(F.lit(0), F.lit(2))).alias("table_breaks"))
     return documents.page_starts(blocks, "user_id", "event_id").select("user_id", "event_id", "page")
+
+
+@query(
+    "object_stats",
+    """WITH b AS (SELECT DISTINCT l_suppkey AS doc, l_orderkey AS id FROM lineitem), i AS (SELECT l_suppkey AS doc, count(DISTINCT l_partkey) AS images, count(DISTINCT CASE WHEN l_quantity < 10 THEN l_orderkey % 50 END) AS drawings FROM lineitem GROUP BY l_suppkey)
+SELECT doc, count(*) FILTER (id % 3 > 0) AS paragraphs, count(*) FILTER (id % 3 = 0) AS table_rows, CAST(sum(length(o_orderpriority)) AS BIGINT) AS text_length, count(*) FILTER (id % 5 = 0) AS outline_items, images, drawings FROM b JOIN orders ON o_orderkey = id JOIN i USING (doc) GROUP BY doc, images, drawings""",
+)
+def object_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-WORDSTATS: blocks counted once, distinct pictures and drawings: orders are blocks of their suppliers, parts pictures."""
+    key = F.col("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), key == F.col("o_orderkey"))
+    blocks = lines.select(
+        F.col("l_suppkey").alias("doc"), key.alias("block_id"), F.when(key % 3 == 0, "table_row").otherwise("paragraph").alias("kind"), F.col("o_orderpriority").alias("text"), F.when(key % 5 == 0, 1).alias("outline_level"),
+        F.array("l_partkey").alias("image_ids"), F.array(F.when(F.col("l_quantity") < 10, key % 50)).alias("drawing_ids"),
+    )
+    return documents.object_statistics(blocks, "doc")

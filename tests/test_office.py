@@ -103,3 +103,18 @@ def test_sheets_are_peeked_at_and_styles_read(spark):
     assert formats == {0: (0, "General"), 1: (170, "yyyy/m/d"), 2: (10, "0.00%"), 3: (171, "odd")}
     shown = {r.ref: r.shown for r in office.displayed(office.cells(files), office.number_formats(files), ("0.00%", "yyyy/m/d")).collect()}
     assert shown == {"A1": "2023-03-15", "B1": "12.50%", "C1": "1.5", "D1": "2"}
+
+
+def test_files_with_more_rows_than_are_held(spark):
+    """60,000 cells come whole; as many with a broken end give none."""
+
+    def workbook(end):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
+            z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData>" + "".join(f'<row r="{i}">' + "<c><v>1</v></c>" * 20 + "</row>" for i in range(1, 3001)) + end)
+        return out.getvalue()
+
+    files = spark.createDataFrame([("good", workbook("</sheetData></worksheet>")), ("bad", workbook("<"))], "file_id string, content binary")
+    found = office.cells(files).groupBy("file_id").count().collect()
+    assert [tuple(r) for r in found] == [("good", 60_000)]
