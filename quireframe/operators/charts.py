@@ -135,3 +135,9 @@ def referenced_cells(references: DataFrame, sheets: DataFrame, cells: DataFrame)
     each = each.withColumn("ord", ((F.col("row_index") - F.col("_first")) * F.col("_span") + F.col("column_index") - F.col("_column")).cast("long"))
     values = cells.select(*scope, F.col("sheet_id").alias("target"), "row_index", "column_index", "value")
     return each.join(values, [*scope, "target", "row_index", "column_index"], "left").select(*references.columns, "target", "ord", "row_index", "column_index", "value")
+
+
+def first_chart(parts: DataFrame, keys: list[str], is_chart: Column, order: str, value: str) -> DataFrame:
+    """(keys, order, value, charts): the first part that is a chart in each book, and how many it has; without one there is no row."""
+    found = parts.where(is_chart).groupBy(*keys)
+    return found.agg(F.min(order).alias(order), F.min_by(value, order).alias(value), F.count("*").alias("charts"))

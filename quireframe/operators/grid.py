@@ -173,3 +173,14 @@ def visible_merges(merged: DataFrame, rows: DataFrame, columns: DataFrame) -> Da
         first = shown.where(F.col("axis") == a).select("sheet_id", F.col("idx").alias(f"{a}_index"), (F.col("n") - 1).alias(f"{a}_before"))
         out = out.join(first, ["sheet_id", f"{a}_before"])
     return out.select("sheet_id", "merge_id", "row_index", "column_index", (F.col("row_upto") - F.col("row_before")).alias("row_span"), (F.col("column_upto") - F.col("column_before")).alias("column_span"))
+
+
+# Rows and columns of a sheet that is made whole as a preview.
+MOST_ROWS, MOST_COLUMNS = 200, 80
+
+
+def capped(cells: DataFrame, rows: int = MOST_ROWS, columns: int = MOST_COLUMNS) -> DataFrame:
+    """The cells of a preview, with cut: does its sheet have more? Sheets that are not previews are never cut."""
+    w = Window.partitionBy("sheet_id")
+    more = (F.max("row_index").over(w) > rows) | (F.max("column_index").over(w) > columns)
+    return cells.withColumn("cut", more).where((F.col("row_index") <= rows) & (F.col("column_index") <= columns))

@@ -140,3 +140,12 @@ def interval_value(points: DataFrame, intervals: DataFrame, key: str, value: str
     upto = Window.partitionBy(key).orderBy("position", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = known.withColumn("asked", F.lit(None).cast("boolean")).unionByName(asked).withColumn("near", F.last("i", ignorenulls=True).over(upto)).where("asked")
     return both.select(key, "position", F.coalesce(F.when(F.col("position") < F.col("near.end"), F.col("near.v")), F.lit(otherwise)).alias(value))
+
+
+def substreams(pieces: DataFrame, key: str, offset: str, size: Column) -> DataFrame:
+    """pieces with end and bytes: each goes up to where the next begins, the last up to the whole size of its stream.
+
+    Of pieces at one place all but the last are empty; a piece that begins behind the end has no bytes.
+    """
+    end = F.coalesce(F.lead(offset).over(Window.partitionBy(key).orderBy(offset)), size)
+    return pieces.withColumn("end", end.cast("long")).withColumn("bytes", F.greatest(F.lit(0).cast("long"), F.col("end") - F.col(offset)))

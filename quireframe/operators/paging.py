@@ -333,3 +333,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             held += own
     if held:
         yield last, held
+
+
+def pages_near(pieces: DataFrame, asked: DataFrame, key: str, around: int = 1) -> DataFrame:
+    """(key, ord, page, first, last) of asked blocks (key, ord): the page on which a block begins, and so many around it.
+
+    A block without a page (a break) has no row.
+    """
+    own = pieces.groupBy(key, "ord").agg(F.min("page").alias("page"))
+    most = pieces.groupBy(key).agg(F.max("page").alias("_most"))
+    found = asked.join(own, [key, "ord"]).join(most, key)
+    return found.select(key, "ord", "page", F.greatest(F.lit(0), F.col("page") - around).alias("first"), F.least("_most", F.col("page") + around).alias("last"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quireframe.functions import chart, numbers, units
 from quireframe.functions import text as T
-from quireframe.operators import axis, documents, grid, layout, slides
+from quireframe.operators import axis, charts, documents, grid, layout, lookup, slides
 from quireframe.plans.grid import PARTS_SQL, part_rows
 from quireframe.plans.registry import query, table
 
@@ -145,18 +145,19 @@ def reading_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "substreams",
-    """SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id FROM events""",
+    """SELECT user_id, event_id, CAST(e AS BIGINT) AS "end", greatest(0, e - event_id) AS bytes FROM (SELECT user_id, event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 100 + max(event_id) OVER ()) AS e FROM events)""",
 )
 def substreams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO-SHEETOFF: where each piece ends, by where the next begins."""
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("next_id"))
+    """SO-SHEETOFF: where each piece ends, by where the next begins or the stream does."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    sized = events.join(F.broadcast(events.agg((F.max("event_id") + 100).alias("size"))))  # one row
+    return lookup.substreams(sized, "user_id", "event_id", F.col("size")).drop("size")
 
 
-@query("first_chart", "SELECT user_id, arg_min(value, event_id) AS value, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+@query("first_chart", "SELECT user_id, arg_min(value, event_id) AS value, min(event_id) AS event_id, count(*) AS charts FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def first_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LM-FIRSTCHART: the first of its kind in each file."""
-    charts = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    return charts.groupBy("user_id").agg(F.min_by("value", "event_id").alias("value"), F.min("event_id").alias("event_id"))
+    """LM-FIRSTCHART: the first chart of each book; purchases are charts among other parts."""
+    return charts.first_chart(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "purchase", "event_id", "value")
 
 
 @query(
@@ -324,14 +325,14 @@ def letter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "capped_grid",
-    """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS sheet_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderstatus FROM orders)
-SELECT sheet_id, CAST(r AS INT) AS row_index, o_orderstatus AS value FROM n WHERE r <= 8""",
+    """WITH n AS (SELECT CAST(l_suppkey AS VARCHAR) AS sheet_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r, l_linenumber * 30 AS c, l_quantity FROM lineitem), s AS (SELECT *, max(r) OVER w > 200 OR max(c) OVER w > 80 AS cut FROM n WINDOW w AS (PARTITION BY sheet_id))
+SELECT sheet_id, CAST(r AS INT) AS row_index, CAST(c AS INT) AS column_index, l_quantity AS value, cut FROM s WHERE r <= 200 AND c <= 80""",
 )
 def capped_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LM-CAP: the first rows of each sheet, as a report of its own; nothing else cuts sheets."""
-    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sheet_id"), row.alias("row_index"), F.col("o_orderstatus").alias("value"))
-    return orders.where("row_index <= 8")
+    """LM-CAP: previews of sheets, with a sign where a sheet has more; nothing else cuts sheets."""
+    row = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("sheet_id"), row.alias("row_index"), (F.col("l_linenumber") * 30).cast("int").alias("column_index"), F.col("l_quantity").alias("value"))
+    return grid.capped(lines)
 
 
 @query(

@@ -128,3 +128,13 @@ def measured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     height = F.coalesce(F.aggregate(parts, F.lit(0.0), lambda a, h: a + h), F.lit(50.0))
     blocks = blocks.select("doc", "ord", "kind", height.alias("height"), parts.alias("parts"), F.lit(None).cast("int").alias("original_rows"))
     return paging.measured(blocks, ["doc"], F.lit(300.0))
+
+
+@query(
+    "pages_of_blocks",
+    f"""SELECT p.doc, p.ord, min(p.page) AS page, greatest(0, min(p.page) - 1) AS first, least(max(m.most), min(p.page) + 1) AS last FROM ({PAGED_SQL}) p JOIN (SELECT doc, max(page) AS most FROM ({PAGED_SQL}) GROUP BY doc) m USING (doc) WHERE p.ord % 3 = 1 GROUP BY p.doc, p.ord""",
+)
+def pages_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QR-PAGES: the page of a block that is looked for, and those around it."""
+    blocks = order_blocks(spark, sf_dir, False)
+    return paging.pages_near(paging.paged(blocks, "doc", CONTENT, WIDTH), blocks.where("ord % 3 = 1").select("doc", "ord"), "doc")
