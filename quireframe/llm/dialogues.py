@@ -148,7 +148,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def facts() -> list[Column]:
     """blank and truncated of a row's text: the set of white space is that of the contract."""
-    solid = F.expr("trim(TRAILING ' \\t\\n\\u000b\\f\\r' FROM text)")
+    solid = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
     return [(solid == "").alias("blank"), (~F.substring(solid, -1, 1).isin(".", "!", "?")).alias("truncated")]
 
 

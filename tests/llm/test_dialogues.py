@@ -123,6 +123,8 @@ def made(rng, conv_id, n):
 def test_hard_rows(spark):
     check(spark, [])
     check(spark, [(None, None, None, None), (1, None, "user", "a."), (2, 5, "", "b."), (2, 9, "assistant", "b."), (3, 1, "system", "only.")])
+    ends = ["f", "ff", ".f", "x.\x0c", "\x0b\x0c\t\r\n ", "x!\x0b", "x?\x85", "\xa0", "t", "u", ".\u2003", "0", "b."]
+    check(spark, [(c, i, role, text) for c in range(40, 60) for i, text in enumerate(ends) for role in ("user", "assistant")][:: 3], strings)
     gone = next(i for i in range(100) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     check(spark, [(gone, 0, "user", "a.")])
 
