@@ -6,23 +6,26 @@ import hashlib
 import math
 import pickle
 import re
+import string
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireframe.llm.common import Cut, new_folder, store_of
 
 BETWEEN_WORDS = re.compile(r"\W+")
-#: What a run stands for that is no single term: none, not seen yet, and from there down the others.
+#: What a run stands for that is no single term: none, not known yet, and from there down the others.
 NOTHING, NEW, OTHER = -1, -2, -3
-MARKS = ".,;:!?()[]{}\"'"  # characters of no word that often stand around one
+MARKS = string.punctuation.replace("_", "")  # characters of no word that often stand around one
+TOGETHER = 4 << 20  # bytes of texts whose runs are looked up together
 #: Lengths of the word beginnings that are terms beside whole words (a term with an asterisk is a beginning).
 BEGINNINGS = (4, 5, 6, 7)
 #: A beginning's so manieth occurrence in a text is a term of its own (its number stands after the asterisk): a chance
@@ -57,26 +60,6 @@ def terms_of(text: str | None) -> set[str]:
     return {*words, *begun} | {f"{b}{o}" for b, n in begun.items() for o in OCCURRENCES if n >= o}
 
 
-def principal_order(rows: np.ndarray, leaf: int) -> np.ndarray:
-    """An order of the rows in which similar ones are near each other: halved again and again along the direction in
-    which each part differs most (found by power iteration), down to ``leaf`` rows."""
-    parts, out = [np.arange(len(rows))], []
-    while parts:
-        part = parts.pop()
-        if len(part) <= leaf:
-            out.append(part)
-            continue
-        own = rows[part] - rows[part].mean(axis=0)
-        along = np.ones(own.shape[1], np.float32) + np.arange(own.shape[1], dtype=np.float32) / own.shape[1]
-        for _ in range(8):
-            along = own.T @ (own @ along)
-            along /= np.linalg.norm(along) or 1
-        half = len(part) // 2 // leaf * leaf or leaf
-        order = np.argsort(own @ along, kind="stable")
-        parts += [part[order[half:]], part[order[:half]]]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
 UPTO = np.arange(1 << 16)
 
 
@@ -97,13 +80,10 @@ class Index:
     The last ``marks`` terms of the vocabulary are the markers of toxic examples; where a text has some, they make a
     second part of its vector, MARKED times as long as the words' part.
 
-    The inverted index is a block-max one: entries stand in principal_order() in blocks of ``block``, and each posting
-    list knows, for each block that it enters, its largest weight there and where its postings are. The ``width``
-    commonest terms enter nearly all blocks, so their lists are one dense matrix, and give every entry a part of its
-    cosine; the blocks' largest parts give a threshold that the k best reach. A block's largest part and the other
-    terms' largest weights there bound the cosine of its entries, and only blocks whose bound reaches the threshold
-    have their postings added, in single precision. Entries that can be among the k best are then worked out in double
-    precision. So the result is exact.
+    The ``width`` commonest terms have a row each of a dense matrix, so one product gives their share of the cosines of
+    many texts in single precision; the other terms' posting lists give the rest in double precision. The largest of each
+    ``block`` entries give a threshold that the k best reach, and for entries that can be among the k best the commonest
+    terms' share is worked out in double precision, too. So the result is exact.
     """
 
     vocabulary: list[str]
@@ -156,85 +136,57 @@ class Index:
         self.clear, self.clear_ids = (clear[0], clear[1]), clear_ids
         self.prior = (good + 0.5) / (seen + 1)
         n = len(tallies)
-        seen_in = np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]), minlength=len(self.idf))
-        common = np.sort(np.argsort(-seen_in, kind="stable")[: self.width])
-        self.place = np.full(len(self.idf), -1, np.int32)  # a term's row in the dense matrices
-        self.place[common] = np.arange(len(common))
-        plain = np.zeros((n, len(common)), np.float32)
-        for e, (terms, weights) in enumerate(rows):
-            at = self.place[terms]
-            plain[e, at[at >= 0]] = weights[at >= 0]
-        order = principal_order(plain, self.block)
-        new = np.empty(n, np.int64)
-        new[order] = np.arange(n)
-        self.keys = {k: int(new[e]) for k, e in self.keys.items()}
-        rows, tallies = [rows[e] for e in order], [tallies[e] for e in order]
         self.toxic, self.other = (np.array([t[i] for t in tallies], np.float64) for i in (0, 1))
         self.ids = [t[2] for t in tallies]
-        self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
-        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        entry = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in rows])
+        terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
         del rows
-        blocks = -(-n // self.block)
-        self.dense = np.zeros((len(common), blocks * self.block), np.float32)
-        self.dense[:, :n] = plain[order].T
-        del plain
-        entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
-        rare = np.nonzero(self.place[self.terms] < 0)[0]
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.posted, self.posted_weights = entry[rare], self.weights[rare].astype(np.float32)
-        term, of = self.terms[rare].astype(np.int64), self.posted // self.block
-        begins = np.nonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[0] if len(rare) else np.zeros(0, np.int64)
-        # For each term and block with postings: the block, the largest weight, and the postings' first and number.
-        self.part_block, self.part_first, self.part_many = of[begins], begins.astype(np.int32), np.diff(np.r_[begins, len(rare)]).astype(np.int32)
-        self.part_most = np.maximum.reduceat(self.posted_weights, begins) if len(rare) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(term[begins], np.arange(len(self.idf) + 1))
+        common = np.sort(np.argsort(-np.bincount(terms, minlength=len(self.idf)), kind="stable")[: self.width])
+        self.place = np.full(len(self.idf), -1, np.int32)  # a term's row in the dense matrices
+        self.place[common] = np.arange(len(common))
+        at = self.place[terms]
+        own = at >= 0
+        # What each entry has in the dense matrix, in double precision.
+        self.rows, self.weights = at[own], weights[own]
+        self.starts = np.searchsorted(entry[own], np.arange(n + 1))
+        self.dense = np.zeros((len(common), -(-n // self.block) * self.block), np.float32)
+        self.dense[self.rows, entry[own]] = self.weights
+        rest = np.nonzero(~own)[0]
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.posted, self.posted_weights = entry[rest], weights[rest]
+        self.first = np.searchsorted(terms[rest], np.arange(len(self.idf) + 1))
 
     def all_nearest(self, queries: list, without: list[tuple[int, int] | None] | None = None) -> list[list[tuple[int, float, float, float]]]:
-        """nearest() of each query, with one matrix product a block for all of them."""
+        """nearest() of each query, with one matrix product for all of them."""
         n, m = len(self.ids), len(queries)
         if not m or not n:
             return [[] for _ in queries]
         vectors = [self.vector(c) for c in queries]
-        wide = np.zeros((m, len(self.dense)), np.float32)
-        parts, leasts = [], []
-        for i, (terms, weights) in enumerate(vectors):
+        wide = np.zeros((m, len(self.dense)))
+        for own, (terms, weights) in zip(wide, vectors, strict=True):
             at = self.place[terms]
-            wide[i, at[at >= 0]] = weights[at >= 0]
-            rare = terms[at < 0]
-            many = self.first[rare + 1] - self.first[rare]
-            parts.append((ranges(self.first[rare], many), np.repeat(weights[at < 0], many).astype(np.float32)))
-        rough = wide @ self.dense
-        blocks = rough.shape[1] // self.block
-        tops = rough.reshape(m, blocks, self.block).max(axis=2)
+            own[at[at >= 0]] = weights[at >= 0]
+        rough = wide.astype(np.float32) @ self.dense
 
         def least_of(scores: np.ndarray) -> float:
             """The score of the one after the k best, which may be needed where one example is left out."""
             return max(0.0, float(np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]) - 1e-4) if len(scores) > self.k else 0.0
 
-        for i, (at, w) in enumerate(parts):
-            of = self.part_block[at]
-            bound = tops[i] + np.bincount(of, self.part_most[at] * w, blocks).astype(np.float32)
-            least = least_of(tops[i])
-            go = bound[of] >= least - 1e-4
-            many = self.part_many[at[go]].astype(np.int64)
-            posted = ranges(self.part_first[at[go]], many)
-            rough[i] += np.bincount(self.posted[posted], self.posted_weights[posted] * np.repeat(w[go], many), rough.shape[1])
-            leasts.append(least)
-        query = np.zeros(len(self.idf))
         out = []
         for i, (terms, weights) in enumerate(vectors):
             leave = without[i] if without else None
-            found = np.nonzero(rough[i, :n] > leasts[i])[0]
-            found = found[rough[i, found] > least_of(rough[i, found])]
+            first = self.first[terms]
+            many = self.first[terms + 1] - first
+            at = ranges(first, many)
+            rest = np.bincount(self.posted[at], self.posted_weights[at] * np.repeat(weights, many), rough.shape[1])
+            row = rough[i] + rest
+            found = np.nonzero(row[:n] > least_of(row.reshape(-1, self.block).max(axis=1)))[0]
+            found = found[row[found] > least_of(row[found])]
             if not len(found):
                 out.append([])
                 continue
-            query[terms] = weights
-            many = self.starts[found + 1] - self.starts[found]
-            at = ranges(self.starts[found], many)
-            score = np.bincount(np.repeat(np.arange(len(found)), many), query[self.terms[at]] * self.weights[at], len(found))
-            query[terms] = 0
+            score = rest[found] + [wide[i, self.rows[a:b]] @ self.weights[a:b] for a, b in zip(self.starts[found].tolist(), self.starts[found + 1].tolist(), strict=True)]
             order = np.lexsort((found, -score))
             found, score = found[order], score[order]
             size = self.toxic[found] + self.other[found]
@@ -312,23 +264,29 @@ class Index:
 class Reader:
     """Counts a vocabulary's words and markers in texts; words that the vocabulary lacks are passed over.
 
-    Words never reach over white space, so what each run between white space has is worked out once and kept (at most
-    ``keep`` runs beside the words themselves).
+    Words never reach over white space, so texts are split into runs there, and the distinct runs of many texts are looked
+    up together, in lower case and without marks around them. Only those that are no plain words then, or begin like a
+    marker, are taken one by one.
     """
 
-    def __init__(self, vocabulary: list[str], marks: int = 0, keep: int = 300_000):
+    def __init__(self, vocabulary: list[str], marks: int = 0):
         self.own = len(vocabulary) - marks
         self.markers: dict[str, list[tuple[int, int]]] = {}  # by word or beginning: (term, the occurrence that it stands for)
         for i, term in enumerate(vocabulary[self.own :], self.own):
             stem, star, occurrence = term.partition("*")
             self.markers.setdefault(stem + star, []).append((i, int(occurrence or 1)))
-        self.code: dict[str, int] = {}  # by run: the term of its one word, NOTHING, or a place in others (from OTHER down)
-        self.others: list[tuple[list[int], list[str]]] = []
-        marked = lambda w: w in self.markers or any(f"{w[:k]}*" in self.markers for k in BEGINNINGS if len(w) > k)
-        self.marked: dict[str, int] = {}  # the vocabulary's words that are markers or begin like one
-        for i, w in enumerate(vocabulary[: self.own]):
-            (self.marked if self.markers and marked(w) else self.code)[w] = i
-        self.keep = len(self.code) + keep
+        marked = np.nonzero(self._marked(pa.array(vocabulary[: self.own], pa.string())))[0].tolist()
+        self.marked = {vocabulary[i]: i for i in marked}  # the words that are markers or begin like one
+        self.code = {w: i for i, w in enumerate(vocabulary[: self.own]) if w not in self.marked}
+
+    def _marked(self, words: pa.Array) -> np.ndarray:
+        """Which of the words are markers or begin like one."""
+        out = np.zeros(len(words), bool)
+        if self.markers:
+            stems = pa.array([x.removesuffix("*") for x in self.markers], pa.string())
+            for some in (words, *(pc.utf8_slice_codeunits(words, 0, k) for k in BEGINNINGS)):
+                out |= pc.is_in(some, value_set=stems).to_numpy(zero_copy_only=False)
+        return out
 
     def _run(self, run: str) -> tuple[list[int], list[str]]:
         """(words of the vocabulary, stems of markers) in a run without white space."""
@@ -336,35 +294,60 @@ class Reader:
         bare = low.strip(MARKS)
         words = [bare] if bare.isalnum() else [w for w in BETWEEN_WORDS.split(low) if w]
         stems = [x for w in words for x in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if x in self.markers] if self.markers else []
-        found = [t for w in words if (t := self.marked.get(w, -1)) >= 0 or (t := self.code.get(w, -1)) >= 0]
-        if len(self.code) < self.keep:
-            if len(found) < 2 and not stems:
-                self.code[run] = found[0] if found else NOTHING
-            else:
-                self.code[run] = OTHER - len(self.others)
-                self.others.append((found, stems))
-        return found, stems
+        return [t for w in words if (t := self.marked.get(w, -1)) >= 0 or (t := self.code.get(w, -1)) >= 0], stems
 
     def counts(self, text: str | None) -> np.ndarray:
-        """(term, count) rows by term; a beginning counts where a longer word goes on, and its further occurrences once."""
-        runs = (text or "").split()
-        codes = np.fromiter(map(self.code.get, runs, repeat(NEW)), np.int64, len(runs))
-        terms, numbers = np.unique(codes[codes >= 0], return_counts=True)
-        rest = np.nonzero(codes <= NEW)[0].tolist()
-        if not rest:
-            return np.stack([terms, numbers], axis=1)
-        own, stems = dict(zip(terms.tolist(), numbers.tolist(), strict=True)), Counter()
-        for i, code in zip(rest, codes[rest].tolist(), strict=True):
-            words, begun = self.others[OTHER - code] if code <= OTHER else self._run(runs[i])
-            for t in words:
-                own[t] = own.get(t, 0) + 1
-            if begun:
-                stems.update(begun)
-        for x, n in stems.items():
-            own |= {i: n if o == 1 else 1 for i, o in self.markers[x] if n >= o}
-        out = np.empty((len(own), 2), np.int64)
-        out[:, 0], out[:, 1] = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
-        return out[np.argsort(out[:, 0])]
+        """all_counts() of one text."""
+        return next(self.all_counts([text]))
+
+    def all_counts(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """For each text (term, count) rows by term; a beginning counts where a longer word goes on, and its further
+        occurrences once. A null text is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            yield from self._together(texts.slice(at, upto - at))
+            at = upto
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.utf8_split_whitespace(texts)
+        runs = split.flatten().dictionary_encode()
+        bare = pc.utf8_trim(pc.ascii_lower(runs.dictionary), MARKS)
+        codes = np.fromiter(map(self.code.get, bare.to_numpy(zero_copy_only=False), repeat(NEW)), np.int64, len(bare))
+        new = np.nonzero(codes == NEW)[0]
+        rest = bare.take(pa.array(new))
+        plain = pc.match_substring_regex(rest, "^[0-9a-zß-öø-ÿ]*$").to_numpy(zero_copy_only=False) & ~self._marked(rest)
+        codes[new[plain]] = NOTHING
+        others: list[tuple[list[int], list[str]]] = []
+        for at, run in zip(new[~plain].tolist(), runs.dictionary.take(pa.array(new[~plain])).to_pylist(), strict=True):
+            words, begun = self._run(run)
+            if len(words) < 2 and not begun:
+                codes[at] = words[0] if words else NOTHING
+            else:
+                codes[at] = OTHER - len(others)
+                others.append((words, begun))
+        code = codes[runs.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        wide = self.own or 1
+        keys, numbers = np.unique((text * wide + code)[code >= 0], return_counts=True)
+        first = np.searchsorted(keys, np.arange(len(texts) + 1) * wide).tolist()
+        out = [np.stack([keys[a:b] - i * wide, numbers[a:b]], axis=1) for i, (a, b) in enumerate(zip(first, first[1:], strict=False))]
+        more: dict[int, list[int]] = defaultdict(list)
+        odd = np.nonzero(code <= OTHER)[0]
+        for i, c in zip(text[odd].tolist(), code[odd].tolist(), strict=True):
+            more[i].append(OTHER - c)
+        for i, found in more.items():
+            own, stems = dict(out[i].tolist()), Counter()
+            for o in found:
+                for t in others[o][0]:
+                    own[t] = own.get(t, 0) + 1
+                stems.update(others[o][1])
+            for x, n in stems.items():
+                own |= {t: n if o == 1 else 1 for t, o in self.markers[x] if n >= o}
+            out[i] = np.array(sorted(own.items()), np.int64).reshape(-1, 2)
+        return out
 
 
 @dataclass
@@ -415,7 +398,7 @@ def _kept(path: str):
         return pickle.load(source)
 
 
-def in_groups(items: list, size: int = 64) -> Iterator[list]:
+def in_groups(items: list, size: int = 128) -> Iterator[list]:
     for at in range(0, len(items), size):
         yield items[at : at + size]
 
@@ -451,10 +434,11 @@ def count_terms(docs: DataFrame, vocabulary: str, marks: int, digests: bool = Fa
             OPENED.clear()
             reader = READERS.setdefault(vocabulary, Reader(_kept(vocabulary), marks))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                counts = pa.array([packed(reader.counts(t)) for t in b.column(2).to_pylist()], pa.binary())
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                counts = pa.array(map(packed, reader.all_counts(b.column(2))), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts, *b.columns[3:]], names=["doc_id", "held_out", "counts", *b.schema.names[3:]])
+            pa.default_memory_pool().release_unused()
 
     own = [text_digest(docs).alias("digest")] if digests else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *own)
@@ -559,9 +543,10 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
     weights = frequencies.repartition(1).mapInArrow(weigh, "path string").first().path  # a number for each word
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        READERS.clear()
         index = Index(_kept(vocabulary), _kept(weights), k=k, marks=len(markers))
         reader = Reader(index.vocabulary, index.marks)
-        index.build((d, y, reader.counts(t)) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        index.build((d, y, c) for b in batches for d, c, y in zip(b.column(0).to_pylist(), reader.all_counts(b.column(1)), b.column(2).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([_keep(folder, "index", index)])], names=["path"])
 
     # At most most_examples texts, which the task reads batch by batch.
@@ -572,8 +557,8 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
         for b in batches:
             index, reader = opened(stored)
             found = []
-            for group in in_groups(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))):
-                found += index.votes([(0, y, reader.counts(t)) for t, y in group])
+            for group in in_groups([(0, y, c) for c, y in zip(reader.all_counts(b.column(0)), b.column(1).to_pylist(), strict=True)]):
+                found += index.votes(group)
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], names=["vote", "toxic"])
 
     fitted = Index([], np.zeros(0))
@@ -588,7 +573,7 @@ def of_texts(index: Index | Stored, texts: list[str | None]) -> list[tuple[float
     own, reader = opened(index)
     known: dict = dict.fromkeys(texts)
     for group in in_groups(list(known)):
-        known.update(zip(group, own.scores([reader.counts(t) for t in group]), strict=True))
+        known.update(zip(group, own.scores(list(reader.all_counts(group))), strict=True))
     return [known[t] for t in texts]
 
 

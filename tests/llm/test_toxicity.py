@@ -133,3 +133,35 @@ def test_runs_are_split_as_words():
 
 def reader_word(reader, i):
     return next(w for w, k in (*reader.code.items(), *reader.marked.items()) if k == i and w == w.lower() and w.isalnum() | ("_" in w))
+
+
+def test_texts_are_counted_together():
+    """What is no plain word is split once for many texts, however many have it; counts are those of each text alone."""
+    odd = ["don't", "a.b.c", "Éa", "ΟΔΟΣ,", "İx", "“quoted”", "vileness", "_a", "$$x%"]
+    texts = [" ".join([f"word{i % 7}"] * (i % 3) + [odd[i % len(odd)], "vile,", "VILE "]) for i in range(300)] + [None, "", " \x1c\x85\u2003"]
+    words = sorted({w for t in texts for w in toxicity.word_counts(t)} - {"word3"})
+    reader = toxicity.Reader([*words, "vile", "vile*", "vile*2"], 3)
+    taken = []
+    reader._run = lambda run, own=reader._run: taken.append(run) or own(run)
+    together = list(reader.all_counts(texts))
+    assert len(together) == len(texts) and len(taken) == len(set(taken)) <= len(odd) + 2
+    for text, counts in zip(texts, together, strict=True):
+        own = toxicity.word_counts(text)
+        begun = own["vileness"]
+        want = {i: own[w] for i, w in enumerate(words) if own[w]} | {len(words) + i: n for i, n in enumerate((own["vile"], begun, int(begun > 1))) if n}
+        assert dict(counts.tolist()) == want and counts[:, 0].tolist() == sorted(want)
+        assert np.array_equal(reader.counts(text), counts)
+
+
+def test_index_keeps_each_weight_once():
+    """Terms outside the dense matrix are in posting lists only, and groups of texts give what each alone does."""
+    rng = np.random.default_rng(11)
+    index = toxicity.Index([f"t{i}" for i in range(300)], rng.uniform(1, 4, 300), k=5, width=16, marks=20)
+    examples = [(d, int(rng.integers(0, 2)), tuple((int(t), int(rng.integers(1, 4))) for t in np.sort(rng.choice(300, rng.integers(1, 40), replace=False)))) for d in range(700)]
+    index.build(examples)
+    assert len(index.rows) + len(index.posted) == sum(len(c) for _, _, c in examples)
+    queries = [c for _, _, c in examples[:200]]
+    for c, near in zip(queries, index.all_nearest(queries), strict=True):
+        want = brute(index, examples, c, 5)
+        got = sorted(x for _, s, a, b in near for x in [(s, 1)] * int(a) + [(s, 0)] * int(b))
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-12) and near == index.nearest(c)
