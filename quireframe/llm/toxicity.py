@@ -60,6 +60,53 @@ def terms_of(text: str | None) -> set[str]:
     return {*words, *begun} | {f"{b}{o}" for b, n in begun.items() for o in OCCURRENCES if n >= o}
 
 
+class Tally:
+    """In how many toxic and other texts each of terms_of() is; texts are taken many at a time."""
+
+    def __init__(self):
+        self.texts = np.zeros(2, np.int64)
+        self.words: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
+        self.stem_of: list[list[int]] = [[] for _ in BEGINNINGS]  # of each word, -1 where it is too short
+        self.seen: dict[int, np.ndarray] = {}  # by occurrence (0: whole words), a row for each label
+
+    def add(self, texts: list[str | None], toxic: list[int]) -> None:
+        label = np.array(toxic, np.int64)
+        self.texts += np.bincount(label, minlength=2)
+        found = [word_counts(t) for t in texts]
+        for w in {w for own in found for w in own if w not in self.words}:
+            self.words[w] = len(self.words)
+            for k, stem_of in zip(BEGINNINGS, self.stem_of, strict=True):
+                stem_of.append(self.stems.setdefault(f"{w[:k]}*", len(self.stems)) if len(w) > k else -1)
+        text = np.repeat(np.arange(len(found)), [len(own) for own in found])
+        word = np.array([self.words[w] for own in found for w in own], np.int64)
+        number = np.array([n for own in found for n in own.values()], np.int64)
+        self._put(0, label[text], word)
+        for stem_of in self.stem_of:
+            stem = np.array(stem_of, np.int64)[word]
+            long = stem >= 0
+            keys, at = np.unique(text[long] * (len(self.stems) or 1) + stem[long], return_inverse=True)
+            many = np.bincount(at, number[long], len(keys))
+            begun, stem = np.divmod(keys, len(self.stems) or 1)
+            for o in (1, *OCCURRENCES):
+                self._put(o, label[begun[many >= o]], stem[many >= o])
+
+    def _put(self, occurrence: int, label: np.ndarray, term: np.ndarray) -> None:
+        size = len(self.stems if occurrence else self.words)
+        now = np.bincount(label * size + term, minlength=2 * size).reshape(2, size)
+        if occurrence in self.seen:
+            now[:, : self.seen[occurrence].shape[1]] += self.seen[occurrence]
+        self.seen[occurrence] = now
+
+    def rows(self) -> Iterator[tuple[str, int, int]]:
+        """(term, toxic, other), and "" for the texts themselves."""
+        yield "", int(self.texts[1]), int(self.texts[0])
+        for o, seen in self.seen.items():
+            for term, toxic, other in zip(self.stems if o else self.words, seen[1].tolist(), seen[0].tolist(), strict=False):
+                if toxic or other:
+                    yield term + str(o) * (o > 1), toxic, other
+
+
 UPTO = np.arange(1 << 16)
 
 
@@ -497,12 +544,12 @@ def fit_and_count(docs: DataFrame, labels: DataFrame, most_examples: int = 20_00
     texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        tally = Tally()
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[toxic].update(terms_of(text) | {""})
-        terms = [*seen[1], *(t for t in seen[0] if t not in seen[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "toxic", "other"])
+            for at in range(0, b.num_rows, 512):
+                tally.add(*(x.to_pylist() for x in b.slice(at, 512).columns))
+        terms, toxic, other = zip(*tally.rows(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(other, pa.int64())], names=["term", "toxic", "other"])
 
     tallied = cut(texts.select("text", "toxic").mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "terms")
     whole = tallied.where("term = ''").first()

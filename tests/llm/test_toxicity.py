@@ -165,3 +165,18 @@ def test_index_keeps_each_weight_once():
         want = brute(index, examples, c, 5)
         got = sorted(x for _, s, a, b in near for x in [(s, 1)] * int(a) + [(s, 0)] * int(b))
         assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-12) and near == index.nearest(c)
+
+
+def test_tally_of_terms():
+    texts = ["Worthless worthy words, worthless", None, "", "word words wordy wordless", "ÉTÉS étés étésien", "a worth of words"] * 3
+    toxic = [i % 2 for i in range(len(texts))]
+    tally = toxicity.Tally()
+    for at in range(0, len(texts), 4):
+        tally.add(texts[at : at + 4], toxic[at : at + 4])
+    want: dict[str, list[int]] = {}
+    for t, y in zip(texts, toxic, strict=True):
+        for term in toxicity.terms_of(t) | {""}:
+            want.setdefault(term, [0, 0])[1 - y] += 1
+    rows = list(tally.rows())
+    assert len(rows) == len(want) and {t: [a, b] for t, a, b in rows} == want
+    assert list(toxicity.Tally().rows()) == [("", 0, 0)]
