@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quireframe.operators import heights, objects, trees
+from quireframe.operators import axis, heights, objects, trees
 
 GROUP = "slide int, node int, parent int, x double, y double, width double, height double, child_x double, child_y double, child_width double, child_height double"
 
@@ -66,6 +66,21 @@ def test_small_rectangles_do_not_meet_because_of_a_large_one(spark):
     assert objects.intersecting(small, large).count() == 4000
 
 
+def test_cells_of_rectangles_are_not_broadcast(spark, tmp_path):
+    """Spark takes cells and edges for as few as the rows they come from, so a small file's would go through the driver."""
+    ranges = spark.createDataFrame([("s", 1, 1, 1, 2, 3)], "sheet_id string, range_id int, start_row int, start_column int, end_row int, end_column int")
+    sized = axis.offsets(spark.createDataFrame([("s", "row", 2, 50.0, False, 20.0)], "sheet_id string, axis string, idx int, size double, hidden boolean, default_size double"))
+    things = spark.createDataFrame([("s", 7, 10.0, 60.0, 5.0, 9000.0), ("s", 8, 10.0, 71.0, 5.0, 1.0)], "sheet_id string, object_id int, x double, y double, width double, height double")
+    for name, df in (("ranges", ranges), ("sized", sized), ("things", things)):
+        df.write.parquet(str(tmp_path / name))
+    ranges, sized, things = (spark.read.parquet(str(tmp_path / name)) for name in ("ranges", "sized", "things"))
+    rects = objects.range_rects(ranges, sized, 20.0, 64.0)
+    found = objects.intersecting(rects, things)
+    for df in (rects, found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r[-4:] for r in rects.collect()] == [(0.0, 0.0, 192.0, 70.0)] and found.collect() == [("s", 1, 7)]
+
+
 class PlainHeights:
     def __init__(self):
         self.h = []
