@@ -105,6 +105,16 @@ def test_sheets_are_peeked_at_and_styles_read(spark):
     assert shown == {"A1": "2023-03-15", "B1": "12.50%", "C1": "1.5", "D1": "2"}
 
 
+def test_styles_with_exponents_show_halves_as_printf_does(spark):
+    styles = f'<styleSheet xmlns="{MAIN}"><cellXfs><xf/><xf numFmtId="11"/></cellXfs></styleSheet>'
+    numbers_ = ["-496.5", "-497.5", "-33.65", "-0.0", "0"]
+    sheet = f'<worksheet xmlns="{MAIN}"><sheetData>' + "".join(f'<row r="{i}"><c r="B{i}" s="1"><v>{x}</v></c></row>' for i, x in enumerate(numbers_, 1)) + "</sheetData></worksheet>"
+    book = {"xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="One" sheetId="1" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(("worksheet", "worksheets/sheet1.xml"))}
+    files = spark.createDataFrame([("a", bytearray(package(book | {"xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet})))], "file_id string, content binary")
+    shown = {r.ref: r.shown for r in office.displayed(office.cells(files), office.number_formats(files)).collect()}
+    assert shown == {"B1": "-4.96E+2", "B2": "-4.98E+2", "B3": "-3.36E+1", "B4": "-0.00E+0", "B5": "0.00E+0"}
+
+
 def test_files_with_more_rows_than_are_held(spark):
     """60,000 cells come whole; as many with a broken end give none."""
 
