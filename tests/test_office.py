@@ -1,7 +1,9 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quireframe.operators import lookup
 from quireframe.sources import office
@@ -115,6 +117,33 @@ def test_styles_with_exponents_show_halves_as_printf_does(spark):
     assert shown == {"B1": "-4.96E+2", "B2": "-4.98E+2", "B3": "-3.36E+1", "B4": "-0.00E+0", "B5": "0.00E+0"}
 
 
+def test_parts_are_found_without_going_through_all_names(monkeypatch):
+    """A text document with a header a section: the package's names are listed no more often than with one."""
+    listed = []
+    names = zipfile.ZipFile.namelist
+    monkeypatch.setattr(zipfile.ZipFile, "namelist", lambda z: listed.append(1) or names(z))
+    n = 300
+    body = "".join(f'<w:p><w:pPr><w:sectPr><w:headerReference w:type="default" r:id="rId{i}"/></w:sectPr></w:pPr></w:p>' for i in range(1, n + 1))
+    parts = {f"word/header{i}.xml": f'<w:hdr xmlns:w="{W}"><w:p><w:r><w:t>h{i}</w:t></w:r></w:p></w:hdr>' for i in range(1, n + 1)}
+    parts |= {"word/document.xml": f'<w:document xmlns:w="{W}" xmlns:r="{REL}"><w:body>{body}</w:body></w:document>', "word/_rels/document.xml.rels": rels(*(("header", f"header{i}.xml") for i in range(1, n + 1)))}
+
+    class Here:  # what reads the packages, run here
+        def mapInPandas(self, run, _):  # noqa: N802
+            return list(run(iter([pd.DataFrame({"file_id": ["a"], "content": [package(parts)]})])))
+
+    found = pd.concat(office.regions(Here()))
+    assert list(found["text"]) == [f"h{i}" for i in range(1, n + 1)]
+    assert len(listed) < 10
+
+
+def test_contents_are_made_once(spark):
+    """A file's content may be computed: no filter asks for it besides the reading; one that is null has no rows."""
+    made = F.pandas_udf(lambda ids: pd.Series([XLSX if x == "a" else None for x in ids]), "binary")
+    found = office.sheets(spark.range(2).select(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") + 1).cast("int")).alias("file_id")).select("file_id", made("file_id").alias("content")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.file_id for r in found.collect()} == {"a"}
+
+
 def test_files_with_more_rows_than_are_held(spark):
     """60,000 cells come whole; as many with a broken end give none."""
 
