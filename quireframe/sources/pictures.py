@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireframe.operators.lineage import cut
 from quireframe.sources import office
 
 # The first bytes of kinds of pictures (hexadecimal), and the pattern of a cell's picture formula.
@@ -27,6 +28,20 @@ def media(files: DataFrame, prefix: str = "xl/media/") -> DataFrame:
     return office._rows(files, read, "path string, name string, data binary")
 
 
+def media_names(files: DataFrame, prefix: str = "xl/media/") -> DataFrame:
+    """(file_id, path, name): the media parts without their data, which are read to their end but not kept."""
+
+    def read(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for part in z.namelist():
+            if part.startswith(prefix) and not part.endswith("/"):
+                with office._stream(z, part) as source:
+                    while source.read(1 << 20):
+                        pass
+                yield part, part.rpartition("/")[2]
+
+    return office._rows(files, read, "path string, name string")
+
+
 def media_type(data: Column) -> Column:
     """The kind of a picture by its first bytes; null for others."""
     head = F.lower(F.hex(F.substring(data, 1, 4)))
@@ -46,15 +61,16 @@ def resolved(targets: DataFrame, found: DataFrame, root: str) -> DataFrame:
     """targets (file_id, target and more) with path: the medium (file_id, path, name) that a target stands for.
 
     The first that is there of: the path as it is, below the package's root folder, any medium of that file name (of
-    several the least path). Null where there is none.
+    several the least path). Null where there is none. Spark takes what is read from packages for as small as the table
+    that the packages come from, so the joins say how they are done: else the rows could be broadcast.
     """
+    by = lambda rank, kind, c: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), c.alias("key"))
     bare = F.regexp_replace("target", f"^{root}/", "")
-    tried = F.array(F.col("target"), F.concat(F.lit(f"{root}/"), bare))
-    asked = targets.select("file_id", "target").distinct()
-    by_path = asked.select("file_id", "target", F.posexplode(tried).alias("rank", "path")).join(found.select("file_id", "path"), ["file_id", "path"])
-    by_name = asked.withColumn("name", F.element_at(F.split("target", "/"), -1)).join(found.select("file_id", "name", "path"), ["file_id", "name"]).select("file_id", "target", F.lit(9).alias("rank"), "path")
-    best = by_path.select("file_id", "target", "rank", "path").unionByName(by_name).groupBy("file_id", "target").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
-    return targets.join(best, ["file_id", "target"], "left")
+    tried = F.array(by(0, "path", F.col("target")), by(1, "path", F.concat(F.lit(f"{root}/"), bare)), by(9, "name", F.element_at(F.split("target", "/"), -1)))
+    asked = targets.select("file_id", "target").distinct().select("file_id", "target", F.explode(tried).alias("t")).select("file_id", "target", "t.rank", "t.kind", "t.key")
+    there = found.select("file_id", "path", F.explode(F.array(by(0, "path", F.col("path")), by(0, "name", F.col("name")))).alias("t")).select("file_id", "path", "t.kind", "t.key")
+    best = asked.join(there.hint("merge"), ["file_id", "kind", "key"]).groupBy("file_id", "target").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
+    return targets.join(best.hint("merge"), ["file_id", "target"], "left")
 
 
 def cell_image_parts(files: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def cell_images(files: DataFrame) -> DataFrame:
     """
     named = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), DISPIMG, 1)
     cells = office.cells(files).withColumn("image_id", F.trim(F.when(named(F.col("formula")) != "", named(F.col("formula"))).otherwise(named(F.col("value"))))).where("image_id <> ''")
-    parts = cell_image_parts(files).join(office.relationships(files).select("file_id", "part", "rel_id", "target"), ["file_id", "part", "rel_id"])
-    known = resolved(parts, media(files).select("file_id", "path", "name"), "xl").groupBy("file_id", "image_id").agg(F.max(F.struct("rel_id", "description", "path")).alias("i"))
-    found = cells.join(known, ["file_id", "image_id"], "left")
+    parts = cut(cell_image_parts(files).join(office.relationships(files).select("file_id", "part", "rel_id", "target").hint("merge"), ["file_id", "part", "rel_id"]))
+    known = resolved(parts, media_names(files), "xl").groupBy("file_id", "image_id").agg(F.max(F.struct("rel_id", "description", "path")).alias("i"))
+    found = cells.join(known.hint("merge"), ["file_id", "image_id"], "left")
     return found.select("file_id", "sheet_id", "row_index", "column_index", "image_id", F.coalesce("i.description", "image_id").alias("name"), "i.path")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireframe.operators import lookup
-from quireframe.sources import office
+from quireframe.sources import office, pictures
 
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -144,6 +144,18 @@ def test_contents_are_made_once(spark):
     assert {r.file_id for r in found.collect()} == {"a"}
 
 
+def test_parts_of_packages_are_not_broadcast(spark, tmp_path):
+    """A small table of packages, as Spark takes it, can have many cells, strings and pictures: they do not go through the driver."""
+    content = bytes(package({"xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="S" sheetId="1"/></sheets></workbook>', "xl/media/i.png": "x", "xl/media/j.png": "x",
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData><row r="1">' + "".join(f'<c r="{c}1" t="str"><f>DISPIMG("{c}",1)</f></c>' for c in "ABCD") + "</row></sheetData></worksheet>",
+        "xl/cellimages.xml": f'<x xmlns:r="{REL}">' + "".join(f'<cellImage><cNvPr name="{c}"/><blip r:embed="rId{i}"/></cellImage>' for i, c in enumerate("ABC", 1)) + "</x>",
+        "xl/_rels/cellimages.xml.rels": rels(("image", "media/i.png"), ("image", "elsewhere/j.png"), ("image", "media/none.png"))}))
+    spark.createDataFrame([("a", bytearray(content))], "file_id string, content binary").write.parquet(str(tmp_path / "files"))
+    found = pictures.cell_images(spark.read.parquet(str(tmp_path / "files")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.image_id: r.path for r in found.collect()} == {"A": "xl/media/i.png", "B": "xl/media/j.png", "C": None, "D": None}
+
+
 def test_files_with_more_rows_than_are_held(spark):
     """60,000 cells come whole; as many with a broken end give none."""
 
