@@ -87,7 +87,8 @@ def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-PAGESTATE, SM-QUEUE: the same blocks in any order as a stream, with what waits as keyed state."""
     folder = new_folder(spark, "blocks")
     blocks = order_blocks(spark, sf_dir, False).select("doc", "ord", *paging.NAMES)
-    ends = blocks.groupBy("doc").agg((F.max("ord") + 1).alias("ord")).withColumns({n: F.lit("end" if n == "kind" else None).cast(blocks.schema[n].dataType) for n in paging.NAMES})
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("ord"))
+    ends = counts.withColumns({n: F.lit("end" if n == "kind" else None).cast(blocks.schema[n].dataType) for n in paging.NAMES})
     blocks.unionByName(ends).write.parquet(f"{folder}/blocks")
     rows = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/blocks")
     with page_streams.with_store(spark):

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quireframe.operators import paging
@@ -183,3 +184,68 @@ def test_measured_pages(spark):
     blocks = spark.createDataFrame(rows, "doc long, ord long, kind string, height double, parts array<double>, original_rows int")
     found = paging.measured(blocks, ["doc"], F.lit(300.0)).select("doc", "ord", "page", "first_line", "last_line")
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+class KeptState:
+    """A state of one document in memory that counts what it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.items = calls, None, {}
+
+    def __getattribute__(self, name):
+        if name not in ("calls", "value", "items") and not name.startswith("__"):
+            object.__getattribute__(self, "calls").append(name)
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+    def exists(self):
+        return bool(self.items)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.items
+
+    def getValue(self, key):  # noqa: N802
+        return self.items[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.items[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.items[key]
+
+    def keys(self):
+        return list(self.items)
+
+
+@pytest.mark.parametrize("fresh", [3, 1000])
+def test_the_state_is_asked_once_for_blocks_in_order(monkeypatch, fresh):
+    """One batch in order costs a reading and a writing of the place; in any order and number of batches pages are the same."""
+    monkeypatch.setattr(page_streams, "MOST_FRESH", fresh)
+    block = Row("doc", "ord", *paging.NAMES)
+    n = 40
+    rows = [block("a", i, "heading" if i % 4 == 0 else "paragraph", i % 13 == 12, 7 * i % 60, 60.0 + i, 40.0, 20.0, 16.0, 0.0, None, None) for i in range(n)]
+    rows.append(block("a", n, "end", *[None] * (len(paging.NAMES) - 1)))
+
+    def told(batches):
+        calls = []
+        processor = page_streams.PageProcessor("doc", 500.0, 554.0, 100)
+        state = {name: KeptState(calls) for name in ("place", "held", "early")}
+        processor.init(type("Handle", (), {f"get{kind}State": lambda self, name, *_: state[name] for kind in ("Value", "List", "Map")})())
+        return sorted(tuple(r) for batch in batches for r in processor.handleInputRows(("a",), iter(batch), None)), calls, state
+
+    whole, calls, _ = told([rows])
+    assert calls == ["get", "update"] and len({r[1] for r in whole}) == n - 3  # page breaks have no row
+    mixed = random.Random(1).sample(rows, len(rows))
+    for batches in ([rows[::-1]], [mixed], [mixed[:9], mixed[9:25], mixed[9:12], mixed[25:]], [[r] for r in mixed]):
+        got, _, state = told(batches)
+        assert got == whole and not state["early"].items
